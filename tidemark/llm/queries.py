@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .vectors import op7_embedding_near_dedup
+from .warc import op9_warc_index_first
 
 QUERIES = {
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op9_warc_index_first": op9_warc_index_first,
 }
 ORACLES: dict[str, str] = {}
