@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .licenses import op10_license_scan
 from .vectors import op7_embedding_near_dedup
 from .warc import op9_warc_index_first
 
 QUERIES = {
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op9_warc_index_first": op9_warc_index_first,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}
