@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from .licenses import op10_license_scan
+from .lines import OP5_SQL, op5_line_window_dedup
+from .quality import op1_crf_line_quality
+from .urls import OP6_SQL, op6_url_asof_lists
 from .vectors import op7_embedding_near_dedup
 from .warc import op9_warc_index_first
 
 QUERIES = {
+    "op1_crf_line_quality": op1_crf_line_quality,
+    "op5_line_window_dedup": op5_line_window_dedup,
+    "op6_url_asof_lists": op6_url_asof_lists,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op9_warc_index_first": op9_warc_index_first,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_line_window_dedup": OP5_SQL,
+    "op6_url_asof_lists": OP6_SQL,
+}
