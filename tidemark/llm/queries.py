@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .licenses import op10_license_scan
 from .lines import OP5_SQL, op5_line_window_dedup
+from .minhash import op8_dart_minhash
 from .quality import op1_crf_line_quality
 from .urls import OP6_SQL, op6_url_asof_lists
 from .vectors import op7_embedding_near_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_line_window_dedup": op5_line_window_dedup,
     "op6_url_asof_lists": op6_url_asof_lists,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_dart_minhash": op8_dart_minhash,
     "op9_warc_index_first": op9_warc_index_first,
     "op10_license_scan": op10_license_scan,
 }
