@@ -5,6 +5,7 @@ from __future__ import annotations
 from .licenses import op10_license_scan
 from .lines import OP5_SQL, op5_line_window_dedup
 from .minhash import op8_dart_minhash
+from .mixing import op4_min_cost_mix
 from .quality import op1_crf_line_quality
 from .urls import OP6_SQL, op6_url_asof_lists
 from .vectors import op7_embedding_near_dedup
@@ -12,6 +13,7 @@ from .warc import op9_warc_index_first
 
 QUERIES = {
     "op1_crf_line_quality": op1_crf_line_quality,
+    "op4_min_cost_mix": op4_min_cost_mix,
     "op5_line_window_dedup": op5_line_window_dedup,
     "op6_url_asof_lists": op6_url_asof_lists,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
