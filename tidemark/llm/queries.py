@@ -6,13 +6,17 @@ from .licenses import op10_license_scan
 from .lines import OP5_SQL, op5_line_window_dedup
 from .minhash import op8_dart_minhash
 from .mixing import op4_min_cost_mix
+from .packing import op2_bm25_packing
 from .quality import op1_crf_line_quality
+from .shards import op3_range_coded_ids
 from .urls import OP6_SQL, op6_url_asof_lists
 from .vectors import op7_embedding_near_dedup
 from .warc import op9_warc_index_first
 
 QUERIES = {
     "op1_crf_line_quality": op1_crf_line_quality,
+    "op2_bm25_packing": op2_bm25_packing,
+    "op3_range_coded_ids": op3_range_coded_ids,
     "op4_min_cost_mix": op4_min_cost_mix,
     "op5_line_window_dedup": op5_line_window_dedup,
     "op6_url_asof_lists": op6_url_asof_lists,
