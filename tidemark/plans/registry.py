@@ -28,3 +28,11 @@ def queries() -> dict[str, Query]:
 
 def oracles() -> dict[str, str]:
     return {k: s for k, (_, s) in _ALL.items() if s}
+
+
+def _load() -> None:
+    """Importing these modules registers their queries."""
+    from . import select  # noqa: F401
+
+
+_load()
