@@ -32,7 +32,7 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     """Importing these modules registers their queries."""
-    from . import aggregate, select  # noqa: F401
+    from . import aggregate, graph, select  # noqa: F401
 
 
 _load()
