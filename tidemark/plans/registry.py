@@ -32,7 +32,11 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     """Importing these modules registers their queries."""
-    from . import aggregate, graph, select  # noqa: F401
+    from . import aggregate, governance, graph, learner, retrieval, select  # noqa: F401
 
 
 _load()
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ALL["hybrid_rrf"][0](spark, sf_dir)
