@@ -16,7 +16,7 @@ import numpy as np
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task: Spark has the cores
 
 #: Pieces that one Python worker remembers at most; then it starts anew.
-MEMO = 600_000
+MEMO = 1_000_000
 
 
 class WordMemo:
@@ -31,6 +31,10 @@ class WordMemo:
         self.kind = np.dtype(f"<u{self.bytes_each}")
         self.memo: dict[str, bytes] = {}
         self.lead = " " if keeps_space else ""
+        # tokens that begin a word after a space (byte_bpe), or end one (word_bpe)
+        self.bounds = np.zeros(1 << (8 * self.bytes_each if self.bytes_each == 2 else 20), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bounds[i] = token.startswith("Ġ") if keeps_space else token.endswith("</w>")
 
     def direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -40,6 +44,46 @@ class WordMemo:
     def _plain(c: str) -> bool:
         return "!" <= c <= "~" or ("À" <= c <= "ɏ")
 
+    @staticmethod
+    def _letters(w: str) -> bool:
+        return w.isalpha() and (w.isascii() or max(w) <= "ÿ") and len(w) < 64
+
+    def _learn(self, new: list[str]) -> None:
+        """Remembers new words. One mark after letters is a token of its own kind, and word_bpe lowers its case, so
+        most words are put together from their letters; those are encoded in one text, a word after the other."""
+        made, letters, others = [], {}, []
+        for w in new:
+            base, mark = (w[:-1], w[-1]) if w and w[-1] in ".,;:!?" else (w, "")
+            if not self._letters(base):
+                others.append(w)
+                continue
+            base = base if self.keeps_space else base.lower()
+            if base not in self.memo:
+                letters[base] = None
+            if base is not w:
+                made.append((w, base, mark))
+        run = list(letters)
+        for k in range(0, len(run), 2000):
+            self._learn_letters(run[k : k + 2000])
+        self.memo.update(zip(others, self.direct([self.lead + w for w in others]), strict=True))
+        for w, base, mark in made:
+            self.memo[w] = self.memo[base] + (self._mark(mark) if mark else b"")
+
+    def _learn_letters(self, words: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast([self.lead + " ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype=self.kind)
+        at = np.flatnonzero(self.bounds[ids])
+        if len(at) != len(words):  # not one piece a word: as the library has each
+            self.memo.update(zip(words, self.direct([self.lead + w for w in words]), strict=True))
+            return
+        cuts = [0, *((at + 1).tolist())] if not self.keeps_space else [*at.tolist(), len(ids)]
+        data, n = ids.tobytes(), self.bytes_each
+        self.memo.update((w, data[a * n : b * n]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+
+    @functools.cache  # noqa: B019
+    def _mark(self, mark: str) -> bytes:
+        return self.direct([mark])[0]
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -50,16 +94,15 @@ class WordMemo:
         else:  # white space is dropped, so any space or newline is a cut
             first, words = "", text.replace("\n", " ").split(" ")
         get = self.memo.get
-        found = [get(w) for w in words]
+        found = list(map(get, words))
         if None in found:
-            new = [w for w in dict.fromkeys(words) if w not in self.memo]
+            new = list(dict.fromkeys([w for w, x in zip(words, found, strict=True) if x is None]))
             if len(self.memo) + len(new) > MEMO:
                 self.memo.clear()
-                new = list(dict.fromkeys(words))
             if self.keeps_space:
                 new = [w for w in new if w and len(w) < 64 and self._plain(w[-1])]
-            self.memo.update(zip(new, self.direct([self.lead + w for w in new]), strict=True))
-            found = [get(w) for w in words]
+            self._learn(new)
+            found = [get(w) if x is None else x for w, x in zip(words, found, strict=True)]
         if not self.keeps_space:
             return b"".join(found)
         if None not in found and first and self._plain(first[-1]):
