@@ -16,3 +16,20 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def work_folder(spark) -> str:
+    """The folder that driver and executors share; a temporary one only on a local master without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return f"{root.rstrip('/')}/tidemark"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL[app]
