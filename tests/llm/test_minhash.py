@@ -46,14 +46,14 @@ def test_signature_estimates_weighted_similarity():
         for _ in range(20):
             a = [r.choice(words[:40]) if r.random() < 0.3 else r.choice(words) for _ in range(400)]
             b = [w if r.random() > cut / 5 else r.choice(words) for w in a]
-            x, y = darts.cells(a), darts.cells(b)
+            x, y = (darts.cells([w.encode() for w in t]) for t in (a, b))
             errors.append(np.mean(darts.signature(x) == darts.signature(y)) - darts.similarity(x, y))
         assert abs(np.mean(errors)) < 0.04
 
 
 def test_cells_count():
     a, b = "a b c d e " * 5, "a b c d e " * 3
-    assert abs(darts.similarity(darts.cells(a.split()), darts.cells(b.split())) - jaccard(shingles(a), shingles(b))) < 1e-12
+    assert abs(darts.similarity(darts.cells(a.encode().split()), darts.cells(b.encode().split())) - jaccard(shingles(a), shingles(b))) < 1e-12
 
 
 def test_against_brute_force(spark):

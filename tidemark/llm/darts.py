@@ -11,8 +11,8 @@ COORDINATES = 96
 BANDS = 24
 #: Darts thrown on a whole text: enough to hit every coordinate with a chance of 98 %, else the region doubles.
 DARTS = COORDINATES * (np.log(COORDINATES) + 4)
-_MEMO = 1_000_000
-_memo: dict[str, int] = {}
+_MEMO = 400_000
+_memo: dict[bytes, bytes] = {}
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -25,19 +25,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+_TURNS = mix(np.arange(4096, dtype=np.uint64) * _STEP)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     found = list(map(_memo.get, words))
     if None in found:
         if len(_memo) > _MEMO:
             _memo.clear()
         for w in words:
             if w not in _memo:
-                _memo[w] = xxhash.xxh3_64_intdigest(w)
-        found = list(map(_memo.__getitem__, words))
-    return np.array(found, dtype=np.uint64)
+                _memo[w] = xxhash.xxh3_64_digest(w)
+        found = map(_memo.__getitem__, words)
+    return np.frombuffer(b"".join(found), dtype=">u8").astype(np.uint64)
 
 
-def cells(words: list[str]) -> np.ndarray:
+def cells(words: list[bytes]) -> np.ndarray:
     """Sorted distinct hashes of unit cells: a shingle that occurs c times fills the cells (shingle, 1) to (shingle, c).
 
     So the sets' Jaccard similarity is the weighted one of the counts. Fewer words than a shingle make one shingle.
@@ -48,7 +51,8 @@ def cells(words: list[str]) -> np.ndarray:
     n = max(1, len(h) - SHINGLE + 1)
     key = np.zeros(n, dtype=np.uint64)
     for k in range(min(SHINGLE, len(h))):
-        key = mix(key * _STEP + h[k : k + n] + np.uint64(k + 1))
+        key = key * _STEP + h[k : k + n]
+    key = mix(key)
     once, counts = np.unique(key, return_counts=True)
     if counts.max() == 1:
         return once
@@ -70,14 +74,15 @@ def signature(cell: np.ndarray) -> np.ndarray:
     texts that share a cell share its darts.
     """
     limit = DARTS / len(cell)
+    out, hit = np.zeros(COORDINATES, dtype=np.uint64), np.zeros(COORDINATES, dtype=bool)
     while True:
         ids, ranks = _darts(cell, limit)
-        coordinate = (mix(ids ^ _A) % np.uint64(COORDINATES)).astype(np.int64)
-        order = np.lexsort((ids, ranks, coordinate))
-        coordinate = coordinate[order]
-        first = np.flatnonzero(np.append(True, coordinate[1:] != coordinate[:-1])) if len(coordinate) else []
-        if len(first) == COORDINATES:
-            return ids[order][first]
+        late_first = np.argsort(-ranks, kind="stable")
+        coordinate = (mix(ids ^ _A) % np.uint64(COORDINATES)).astype(np.int64)[late_first]
+        out[coordinate] = ids[late_first]  # the earliest is written last
+        hit[coordinate] = True
+        if hit.all():
+            return out
         limit *= 2
 
 
@@ -96,7 +101,7 @@ def _darts(cell: np.ndarray, limit: float):
         rank = np.zeros(len(cell))
     while len(cell):
         number += 1
-        h = mix(cell ^ mix(np.array([number], dtype=np.uint64) * _STEP))
+        h = mix(cell ^ (_TURNS[number] if number < len(_TURNS) else mix(np.array([number], dtype=np.uint64) * _STEP)))
         rank = rank + _exponential(h)
         keep = rank <= limit
         cell, rank, h = cell[keep], rank[keep], h[keep]
@@ -114,6 +119,11 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def short(sig: np.ndarray) -> bytes:
+    """A byte of each coordinate, for estimates."""
+    return (mix(sig ^ _B) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Of two arrays of distinct cells."""
     shared = len(a) + len(b) - len(np.union1d(a, b))

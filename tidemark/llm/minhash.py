@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,42 +12,59 @@ from pyspark.sql import functions as F
 from . import darts
 from .common import stored
 from .components import connected_components
+from .frames import frame
 
 SIMILARITY = 0.8
 #: Members of a band's bucket up to which all its pairs are candidates.
 SMALL = 8
-#: Beyond that, hubs that all members are compared with in a round, and members that outsiders are compared with.
+#: In larger ones, hubs that all members are compared with first.
 HUBS = 4
-ANCHORS = 8
+#: Members of a block of an open bucket; a pair of blocks is one task's unit of work.
+BLOCK = 512
+#: Below this estimate from COORDINATES signature bytes a pair of similarity SIMILARITY has a chance of 5 in a million.
+ESTIMATE = 0.62
+
 
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case words, cut at space and \\t..\\r."""
+    return text.lower().encode().split() if text else []
 
-def normal(text):
-    """Lower-case words of a column, one space between them."""
-    return F.trim(F.regexp_replace(F.lower(text.cast("string")), r"[ \t-\r]+", " "))
+
+def _digest(words: list[bytes]) -> bytes | None:
+    return hashlib.sha1(b" ".join(words)).digest() if words else None
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, bands) of every row; those without an id or a word have no digest and no bands."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal(F.col(text_col)).alias("words"))
-    d = d.withColumn("words", F.when(F.col("doc_id").isNotNull() & (F.col("words") != ""), F.col("words")))
+    """(doc_id, digest, bands, sig) of every row; those without an id or a word have no digest and no bands."""
 
-    @F.pandas_udf("array<long>")
-    def banded(texts: pd.Series) -> pd.Series:
-        return pd.Series([darts.bands(darts.signature(darts.cells(t.split(" ")))) if t else None for t in texts])
+    @F.pandas_udf("digest binary, bands array<long>, sig binary")
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            words = words_of(t)
+            sig = darts.signature(darts.cells(words)) if words else None
+            rows.append((_digest(words), darts.bands(sig) if words else None, darts.short(sig) if words else None))
+        return pd.DataFrame(rows, columns=["digest", "bands", "sig"])
 
-    return stored(d.select("doc_id", F.unhex(F.sha1("words")).alias("digest"), banded("words").alias("bands")), "signed")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(id_col).isNotNull(), F.col(text_col).cast("string")).alias("text"))
+    return stored(d.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"), "signed")
 
 
 def _cells_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, cells) of the representatives in wanted: 32 bits of each cell, for similarities of pairs."""
-    d = docs.select(F.col(id_col).cast("long").alias("rep"), normal(F.col(text_col)).alias("words")).where("rep is not null and words != ''")
+    """(rep, cells) of the representatives in wanted (rep, digest): 32 bits of each cell, for similarities of pairs."""
+    d = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null and text is not null")
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([darts.cells(t.split(" ")).astype(np.uint32).tobytes() for t in texts])
+    @F.pandas_udf("digest binary, cells binary")
+    def packed(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            words = words_of(t)
+            rows.append((_digest(words), np.unique(darts.cells(words).astype(np.uint32)).tobytes()))
+        return pd.DataFrame(rows, columns=["digest", "cells"])
 
-    d = d.withColumn("digest", F.unhex(F.sha1("words"))).join(wanted, ["rep", "digest"], "left_semi")
-    return stored(d.select("rep", packed("words").alias("cells")), "cells")
+    packed = packed.asNondeterministic()  # else the join's test of the digest runs it on all rows as well
+    d = d.join(wanted.select("rep").distinct(), "rep", "left_semi").select("rep", packed("text").alias("p")).select("rep", "p.*")
+    return stored(d.join(wanted, ["rep", "digest"], "left_semi").select("rep", "cells").dropDuplicates(["rep"]), "cells")
 
 
 def _linked(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -57,7 +76,7 @@ def _linked(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
         out = []
         for a, b in zip(x, y, strict=True):
             small, large = sorted((len(a), len(b)))
-            out.append(small >= threshold * large and darts.similarity(np.unique(read(a)), np.unique(read(b))) >= threshold)
+            out.append(small >= threshold * large and darts.similarity(read(a), read(b)) >= threshold)
         return pd.Series(out, dtype=bool)
 
     both = pairs.join(cells.select(F.col("rep").alias("a"), F.col("cells").alias("x")), "a").join(cells.select(F.col("rep").alias("b"), F.col("cells").alias("y")), "b")
@@ -68,6 +87,71 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _tiles(members: DataFrame, values: list[str], work, schema: str) -> DataFrame:
+    """work(key, a, b, same) for each pair of blocks of each key's members; a and b map columns to lists."""
+    n = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = members.join(n, "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    packed = placed.groupBy("key", "blocks", "block").agg(*(F.collect_list(v).alias(v) for v in values))
+    left = packed.select("key", F.explode(F.expr("sequence(block, blocks - 1)")).alias("other"), "block", *(F.col(v).alias(f"a_{v}") for v in values))
+    right = packed.select("key", F.col("block").alias("other"), *(F.col(v).alias(f"b_{v}") for v in values))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                out += work(row["key"], *({v: row[f"{side}_{v}"] for v in values} for side in "ab"), row["block"] == row["other"])
+            yield frame(out, schema)
+
+    return left.join(right, ["key", "other"]).mapInPandas(run, schema)
+
+
+def _maybe(a: dict, b: dict, same: bool) -> np.ndarray:
+    """Which pairs of two blocks are in different components, not both in the main one, and may be similar."""
+    read = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)
+    sa, sb = read(a["sig"]), read(b["sig"])
+    maybe = np.empty((len(sa), len(sb)), dtype=bool)
+    for k in range(0, len(sa), 64):
+        agree = (sa[k : k + 64, None, :] == sb[None, :, :]).mean(axis=2)
+        maybe[k : k + 64] = (agree - 1 / 256) / (1 - 1 / 256) >= ESTIMATE
+    maybe &= np.asarray(a["part"])[:, None] != np.asarray(b["part"])[None, :]
+    maybe &= np.asarray(a["outside"])[:, None] | np.asarray(b["outside"])[None, :]
+    return np.triu(maybe, 1) if same else maybe
+
+
+def _flagged(key: int, a: dict, b: dict, same: bool) -> list[tuple]:
+    maybe = _maybe(a, b, same)
+    reps = {*np.asarray(a["rep"])[maybe.any(axis=1)].tolist(), *np.asarray(b["rep"])[maybe.any(axis=0)].tolist()}
+    return [(key, r) for r in sorted(reps)]
+
+
+def _joined(threshold: float):
+    def work(key: int, a: dict, b: dict, same: bool) -> list[tuple]:
+        """Links between components that two blocks' members make; within what is joined already none is looked for."""
+        root: dict[int, int] = {}
+
+        def find(p):
+            while p in root:
+                p = root[p]
+            return p
+
+        maybe = _maybe(a, b, same)
+        bands_a, bands_b = np.array(a["bands"].tolist()), np.array(b["bands"].tolist())
+        read = lambda x: np.frombuffer(x, np.uint32)
+        out = []
+        for i, j in zip(*np.nonzero(maybe), strict=True):
+            p, q = find(a["part"][i]), find(b["part"][j])
+            x, y = a["cells"][i], b["cells"][j]
+            if p == q or min(len(x), len(y)) < threshold * max(len(x), len(y)):
+                continue
+            first = np.argmax(bands_a[i] == bands_b[j])
+            if bands_a[i][first] == key and darts.similarity(read(x), read(y)) >= threshold:  # a pair is compared in its first band
+                root[p] = q
+                out.append((int(a["rep"][i]), int(b["rep"][j])))
+        return out
+
+    return work
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its group) and kept (id = class_id).
 
@@ -76,40 +160,36 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     similarity of their five-word shingles, computed in full, reaches the threshold; groups are the components.
 
     Buckets of up to SMALL members compare all pairs. In a larger one all members are compared with HUBS of them.
-    While its members fall in several components, those outside the largest one are compared with ANCHORS of it, and
-    HUBS of them at a time with all members of other components, until each has been a hub: then every pair of the
-    bucket is in one component or was compared, and no round made more than a fixed number of rows for a member.
+    Where its members then fall in several components, pairs of blocks of them are looked through inside tasks: those
+    outside the largest component against all of other components, first by estimates from the signatures, then, where
+    an estimate may reach the threshold, in full. Only links that join components leave a task, never pairs.
 
     Null ids and texts without a word are groups of their own and kept. Repeated rows share a group; an empty table
     gives no rows; other columns are ignored.
     """
     signed = _signed(docs, id_col, text_col)
-    reps = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    member = reps.select("rep", "digest", F.explode("bands").alias("key"))
+    reps = stored(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
+    member = reps.select("rep", F.explode("bands").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = stored(member.join(sizes, "key").select("key", "n", "rep", "digest"), "buckets")
-    cells = _cells_of(docs, member.select("rep", "digest").distinct(), id_col, text_col)
+    member = stored(member.join(sizes, "key").select("key", "n", "rep"), "buckets")
+    cells = _cells_of(docs, reps.join(member.select("rep").distinct(), "rep", "left_semi").select("rep", "digest"), id_col, text_col)
     small, large = member.where(F.col("n") <= SMALL), member.where(F.col("n") > SMALL).select("key", "rep")
     pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").where("a > b").select("a", "b")
-    used = stored(_lowest(large, "key", HUBS), "hubs")
-    star = large.withColumnRenamed("rep", "a").join(used.withColumnRenamed("rep", "b"), "key").select("a", "b")
+    hubs = stored(_lowest(large, "key", HUBS), "hubs")
+    star = large.withColumnRenamed("rep", "a").join(hubs.withColumnRenamed("rep", "b"), "key").select("a", "b")
     links = _linked(_pairs(pairs.unionAll(star)), cells, threshold)
-    while True:
-        parts = stored(connected_components(links, "a", "b"), "parts")
-        now = large.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-        by_part = now.groupBy("key", "part").agg(F.count("*").alias("n"))
-        main = by_part.groupBy("key").agg(F.max(F.struct("n", F.col("part").alias("part"))).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.part").alias("main"))
-        now = stored(now.join(main, "key"), "open")
-        outside = now.where("part != main")
-        hubs = _lowest(outside.join(used, ["key", "rep"], "left_anti").select("key", "rep"), "key", HUBS)
-        hubs = stored(hubs.join(outside, ["key", "rep"]).select("key", "rep", "part"), "hubs")
-        if hubs.isEmpty():
-            break
-        anchors = _lowest(now.where("part = main").join(used, ["key", "rep"], "left_anti").select("key", "rep"), "key", ANCHORS)
-        first = outside.select("key", F.col("rep").alias("a")).join(anchors.withColumnRenamed("rep", "b"), "key").select("a", "b")
-        second = now.withColumnsRenamed({"rep": "a", "part": "part_a"}).join(hubs.withColumnsRenamed({"rep": "b"}), "key").where("part_a != part").select("a", "b")
-        links = stored(links.unionAll(_linked(_pairs(first.unionAll(second)), cells, threshold)), "near")
-        used = stored(used.unionAll(hubs.select("key", "rep")), "hubs")
+    parts = stored(connected_components(links, "a", "b"), "parts")
+
+    now = large.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    by_part = now.groupBy("key", "part").agg(F.count("*").alias("n"))
+    main = by_part.groupBy("key").agg(F.max(F.struct("n", F.col("part").alias("part"))).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.part").alias("main"))
+    now = stored(now.join(main, "key").select("key", "rep", "part", (F.col("part") != F.col("main")).alias("outside")), "open")
+    looked = now.join(reps.select("rep", "sig"), "rep")
+    flagged = stored(_tiles(looked, ["rep", "part", "outside", "sig"], _flagged, "key long, rep long").distinct(), "flagged")
+    full = looked.join(flagged, ["key", "rep"]).join(reps.select("rep", "bands"), "rep").join(cells, "rep")
+    more = stored(_tiles(full, ["rep", "part", "outside", "sig", "bands", "cells"], _joined(threshold), "a long, b long"), "near")
+    parts = connected_components(links.unionAll(more), "a", "b")
+
     known = reps.select("digest", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     found = signed.select("doc_id", "digest").join(known, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return found.select(F.col("doc_id").alias(id_col), "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
