@@ -21,7 +21,9 @@ def test_memo_equals_whole_texts(path, keeps):
     alphabet = "aB 9.\n\t '  s<>|é漢 ̀ǅİΣ!\x1c\x85　z's "
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 18))) for _ in range(6000)]
     texts += [" ".join(r.choice(["word", "don't", "x\ny", "<|endoftext|>", "", "Ünï", "12,5", "<|startoftext|>"]) for _ in range(12)) for _ in range(500)]
-    assert [m.encode(t) for t in texts] == m.direct(texts)
+    want = m.direct(texts)
+    assert [m.encode(t) for t in texts] == want
+    assert m.encode_all(texts) == want and WordMemo(path, keeps).encode_all(texts) == want
 
 
 def test_coder_round_trip():

@@ -32,7 +32,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Da
     def encode(texts: pd.Series) -> pd.Series:
         coder = memo(tokenizer, False)
         end = np.array([END_ID], coder.kind).tobytes()
-        return pd.Series([coder.encode(t or "") + end for t in texts])
+        return pd.Series([ids + end for ids in coder.encode_all([t or "" for t in texts])])
 
     return stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), encode(F.col(text_col).cast("string")).alias("ids")), "ids")
 

@@ -80,8 +80,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
 
         end = np.array([END_ID], coder.kind).tobytes()
         for pdf in batches:
-            for i, text in zip(pdf.id.tolist(), pdf.text.tolist(), strict=True):
-                ids = coder.encode(text) + end
+            for i, ids in zip(pdf.id.tolist(), coder.encode_all(pdf.text.tolist()), strict=True):
+                ids += end
                 n = len(ids) // coder.bytes_each
                 if held and held + n > SHARD_IDS:
                     yield flush()

@@ -9,6 +9,7 @@ those of the whole text (tests compare the two on random texts).
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 
 import numpy as np
@@ -16,7 +17,7 @@ import numpy as np
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task: Spark has the cores
 
 #: Pieces that one Python worker remembers at most; then it starts anew.
-MEMO = 1_000_000
+MEMO = 1_500_000
 
 
 class WordMemo:
@@ -36,6 +37,8 @@ class WordMemo:
         for token, i in self.tokenizer.get_vocab().items():
             self.bounds[i] = token.startswith("Ġ") if keeps_space else token.endswith("</w>")
 
+        self.marks = {m: self.direct([m])[0] for m in ["", *".,;:!?"]}
+
     def direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype=self.kind).tobytes() for x in found]
@@ -44,30 +47,31 @@ class WordMemo:
     def _plain(c: str) -> bool:
         return "!" <= c <= "~" or ("À" <= c <= "ɏ")
 
-    @staticmethod
-    def _letters(w: str) -> bool:
-        return w.isalpha() and (w.isascii() or max(w) <= "ÿ") and len(w) < 64
-
     def _learn(self, new: list[str]) -> None:
         """Remembers new words. One mark after letters is a token of its own kind, and word_bpe lowers its case, so
         most words are put together from their letters; those are encoded in one text, a word after the other."""
-        made, letters, others = [], {}, []
+        made, letters, others, memo, lower = [], {}, [], self.memo, not self.keeps_space
         for w in new:
-            base, mark = (w[:-1], w[-1]) if w and w[-1] in ".,;:!?" else (w, "")
-            if not self._letters(base):
+            base = w.lower() if lower else w
+            mark = ""
+            if not base.isalpha():
+                base, mark = base[:-1], base[-1:]
+                if mark not in ".,;:!?" or not base.isalpha():
+                    others.append(w)
+                    continue
+            if len(base) > 63 or not (base.isascii() or max(base) <= "ÿ"):
                 others.append(w)
                 continue
-            base = base if self.keeps_space else base.lower()
-            if base not in self.memo:
+            if base not in memo:
                 letters[base] = None
-            if base is not w:
+            if base is not w and (mark or base != w):
                 made.append((w, base, mark))
         run = list(letters)
         for k in range(0, len(run), 2000):
             self._learn_letters(run[k : k + 2000])
         self.memo.update(zip(others, self.direct([self.lead + w for w in others]), strict=True))
         for w, base, mark in made:
-            self.memo[w] = self.memo[base] + (self._mark(mark) if mark else b"")
+            memo[w] = memo[base] + self.marks[mark]
 
     def _learn_letters(self, words: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast([self.lead + " ".join(words)], add_special_tokens=False)[0]
@@ -80,10 +84,6 @@ class WordMemo:
         data, n = ids.tobytes(), self.bytes_each
         self.memo.update((w, data[a * n : b * n]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
 
-    @functools.cache  # noqa: B019
-    def _mark(self, mark: str) -> bytes:
-        return self.direct([mark])[0]
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -126,6 +126,35 @@ class WordMemo:
         return b"".join(out)
 
 
+    def encode_all(self, texts: list[str], together: int = 64) -> list[bytes]:
+        """Texts that share one look-up and one lesson of new words; those that need more care are encoded one by one."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), together):
+            some = texts[at : at + together]
+            cut = [[] if not t or "<|" in t else (t if self.keeps_space else t.replace("\n", " ")).split(" ") for t in some]
+            firsts = [c.pop(0) if c and self.keeps_space else "" for c in cut]
+            flat = list(itertools.chain.from_iterable(cut))
+            found = list(map(self.memo.get, flat))
+            if None in found:
+                new = list(dict.fromkeys([w for w, x in zip(flat, found, strict=True) if x is None]))
+                if len(self.memo) + len(new) > MEMO:
+                    self.memo.clear()
+                if self.keeps_space:
+                    new = [w for w in new if w and len(w) < 64 and self._plain(w[-1])]
+                self._learn(new)
+                found = [self.memo.get(w) if x is None else x for w, x in zip(flat, found, strict=True)]
+            heads = self.direct(firsts) if self.keeps_space else [b""] * len(some)
+            end = 0
+            for text, words, first, head in zip(some, cut, firsts, heads, strict=True):
+                start, end = end, end + len(words)
+                own = found[start:end]
+                if not words and not first or None in own or self.keeps_space and not (first and self._plain(first[-1])):
+                    out.append(self.encode(text))
+                else:
+                    out.append(head + b"".join(own))
+        return out
+
+
 @functools.cache
 def memo(path: str, keeps_space: bool) -> WordMemo:
     """One per Python worker."""
