@@ -19,7 +19,9 @@ SIMILARITY = 0.8
 SMALL = 8
 #: In larger ones, hubs that all members are compared with first.
 HUBS = 4
-#: Members of a block of an open bucket; a pair of blocks is one task's unit of work.
+#: Where its members then fall in several components, members of the largest one that the others are compared with.
+ANCHORS = 8
+#: Members of a block of a bucket that is still open; a pair of blocks is one task's unit of work.
 BLOCK = 512
 #: Below this estimate from COORDINATES signature bytes a pair of similarity SIMILARITY has a chance of 5 in a million.
 ESTIMATE = 0.62
@@ -159,10 +161,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Representatives whose signatures agree in a band are candidates; candidates link when the weighted Jaccard
     similarity of their five-word shingles, computed in full, reaches the threshold; groups are the components.
 
-    Buckets of up to SMALL members compare all pairs. In a larger one all members are compared with HUBS of them.
-    Where its members then fall in several components, pairs of blocks of them are looked through inside tasks: those
-    outside the largest component against all of other components, first by estimates from the signatures, then, where
-    an estimate may reach the threshold, in full. Only links that join components leave a task, never pairs.
+    Buckets of up to SMALL members compare all pairs. In a larger one all members are compared with HUBS of them, and
+    then those outside its largest component with ANCHORS of that one. Where components are left, pairs of blocks of
+    the members are looked through inside tasks: those outside the largest component against all of other components,
+    first by estimates from the signatures, then, where an estimate may reach the threshold, in full. Only links that
+    join components leave a task, never pairs.
 
     Null ids and texts without a word are groups of their own and kept. Repeated rows share a group; an empty table
     gives no rows; other columns are ignored.
@@ -180,13 +183,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = _linked(_pairs(pairs.unionAll(star)), cells, threshold)
     parts = stored(connected_components(links, "a", "b"), "parts")
 
-    now = large.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    by_part = now.groupBy("key", "part").agg(F.count("*").alias("n"))
-    main = by_part.groupBy("key").agg(F.max(F.struct("n", F.col("part").alias("part"))).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.part").alias("main"))
-    now = stored(now.join(main, "key").select("key", "rep", "part", (F.col("part") != F.col("main")).alias("outside")), "open")
+    now = _open(large, parts)
+    anchors = _lowest(now.where("not outside").join(hubs, ["key", "rep"], "left_anti").select("key", "rep"), "key", ANCHORS)
+    again = now.where("outside").select("key", F.col("rep").alias("a")).join(anchors.withColumnRenamed("rep", "b"), "key").select("a", "b")
+    links = stored(links.unionAll(_linked(_pairs(again), cells, threshold)), "near")
+    now = _open(large, stored(connected_components(links, "a", "b"), "parts"))
     looked = now.join(reps.select("rep", "sig"), "rep")
     flagged = stored(_tiles(looked, ["rep", "part", "outside", "sig"], _flagged, "key long, rep long").distinct(), "flagged")
-    full = looked.join(flagged, ["key", "rep"]).join(reps.select("rep", "bands"), "rep").join(cells, "rep")
+    full = looked.join(flagged, ["key", "rep"]).join(cells.join(reps.select("rep", "bands"), "rep"), "rep")
     more = stored(_tiles(full, ["rep", "part", "outside", "sig", "bands", "cells"], _joined(threshold), "a long, b long"), "near")
     parts = connected_components(links.unionAll(more), "a", "b")
 
@@ -195,6 +199,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select(F.col("doc_id").alias(id_col), "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
+def _open(large: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, rep, part, outside) of buckets whose members fall in several components; outside the largest or in it."""
+    now = large.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    by_part = now.groupBy("key", "part").agg(F.count("*").alias("n"))
+    main = by_part.groupBy("key").agg(F.max(F.struct("n", F.col("part").alias("part"))).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.part").alias("main"))
+    return stored(now.join(main, "key").select("key", "rep", "part", (F.col("part") != F.col("main")).alias("outside")), "open")
+
+
 def _lowest(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Of each key the n rows whose hashed rep is lowest; the same members serve in many buckets, so pairs coincide."""
     order = F.struct(F.xxhash64("rep").alias("h"), "rep")

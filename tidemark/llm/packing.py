@@ -25,31 +25,38 @@ K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, ids): little-endian unsigned ids with the end id; a null text has the end id only."""
+def tokenised(docs: DataFrame, tokenizer: str, vocabulary: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, ids, counts): little-endian unsigned ids with the end id of each document; a null text has that only.
 
-    @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
+    The last row of a task has no ids but, in counts, how many of its documents hold each id of the vocabulary.
+    """
+
+    def encode(batches):
         coder = memo(tokenizer, False)
         end = np.array([END_ID], coder.kind).tobytes()
-        return pd.Series([ids + end for ids in coder.encode_all([t or "" for t in texts])])
+        counts = np.zeros(vocabulary, "<i8")
+        for pdf in batches:
+            found = [ids + end for ids in coder.encode_all(pdf.text.tolist())]
+            for ids in found:
+                counts[np.unique(np.frombuffer(ids, coder.kind))] += 1
+            yield pd.DataFrame({"doc_id": pdf.id, "ids": found, "counts": None})
+        yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [counts.tobytes()]})
 
-    return stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), encode(F.col(text_col).cast("string")).alias("ids")), "ids")
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return stored(rows.mapInPandas(encode, "doc_id string, ids binary, counts binary"), "ids")
 
 
-def document_frequency(ids: DataFrame, width: int, vocabulary: int) -> np.ndarray:
+def document_frequency(counts: DataFrame, vocabulary: int) -> np.ndarray:
     """Over all documents, how many hold each id; as many numbers as the vocabulary has ids reach the driver."""
 
-    def count(batches):
-        total = np.zeros(vocabulary, np.int64)
+    def split(batches):
         for pdf in batches:
-            for data in pdf.ids:
-                total[np.unique(np.frombuffer(data, f"<u{width}"))] += 1
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at, "n": total[at]})
+            for data in pdf.counts:
+                n = np.frombuffer(data, "<i8")
+                yield pd.DataFrame({"id": np.flatnonzero(n), "n": n[n > 0]})
 
     out = np.zeros(vocabulary, np.int64)
-    for r in ids.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in counts.mapInPandas(split, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r.id] = r.n
     return out
 
@@ -152,10 +159,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     width = 2 if vocabulary <= 65536 else 4
-    ids = tokenised(docs, tokenizer, id_col, text_col)
+    found = tokenised(docs, tokenizer, vocabulary, id_col, text_col)
+    ids = found.where("ids is not null").select("doc_id", "ids")
     total = ids.agg(F.count("*").alias("n"), F.sum(F.octet_length("ids")).alias("size")).first()
     shards = max(1, -(-(total.size or 0) // (width * shard_ids)))
-    frequency = document_frequency(ids, width, vocabulary)
+    frequency = document_frequency(found.where("counts is not null").select("counts"), vocabulary)
     idf = np.log1p((total.n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
     sent = ids.sparkSession.sparkContext.broadcast(idf)
 
@@ -169,7 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             rows.append((None if doc_ids[i] == "" else int(doc_ids[i]), start, length, crc, len(texts[i]), (shard << 32) + sequence, offset))
         return frame(rows, PIECES)
 
-    placed = ids.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "ids", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)).cast("int").alias("shard"))
+    placed = ids.select(F.coalesce("doc_id", F.lit("")).alias("key"), "ids", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)).cast("int").alias("shard"))
     return placed.groupBy("shard").applyInPandas(pack, PIECES)
 
 
