@@ -89,6 +89,13 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _star(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's members with its few centres; those that a member meets in many buckets are one."""
+    few = centres.groupBy("key").agg(F.collect_set("rep").alias("few"))
+    met = members.join(few, "key").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("few"))).alias("few"))
+    return met.select(F.col("rep").alias("a"), F.explode("few").alias("b"))
+
+
 def _tiles(members: DataFrame, values: list[str], work, schema: str) -> DataFrame:
     """work(key, a, b, same) for each pair of blocks of each key's members; a and b map columns to lists."""
     n = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
@@ -179,14 +186,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small, large = member.where(F.col("n") <= SMALL), member.where(F.col("n") > SMALL).select("key", "rep")
     pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").where("a > b").select("a", "b")
     hubs = stored(_lowest(large, "key", HUBS), "hubs")
-    star = large.withColumnRenamed("rep", "a").join(hubs.withColumnRenamed("rep", "b"), "key").select("a", "b")
-    links = _linked(_pairs(pairs.unionAll(star)), cells, threshold)
+    links = _linked(_pairs(pairs.unionAll(_star(large, hubs))), cells, threshold)
     parts = stored(connected_components(links, "a", "b"), "parts")
 
     now = _open(large, parts)
     anchors = _lowest(now.where("not outside").join(hubs, ["key", "rep"], "left_anti").select("key", "rep"), "key", ANCHORS)
-    again = now.where("outside").select("key", F.col("rep").alias("a")).join(anchors.withColumnRenamed("rep", "b"), "key").select("a", "b")
-    links = stored(links.unionAll(_linked(_pairs(again), cells, threshold)), "near")
+    links = stored(links.unionAll(_linked(_pairs(_star(now.where("outside"), anchors)), cells, threshold)), "near")
     now = _open(large, stored(connected_components(links, "a", "b"), "parts"))
     looked = now.join(reps.select("rep", "sig"), "rep")
     flagged = stored(_tiles(looked, ["rep", "part", "outside", "sig"], _flagged, "key long, rep long").distinct(), "flagged")
