@@ -32,9 +32,9 @@ def neighbour_counts(spark, sf):
     return G.both_ways(e).where("source <> target").groupBy(F.col("source").alias("entity_id")).agg(F.count("*").alias("n"))
 
 
-@register("best_neighbour", f"{T}, b AS (SELECT subject AS source, object AS target, predicate, confidence, 0 AS way FROM triples UNION ALL SELECT object, subject, predicate, confidence, 1 FROM triples) SELECT source, target, predicate, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY confidence DESC, way, predicate) AS rn FROM b) WHERE rn = 1 AND source LIKE 's:1%'")
+@register("best_neighbour", f"{T}, b AS (SELECT subject AS source, object AS target, predicate, confidence, 0 AS way FROM triples UNION ALL SELECT object, subject, predicate, confidence, 1 FROM triples) SELECT source, target, predicate, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY confidence DESC, way, predicate) AS rn FROM b) WHERE rn = 1")
 def best_neighbour(spark, sf):
-    return G.best_neighbour(_edges(spark, sf)).where("source like 's:1%'")
+    return G.best_neighbour(_edges(spark, sf))
 
 
 @register("property_chain", f"{T} SELECT DISTINCT a.subject AS source, b.object AS target FROM triples a JOIN triples b ON a.object = b.subject WHERE a.predicate = 'located_in' AND b.predicate = 'part_of' AND NOT EXISTS (SELECT 1 FROM triples c WHERE c.subject = a.subject AND c.object = b.object)")
@@ -133,11 +133,11 @@ def zpd_zones(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.when(p >= 0.9, "too_easy").when(p >= 0.7, "independent").when(p >= 0.4, "zpd").otherwise("frustration").alias("zone"), F.round(p, 6).alias("p"))
 
 
-@register("cat_candidates", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 3 = 0) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) > 35)")
+@register("cat_candidates", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) > 35)")
 def cat_candidates(spark, sf):
     """Items not yet given and under the exposure cap."""
-    l = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")  # noqa: E741
-    given = l.where("l_suppkey % 3 = 0").select(F.col("l_partkey").alias("p_partkey"))
+    l = table(spark, sf, "lineitem").select("l_partkey", "l_quantity")  # noqa: E741
+    given = l.where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
     worn = l.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n")).where("n > 35")
     return table(spark, sf, "part").select("p_partkey").join(given, "p_partkey", "left_anti").join(worn, "p_partkey", "left_anti")
 

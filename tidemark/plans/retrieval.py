@@ -17,7 +17,7 @@ _BM25 = f"""d AS (SELECT doc_id, {_TOK('text')} AS t FROM documents), dl AS (SEL
   q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK('text')}) AS term FROM benchmark) GROUP BY 1, 2),
   sc AS (SELECT query_id, doc_id AS key, round(sum(times * ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY 1, 2),
   bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM sc) WHERE rank <= 20)"""
-_KNN = """vs AS (SELECT q.vec_id AS query_id, v.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 40),
+_KNN = """vs AS (SELECT q.vec_id AS query_id, v.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
   kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM vs) WHERE rank <= 20)"""
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank"
 
@@ -27,9 +27,15 @@ def _bm25(spark, sf, k=20):
     return R.bm25(table(spark, sf, "documents").select("doc_id", "text"), q, k).withColumnRenamed("doc_id", "key")
 
 
+def _query_vectors(spark, sf):
+    """The stated query set: the vectors of all items of benchmark."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return v.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+
+
 def _knn(spark, sf, k=20):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    return R.nearest(v, v.where("key < 40").select(F.col("key").alias("query_id"), "vector"), k)
+    return R.nearest(v, _query_vectors(spark, sf), k)
 
 
 @register("bm25", f"WITH {_BM25} SELECT query_id, key, score, rank FROM bm")
@@ -42,12 +48,11 @@ def vector_knn(spark, sf):
     return _knn(spark, sf).select("query_id", "key", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@register("vector_knn_filtered", f"WITH vs AS (SELECT q.vec_id AS query_id, v.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND v.label IN (1, 2)) SELECT * FROM (SELECT query_id, key, score, {_RANK} FROM vs) WHERE rank <= 5")
+@register("vector_knn_filtered", f"WITH vs AS (SELECT q.vec_id AS query_id, v.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.label IN (1, 2)) SELECT * FROM (SELECT query_id, key, score, {_RANK} FROM vs) WHERE rank <= 5")
 def vector_knn_filtered(spark, sf):
     """The metadata filter comes before the top k."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label")
-    q = v.where("key < 20").select(F.col("key").alias("query_id"), "vector")
-    return R.nearest(v.where("label in (1, 2)"), q, 5).select("query_id", "key", "score", F.col("rank").cast("long").alias("rank"))
+    return R.nearest(v.where("label in (1, 2)"), _query_vectors(spark, sf), 5).select("query_id", "key", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @register("hybrid_rrf", f"WITH {_BM25}, {_KNN}, f AS (SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, key, rank FROM bm UNION ALL SELECT query_id, key, rank FROM kn) GROUP BY 1, 2) SELECT * FROM (SELECT query_id, key, score, {_RANK} FROM f) WHERE rank <= 10")

@@ -80,9 +80,9 @@ def metadata_overlap(spark, sf):
     return e.where(F.arrays_overlap(F.array("k"), F.array(F.lit(3), F.lit(17), F.lit(42))))
 
 
-@register("chunks_of_document", "SELECT conv_id, count(*) AS n_turns, sum(length(text)) AS n_chars FROM conversations WHERE conv_id IN (1, 3, 5, 8) GROUP BY conv_id")
+@register("chunks_of_document", "SELECT conv_id, count(*) AS n_turns, sum(length(text)) AS n_chars FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def chunks_of_document(spark, sf):
-    return table(spark, sf, "conversations").where("conv_id in (1, 3, 5, 8)").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
+    return table(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @register("audit_query", "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 100 OFFSET 20")
@@ -129,17 +129,17 @@ def topic_match(spark, sf):
     return table(spark, sf, "events").select("event_id", topic.rlike(P.topic_pattern("*.u7.*")).alias("one"), topic.rlike(P.topic_pattern("view.**")).alias("rest"))
 
 
-@register("policy_rules", "SELECT event_id FROM events WHERE (event_type = 'purchase' OR event_type = 'signup') AND (value > 80 AND user_id % 2 = 0)")
+@register("policy_rules", "SELECT event_id FROM events WHERE (event_type = 'purchase' OR event_type = 'signup') AND (value > 80 AND value < 200)")
 def policy_rules(spark, sf):
     """AND and OR over rule predicates; no rules match everything."""
     either = P.any_of([P.condition(F.col("event_type"), "eq", x) for x in ("purchase", "signup")])
-    both = P.all_of([P.condition(F.col("value"), "gt", 80), F.col("user_id") % 2 == 0])
+    both = P.all_of([P.condition(F.col("value"), "gt", 80), P.condition(F.col("value"), "lt", 200)])
     return table(spark, sf, "events").where(either & both & P.all_of([])).select("event_id")
 
 
-@register("artifact_filter", "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%/fr/%' AND page_id BETWEEN 20 AND 200 AND length(html) > 1000")
+@register("artifact_filter", "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%/fr/%' AND length(html) BETWEEN 1000 AND 20000")
 def artifact_filter(spark, sf):
-    return table(spark, sf, "pages").where((F.lower("url").contains("/fr/")) & F.col("page_id").between(20, 200) & (F.length("html") > 1000)).select("page_id", "url")
+    return table(spark, sf, "pages").where(F.lower("url").contains("/fr/") & F.length("html").between(1000, 20000)).select("page_id", "url")
 
 
 @register("evidence_filter", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS n_numbers FROM documents WHERE source <> 'src0' AND len(regexp_extract_all(text, '[0-9]+')) > len(regexp_extract_all(text, '[#*$%&|<>]'))")
