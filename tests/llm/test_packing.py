@@ -88,3 +88,28 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA), WORD).count() == 0
+
+
+def test_neighbours_meet_across_shards(spark):
+    """Groups of near copies are dealt over many shards; nearly every one must find its group all the same."""
+    r = random.Random(7)
+    words = [a + b + c for a in "bdfgklmnpr" for b in ("ar", "en", "il", "os") for c in "bdfgklmnpr"]
+    rows = []
+    for g in range(60):
+        own = r.sample(words, 12)
+        rows += [(g * 100 + k, " ".join(r.choice(own) for _ in range(120))) for k in range(20)]
+    df = spark.createDataFrame([(*x, "s", 1, "t", "u") for x in rows], SCHEMA)
+    got = pack_documents(df, WORD, window=1024, shard_ids=12_000).collect()
+    windows = {}
+    for g in got:
+        windows.setdefault(g.sequence_id, []).append((g.doc_id // 100, g.length))
+    best = sum(max(sum(n for h, n in v if h == g) for g in {h for h, _ in v}) for v in windows.values())
+    assert best / sum(g.length for g in got) > 0.7
+    assert sum(sum(n for _, n in v) < 1024 for v in windows.values()) <= 1
+
+
+def test_all_terms_are_asked_for():
+    """The seed's heaviest terms are its own; the only neighbour shares just its lightest, and is shorter than a stranger."""
+    texts = [np.arange(40), np.array([39] * 20), np.array([50] * 30)]
+    got = pack_shard([0, 1, 2], texts, np.linspace(2, 1, 60), 60)
+    assert {i for i, _, _, q, _ in got if q == 0} == {0, 1}
