@@ -1,7 +1,8 @@
 import random
 import re
+import textwrap
 
-from tidemark.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, needed, scan_licenses
+from tidemark.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, needed, op10_license_scan, scan_licenses
 
 SCHEMA = "doc_id long, text string, labels string, id int"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -39,3 +40,34 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_wrapped_notices(spark, tmp_path):
+    rows = [(i, "Some file\n\n" + textwrap.fill(t, w, initial_indent=mark, subsequent_indent=mark) + "\nint x;", "a", 1) for i, (t, w, mark) in enumerate((t, w, m) for t in TEMPLATES.values() for w in (30, 72) for m in ("", " * ", "# "))]
+    rows.append((900, "\n".join(w + " filler" * 40 for w in TEMPLATES["bsd-notice"].split()), "a", 1))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op10_license_scan(spark, str(tmp_path)).collect()}
+    for i, label in enumerate(x for x in TEMPLATES for _ in range(6)):
+        assert label in got[i].labels.split(",") and got[i].score == 1
+    assert got[900].labels == "" and got[900].score == 0
+
+
+def test_wrapped_against_every_run(spark):
+    r = random.Random(5)
+    pieces = [*TEMPLATES.values(), "é漢", "MIT", "license", "under", "the gnu"]
+    rows = [(i, re.sub(" ", lambda _: r.choice([" ", " ", "\n"]), " ".join(w for w in " ".join(r.choice(pieces) for _ in range(r.randint(0, 6))).split() if r.random() < 0.85)), "a", 1) for i in range(150)]
+    lines = {i: (set(filter(None, labels.split(","))), score) for i, *_, labels, score in brute(rows)}
+    got = {x.doc_id: (set(filter(None, x.labels.split(","))), x.score) for x in scan_licenses(spark.createDataFrame(rows, SCHEMA), wrapped=True).collect()}
+    more = 0
+    for i, text, *_ in rows:
+        words, (labels, score) = WORD.findall(text.lower()), lines[i]
+        labels = set(labels)
+        for label, t in TEMPLATES.items():
+            own = WORD.findall(t.lower())
+            best = max([len(set(own) & set(words[k : k + len(own)])) for k in range(len(words))], default=0)
+            if best >= needed(len(set(own)), CONTAINMENT):
+                more += label not in labels
+                labels.add(label)
+                score = max(score, best / len(set(own)))
+        assert got[i] == (labels, score)
+    assert more

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ class TemplateIndex:
     """
 
     def __init__(self, templates: dict[str, str], frequency: dict[str, int], containment: float):
-        self.sets, self.least, self.prefix = {}, {}, {}
+        self.sets, self.least, self.prefix, self.size = {}, {}, {}, {}
         order = lambda w: (frequency.get(w.decode(), 0), w)
         self.rank = {w: i for i, w in enumerate(sorted({w for t in templates.values() for w in words_of(t)}, key=order))}
         for label, text in templates.items():
@@ -76,6 +77,7 @@ class TemplateIndex:
             if not ranks:
                 continue
             self.sets[label], self.least[label] = ranks, needed(len(ranks), containment)
+            self.size[label] = len(words_of(text))
             for position, r in enumerate(ranks[: len(ranks) - self.least[label] + 1]):
                 self.prefix.setdefault(r, []).append((label, position))
 
@@ -99,6 +101,25 @@ class TemplateIndex:
         return out
 
 
+    def closest(self, label: str, words: list[bytes]) -> float:
+        """The largest containment of a template in a run of as many words as it has itself."""
+        ranks, size = set(self.sets[label]), self.size[label]
+        inside, count, most = deque(), {}, 0
+        for at, w in enumerate(words):
+            r = self.rank.get(w)
+            if r not in ranks:
+                continue
+            inside.append((at, r))
+            count[r] = count.get(r, 0) + 1
+            while inside[0][0] <= at - size:
+                old = inside.popleft()[1]
+                count[old] -= 1
+                if not count[old]:
+                    del count[old]
+            most = max(most, len(count))
+        return most / len(ranks) if most >= self.least[label] else 0.0
+
+
 def word_frequency(docs: DataFrame, templates: dict[str, str], text_col: str = "text") -> dict[str, int]:
     """Over all texts, how many times each word of the templates occurs. As many rows as the templates have words."""
     known = {w for t in templates.values() for w in words_of(t)}
@@ -120,7 +141,7 @@ def word_frequency(docs: DataFrame, templates: dict[str, str], text_col: str = "
 SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan_text(doc_id, text: str, index: TemplateIndex) -> tuple:
+def scan_text(doc_id, text: str, index: TemplateIndex, wrapped: bool = False) -> tuple:
     data = text.encode()
     words = data.translate(_TO_WORDS).split()
     base = places(words)
@@ -129,15 +150,20 @@ def scan_text(doc_id, text: str, index: TemplateIndex) -> tuple:
         block = line.split()
         for label, share in index.matches(block).items():
             found[label] = max(share, found.get(label, 0.0))
+    for label in index.matches(words) if wrapped else ():  # what the whole text doesn't hold, no run of its words does
+        share = index.closest(label, words)
+        if share:
+            found[label] = max(share, found.get(label, 0.0))
     labels = {label for _, label in base}
     score = max([1.0 if base else 0.0, *found.values()])
     return doc_id, len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(labels)), ",".join(sorted(labels | found.keys())), score
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """One row per document: counts of words and of phrase places, their first and last start, labels and a score.
 
-    Blocks are the lines of the whole text. A template's label is added when a block holds at least the given share
+    Blocks are the lines of the whole text and, with wrapped, also each run of as many words as a template has,
+    wherever lines or paragraphs break, so a notice that is wrapped is found as well. A template's label is added when a block holds at least the given share
     of its distinct words; the join is exact: words in globally ascending frequency, then prefix, length and
     positional filters, then the overlap itself. The templates are parameters of a fixed size, so every task holds
     their index and no row of the corpus moves. score is 1 where a phrase stands, else the best containment, else 0.
@@ -149,11 +175,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
 
     def scan(batches):
         for pdf in batches:
-            yield frame([scan_text(None if i is None else int(i), t, index) for i, t in zip(pdf.id.tolist(), pdf.text.tolist(), strict=True)], SCAN)
+            yield frame([scan_text(None if i is None else int(i), t, index, wrapped) for i, t in zip(pdf.id.tolist(), pdf.text.tolist(), strict=True)], SCAN)
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInPandas(scan, SCAN)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), wrapped=True)
