@@ -3,11 +3,13 @@
 import math
 import random
 
+import __spark_entry__
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import graph as G
+from tidemark.operators import inference as I
 from tidemark.operators import learner as L
 from tidemark.operators import predicates as P
 from tidemark.operators import retrieval as R
@@ -106,3 +108,18 @@ def test_late_answers_are_rejected(spark, tmp_path):
 def test_topic_patterns():
     assert P.topic_pattern("a.*.c") == r"^a\.[^.]+\.c$"
     assert P.topic_pattern("a.**") == r"^a\..*$"
+
+
+def test_translation_reaches_all_entities(spark, monkeypatch):
+    rows = [(f"{'cs'[i % 2]}:{i}", "located_in", f"n:{i % 7}") for i in range(60)] + [(f"n:{i}", "part_of", f"r:{i % 2}") for i in range(7)]
+    t = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    e, p = I.translate(t, sample=4)
+    got = {r.entity: r.vector for r in e.collect()}
+    assert set(got) == {x for s, _, o in rows for x in (s, o)} and e.count() == len(got)
+    assert {r.predicate for r in p.collect()} == {"located_in", "part_of"}
+    assert all(math.isclose(sum(x * x for x in v), 1, rel_tol=1e-6) for v in got.values())
+    query = __spark_entry__.queries()["transe_ranking"]
+    monkeypatch.setattr("tidemark.plans.more.triples", lambda spark, sf: t)
+    ranked = query(spark, "").groupBy("subject", "predicate").count().collect()
+    assert {(r.subject, r.predicate) for r in ranked} == {(s, k) for s, k, _ in rows}
+    assert all(r["count"] == 5 for r in ranked)

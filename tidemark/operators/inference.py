@@ -110,14 +110,22 @@ def louvain(edges: DataFrame, component: DataFrame, gamma: float = 1.0, seed: in
 
 
 def translate(triples: DataFrame, dim: int = 16, epochs: int = 30, sample: int = 20_000, rate: float = 0.05, margin: float = 1.0, seed: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Translation embeddings ((entity, vector), (predicate, vector)), fitted on at most sample triples by hash order.
+    """Translation embeddings ((entity, vector), (predicate, vector)) of all entities and predicates of the triples.
 
-    The sample is the model's stated bound: margin ranking with seeded negative tails, entity rows of length 1.
+    Vectors of predicates and tails are fitted on at most sample triples (margin ranking with seeded negative tails,
+    entity rows of length 1): first one of each predicate, then one of each tail, then the rest by hash order. All
+    other entities get theirs in Spark from all their triples, see fold_in().
     """
     spark = triples.sparkSession
-    rows = triples.select(*KEY).orderBy(F.xxhash64(*KEY), *KEY).limit(sample).collect()
-    names = sorted({r.subject for r in rows} | {r.object for r in rows})
-    kinds = sorted({r.predicate for r in rows})
+    known = triples.select(*KEY)
+    least = lambda: F.min(F.struct(F.xxhash64(*KEY).alias("hash"), *KEY)).alias("first")
+    first = known.groupBy("predicate").agg(least()).select("first.*", F.lit(0).alias("turn"))
+    first = first.unionByName(known.groupBy("predicate", "object").agg(least()).select("first.*", F.lit(1).alias("turn")))
+    first = first.unionByName(known.select(F.xxhash64(*KEY).alias("hash"), *KEY, F.lit(2).alias("turn")))
+    drawn = first.orderBy("turn", "hash", *KEY).limit(3 * sample).collect()  # a triple stands here up to three times
+    rows = list(dict.fromkeys((r.subject, r.predicate, r.object) for r in drawn))[:sample]
+    names = sorted({r[0] for r in rows} | {r[2] for r in rows})
+    kinds = sorted({r[1] for r in rows})
     e, p = {n: i for i, n in enumerate(names)}, {n: i for i, n in enumerate(kinds)}
     h, r, t = (np.array([m[x[k]] for x in rows], dtype=int) for k, m in ((0, e), (1, p), (2, e)))
     rng = np.random.default_rng(seed)
@@ -134,4 +142,34 @@ def translate(triples: DataFrame, dim: int = 16, epochs: int = 30, sample: int =
                 np.add.at(target, at, rate * step)
         ev /= np.linalg.norm(ev, axis=1, keepdims=True) + 1e-12
     frame = lambda keys, m, name: spark.createDataFrame([(x, v.tolist()) for x, v in zip(keys, m)], f"{name} string, vector array<double>")
-    return frame(names, ev, "entity"), frame(kinds, pv, "predicate")
+    tails = {r[2] for r in rows}
+    at = [i for i, n in enumerate(names) if n in tails]
+    p = frame(kinds, pv, "predicate")
+    return fold_in(known, frame([names[i] for i in at], ev[at], "entity"), p, dim), p
+
+
+def fold_in(triples: DataFrame, fitted: DataFrame, predicates: DataFrame, dim: int) -> DataFrame:
+    """fitted (entity, vector) and a vector for every other entity of the triples.
+
+    In rounds, an entity next to known ones gets the mean of tail - predicate over its triples with a known tail and of
+    head + predicate over those with a known head, of length 1. Tails that no known entity reaches start by a hash.
+    """
+    edges = cut(triples.join(F.broadcast(predicates.withColumnRenamed("vector", "p")), "predicate").select("subject", "object", "p"))
+    known = cut(fitted)
+    add = lambda sign: F.zip_with("vector", "p", lambda v, p: v + sign * p)
+    while True:
+        near = edges.join(known.withColumnRenamed("entity", "object"), "object").select(F.col("subject").alias("entity"), add(-1).alias("v"))
+        near = near.unionByName(edges.join(known.withColumnRenamed("entity", "subject"), "subject").select(F.col("object").alias("entity"), add(1).alias("v")))
+        new = near.join(known.select("entity"), "entity", "left_anti").groupBy("entity").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(dim)]).alias("v"))
+        new = cut(_unit(new))
+        if new.isEmpty():
+            lost = edges.select(F.col("object").alias("entity")).distinct().join(known.select("entity"), "entity", "left_anti")
+            new = cut(_unit(lost.withColumn("v", F.array(*[F.xxhash64("entity", F.lit(i)).cast("double") / 2.0**63 for i in range(dim)]))))
+            if new.isEmpty():
+                return known
+        known = cut(known.unionByName(new))
+
+
+def _unit(vectors: DataFrame) -> DataFrame:
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-12
+    return vectors.withColumn("size", size).select("entity", F.transform("v", lambda x: x / F.col("size")).alias("vector"))

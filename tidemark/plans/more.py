@@ -40,10 +40,10 @@ def louvain(spark, sf):
 @register("transe_ranking")
 def transe_ranking(spark, sf):
     """The five best tails of each geographic relation by translation distance."""
-    t = triples(spark, sf).where("predicate in ('located_in', 'part_of') and subject not like 'c:%'")
+    t = triples(spark, sf).where("predicate in ('located_in', 'part_of')")
     e, p = I.translate(t)
     heads = t.select("subject", "predicate").distinct().join(F.broadcast(p), "predicate").join(e.select(F.col("entity").alias("subject"), F.col("vector").alias("h")), "subject")
-    tails = e.where("entity like 'n:%' or entity like 'r:%'").select(F.col("entity").alias("object"), F.col("vector").alias("t"))
+    tails = t.select("object").distinct().join(e.select(F.col("entity").alias("object"), F.col("vector").alias("t")), "object")
     pairs = heads.join(F.broadcast(tails))
     d = F.sqrt(F.aggregate(F.zip_with(F.zip_with("h", "vector", lambda a, b: a + b), "t", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
     rank = F.row_number().over(Window.partitionBy("subject", "predicate").orderBy("distance", "object"))
