@@ -40,43 +40,40 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(found), dtype=">u8").astype(np.uint64)
 
 
-def cells(words: list[bytes]) -> np.ndarray:
-    """Sorted distinct hashes of unit cells: a shingle that occurs c times fills the cells (shingle, 1) to (shingle, c).
+def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of shingles of SHINGLE words and how often each occurs, which is its weight.
 
-    So the sets' Jaccard similarity is the weighted one of the counts. Fewer words than a shingle make one shingle.
+    Fewer words than a shingle make one shingle.
     """
     if not words:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint32)
     h = word_hashes(words)
     n = max(1, len(h) - SHINGLE + 1)
     key = np.zeros(n, dtype=np.uint64)
     for k in range(min(SHINGLE, len(h))):
         key = key * _STEP + h[k : k + n]
-    key = mix(key)
-    once, counts = np.unique(key, return_counts=True)
-    if counts.max() == 1:
-        return once
-    start = np.repeat(np.cumsum(counts) - counts, counts)
-    nth = np.arange(len(key)) - start
-    every = np.repeat(once, counts)
-    return np.unique(np.where(nth > 0, mix(every + nth.astype(np.uint64) * _STEP), every))
+    once, counts = np.unique(mix(key), return_counts=True)
+    return once, counts.astype(np.uint32)
 
 
-def _exponential(h: np.ndarray) -> np.ndarray:
-    return -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+def _unit(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def signature(cell: np.ndarray) -> np.ndarray:
-    """Per coordinate the id of the earliest dart.
+def signature(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per coordinate the id of the earliest dart that hits the region under a weight.
 
-    Each unit cell has a Poisson process of darts along the rank axis, drawn from hashes of (cell, number); each dart
-    falls on one coordinate. A text's darts are those of its cells up to the rank at which about DARTS are thrown, so
-    texts that share a cell share its darts.
+    A shingle's weight axis is cut into the regions [0, 1), [1, 2), [2, 4), [4, 8) and so on. Each region has a Poisson
+    process of darts along the rank axis, as dense as the region is wide and drawn from hashes of (shingle, region,
+    number); a dart has a place on the weight axis and falls on one coordinate. A text's darts are those below its
+    weights up to the rank at which about DARTS of them are thrown, so the work follows the number of darts and of
+    shingles, not the weights, and texts that share a part of a weight share its darts.
     """
-    limit = DARTS / len(cell)
+    limit = DARTS / float(weights.sum())
     out, hit = np.zeros(COORDINATES, dtype=np.uint64), np.zeros(COORDINATES, dtype=bool)
+    parts = _regions(keys, weights)
     while True:
-        ids, ranks = _darts(cell, limit)
+        ids, ranks = _darts(*parts, limit)
         late_first = np.argsort(-ranks, kind="stable")
         coordinate = (mix(ids ^ _A) % np.uint64(COORDINATES)).astype(np.int64)[late_first]
         out[coordinate] = ids[late_first]  # the earliest is written last
@@ -86,27 +83,53 @@ def signature(cell: np.ndarray) -> np.ndarray:
         limit *= 2
 
 
-def _darts(cell: np.ndarray, limit: float):
+def _regions(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, width and the covered part of each region that a weight reaches into."""
+    ids, width, inside = [keys], [np.ones(len(keys))], [np.ones(len(keys))]
+    start = 1
+    while (over := weights > start).any():
+        ids.append(mix(keys[over] ^ np.uint64(start * int(_B) & 0xFFFFFFFFFFFFFFFF)))
+        width.append(np.full(int(over.sum()), float(start)))
+        inside.append(np.minimum(1.0, (weights[over] - start) / start))
+        start *= 2
+    return np.concatenate(ids), np.concatenate(width), np.concatenate(inside)
+
+
+def _darts(region: np.ndarray, width: np.ndarray, inside: np.ndarray, limit: float):
+    """(id, rank) of the darts of all regions up to limit that fall on the covered parts."""
     ids, ranks = [], []
     number = 0
-    if len(cell) < 64:  # many darts a cell: drawn at once
-        number = int(limit + 6 * np.sqrt(limit) + 10)
-        h = mix(cell[:, None] ^ mix(np.arange(1, number + 1, dtype=np.uint64) * _STEP)[None, :])
-        at = np.cumsum(_exponential(h), axis=1)
-        ids.append(h[at <= limit])
-        ranks.append(at[at <= limit])
+    partly = bool((inside < 1).any())
+
+    def take(h, rank, covered):
+        if partly:
+            on = _unit(mix(h ^ _B)) < covered
+            h, rank = h[on], rank[on]
+        ids.append(h)
+        ranks.append(rank)
+
+    if len(region) < 64:  # many darts a region: drawn at once
+        most = limit * width.max()
+        number = int(most + 6 * np.sqrt(most) + 10)
+        h = mix(region[:, None] ^ mix(np.arange(1, number + 1, dtype=np.uint64) * _STEP)[None, :])
+        at = np.cumsum(-np.log(_unit(h)) / width[:, None], axis=1)
+        near = at <= limit
+        take(h[near], at[near], np.broadcast_to(inside[:, None], h.shape)[near])
         more = at[:, -1] <= limit
-        cell, rank = cell[more], at[more, -1]
+        region, width, inside, rank = region[more], width[more], inside[more], at[more, -1]
     else:
-        rank = np.zeros(len(cell))
-    while len(cell):
+        rank = np.zeros(len(region))
+    even = bool((width == 1).all())
+    while len(region):
         number += 1
-        h = mix(cell ^ (_TURNS[number] if number < len(_TURNS) else mix(np.array([number], dtype=np.uint64) * _STEP)))
-        rank = rank + _exponential(h)
-        keep = rank <= limit
-        cell, rank, h = cell[keep], rank[keep], h[keep]
-        ids.append(h)
-        ranks.append(rank)
+        h = mix(region ^ (_TURNS[number] if number < len(_TURNS) else mix(np.array([number], dtype=np.uint64) * _STEP)))
+        gap = -np.log(_unit(h))
+        rank = rank + (gap if even else gap / width)
+        near = rank <= limit
+        region, rank, h = region[near], rank[near], h[near]
+        if partly or not even:
+            width, inside = width[near], inside[near]
+        take(h, rank, inside)
     return np.concatenate(ids), np.concatenate(ranks)
 
 
@@ -124,7 +147,21 @@ def short(sig: np.ndarray) -> bytes:
     return (mix(sig ^ _B) & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two arrays of distinct cells."""
-    shared = len(a) + len(b) - len(np.union1d(a, b))
-    return shared / (len(a) + len(b) - shared)
+def packed(keys: np.ndarray, weights: np.ndarray) -> bytes:
+    return keys.astype("<u8").tobytes() + weights.astype("<u4").tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n)
+
+
+def similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarity of one text's (keys, weights) with those of others, none of them empty."""
+    keys, weights = one
+    theirs, counts = np.concatenate([k for k, _ in others]), np.concatenate([w for _, w in others]).astype(np.int64)
+    at = np.minimum(np.searchsorted(keys, theirs), len(keys) - 1)
+    both = np.where(keys[at] == theirs, np.minimum(weights[at], counts), 0)
+    starts = np.cumsum([0, *(len(k) for k, _ in others[:-1])])
+    shared = np.add.reduceat(both, starts)
+    return shared / (int(weights.sum()) + np.add.reduceat(counts, starts) - shared)
