@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 from tidemark.llm.lines import dedup_lines
-from tidemark.llm.minhash import near_classes
+from tidemark.llm.minhash import one_of_each
 from tidemark.llm.mixing import mix_sources, n_words
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import fit_chain, with_verdict
@@ -35,9 +35,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows without an id stay."""
-    gone = near_classes(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates, that with the smallest id.
+
+    Rows without an id or a word stay; of rows that repeat an id each is judged by its own text, and of rows equal in
+    id and text one stays. An empty table gives no rows.
+    """
+    return one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
