@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,37 +17,100 @@ from .tokens import memo
 
 WINDOW = 4096
 END_ID = 2
-#: Ids that a shard of the index holds on average; as many at the end of a corpus are packed by one index.
+#: Ids that a shard of the index holds on average; its documents are packed by one task.
 SHARD_IDS = 4_000_000
-#: Terms of a seed that are looked up at a time, and neighbours that are ranked at a time.
-QUERY_TERMS = 12
-NEIGHBOURS = 48
-#: Windows that ask in one round, and placed pieces that are held before they are written.
-SEEDS, FLUSH = 8192, 500_000
+#: Documents, drawn at random, that the tree of shards is fitted on; those of them that a leaf holds at least.
+FIT_DOCS, LEAF_DOCS = 4096, 32
+#: Numbers of a document's sketch, and parts that each leaf is cut into.
+DIMENSIONS, PARTS = 64, 64
+#: Terms that more than one in so many texts of a shard hold are kept as rows of scores instead of lists.
+DENSE = 8
 K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenised(docs: DataFrame, tokenizer: str, vocabulary: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ids, counts): little-endian unsigned ids with the end id of each document; a null text has that only.
+@functools.cache
+def directions(vocabulary: int) -> np.ndarray:
+    """Random directions of the ids: sums of them keep the angles between texts, up to chance."""
+    return np.random.default_rng(11).standard_normal((vocabulary, DIMENSIONS), dtype=np.float32)
 
-    The last row of a task has no ids but, in counts, how many of its documents hold each id of the vocabulary.
+
+def sketch(terms: np.ndarray, idf: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    """A text's weighted terms, brought down to DIMENSIONS numbers of length 1."""
+    v = idf[terms] @ ways[terms]
+    return v / max(1e-9, float(np.sqrt(v @ v)))
+
+
+class Tree:
+    """Cuts sketches in halves, each time at the median along the direction in which they differ most."""
+
+    def __init__(self, x: np.ndarray, depth: int):
+        self.depth = depth
+        self.ways, self.cuts = np.zeros((1 << depth, DIMENSIONS), np.float32), np.zeros(1 << depth, np.float32)
+        node = np.ones(len(x), np.int64)
+        for level in range(depth):
+            for k in range(1 << level, 2 << level):
+                own = x[node == k]
+                if len(own) > 1:
+                    _, _, ways = np.linalg.svd(own - own.mean(axis=0), full_matrices=False)
+                    self.ways[k] = ways[0]
+                    self.cuts[k] = np.median(own @ self.ways[k])
+            node = self._down(x, node)
+
+    def _down(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return 2 * node + (np.einsum("ij,ij->i", x, self.ways[node]) > self.cuts[node])
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.ones(len(x), np.int64)
+        for _ in range(self.depth):
+            node = self._down(x, node)
+        return node - (1 << self.depth)
+
+
+def fit_tree(texts: DataFrame, n: int, tokenizer: str, vocabulary: int) -> tuple[Tree, np.ndarray]:
+    """A tree of shards, and the term weights of its sketches, from about FIT_DOCS texts (at most twice as many)."""
+
+    def terms(batches):
+        coder = memo(tokenizer, False)
+        for pdf in batches:
+            yield pd.DataFrame({"terms": [np.unique(np.frombuffer(ids, coder.kind)).astype("<u4").tobytes() for ids in coder.encode_all(pdf.text.tolist())]})
+
+    some = texts.sample(min(1.0, FIT_DOCS / max(1, n)), 17).limit(2 * FIT_DOCS)
+    found = [np.frombuffer(r.terms, "<u4") for r in some.select("text").mapInPandas(terms, "terms binary").collect()]
+    frequency = np.bincount(np.concatenate([np.empty(0, np.int64), *found]).astype(np.int64), minlength=vocabulary)
+    idf = np.log1p((len(found) + 0.5) / (frequency + 0.5)).astype(np.float32)
+    x = np.array([sketch(t, idf, directions(vocabulary)) for t in found], np.float32).reshape(-1, DIMENSIONS)
+    return Tree(x, max(0, (len(x) // LEAF_DOCS).bit_length() - 1)), idf
+
+
+def tokenised(texts: DataFrame, tokenizer: str, vocabulary: int, tree: Tree, weights: np.ndarray) -> DataFrame:
+    """(doc_id, ids, bucket, row, counts): little-endian unsigned ids with the end id of each document.
+
+    bucket: the leaf of the text's sketch and, in it, a part by the smallest hash of its ids, which texts that share
+    most ids have in common. row is a number of its own. The last row of a task has no ids but, in counts, how many of
+    its documents hold each id of the vocabulary.
     """
+    sent = texts.sparkSession.sparkContext.broadcast((tree, weights))
 
     def encode(batches):
-        coder = memo(tokenizer, False)
+        coder, ways = memo(tokenizer, False), directions(vocabulary)
+        tree, weights = sent.value
         end = np.array([END_ID], coder.kind).tobytes()
-        counts = np.zeros(vocabulary, "<i8")
+        hashes = np.random.default_rng(5).permutation(vocabulary)
+        counts, row = np.zeros(vocabulary, "<i8"), TaskContext.get().partitionId() << 40
         for pdf in batches:
             found = [ids + end for ids in coder.encode_all(pdf.text.tolist())]
-            for ids in found:
-                counts[np.unique(np.frombuffer(ids, coder.kind))] += 1
-            yield pd.DataFrame({"doc_id": pdf.id, "ids": found, "counts": None})
-        yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [counts.tobytes()]})
+            x, part = np.empty((len(found), DIMENSIONS), np.float32), np.empty(len(found), np.int64)
+            for k, ids in enumerate(found):
+                terms = np.unique(np.frombuffer(ids, coder.kind))
+                counts[terms] += 1
+                x[k], part[k] = sketch(terms, weights, ways), hashes[terms].min() % PARTS
+            yield pd.DataFrame({"doc_id": pdf.id, "ids": found, "bucket": tree.leaf(x) * PARTS + part, "row": row + np.arange(len(found)), "counts": None})
+            row += len(found)
+        yield pd.DataFrame({"doc_id": [None], "ids": [None], "bucket": [-1], "row": [-1], "counts": [counts.tobytes()]})
 
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return stored(rows.mapInPandas(encode, "doc_id string, ids binary, counts binary"), "ids")
+    return stored(texts.mapInPandas(encode, "doc_id string, ids binary, bucket long, row long, counts binary"), "ids")
 
 
 def document_frequency(counts: DataFrame, vocabulary: int) -> np.ndarray:
@@ -63,360 +128,146 @@ def document_frequency(counts: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
-def by_weight(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A text's terms, heaviest first: QUERY_TERMS at a time they are its queries."""
-    return terms[np.argsort(-idf[terms] * np.minimum(counts, 3), kind="stable")].astype(np.int64)
+def deal(sizes: dict[int, int], shard_ids: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(bucket, first shard, shards) of each bucket by its ids, and how many shards there are.
+
+    Buckets that follow each other share a shard of about shard_ids ids; a larger one is dealt over several.
+    """
+    out, shard, held = [], 0, 0
+    for bucket, n in sorted(sizes.items()):
+        if held and held + n > shard_ids * 1.2:
+            shard, held = shard + 1, 0
+        several = max(1, -(-n // int(shard_ids * 1.2)))
+        out.append((bucket, shard, several))
+        held += n
+        if several > 1:
+            shard, held = shard + several, 0
+    return out, shard + (held > 0)
 
 
 class Index:
-    """BM25 postings of a shard's texts; global document frequencies, and the mean length if given, weigh the terms."""
+    """BM25 postings of a shard's texts; document frequencies and the mean length are those of the whole corpus."""
 
-    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float | None = None):
-        lengths = np.array([max(1, len(t)) for t in texts])
-        shape = K1 * (1 - B + B * lengths / (mean or lengths.mean())) if len(texts) else lengths
+    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
+        self.n = n = len(texts)
         found = [np.unique(t, return_counts=True) for t in texts]
-        self.own = [by_weight(terms, counts, idf) for terms, counts in found]
-        terms = np.concatenate([t for t, _ in found]) if found else np.empty(0, np.int64)
-        text = np.repeat(np.arange(len(texts)), [len(t) for t, _ in found])
-        counts = np.concatenate([c for _, c in found]) if found else np.empty(0)
-        score = idf[terms] * counts * (K1 + 1) / (counts + shape[text]) if len(terms) else counts
+        self.own = [t for t, _ in found]
+        terms, counts = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]).astype(np.int64) for k in (0, 1))
+        text = np.repeat(np.arange(n), [len(t) for t in self.own])
+        shape = (K1 * (1 - B + B * np.maximum(1, [len(t) for t in texts]) / mean)).astype(np.float32) if n else np.empty(0)
         order = np.argsort(terms, kind="stable")
-        self.text, self.score = text[order].astype(np.int32), score[order]
+        self.text = text[order].astype(np.int32)
+        self.score = (idf[terms] * counts * (K1 + 1) / (counts + shape[text])).astype(np.float32)[order]
         self.ends = np.searchsorted(terms[order], np.arange(len(idf) + 1))
-        self.n = len(texts)
-
-    def ranked(self, terms: np.ndarray, unused: np.ndarray) -> list[int]:
-        """The next NEIGHBOURS unused texts by descending score; equal scores by number."""
-        spans = [slice(self.ends[t], self.ends[t + 1]) for t in terms]
-        if not spans:
-            return []
-        scores = np.bincount(np.concatenate([self.text[s] for s in spans]), np.concatenate([self.score[s] for s in spans]), self.n) * unused
-        some = np.flatnonzero(scores > 0)
-        if len(some) > NEIGHBOURS:
-            some = some[scores[some] >= np.partition(scores[some], -NEIGHBOURS)[-NEIGHBOURS]]
-        return some[np.lexsort((some, -scores[some]))][:NEIGHBOURS].tolist()
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """The best unused texts for the heaviest terms of a text."""
-        return self.ranked(self.own[seed][:QUERY_TERMS], unused)
-
-
-class Open:
-    """A window that isn't full: what fills it so far, its seed's terms by weight, and those asked for next."""
-
-    def __init__(self, number: int, terms: np.ndarray):
-        self.number, self.terms, self.at, self.offset = number, terms, 0, 0
-
-    def query(self) -> np.ndarray:
-        return self.terms[self.at : self.at + QUERY_TERMS]
-
-
-class Packer:
-    """Places texts into windows; pieces are (text, length before, ids taken, window, offset)."""
-
-    def __init__(self, left: np.ndarray, window: int):
-        self.left, self.window, self.pieces, self.unused = left, window, [], left > 0
-
-    def place(self, w: Open, i: int) -> None:
-        n = int(min(self.left[i], self.window - w.offset))
-        self.pieces.append((i, int(self.left[i]), n, w.number, w.offset))
-        self.left[i] -= n
-        self.unused[i] = self.left[i] > 0
-        w.offset += n
-
-    def fill(self, w: Open, ranked: list[int]) -> bool:
-        """Whole neighbours while they fit, then the best that doesn't is cut. True if the window is full then."""
-        ranked = [i for i in ranked if self.unused[i]]
-        for i in ranked:
-            if self.left[i] <= self.window - w.offset:
-                self.place(w, i)
-        for i in ranked:
-            if self.unused[i] and w.offset < self.window:
-                self.place(w, i)
-        return w.offset >= self.window
-
-    def finish(self, w: Open, index: Index) -> bool:
-        """Blocks of neighbours until the window is full or no unused text shares a term."""
-        while w.offset < self.window and w.at < len(w.terms):
-            ranked = index.ranked(w.query(), self.unused)
-            self.fill(w, ranked)
-            if len(ranked) < NEIGHBOURS:
-                w.at += QUERY_TERMS
-        return w.offset >= self.window
-
-
-def finish_all(packer: Packer, texts: list[np.ndarray], idf: np.ndarray, mean: float | None, opened: list[Open], number: int) -> None:
-    """The rest of a corpus, or a small one, in one index: open windows first, then the longest unused text seeds one."""
-    index = Index(texts, idf, mean)
-    order, turn = np.argsort(-packer.left, kind="stable").tolist(), 0
-    waiting = list(opened)
-    while True:
-        while turn < len(order) and not packer.unused[order[turn]]:
-            turn += 1
-        if not waiting and turn == len(order):
-            return
-        if waiting:
-            w = waiting.pop(0)
-        else:
-            w = Open(number, index.own[order[turn]])
-            number += 1
-            packer.place(w, order[turn])
-        if not packer.finish(w, index):
-            for i in order[turn:]:
-                if w.offset == packer.window:
-                    break
-                if packer.unused[i]:
-                    packer.place(w, i)
-
-
-def whole_windows(texts: list[np.ndarray], window: int) -> tuple[list[tuple], np.ndarray]:
-    """Pieces of the whole windows of long texts, sequences of their own, and where the rest of each text starts."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    pieces = [(i, at, window) for i, n in enumerate(lengths.tolist()) for at in range(0, n - window + 1, window)]
-    return [(*p, q, 0) for q, p in enumerate(pieces)], lengths // window * window
-
-
-def pack_shard(doc_ids: list, texts: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) -> list[tuple]:
+        often = np.flatnonzero(np.diff(self.ends) * DENSE > n)
+        self.dense = np.full(len(idf), -1)
+        self.dense[often] = np.arange(len(often))
+        self.table = np.zeros((len(often), n), np.float32)
+        for k, t in enumerate(often):
+            s = slice(self.ends[t], self.ends[t + 1])
+            self.table[k, self.text[s]] = self.score[s]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every text for all terms of the seed."""
+        terms = self.own[seed]
+        rows = self.dense[terms]
+        on = np.zeros(len(self.table), np.float32)
+        on[rows[rows >= 0]] = 1
+        terms = terms[rows < 0]
+        counts = self.ends[terms + 1] - self.ends[terms]
+        at = np.repeat(self.ends[terms] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return on @ self.table + np.bincount(self.text[at], self.score[at], self.n).astype(np.float32)
+
+
+def ranked(scores: np.ndarray, unused: np.ndarray):
+    """Unused texts by descending score, equal scores by number, in blocks; those without a score aren't neighbours."""
+    some = np.flatnonzero((scores > 0) & unused)
+    size = 32
+    while len(some):
+        least = np.partition(scores[some], -size)[-size] if len(some) > size else 0.0
+        best = some[scores[some] >= least]
+        yield best[np.lexsort((best, -scores[best]))].tolist()
+        some, size = some[scores[some] < least], 8 * size
+
+
+def pack_shard(texts: list[np.ndarray], idf: np.ndarray, window: int = WINDOW, mean: float | None = None) -> list[tuple]:
     """(document number, start, length, sequence, offset): every id of the texts in exactly one piece.
 
-    Whole windows of long texts are sequences of their own. The rest of the longest unused text seeds a window;
-    its neighbours fill it while they fit, then the best that doesn't fit is cut to fill it up, and what is cut off
-    stays unused. Neighbours come by the seed's heaviest terms, then by the next ones, to its last term; only where no
-    unused text shares a term, the next unused texts serve. So only the last sequence isn't full.
+    Whole windows of long texts are sequences of their own. The rest of the longest unused text seeds a window; its
+    unused neighbours fill it by descending score, and what the last one has left over stays unused. Only where no
+    unused text shares a term with the seed, the next unused texts serve. So only the last sequence isn't full.
     """
-    pieces, start = whole_windows(texts, window)
-    packer = Packer(np.array([len(t) for t in texts], np.int64) - start, window)
-    finish_all(packer, [t[s:] for t, s in zip(texts, start, strict=True)], idf, None, [], len(pieces))
-    return pieces + [(i, len(texts[i]) - before, n, q, o) for i, before, n, q, o in packer.pieces]
-
-
-INDEX = "shard int, keys array<string>, sizes array<long>, ids binary, text binary, score binary, ends binary, own binary, own_sizes binary"
-
-
-def shard_index(placed: DataFrame, idf, width: int, window: int, mean: float) -> DataFrame:
-    """A row per shard: its texts, and the postings of what whole windows leave of them."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "ids"], kind="stable")
-        texts = [np.frombuffer(x, f"<u{width}") for x in pdf.ids]
-        index = Index([t[len(t) // window * window :] for t in texts], idf.value, mean)
-        own = np.concatenate(index.own).astype("<i4")
-        row = (int(pdf["shard"].iloc[0]), pdf.key.tolist(), [len(t) for t in texts], b"".join(pdf.ids), index.text.astype("<i4").tobytes(), index.score.astype("<f4").tobytes(), index.ends.astype("<i4").tobytes(), own.tobytes(), np.array([len(t) for t in index.own], "<i4").tobytes())
-        return pd.DataFrame([row], columns=[f.split()[0] for f in INDEX.split(", ")])
-
-    return stored(placed.groupBy("shard").applyInPandas(build, INDEX), "index")
-
-
-def best_of(rows: np.ndarray, score: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first NEIGHBOURS of each row by descending score, equal scores by text."""
-    order = np.lexsort((text, -score, rows))
-    rows, score, text = rows[order], score[order], text[order]
-    first = np.searchsorted(rows, rows)
-    keep = np.arange(len(rows)) - first < NEIGHBOURS
-    return rows[keep], score[keep], text[keep]
-
-
-def search(index: DataFrame, queries: list[np.ndarray], unused: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For each query, the best unused texts of all shards. unused is by text, first the number of a shard's first text."""
-    spark = index.sparkSession
-    padded = np.full((len(queries), QUERY_TERMS), -1, np.int32)
-    for k, terms in enumerate(queries):
-        padded[k, : len(terms)] = terms
-    sent = spark.sparkContext.broadcast((padded, np.packbits(unused), first))
-    block = 256
-
-    def ask(batches):
-        padded, bits, first = sent.value
-        found = [(np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64))] * -(-len(padded) // block)
-        least = np.full(len(padded), np.finfo(np.float32).tiny, np.float32)
-        seen = False
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                seen = True
-                text, score, ends = np.frombuffer(r.text, "<i4"), np.frombuffer(r.score, "<f4"), np.frombuffer(r.ends, "<i4")
-                base, n = int(first[r.shard]), int(first[r.shard + 1] - first[r.shard])
-                free = np.unpackbits(bits[base // 8 : (base + n + 7) // 8])[base % 8 :][:n]
-                for b in range(len(found)):
-                    q = padded[b * block : (b + 1) * block]
-                    row, col = np.nonzero(q >= 0)
-                    terms = q[row, col]
-                    counts = ends[terms + 1] - ends[terms]
-                    at = np.repeat(ends[terms] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-                    dense = np.bincount(np.repeat(row, counts) * n + text[at], score[at], len(q) * n).reshape(len(q), n).astype(np.float32) * free
-                    rows, texts = np.nonzero(dense >= least[b * block : (b + 1) * block, None])
-                    if not len(rows):
-                        continue
-                    old = found[b]
-                    found[b] = new = best_of(np.concatenate([old[0], rows]), np.concatenate([old[1], dense[rows, texts]]), np.concatenate([old[2], texts + base]))
-                    full = np.flatnonzero(np.bincount(new[0], minlength=len(q)) == NEIGHBOURS)
-                    least[b * block + full] = new[1][np.searchsorted(new[0], full, "right") - 1]
-        if seen:
-            for b, (rows, score, text) in enumerate(found):
-                yield pd.DataFrame({"block": [b], "rows": [rows.astype("<i4").tobytes()], "score": [score.astype("<f4").tobytes()], "text": [text.astype("<i8").tobytes()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
-        rows, _, text = best_of(join("rows", "<i4"), join("score", "<f4"), join("text", "<i8"))
-        return pd.DataFrame({"block": pdf.block.iloc[:1], "rows": [rows.astype("<i4").tobytes()], "text": [text.astype("<i8").tobytes()]})
-
-    tasks = index.select("shard", "text", "score", "ends").coalesce(spark.sparkContext.defaultParallelism)
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
-    for r in tasks.mapInPandas(ask, "block int, rows binary, score binary, text binary").groupBy("block").applyInPandas(merge, "block int, rows binary, text binary").collect():
-        rows, text = np.frombuffer(r.rows, "<i4"), np.frombuffer(r.text, "<i8")
-        cuts = np.searchsorted(rows, np.arange(block + 1))
-        for k in range(min(block, len(queries) - r.block * block)):
-            out[r.block * block + k] = text[cuts[k] : cuts[k + 1]]
-    sent.unpersist()
-    return out
-
-
-def terms_of(index: DataFrame, texts: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
-    """The terms of some texts, heaviest first."""
-    sent = index.sparkSession.sparkContext.broadcast((np.sort(texts), first))
-
-    def look(batches):
-        texts, first = sent.value
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                mine = texts[np.searchsorted(texts, first[r.shard]) : np.searchsorted(texts, first[r.shard + 1])]
-                ends = np.concatenate([[0], np.cumsum(np.frombuffer(r.own_sizes, "<i4"))])
-                own = np.frombuffer(r.own, "<i4")
-                yield pd.DataFrame({"text": mine, "terms": [own[ends[i] : ends[i + 1]].tobytes() for i in mine - first[r.shard]]})
-
-    found = index.select("shard", "own", "own_sizes").mapInPandas(look, "text long, terms binary").collect()
-    return {r.text: np.frombuffer(r.terms, "<i4") for r in found}
-
-
-def emitted(index: DataFrame, pieces: list[tuple], first: np.ndarray, width: int, window: int, whole: bool) -> DataFrame:
-    """Rows of pieces; with whole, the whole windows of long texts too."""
-    rows = np.array(pieces, np.int64).reshape(-1, 5)
-    sent = index.sparkSession.sparkContext.broadcast((rows[np.argsort(rows[:, 0], kind="stable")], first))
-
-    def emit(batches):
-        placed, first = sent.value
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                base, sizes = first[r.shard], np.asarray(r.sizes, np.int64)
-                ids, begin = np.frombuffer(r.ids, f"<u{width}"), np.concatenate([[0], np.cumsum(sizes)])
-                texts = [ids[begin[i] : begin[i + 1]] for i in range(len(sizes))]
-                out = [(i, s, n, (r.shard << 32) + q, o) for i, s, n, q, o in whole_windows(texts, window)[0]] if whole else []
-                mine = placed[slice(*np.searchsorted(placed[:, 0], [base, first[r.shard + 1]]))]
-                out += [(i - base, sizes[i - base] - before, n, q, o) for i, before, n, q, o in mine]
-                yield frame([(None if r.keys[i] == "" else int(r.keys[i]), int(s), int(n), zlib.crc32(texts[i][s : s + n].astype("<u4").tobytes()), len(texts[i]), int(q), int(o)) for i, s, n, q, o in out], PIECES)
-
-    return stored(index.select("shard", "keys", "sizes", "ids").mapInPandas(emit, PIECES), "pieces")
-
-
-def pack_rounds(index: DataFrame, shards: int, idf: np.ndarray, mean: float, width: int, window: int, least_ids: int) -> DataFrame:
-    """Windows in rounds: the longest unused texts ask all shards for their neighbours; a window that isn't full asks
-    again, by its next terms when fewer than NEIGHBOURS are left. The last least_ids ids are packed in one index.
+    lengths = np.array([len(t) for t in texts], np.int64)
+    pieces = [(i, at, window) for i, n in enumerate(lengths.tolist()) for at in range(0, n - window + 1, window)]
+    pieces = [(*p, q, 0) for q, p in enumerate(pieces)]
+    start = lengths // window * window
+    left = lengths - start
+    index = Index([t[s:] for t, s in zip(texts, start, strict=True)], idf, mean or max(1.0, float(np.maximum(1, left).mean() if len(left) else 1)))
+    order, turn, unused, sequence = np.argsort(-left, kind="stable").tolist(), 0, left > 0, len(pieces)
+    offset = 0
+
+    def place(i: int) -> bool:
+        nonlocal offset
+        n = int(min(left[i], window - offset))
+        pieces.append((i, int(lengths[i] - left[i]), n, sequence, offset))
+        left[i] -= n
+        unused[i] = left[i] > 0
+        offset += n
+        return offset == window
 
-    The driver keeps 21 bytes of sizes, order and state a text, and per round at most SEEDS lists of NEIGHBOURS.
-    """
-    sizes = {r.shard: np.frombuffer(r.sizes, "<i8") for r in index.select("shard", "sizes").mapInPandas(packed_sizes, "shard int, sizes binary").collect()}
-    lengths = [sizes.get(s, np.empty(0, np.int64)) for s in range(shards)]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in lengths])])
-    packer = Packer((np.concatenate(lengths) % window).astype(np.int32), window)
-    order, turn, number, opened, out = np.argsort(-packer.left, kind="stable"), 0, shards << 32, [], None
-
-    def flush(out):
-        part = emitted(index, packer.pieces, first, width, window, out is None)
-        packer.pieces = []
-        return part if out is None else out.unionByName(part)
-
-    while (ids := int(packer.left.sum(dtype=np.int64))) > least_ids:
-        rest = order[turn:]
-        some = rest[packer.unused[rest]][: max(1, min(SEEDS, ids // (2 * window)) - len(opened))]
-        own = terms_of(index, some, first)
-        asked = opened + [Open(-1, own[i]) for i in some.tolist()]
-        found = search(index, [w.query() for w in asked], packer.unused, first)
-        still = []
-        for k, w in enumerate(asked):
-            seed = None if k < len(opened) else int(some[k - len(opened)])
-            if seed is not None:
-                if not packer.unused[seed]:
-                    continue
-                w.number, number = number, number + 1
-                packer.place(w, seed)
-            if w.offset < window and not packer.fill(w, found[k].tolist()):
-                w.at += QUERY_TERMS if len(found[k]) < NEIGHBOURS else 0
-                still.append(w)
-        opened = []
-        for w in still:
-            if w.at >= len(w.terms):  # no unused text shares a term
-                packer.fill(w, some.tolist())
-            if w.offset < window:
-                opened.append(w)
-        while turn < len(order) and not packer.unused[order[turn]]:
+    while True:
+        while turn < len(order) and not unused[order[turn]]:
             turn += 1
-        if len(packer.pieces) > FLUSH:
-            out = flush(out)
-    finish_rest(index, packer, first, width, idf, mean, opened, number)
-    return flush(out)
-
-
-def packed_sizes(batches):
-    for pdf in batches:
-        yield pd.DataFrame({"shard": pdf["shard"], "sizes": [np.asarray(x, "<i8").tobytes() for x in pdf.sizes]})
-
-
-def finish_rest(index: DataFrame, packer: Packer, first: np.ndarray, width: int, idf: np.ndarray, mean: float, opened: list[Open], number: int) -> None:
-    """Bring the few ids that are left together and pack them."""
-    rest = np.flatnonzero(packer.unused)
-    sent = index.sparkSession.sparkContext.broadcast((rest, packer.left[rest], first))
-
-    def take(batches):
-        rest, left, first = sent.value
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                at = slice(*np.searchsorted(rest, [first[r.shard], first[r.shard + 1]]))
-                ends = np.cumsum(np.asarray(r.sizes, np.int64))[rest[at] - first[r.shard]]
-                yield pd.DataFrame({"text": rest[at], "ids": [r.ids[(e - n) * width : e * width] for e, n in zip(ends.tolist(), left[at].tolist(), strict=True)]})
-
-    found = {r.text: np.frombuffer(r.ids, f"<u{width}") for r in index.select("shard", "sizes", "ids").mapInPandas(take, "text long, ids binary").collect()}
-    small = Packer(packer.left[rest].copy(), packer.window)
-    finish_all(small, [found[i] for i in rest.tolist()], idf, mean, opened, number)
-    packer.pieces += [(int(rest[i]), *p) for i, *p in small.pieces]
-    packer.left[rest], packer.unused[rest] = 0, False
+        if turn == len(order):
+            return pieces
+        offset = 0
+        if not place(order[turn]):
+            neighbours = (i for block in ranked(index.scores(order[turn]), unused) for i in block)
+            if not any(map(place, neighbours)):
+                any(place(i) for i in order[turn:] if unused[i])
+        sequence += 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Pieces of all documents in sequences of at most window ids, one row each (see PIECES).
 
-    A document is its ids and an end id. Documents are dealt to shards of about shard_ids ids by a hash, so no source
-    or group of copies meets in one; each shard has its own inverted index with document frequencies and the mean
-    length of the whole corpus, and every window asks all shards. A sequence shorter than window is padded, unless its
-    length is a power of two. Null texts are an end id only, null ids stay, rows that repeat an id are packed one by one; an empty table
-    gives no pieces; other columns are ignored.
+    A document is its ids and an end id. The index is sharded by a lexical key, so that neighbours meet: a tree, fitted
+    on a sample of FIT_DOCS documents, cuts weighted term sketches in halves, its leaves are cut by a MinHash of the
+    ids, and consecutive buckets share a shard of about shard_ids ids. A larger bucket, such as a group of copies, is
+    dealt over several shards by row numbers. Each shard has an inverted index of all its documents with the document
+    frequencies and mean length of the whole corpus; a seed asks its shard by all its terms. A sequence shorter than
+    window is the last of its shard and is padded, unless its length is a power of two. Null texts are an end id only,
+    null ids stay, rows that repeat an id are packed one by one; an empty table gives no pieces; other columns are
+    ignored.
     """
     from tokenizers import Tokenizer
 
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     width = 2 if vocabulary <= 65536 else 4
-    found = tokenised(docs, tokenizer, vocabulary, id_col, text_col)
-    ids = found.where("ids is not null").select("doc_id", "ids")
-    total = ids.agg(F.count("*").alias("n"), F.sum(F.octet_length("ids")).alias("size")).first()
-    shards = max(1, -(-(total.size or 0) // (width * shard_ids)))
+    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = tokenised(texts, tokenizer, vocabulary, *fit_tree(texts, docs.count(), tokenizer, vocabulary))
+    ids = found.where("ids is not null").select("doc_id", "ids", "bucket", "row", (F.octet_length("ids") / width).cast("long").alias("n"))
+    sizes = {r.bucket: r for r in ids.groupBy("bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("ids"), F.sum(F.greatest(F.lit(1), F.col("n") % window)).alias("rest")).collect()}
+    dealt, shards = deal({b: r.ids for b, r in sizes.items()}, shard_ids)
+    n = sum(r.docs for r in sizes.values())
     frequency = document_frequency(found.where("counts is not null").select("counts"), vocabulary)
-    idf = np.log1p((total.n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
-    sent = ids.sparkSession.sparkContext.broadcast(idf)
-
-    placed = ids.select(F.coalesce("doc_id", F.lit("")).alias("key"), "ids", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)).cast("int").alias("shard"))
-    if shards > 1:
-        mean = ids.select(F.avg(F.greatest(F.lit(1), (F.octet_length("ids") / width).cast("long") % window))).first()[0]
-        return pack_rounds(shard_index(placed, sent, width, window, mean), shards, idf, mean, width, window, shard_ids)
+    idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+    sent = ids.sparkSession.sparkContext.broadcast((idf, sum(r.rest for r in sizes.values()) / max(1, n)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "ids"], kind="stable")
         texts = [np.frombuffer(x, f"<u{width}") for x in pdf.ids]
         doc_ids, shard = pdf.key.tolist(), int(pdf["shard"].iloc[0])
         rows = []
-        for i, start, length, sequence, offset in pack_shard(doc_ids, texts, sent.value, window):
+        idf, mean = sent.value
+        for i, start, length, sequence, offset in pack_shard(texts, idf, window, mean):
             crc = zlib.crc32(texts[i][start : start + length].astype("<u4").tobytes())
             rows.append((None if doc_ids[i] == "" else int(doc_ids[i]), start, length, crc, len(texts[i]), (shard << 32) + sequence, offset))
         return frame(rows, PIECES)
 
-    return placed.groupBy("shard").applyInPandas(pack, PIECES)
+    buckets = ids.sparkSession.createDataFrame(dealt, "bucket long, first int, several int")  # PARTS a leaf at most
+    placed = ids.join(F.broadcast(buckets), "bucket").select(F.coalesce("doc_id", F.lit("")).alias("key"), "ids", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("several"))).cast("int").alias("shard"))
+    return placed.repartitionByRange(max(1, shards), "shard").groupBy("shard").applyInPandas(pack, PIECES)
 
 
 def op2_bm25_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
