@@ -4,8 +4,8 @@ import re
 
 import numpy as np
 
-from tidemark.llm.crf import Chain, fit, gradient, viterbi
-from tidemark.llm.quality import judge, quality_rules, repeated_words
+from tidemark.llm.crf import Chain, fit, gradient, labelled_lines, viterbi
+from tidemark.llm.quality import CONTENT_SHARE, fit_chain, judge, line_features, lines_of, quality_rules, repeated_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, kept int, verdict string"
@@ -91,3 +91,64 @@ def test_repeated_windows_of_long_text():
     assert repeated_words(words) == 5000
     assert repeated_words(list(map(str, range(100)))) == 0
     assert judge("a", Chain((0.0,) * 12, ((0, 0), (0, 0)), (0, 0)))[-1] is False
+
+
+def prose(r, n=1):
+    words = "the quick brown fox jumps over lazy dogs and cats near a river while it rains on old stone walls".split()
+    return [" ".join(r.choice(words) for _ in range(r.randint(9, 15))).capitalize() + "." for _ in range(n)]
+
+
+def menu(r, n=1):
+    return [" | ".join(f"{r.choice(['Home', 'News', 'Login', 'Shop', 'About'])} {r.randint(1, 99)}" for _ in range(8)) for _ in range(n)]
+
+
+def mixed_corpus(r):
+    """Good texts of prose, some with a menu on top; bad ones of menus, most with a line or two of prose on top."""
+    good = [menu(r, r.choice([0, 0, 1])) + prose(r, r.randint(4, 9)) for _ in range(60)]
+    bad = [prose(r, r.choice([0, 1, 1])) + menu(r, r.randint(4, 9)) for _ in range(60)]
+    return [(i, "\n".join(x), int(i < 60)) for i, x in enumerate(good + bad)]
+
+
+def test_lines_get_labels_of_their_own(spark):
+    r = random.Random(8)
+    rows = mixed_corpus(r)
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t, _ in rows] + [(0, rows[0][1], 1, "x")] * 50, SCHEMA)
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], LABELS)
+    chain = fit_chain(docs, labels)
+    switches = chain.moves[0][1] + chain.moves[1][0], chain.moves[0][0] + chain.moves[1][1]
+    assert switches[0] < switches[1]  # runs of lines
+    for _ in range(20):
+        text = prose(r, 4) + menu(r, 3) + prose(r, 4)
+        *_, share, kept = judge("\n".join(text), chain)
+        want = sum(len(w) for i, x in enumerate(text) if not 4 <= i < 7 for w in x.split()) / sum(len(w) for x in text for w in x.split())
+        assert 0 < share < 1 and abs(share - want) < 1e-9 and kept == (want >= CONTENT_SHARE)
+
+
+def test_share_and_verdict_against_all_label_paths(spark):
+    r = random.Random(12)
+    rows = mixed_corpus(r)
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], LABELS)
+    c = fit_chain(docs, labels)
+    assert {g.doc_id: (g.content_share, g.kept) for g in quality_rules(docs, labels).collect()} == {i: judge(t, c)[-2:] for i, t, _ in rows}
+    for _, text, _ in rows[::7]:
+        lines, words, again = lines_of(text)
+        e = [float(np.dot(line_features(*x), c.weights)) for x in zip(lines, words, again)]
+        sizes = [len(re.sub(r"\s", "", x)) for x in text.split("\n")]
+        score = lambda p: c.starts[p[0]] + sum(x for x, y in zip(e, p) if y) + sum(c.moves[a][b] for a, b in itertools.pairwise(p))
+        best = max(itertools.product((0, 1), repeat=len(e)), key=score)
+        share = sum(n for n, y in zip(sizes, best) if y) / sum(sizes)
+        *_, failed, got, kept = judge(text, c)
+        assert abs(got - share) < 1e-9 and kept == (not failed and share >= CONTENT_SHARE)
+
+
+def test_labels_of_lines_agree_with_texts():
+    r = np.random.default_rng(3)
+    texts = []
+    for k in range(40):
+        y = np.repeat(r.random(5) < (0.8 if k % 2 else 0.2), 3).astype(float)
+        size = np.ones(15)
+        texts.append((np.stack([np.ones(15), y + 0.2 * r.normal(size=15)], 1), size, bool(y.mean() >= 0.5)))
+    for (x, size, good), y in zip(texts, labelled_lines(texts, 0.5)):
+        assert (y.mean() >= 0.5) == good
+        assert np.mean(y == (x[:, 1] > 0.5)) > 0.9

@@ -77,3 +77,27 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], features: int, rounds: i
             p += step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     w, moves, starts = parts
     return Chain(tuple(w.tolist()), tuple(map(tuple, moves.tolist())), tuple(starts.tolist()))
+
+
+def labelled_lines(texts: list[tuple[np.ndarray, np.ndarray, bool]], least: float, rounds: int = 1) -> list[np.ndarray]:
+    """Labels of the lines of texts (features, sizes, good) of which only the whole is known to be good or not.
+
+    Hard expectation maximisation. Lines alone are told apart first, each with its text's label; a field fitted on that
+    labels them anew, in turns. Few are enough: each turn makes switches rarer. The share of a text's size in lines labelled content must
+    agree with what is known: at least `least` where the text is good, less where it isn't; else the whole text's
+    label holds for all its lines.
+    """
+    whole = [np.full(len(size), float(good)) for _, size, good in texts]
+
+    def checked(k: int, y: np.ndarray) -> np.ndarray:
+        size = texts[k][1]
+        return y if (y @ size >= least * size.sum()) == texts[k][2] else whole[k]
+
+    features = texts[0][0].shape[1]
+    alone = fit([(x, y) for (x, *_), y in zip(texts, whole, strict=True)], features, rounds=400, length=1)
+    bias = alone.starts[1] - alone.starts[0]
+    labels = [checked(k, (x @ np.array(alone.weights) + bias >= 0).astype(float)) for k, (x, *_) in enumerate(texts)]
+    for _ in range(rounds):
+        chain = fit([(x, y) for (x, *_), y in zip(texts, labels, strict=True)], features)
+        labels = [checked(k, np.array(viterbi(chain, (x @ np.array(chain.weights)).tolist()), float)) for k, (x, *_) in enumerate(texts)]
+    return labels

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .crf import Chain, fit, viterbi
+from .crf import Chain, fit, labelled_lines, viterbi
 
 #: Labelled documents that the field is fitted on at most, in the order of a hash of their ids, and lines of each.
 TRAIN_DOCS = 1000
@@ -27,7 +27,7 @@ _DIGITS = bytes(range(48, 58))
 _BLANKS = " \t\n\v\f\r"
 FEATURES = 12
 #: Used where no labelled rows of both kinds exist: symbols, capitals, exclamations and repetition speak against a line.
-PRIOR = Chain((2.0, -20.0, -4.0, -10.0, -4.0, -1.0, -0.5, 0.5, -1.0, -0.5, 0.0, 0.0), ((0.5, -0.5), (-0.5, 0.5)), (0.0, 0.5))
+PRIOR = Chain((2.0, -3.0, -4.0, -3.0, -4.0, -1.0, -0.5, 0.5, -1.0, -0.5, 0.0, 0.0), ((0.5, -0.5), (-0.5, 0.5)), (0.0, 0.5))
 
 
 def line_features(line: bytes, words: list[bytes], again: bool) -> list[float]:
@@ -37,9 +37,9 @@ def line_features(line: bytes, words: list[bytes], again: bool) -> list[float]:
     k = len(words) or 1
     return [
         1.0,
-        count(_SYMBOLS) / n,
+        min(3.0, count(_SYMBOLS) / k),
         upper / (upper + lower + 1),
-        line.count(b"!") / k,
+        min(3.0, line.count(b"!") / k),
         1.0 - len(set(words)) / k,
         float(b" | " in line),
         float(len(words) < 4),
@@ -109,9 +109,11 @@ def judge(text: str, chain: Chain) -> tuple:
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
-    """A field fitted on at most TRAIN_DOCS labelled documents: lines of quality 1 are content, of quality 0 not.
+    """A field fitted on at most TRAIN_DOCS labelled documents.
 
-    The sample is the smallest hashes of labelled ids, so reruns agree. PRIOR where only one kind is labelled.
+    Labels are of whole documents, the field's are of lines: labelled_lines finds those, so that the field sees texts
+    that switch between content and boilerplate. The sample is the smallest hashes of labelled ids, so reruns agree.
+    PRIOR where only one kind is labelled.
     """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
@@ -124,20 +126,20 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
                 lines, words, again = lines_of(text)
                 used = [i for i, own in enumerate(words) if own]
                 first = max(0, len(used) - TRAIN_LINES) // 2
-                x = [line_features(lines[i], words[i], again[i]) for i in used[first : first + TRAIN_LINES]]
+                x = [[*line_features(lines[i], words[i], again[i]), sum(map(len, words[i]))] for i in used[first : first + TRAIN_LINES]]
                 out.append(np.array(x, dtype=np.float32).tobytes())
             yield pd.DataFrame({"doc_id": pdf.doc_id, "quality": pdf.quality, "x": out})
 
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInPandas(features, "doc_id long, quality int, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    seqs = []
-    for r in rows:
-        x = np.frombuffer(r.x, dtype=np.float32).reshape(-1, FEATURES).astype(np.float64)
+    x = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInPandas(features, "doc_id long, quality int, x binary")
+    rows = x.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("x").alias("x")).collect()  # an id may repeat
+    texts = []
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        x = np.frombuffer(r.x, dtype=np.float32).reshape(-1, FEATURES + 1).astype(np.float64)
         if len(x):
-            seqs.append((x, np.full(len(x), float(r.quality > 0))))
-    if len({y[0] for _, y in seqs}) < 2:
+            texts.append((x[:, :FEATURES], x[:, FEATURES], r.quality > 0))
+    if len({good for *_, good in texts}) < 2:
         return PRIOR
-    return fit(seqs, FEATURES)
+    return fit([(x, y) for (x, *_), y in zip(texts, labelled_lines(texts, CONTENT_SHARE), strict=True)], FEATURES)
 
 
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
