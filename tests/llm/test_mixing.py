@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,32 @@ def test_overlap_and_empty(spark):
 def test_words(spark):
     df = spark.createDataFrame([("a b\x0bc\xa0d\n\n",), (None,), ("",)], "text string")
     assert [r[0] for r in df.select(n_words(F.col("text"))).collect()] == [3, 0, 0]
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    """A source that is a thousand equal rows; and a third one whose rows differ in id alone."""
+    rows = [(7, 10, ["c"])] * 1000 + [(None, 10, ["a"])] * 500 + [(i, 10, ["b"]) for i in range(500)]
+    got = run(spark, rows)
+    by = {}
+    for g in got:
+        assert g["taken"] in (0, 10, 20)
+        by.setdefault(g["target"], []).append(g["taken"])
+    assert len(got) == 2000 and all(abs(t - sum(v)) <= 10 for t, v in by.items())
+
+
+def test_many_patterns_are_routed_fast():
+    r = random.Random(6)
+    sources = [f"s{i}" for i in range(60)]
+    patterns = {}
+    while len(patterns) < 5000:
+        patterns[tuple(sorted(r.sample(sources, r.randint(1, 4))))] = r.randint(1, 10_000)
+    quotas = {s: r.randint(100_000, 900_000) for s in sources}
+    began = time.thread_time()
+    got = route(quotas, patterns, 2)
+    assert time.thread_time() - began < 20
+    used = {}
+    for (s, p), n in got.items():
+        assert s in p
+        used[p] = used.get(p, 0) + n
+    assert all(n <= 2 * patterns[p] for p, n in used.items())
+    assert all(sum(n for (s, _), n in got.items() if s == x) <= quotas[x] for x in sources)

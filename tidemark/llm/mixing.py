@@ -30,62 +30,113 @@ def targets(sizes: dict, weights: dict, total: float, cap: float) -> dict:
     return out
 
 
+class Flow:
+    """Min-cost flow in a network with few distinct costs: arc e and its reverse e ^ 1 stand side by side."""
+
+    def __init__(self, nodes: int):
+        self.arcs: list[list[int]] = [[] for _ in range(nodes)]
+        self.to, self.room, self.cost = [], [], []
+        self.potential = [0] * nodes
+
+    def arc(self, u: int, v: int, capacity: int, price: int) -> int:
+        for a, b, c, w in ((u, v, capacity, price), (v, u, 0, -price)):
+            self.arcs[a].append(len(self.to))
+            self.to.append(b)
+            self.room.append(c)
+            self.cost.append(w)
+        return len(self.to) - 2
+
+    def _cheapest(self, source: int, sink: int) -> bool:
+        """Lets potentials be the costs of the cheapest ways from source; whether sink can be reached."""
+        best, done, heap = {source: 0}, set(), [(0, source)]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done.add(u)
+            for e in self.arcs[u]:
+                if self.room[e]:
+                    v = self.to[e]
+                    n = d + self.cost[e] + self.potential[u] - self.potential[v]
+                    if n < best.get(v, n + 1):
+                        best[v] = n
+                        heapq.heappush(heap, (n, v))
+        if sink in best:
+            for v in range(len(self.potential)):
+                self.potential[v] += min(best.get(v, best[sink]), best[sink])
+        return sink in best
+
+    def _free(self, u: int, e: int) -> bool:
+        return self.room[e] > 0 and self.cost[e] + self.potential[u] == self.potential[self.to[e]]
+
+    def _levels(self, source: int) -> list[int]:
+        level = [-1] * len(self.arcs)
+        level[source], row = 0, [source]
+        while row:
+            below = []
+            for u in row:
+                for e in self.arcs[u]:
+                    v = self.to[e]
+                    if level[v] < 0 and self._free(u, e):
+                        level[v] = level[u] + 1
+                        below.append(v)
+            row = below
+        return level
+
+    def _block(self, source: int, sink: int, level: list[int]) -> None:
+        """Fills cheapest ways of fewest arcs until each is full somewhere; every arc is given up once at most."""
+        turn, path, u = [0] * len(self.arcs), [], source
+        while True:
+            if u == sink:
+                push = min(self.room[e] for e in path)
+                for e in path:
+                    self.room[e] -= push
+                    self.room[e ^ 1] += push
+                cut = next(k for k, e in enumerate(path) if not self.room[e])
+                u = self.to[path[cut] ^ 1]
+                del path[cut:]
+            elif turn[u] < len(self.arcs[u]):
+                e = self.arcs[u][turn[u]]
+                if level[self.to[e]] == level[u] + 1 and self._free(u, e):
+                    path.append(e)
+                    u = self.to[e]
+                else:
+                    turn[u] += 1
+            elif path:
+                u = self.to[path.pop() ^ 1]
+                turn[u] += 1
+            else:
+                return
+
+    def run(self, source: int, sink: int) -> None:
+        """All flow that fits, at the least cost: for each cost of a cheapest way, all ways of that cost at once."""
+        while self._cheapest(source, sink):
+            while (level := self._levels(source))[sink] >= 0:
+                self._block(source, sink, level)
+
+
 def route(quotas: dict, patterns: dict, repeats: int) -> dict:
     """Tokens (source, pattern) by min-cost flow: quotas out of sources, through patterns that hold them.
 
     patterns: {pattern: tokens of its documents}. The k-th pass over a pattern costs k * k a token, so the cost is
-    convex and repetition is spread over what may serve a source. Successive cheapest paths with potentials; capacities
-    are whole tokens.
+    convex and repetition is spread over what may serve a source. Capacities are whole tokens.
     """
     if not quotas or not patterns:
         return {}
-    source, sink = "in", "out"
-    arcs: dict = {}  # node -> its arcs; arc e and its reverse e ^ 1 stand side by side
-    to, room, cost = [], [], []
-
-    def arc(u, v, capacity, price):
-        for a, b, c, w in ((u, v, capacity, price), (v, u, 0, -price)):
-            arcs.setdefault(a, []).append(len(to))
-            to.append(b)
-            room.append(c)
-            cost.append(w)
-
+    names = sorted(quotas)
+    number = {s: 2 + k for k, s in enumerate(names)}
+    flow = Flow(2 + len(names) + len(patterns))
+    for s in names:
+        flow.arc(0, number[s], quotas[s], 0)
     through = {}
-    for s, q in sorted(quotas.items()):
-        arc(source, ("s", s), q, 0)
-    for p, size in sorted(patterns.items()):
+    for k, (p, size) in enumerate(sorted(patterns.items())):
+        own = 2 + len(names) + k
         for s in sorted(set(p)):
-            through[s, p] = len(to)
-            arc(("s", s), ("p", p), size * repeats, 0)
-        for k in range(1, repeats + 1):
-            arc(("p", p), sink, size, k * k)
-    potential = dict.fromkeys(arcs, 0)
-    rank = {v: i for i, v in enumerate(arcs)}
-    while True:
-        best, via, heap = {source: 0}, {}, [(0, rank[source], source)]
-        while heap:
-            d, _, u = heapq.heappop(heap)
-            if d > best[u]:
-                continue
-            for e in arcs[u]:
-                v = to[e]
-                n = d + cost[e] + potential[u] - potential[v]
-                if room[e] > 0 and n < best.get(v, float("inf")):
-                    best[v], via[v] = n, e
-                    heapq.heappush(heap, (n, rank[v], v))
-        if sink not in best:
-            return {k: room[e ^ 1] for k, e in through.items() if room[e ^ 1]}
-        far = best[sink]
-        for v in potential:
-            potential[v] += min(best.get(v, far), far)
-        path, v = [], sink
-        while v != source:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
+            through[s, p] = flow.arc(number[s], own, size * repeats, 0)
+        for turn in range(1, repeats + 1):
+            flow.arc(own, 1, size, turn * turn)
+    flow.run(0, 1)
+    return {k: flow.room[e ^ 1] for k, e in through.items() if flow.room[e ^ 1]}
 
 
 def mix_sources(docs: DataFrame, id_col: str, size, sources, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -99,10 +150,11 @@ def mix_sources(docs: DataFrame, id_col: str, size, sources, weights: tuple[floa
     taken more than repeats times. source_size and target are those of a document's first source.
 
     Only sums by pattern reach the driver; more than MAX_PATTERNS of them raise. The seeded order is cut into BUCKETS
-    of hashes, so no task holds a pattern. Null sizes count as 0; documents of size 0, or without a source, give 0.
+    of hashes, and equal rows are told apart by number, so no task holds a pattern or a group of equal rows, and one of
+    equal rows can be taken without the others. Null sizes count as 0; documents of size 0, or without a source, give 0.
     """
     order = F.xxhash64(F.lit(seed), F.col(id_col), size)
-    d = docs.select(*keep, F.col(id_col).alias("_id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), sources.alias("sources"), order.alias("h"))
+    d = docs.select(*keep, F.col(id_col).alias("_id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), sources.alias("sources"), order.alias("h"), F.monotonically_increasing_id().alias("row"))
     key = lambda x: F.when(x.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), x.cast("string")))
     d = d.withColumn("pattern", F.array_sort(F.array_distinct(F.transform(F.coalesce("sources", F.array().cast("array<string>")), key)))).drop("sources")
     d = stored(d, "mix")
@@ -121,27 +173,35 @@ def mix_sources(docs: DataFrame, id_col: str, size, sources, weights: tuple[floa
         flow[p] = flow.get(p, 0) + n
     rows = [(list(p), sizes[p[0]], float(wanted[p[0]]), *(divmod(flow.get(p, 0), n) if n else (0, 0))) for p, n in patterns.items()]
     plan = d.sparkSession.createDataFrame(rows, "pattern array<string>, source_size long, target double, passes long, rest long")
-    d = d.join(F.broadcast(plan), "pattern", "left").withColumn("bucket", F.shiftrightunsigned("h", 64 - (BUCKETS.bit_length() - 1)))
-    part = d.where("rest > 0 and size > 0")
-    before = part.groupBy("pattern", "bucket").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket"))).select("pattern", "bucket", (F.col("upto") - F.col("n")).alias("before"), "upto")
-    part = part.join(before, ["pattern", "bucket"])
-    whole = part.where("upto <= rest").select("pattern", "h", "_id", "size")
-    edge = part.where("upto > rest and before < rest").withColumn("end", F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = whole.unionAll(edge.where("end <= rest").select("pattern", "h", "_id", "size"))
-    # the edge of every pattern is one bucket: what its whole documents leave is filled by the nearest single one
+    d = d.join(F.broadcast(plan), "pattern", "left")
+    part = d.where("rest > 0 and size > 0").select("pattern", "size", "row", "h", "rest", F.shiftrightunsigned("h", 64 - (BUCKETS.bit_length() - 1)).alias("bucket"), F.struct("h", F.shiftright("row", 33).alias("task")).alias("place"))
+    # by buckets of the order, in the bucket where the rest ends by place (equal rows of a task share one), there by row
+    chosen, edge = _upto(part, "bucket")
+    more, edge = _upto(edge, "place")
+    last, _ = _upto(edge, "row")
+    chosen = stored(chosen.unionAll(more).unionAll(last), "chosen")
+    # what whole documents leave of a pattern's rest is filled by the nearest single one
     got = chosen.groupBy("pattern").agg(F.sum("size").alias("got"))
     short = F.broadcast(plan.where("rest > 0").join(got, "pattern", "left").select("pattern", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("short")).where("short > 0"))
-    mark = chosen.select(F.col("_id").alias("m_id"), F.col("h").alias("m_h"), F.col("size").alias("m_size")).distinct().withColumn("extra", F.lit(1))
-    same = F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")) & (F.col("size") == F.col("m_size"))
-    d = stored(d.join(mark, same, "left").withColumn("extra", F.coalesce("extra", F.lit(0))).drop("m_id", "m_h", "m_size"), "mix")
+    d = stored(d.join(chosen.select("row", F.lit(1).alias("extra")), "row", "left").withColumn("extra", F.coalesce("extra", F.lit(0))), "mix")
     free = d.where("extra = 0 and size > 0").join(short, "pattern").where("abs(size - short) < short")
-    filler = free.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("short")).alias("miss"), F.col("h").alias("h"), F.col("_id").alias("id"))).alias("fill")).select("pattern", F.col("fill.h").alias("fill_h"), F.col("fill.id").alias("fill_id"))
+    filler = free.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("short")).alias("miss"), "h", F.col("_id").alias("id"), "row")).alias("fill")).select("pattern", F.col("fill.row").alias("fill_row"))
     d = d.join(F.broadcast(filler), "pattern", "left")
-    extra = F.when((F.col("extra") == 1) | (F.coalesce(F.col("fill_h") == F.col("h"), F.lit(False)) & F.col("fill_id").eqNullSafe(F.col("_id"))), 1).otherwise(0)
+    extra = F.when((F.col("extra") == 1) | F.coalesce(F.col("fill_row") == F.col("row"), F.lit(False)), 1).otherwise(0)
     taken = F.coalesce(F.col("size") * (F.col("passes") + extra), F.lit(0))
     return d.select(*keep, F.col("_id").alias(id_col), "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), taken.cast("long").alias("taken"))
 
 
+def _upto(part: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of each pattern in the order of a column, up to its rest: (pattern, row, size) of those whose whole group
+    fits, and the rows of the group in which the rest ends, with what is left of it."""
+    sums = part.groupBy("pattern", by).agg(F.sum("size").alias("n"))
+    sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("pattern").orderBy(by))).select("pattern", by, (F.col("upto") - F.col("n")).alias("before"), "upto")
+    part = part.join(sums, ["pattern", by])
+    edge = part.where("upto > rest and before < rest").withColumn("rest", F.col("rest") - F.col("before"))
+    return part.where("upto <= rest").select("pattern", "row", "size"), edge.drop("before", "upto")
+
+
 def n_words(text):
     """Runs of other characters than space and \\t..\\r; a null text has none."""
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
