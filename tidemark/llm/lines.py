@@ -32,7 +32,8 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     windows = _windows(_keyed(docs, id_col, text_col))
     twice = windows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")).where("n > 1").select("key", "first")
     later = windows.join(twice, "key").where(F.struct("row", "pos") != F.col("first"))
-    return later.groupBy("row").agg(F.collect_list("pos").alias("positions"))
+    # a set: rows equal in id and text share their positions, however many they are
+    return later.groupBy("row").agg(F.collect_set("pos").alias("positions"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
