@@ -62,3 +62,16 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 0.0], "", 1)] * 3, SCHEMA)
     assert [tuple(r) for r in near_vectors(df).orderBy("vec_id").collect()] == [(1, 2, 1, True)] * 3
     assert near_vectors(df).where(F.col("n_links") == 2).count() == 3
+
+
+def test_repeated_and_missing_ids(spark):
+    """Vectors that share an id count by themselves; rows without an id link with nothing."""
+    rows = [(1, 1, [1.0, 0.0], "", 1), (1, 1, [0.0, 1.0], "", 1), (2, 1, [0.01, 1.0], "", 1), (None, 1, [1.0, 0.0], "", 1)]
+    got = sorted(((x.vec_id, x.n_links, x.component_id) for x in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(1, 0, 1), (1, 1, 1), (2, 1, 1), (None, 0, None)], key=str)
+
+
+def test_no_float_vectors_for_far_tiles(spark):
+    """Tiles travel as codes; orthogonal vectors flag nothing."""
+    df = spark.createDataFrame([(i, 1, [float(i == k) for k in range(40)], "", 1) for i in range(40)], SCHEMA)
+    assert near_vectors(df, tile=8).where("n_links > 0 or not kept").count() == 0
