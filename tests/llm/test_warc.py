@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ def test_round_trip(spark):
         assert sorted(map(tuple, got.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == brute(rows, least)
         html = {r.page_id: r.html for r in got.where("record_type = 'response'").collect()}
         assert html[9] == "w" * 200_000 and html[2] == "<p>é漢</p>\r\n\r\nx"
+        assert read_warc(index, folder, with_html=False).where("html is not null").count() == 0
         some = read_warc(index.where(F.col("page_id") % 7 == 0), folder)
         assert some.count() == sum(r[0] is not None and r[0] % 7 == 0 for r in rows)
 
@@ -41,3 +43,12 @@ def test_round_trip(spark):
 def test_empty(spark):
     folder = new_folder(spark, "warc")
     assert read_warc(write_warc(spark.createDataFrame([], SCHEMA), folder), folder).count() == 0
+
+
+def test_reading_is_dealt_out(spark):
+    """An index of several stretches is read by several tasks."""
+    folder = new_folder(spark, "warc")
+    rows = [(i, "u", random.Random(i).randbytes(300_000).hex(), "x", 1) for i in range(60)]
+    index = write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), folder)
+    got = read_warc(index, folder, with_html=False).withColumn("task", F.spark_partition_id())
+    assert got.count() == 60 and got.select("task").distinct().count() > 1

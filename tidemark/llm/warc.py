@@ -99,6 +99,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     big = F.octet_length("html") >= least_bytes
+    # payloads that occur once join nothing; where one is frequent, adaptive execution can split its rows
     first = rows.where(big & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     rows = rows.join(first, "sha", "left").select("page_id", "url", "html", F.when(big & (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
 
@@ -132,32 +133,39 @@ def _exact(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to") if c in df.columns})
 
 
-def read_warc(index: DataFrame, folder: str) -> DataFrame:
-    """The records that the rows of index name. Every archive's ranges are sorted by offset, and near ones read at once."""
+def read_warc(index: DataFrame, folder: str, with_html: bool = True) -> DataFrame:
+    """The records that the rows of index name. Every archive's ranges are sorted by offset, and near ones read at once.
+
+    Ranges are dealt out by archive and stretch of READ_BYTES over as many tasks as the index names stretches, up to
+    four times the session's number of shuffle partitions. Each run that was read is handed on before the next is read. Without
+    with_html records are checked in the task and only their fields leave it.
+    """
 
     def read(batches):
         for pdf in batches:
-            out, run = [], []
+            run = []
 
-            def fetch(run, out):
+            def fetch(run):
                 name, start = run[0][0], run[0][1]
                 data = read_range(folder, name, start, run[-1][1] + run[-1][2] - start)
-                out += [parse(data[o - start : o - start + n]) for _, o, n in run]
+                rows = [tuple(parse(data[o - start : o - start + n]).values()) for _, o, n in run]
+                return frame(rows if with_html else [(*r[:-1], None) for r in rows], RECORD)
 
             for x in zip(pdf.archive.tolist(), pdf.offset.tolist(), pdf.length.tolist(), strict=True):
                 if run and (x[0] != run[0][0] or x[1] - run[-1][1] - run[-1][2] > GAP_BYTES or x[1] + x[2] - run[0][1] > READ_BYTES):
-                    fetch(run, out)
+                    yield fetch(run)
                     run = []
                 run.append(x)
             if run:
-                fetch(run, out)
-            yield frame([tuple(x.values()) for x in out], RECORD)
+                yield fetch(run)
 
-    ranges = index.select("archive", F.col("offset"), "length").repartition("archive", F.floor(F.col("offset") / READ_BYTES))
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-size // READ_BYTES), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
+    ranges = index.select("archive", F.col("offset"), "length").repartition(tasks, "archive", F.floor(F.col("offset") / READ_BYTES))
     return ranges.sortWithinPartitions("archive", "offset").mapInPandas(read, RECORD)
 
 
 def op9_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     index = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_warc(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(index, folder, with_html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
