@@ -1,8 +1,9 @@
 import random
 import re
 import textwrap
+import time
 
-from tidemark.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, needed, op10_license_scan, scan_licenses
+from tidemark.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, needed, op10_license_scan, places, scan_licenses, words_of
 
 SCHEMA = "doc_id long, text string, labels string, id int"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -71,3 +72,11 @@ def test_wrapped_against_every_run(spark):
                 score = max(score, best / len(set(own)))
         assert got[i] == (labels, score)
     assert more
+
+
+def test_many_places_take_time_in_proportion():
+    words = words_of("apache license " * 160_000)
+    began = time.thread_time()
+    got = places(words)
+    assert time.thread_time() - began < 3
+    assert got == [(2 * i, "apache") for i in range(160_000)]

@@ -49,10 +49,11 @@ def places(words: list[bytes]) -> list[tuple[int, str]]:
     joined = b" " + b" ".join(words) + b" "
     out = []
     for label, phrase in _PHRASES.items():
-        at = joined.find(phrase)
+        at, end, words_before = joined.find(phrase), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
-            at = joined.find(phrase, at + 1)
+            words_before += joined.count(b" ", end, at)
+            out.append((words_before, label))
+            end, at = at, joined.find(phrase, at + 1)
     return sorted(out)
 
 
