@@ -66,3 +66,24 @@ def test_stages_against_plain_versions(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.columns[:3] == ["doc_id", "start", "length"]
+
+
+def test_stages_with_nulls_repeats_and_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    schema = docs.schema
+    text = "Plain words stand here and there in this line of text. " * 3
+    odd = [(None, text, "en", "s", 1), (None, text, "en", "s", 1), (5, None, None, None, None), (5, "", "en", None, 0), (7, text + "one", "en", "s", 1), (7, "Another text that shares no line with any of the others stands here, and it is long enough to be kept by the rules.", "en", "s", 1)]
+    odd += [(7, text + "one", "en", "s", 1)]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    some = spark.createDataFrame([tuple(dict(zip(names, r))[f.name] for f in schema) for r in odd], schema)
+    sizes = {"near dedup": 6, "line dedup": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, some, SF).collect()
+        if name in sizes:
+            assert len(out) == sizes[name], name
+        if name == "near dedup":
+            assert len([r for r in out if r.doc_id == 7]) == 2
+        if name == "mixing":
+            count = Counter((r.doc_id, r.text) for r in out)
+            assert all(n <= 2 * odd.count(next(o for o in odd if o[:2] == k)) for k, n in count.items()) and all(r.text for r in out)
+        assert stage(spark, some.limit(0), SF).count() == 0

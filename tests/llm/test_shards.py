@@ -80,3 +80,10 @@ def test_documents(spark):
 def test_empty(spark):
     folder = new_folder(spark, "ids")
     assert read_shards(write_shards(spark.createDataFrame([], SCHEMA), folder, BYTE), folder).count() == 0
+
+
+def test_large_ids_are_refused():
+    import pytest
+
+    with pytest.raises(ValueError):
+        encode_blocks(np.array([1, 65536], "<u4"))

@@ -183,7 +183,12 @@ def _run(coder, lengths: list[int], ids: np.ndarray | None) -> np.ndarray:
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
-    """(number of ids, crc32 of the ids as little-endian unsigned 32-bit integers, payload) of each block."""
+    """(number of ids, crc32 of the ids as little-endian unsigned 32-bit integers, payload) of each block.
+
+    An id that 16 bits don't hold raises.
+    """
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError("ids above 65535 can't be coded")
     out = []
     for first in range(0, len(ids), block * LANES):
         part = ids[first : first + block * LANES]

@@ -65,8 +65,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     """Encodes all texts with an end id each, writes them in ascending id order and returns the table of shards.
 
     Nulls: a null text is an empty one (its end id only), null ids come first. Rows that repeat an id stand in the order
-    of a hash of their text. Rows are dealt out by ranges of ids, so no task holds more than its range, and a shard is
-    written as soon as it is full. An empty table gives no shard. Other columns are ignored.
+    of a hash of their text. Rows are dealt out by ranges of (id, hash), so no task holds more than its range, and a
+    shard is written as soon as it is full. An empty table gives no shard. Other columns are ignored.
     """
 
     def write(batches):
@@ -94,7 +94,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
 
     rows = docs.select(F.col(id_col).cast("long").alias("n"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "n").sortWithinPartitions("n", F.xxhash64("text")).select(F.col("n").cast("string").alias("id"), "text")
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "n", "h").sortWithinPartitions("n", "h").select(F.col("n").cast("string").alias("id"), "text")
     return stored(rows.mapInPandas(write, SHARDS), "shards")
 
 
