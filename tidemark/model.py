@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A response counts as correct from this value on.
@@ -76,31 +76,48 @@ triples AS (
 """
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kp, who, step, day: every order is a knowledge point, and a customer's orders are steps 1, 2, ... by date."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("kp"), F.col("o_custkey").alias("who"), F.col("o_orderkey").alias("key"), F.to_date("o_orderdate").alias("day"))
+    return o.withColumn("step", F.row_number().over(Window.partitionBy("who").orderBy("day", "key"))).drop("key")
+
+
 def prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, target, weight, kind: a graph of 60 knowledge points k0..k59, each needing up to three earlier ones."""
-    i = spark.range(60).select(F.col("id").alias("i"))
-    e = i.select("i", F.explode(F.array(F.col("i") / 2, F.col("i") / 3, F.col("i") - 7)).alias("j")).select("i", F.floor("j").cast("long").alias("j")).where("j >= 0 and j < i").distinct()
-    name = lambda c: F.concat(F.lit("k"), F.col(c).cast("string"))
-    return e.select(name("j").alias("source"), name("i").alias("target"), (F.lit(1.0) / (1 + F.col("i") - F.col("j"))).alias("weight"), F.when((F.col("i") + F.col("j")) % 3 == 0, "related").otherwise("prerequisite").alias("kind"))
+    """source, target, weight, kind: each point needs the one before it and is related to the second one before it.
+
+    An edge weighs the less the more days lie between its ends.
+    """
+    w = Window.partitionBy("who").orderBy("step")
+    ahead = F.array(*(F.struct(F.lead("kp", n).over(w).alias("kp"), F.lead("day", n).over(w).alias("day"), F.lit(kind).alias("kind")) for n, kind in ((1, "prerequisite"), (2, "related"))))
+    e = points(spark, sf_dir).select("kp", "day", ahead.alias("ahead")).select("kp", "day", F.explode("ahead").alias("next")).where("next.kp is not null")
+    return e.select(F.col("kp").alias("source"), F.col("next.kp").alias("target"), (F.lit(1.0) / (1 + F.datediff("next.day", "day") / 100.0)).alias("weight"), F.col("next.kind").alias("kind"))
 
 
 PREREQUISITES_SQL = """
-kp AS (SELECT range AS i FROM range(60)),
+kp AS (SELECT 'k' || o_orderkey AS kp, o_custkey AS who, CAST(o_orderdate AS DATE) AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS step FROM orders),
 pre AS (
-  SELECT DISTINCT 'k' || j AS source, 'k' || i AS target, 1.0::DOUBLE / (1 + i - j) AS weight, CASE WHEN (i + j) % 3 = 0 THEN 'related' ELSE 'prerequisite' END AS kind
-  FROM (SELECT i, unnest([i // 2, i // 3, i - 7]) AS j FROM kp) WHERE j >= 0 AND j < i)
+  SELECT a.kp AS source, b.kp AS target, 1.0::DOUBLE / (1 + date_diff('day', a.day, b.day) / 100.0::DOUBLE) AS weight, CASE b.step - a.step WHEN 1 THEN 'prerequisite' ELSE 'related' END AS kind
+  FROM kp a JOIN kp b ON a.who = b.who AND b.step - a.step IN (1, 2)),
+firsts AS (SELECT kp AS node FROM kp WHERE step = 1),
+focus AS (SELECT min(CASE WHEN step = 1 THEN kp END) AS a, min(CASE WHEN step = 8 THEN kp END) AS b FROM kp WHERE who = (SELECT min(who) FROM kp WHERE step = 8))
 """
 
 
+def focus(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """First and eighth point of the first customer that has so many: a stated pair for queries of one path."""
+    p = points(spark, sf_dir).where("step in (1, 8)").groupBy("who").agg(F.min(F.when(F.col("step") == 1, F.col("kp"))).alias("a"), F.min(F.when(F.col("step") == 8, F.col("kp"))).alias("b"))
+    first = p.where("b is not null").orderBy("who").first()
+    return (first.a, first.b) if first else ("", "")
+
+
 def mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kp, mastery: share of correct responses of users u with u % 60 = i, for knowledge point ki (0.5 without any)."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 60).alias("i"), (F.col("value") >= CORRECT_FROM).cast("double").alias("c"))
-    m = e.groupBy("i").agg(F.avg("c").alias("m"))
-    return spark.range(60).withColumnRenamed("id", "i").join(m, "i", "left").select(F.concat(F.lit("k"), F.col("i").cast("string")).alias("kp"), F.coalesce("m", F.lit(0.5)).alias("mastery"))
+    """kp, mastery: share of an order's lines whose quantity is at least CORRECT_FROM (0.5 without any)."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("k"), F.col("l_orderkey").cast("string")).alias("kp")).agg(F.avg((F.col("l_quantity") >= CORRECT_FROM).cast("double")).alias("m"))
+    return points(spark, sf_dir).select("kp").join(lines, "kp", "left").select("kp", F.coalesce("m", F.lit(0.5)).alias("mastery"))
 
 
 MASTERY_SQL = """
-mast AS (SELECT 'k' || kp.i AS kp, coalesce(avg(CASE WHEN value >= 35 THEN 1.0 WHEN value IS NOT NULL THEN 0.0 END), 0.5)::DOUBLE AS mastery FROM kp LEFT JOIN events ON user_id % 60 = kp.i GROUP BY kp.i)
+mast AS (SELECT kp.kp, coalesce(avg(CASE WHEN l_quantity >= 35 THEN 1.0 WHEN l_quantity IS NOT NULL THEN 0.0 END), 0.5)::DOUBLE AS mastery FROM kp LEFT JOIN lineitem ON kp.kp = 'k' || l_orderkey GROUP BY 1)
 """
 
 

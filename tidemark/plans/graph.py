@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..model import ENTITIES_SQL, MASTERY_SQL, PREREQUISITES_SQL, TRIPLES_SQL, entities, mastery, prerequisites, table, triples
+from ..model import ENTITIES_SQL, MASTERY_SQL, PREREQUISITES_SQL, TRIPLES_SQL, entities, focus, mastery, points, prerequisites, table, triples
 from ..operators import graph as G
 from .registry import register
 
@@ -145,28 +145,28 @@ def cat_candidates(spark, sf):
 # loops ---------------------------------------------------------------------------------------------------------------
 
 
-@register("bfs_distances", f"{R}, b(start, node, distance) AS (SELECT s, s, 0 FROM (VALUES ('k0'), ('k3')) v(s) UNION SELECT start, target, distance + 1 FROM b JOIN pre ON source = node WHERE distance < 4) SELECT start, node, min(distance) AS distance FROM b GROUP BY 1, 2")
+@register("bfs_distances", f"{R}, b(start, node, distance) AS (SELECT node, node, 0 FROM firsts UNION SELECT start, target, distance + 1 FROM b JOIN pre ON source = node WHERE distance < 4) SELECT start, node, min(distance) AS distance FROM b GROUP BY 1, 2")
 def bfs_distances(spark, sf):
-    return G.bfs(prerequisites(spark, sf).select("source", "target"), spark.createDataFrame([("k0",), ("k3",)], "start string"), 4)
+    return G.bfs(prerequisites(spark, sf).select("source", "target"), points(spark, sf).where("step = 1").select(F.col("kp").alias("start")), 4)
 
 
-@register("bfs_undirected", f"{R}, u AS (SELECT source, target FROM pre WHERE weight >= 0.05 UNION SELECT target, source FROM pre WHERE weight >= 0.05), b(node, distance) AS (SELECT 'k20', 0 UNION SELECT target, distance + 1 FROM b JOIN u ON source = node WHERE distance < 3) SELECT 'k20' AS start, node, min(distance) AS distance FROM b GROUP BY 2")
+@register("bfs_undirected", f"{R}, u AS (SELECT source, target FROM pre WHERE weight >= 0.2 UNION SELECT target, source FROM pre WHERE weight >= 0.2), b(start, node, distance) AS (SELECT kp, kp, 0 FROM kp WHERE step = 5 UNION SELECT start, target, distance + 1 FROM b JOIN u ON source = node WHERE distance < 3) SELECT start, node, min(distance) AS distance FROM b GROUP BY 1, 2")
 def bfs_undirected(spark, sf):
     """Edges in both directions, above a least weight."""
-    e = G.both_ways(prerequisites(spark, sf).where("weight >= 0.05"))
-    return G.bfs(e, spark.createDataFrame([("k20",)], "start string"), 3)
+    e = G.both_ways(prerequisites(spark, sf).where("weight >= 0.2"))
+    return G.bfs(e, points(spark, sf).where("step = 5").select(F.col("kp").alias("start")), 3)
 
 
-@register("shortest_path", f"{R}, b(node, path, d) AS (SELECT 'k1', ['k1'], 0 UNION ALL SELECT target, list_append(path, target), d + 1 FROM b JOIN pre ON source = node WHERE d < 7 AND node <> 'k55') SELECT array_to_string(min(path), '>') AS path FROM b WHERE node = 'k55' AND d = (SELECT min(d) FROM b WHERE node = 'k55')")
+@register("shortest_path", f"{R}, b(node, path, d) AS (SELECT a, [a], 0 FROM focus UNION ALL SELECT target, list_append(path, target), d + 1 FROM b JOIN pre ON source = node WHERE d < 7 AND node <> (SELECT b FROM focus)), h AS (SELECT path, d FROM b WHERE node = (SELECT b FROM focus)) SELECT array_to_string(min(path), '>') AS path FROM h WHERE d = (SELECT min(d) FROM h)")
 def shortest_path(spark, sf):
-    return G.shortest_path(prerequisites(spark, sf).select("source", "target"), "k1", "k55", 7).select(F.array_join("path", ">").alias("path"))
+    return G.shortest_path(prerequisites(spark, sf).select("source", "target"), *focus(spark, sf), 7).select(F.array_join("path", ">").alias("path"))
 
 
-@register("cheapest_paths", f"{R}, b(node, cost, d) AS (SELECT 'k1', 0.0::DOUBLE, 0 UNION SELECT target, cost + 1 / weight, d + 1 FROM b JOIN pre ON source = node WHERE d < 6) SELECT node, round(min(cost), 6) AS cost FROM b GROUP BY 1")
+@register("cheapest_paths", f"{R}, b(node, cost, d) AS (SELECT a, 0.0::DOUBLE, 0 FROM focus UNION SELECT target, cost + 1 / weight, d + 1 FROM b JOIN pre ON source = node WHERE d < 6) SELECT node, round(min(cost), 6) AS cost FROM b GROUP BY 1")
 def cheapest_paths(spark, sf):
     """Dijkstra's distances by relaxation; an edge costs the inverse of its confidence."""
     e = prerequisites(spark, sf).select("source", "target", (1 / F.col("weight")).alias("cost"))
-    return G.cheapest(e, "k1", 6).withColumn("cost", F.round("cost", 6))
+    return G.cheapest(e, focus(spark, sf)[0], 6).withColumn("cost", F.round("cost", 6))
 
 
 @register("relation_path", f"{T} SELECT DISTINCT a.subject AS start, c.object AS node FROM triples a JOIN triples b ON a.object = b.subject AND b.predicate = 'located_in' JOIN triples c ON b.object = c.subject AND c.predicate = 'part_of' WHERE a.predicate = 'supplied_by' AND a.confidence >= 0.99")
@@ -192,11 +192,11 @@ def inverse_relations(spark, sf):
     return back("supplied_by", "supplies").union(back("part_of", "contains")).distinct()
 
 
-@register("pattern_match", f"{T} SELECT p.subject AS part, s.subject AS supplier, c.subject AS customer FROM triples p JOIN triples s ON p.object = s.subject AND p.predicate = 'supplied_by' AND s.predicate = 'located_in' JOIN triples c ON c.object = s.object AND c.predicate = 'located_in' AND c.subject LIKE 'c:%' WHERE p.confidence >= 1.0 AND p.rank = 'preferred' AND p.subject LIKE 'p:1%'")
+@register("pattern_match", f"{T} SELECT p.subject AS part, s.subject AS supplier, c.subject AS customer FROM triples p JOIN triples s ON p.object = s.subject AND p.predicate = 'supplied_by' AND s.predicate = 'located_in' JOIN triples c ON c.object = s.object AND c.predicate = 'located_in' AND c.subject LIKE 'c:%' WHERE p.confidence >= 1.0 AND p.rank = 'preferred'")
 def pattern_match(spark, sf):
     """A graph pattern as one join per edge."""
     t = triples(spark, sf)
-    p = t.where("predicate = 'supplied_by' and confidence >= 1.0 and rank = 'preferred' and subject like 'p:1%'").select(F.col("subject").alias("part"), F.col("object").alias("supplier"))
+    p = t.where("predicate = 'supplied_by' and confidence >= 1.0 and rank = 'preferred'").select(F.col("subject").alias("part"), F.col("object").alias("supplier"))
     s = t.where("predicate = 'located_in' and subject like 's:%'").select(F.col("subject").alias("supplier"), F.col("object").alias("nation"))
     c = t.where("predicate = 'located_in' and subject like 'c:%'").select(F.col("subject").alias("customer"), F.col("object").alias("nation"))
     return p.join(s, "supplier").join(c, "nation").select("part", "supplier", "customer")
@@ -209,10 +209,10 @@ def analogy(spark, sf):
     return t.where("subject like 's:%' and subject <> 's:1'").join(r, "predicate").select("subject", "object", F.round(F.least("confidence", "c") * 0.8, 6).alias("score"))
 
 
-@register("confidence_traversal", f"{R}, b(node, score, d) AS (SELECT 'k2', 1.0::DOUBLE, 0 UNION SELECT target, score * (0.5 + weight), d + 1 FROM b JOIN pre ON source = node WHERE d < 4) SELECT node, round(max(score), 8) AS score FROM (SELECT *, min(d) OVER (PARTITION BY node) AS first FROM b) WHERE d = first GROUP BY 1")
+@register("confidence_traversal", f"{R}, b(node, score, d) AS (SELECT node, 1.0::DOUBLE, 0 FROM firsts UNION SELECT target, score * (0.5 + weight), d + 1 FROM b JOIN pre ON source = node WHERE d < 4) SELECT node, round(max(score), 8) AS score FROM (SELECT *, min(d) OVER (PARTITION BY node) AS first FROM b) WHERE d = first GROUP BY 1")
 def confidence_traversal(spark, sf):
     """Products of confidences; a node counts in the first round that reaches it."""
-    seeds = spark.createDataFrame([("k2", 1.0)], "node string, score double")
+    seeds = points(spark, sf).where("step = 1").select(F.col("kp").alias("node"), F.lit(1.0).alias("score"))
     e = prerequisites(spark, sf)
     first = G.bfs(e.select("source", "target"), seeds.select(F.col("node").alias("start")), 4)
     # every walk of a node's first length: one join a layer
@@ -225,17 +225,17 @@ def confidence_traversal(spark, sf):
 
 
 def _ranks_sql(rounds):
-    out = [f"WITH {PREREQUISITES_SQL}", "e AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM pre)", "r0 AS (SELECT 'k' || i AS node, 1.0 / 60 AS rank FROM kp)"]
+    out = [f"WITH {PREREQUISITES_SQL}", "e AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM pre)", "n AS (SELECT count(*)::DOUBLE AS n FROM kp)", "r0 AS (SELECT kp AS node, 1.0 / n AS rank FROM kp, n)"]
     for i in range(1, rounds + 1):
         p = f"r{i - 1}"
-        out.append(f"r{i} AS (SELECT node, 0.15 / 60 + 0.85 * (coalesce((SELECT sum({p}.rank * share) FROM e JOIN {p} ON {p}.node = e.source WHERE e.target = n.node), 0) + (SELECT sum(rank) FROM {p} WHERE node NOT IN (SELECT source FROM e)) / 60) AS rank FROM r0 n)")
-    return ", ".join([f"{out[0]}, {out[1]}", *out[2:]]) + f" SELECT node, round(rank / (SELECT sum(rank) FROM r{rounds}), 8) AS rank FROM r{rounds}"
+        out.append(f"r{i} AS (SELECT node, 0.15 / (SELECT n FROM n) + 0.85 * (coalesce((SELECT sum({p}.rank * share) FROM e JOIN {p} ON {p}.node = e.source WHERE e.target = n.node), 0) + (SELECT sum(rank) FROM {p} WHERE node NOT IN (SELECT source FROM e)) / (SELECT n FROM n)) AS rank FROM r0 n)")
+    return ", ".join([f"{out[0]}, {out[1]}", *out[2:]]) + f" SELECT node, round(rank / (SELECT sum(rank) FROM r{rounds}), 10) AS rank FROM r{rounds}"
 
 
 @register("page_rank", _ranks_sql(8))
 def page_rank(spark, sf):
-    nodes = spark.range(60).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("node"))
-    return G.page_rank(nodes, prerequisites(spark, sf), 8, tolerance=0.0).withColumn("rank", F.round("rank", 8))
+    nodes = points(spark, sf).select(F.col("kp").alias("node"))
+    return G.page_rank(nodes, prerequisites(spark, sf), 8, tolerance=0.0).withColumn("rank", F.round("rank", 10))
 
 
 @register("components", f"{R}, u AS (SELECT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.0), e AS (SELECT 'p' || p AS a, 's' || s AS b FROM u UNION SELECT 's' || s, 'p' || p FROM u), c(node, root) AS (SELECT a, a FROM e UNION SELECT c.node, e.b FROM c JOIN e ON c.root = e.a) SELECT node, min(root) AS component FROM c GROUP BY 1")
@@ -299,7 +299,7 @@ def attention_propagation(spark, sf):
 
 
 def _spread_sql(rounds):
-    out = f"WITH {PREREQUISITES_SQL}, s0 AS (SELECT 'k1' AS node, 1.0::DOUBLE AS score, 0 AS d)"
+    out = f"WITH {PREREQUISITES_SQL}, s0 AS (SELECT node, 1.0::DOUBLE AS score, 0 AS d FROM firsts)"
     for i in range(1, rounds + 1):
         out += f", s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT target, sum(score * weight * 0.8), {i} FROM s{i - 1} JOIN pre ON source = node WHERE d = {i - 1} AND score > 0.01 AND target NOT IN (SELECT node FROM s{i - 1}) GROUP BY 1)"
     return out + f" SELECT node, round(score, 8) AS score FROM s{rounds}"
@@ -307,7 +307,7 @@ def _spread_sql(rounds):
 
 @register("spreading_activation", _spread_sql(4))
 def spreading_activation(spark, sf):
-    seeds = spark.createDataFrame([("k1", 1.0)], "node string, score double")
+    seeds = points(spark, sf).where("step = 1").select(F.col("kp").alias("node"), F.lit(1.0).alias("score"))
     return G.spread(prerequisites(spark, sf), seeds, 4, F.col("weight") * 0.8, 0.01, F.sum).withColumn("score", F.round("score", 8))
 
 
@@ -319,20 +319,20 @@ def decay_prune(spark, sf):
     return e.where("weight >= 0.05").join(weak, "source", "left_anti").select("source", "target", F.round("weight", 8).alias("weight"))
 
 
-@register("has_cycle", f"{R}, e AS (SELECT source, target FROM pre UNION ALL SELECT 'k30', 'k1'), c(source, target) AS (SELECT source, target FROM e UNION SELECT c.source, e.target FROM c JOIN e ON c.target = e.source) SELECT DISTINCT source AS node FROM c WHERE source = target")
+@register("has_cycle", f"{R}, e AS (SELECT source, target FROM pre UNION ALL SELECT b, a FROM focus), c(source, target) AS (SELECT source, target FROM e UNION SELECT c.source, e.target FROM c JOIN e ON c.target = e.source) SELECT DISTINCT source AS node FROM c WHERE source = target")
 def has_cycle(spark, sf):
     """Nodes on a cycle, once an edge closes one."""
-    e = prerequisites(spark, sf).select("source", "target").union(spark.createDataFrame([("k30", "k1")], "source string, target string"))
+    e = prerequisites(spark, sf).select("source", "target").union(spark.createDataFrame([focus(spark, sf)[::-1]], "source string, target string"))
     return G.closure(e).where("source = target").select(F.col("source").alias("node"))
 
 
-@register("topological_layers", f"{R}, d(node, layer) AS (SELECT 'k' || i, 0 FROM kp UNION SELECT target, layer + 1 FROM d JOIN pre ON source = node) SELECT node, max(layer) AS layer FROM d GROUP BY 1")
+@register("topological_layers", f"{R}, d(node, layer) AS (SELECT kp, 0 FROM kp UNION SELECT target, layer + 1 FROM d JOIN pre ON source = node) SELECT node, max(layer) AS layer FROM d GROUP BY 1")
 def topological_layers(spark, sf):
-    return G.layers(prerequisites(spark, sf), spark.range(60).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("node")))
+    return G.layers(prerequisites(spark, sf), points(spark, sf).select(F.col("kp").alias("node")))
 
 
-@register("ancestry", f"{R}, a(node, depth) AS (SELECT 'k57', 0 UNION SELECT source, depth + 1 FROM a JOIN pre ON target = node) SELECT node, min(depth) AS depth FROM a GROUP BY 1")
+@register("ancestry", f"{R}, a(node, depth) AS (SELECT kp, 0 FROM kp WHERE step = 8 UNION SELECT source, depth + 1 FROM a JOIN pre ON target = node) SELECT node, min(depth) AS depth FROM a GROUP BY 1")
 def ancestry(spark, sf):
-    """Provenance: everything behind a node with its least depth."""
+    """Provenance: everything behind each eighth step with its least depth."""
     back = prerequisites(spark, sf).select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return G.bfs(back, spark.createDataFrame([("k57",)], "start string"), 30).select("node", F.col("distance").alias("depth"))
+    return G.bfs(back, points(spark, sf).where("step = 8").select(F.col("kp").alias("start")), 30).select("node", F.col("distance").alias("depth"))

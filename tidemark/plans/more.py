@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..model import ANSWERS_SQL, PREREQUISITES_SQL, TRIPLES_SQL, answers, prerequisites, table, triples
+from ..model import ANSWERS_SQL, PREREQUISITES_SQL, TRIPLES_SQL, answers, focus, points, prerequisites, table, triples
 from ..operators import graph as G
 from ..operators import inference as I
 from ..operators import learner as L
@@ -24,10 +24,10 @@ def forward_chaining(spark, sf):
     return I.forward_chain(t, transitive=["prerequisite"], inverse={"prerequisite": "enables"}).drop("iteration")
 
 
-@register("k_shortest_paths", f"WITH RECURSIVE {PREREQUISITES_SQL}, b(node, path, cost, d) AS (SELECT 'k1', ['k1'], 0.0::DOUBLE, 0 UNION ALL SELECT target, list_append(path, target), cost + 1 / weight, d + 1 FROM b JOIN pre ON source = node WHERE d < 5 AND node <> 'k31' AND NOT list_contains(path, target)) SELECT round(cost, 9) AS cost, array_to_string(path, '>') AS path, row_number() OVER (ORDER BY round(cost, 9), array_to_string(path, '>')) AS rank FROM b WHERE node = 'k31' ORDER BY rank LIMIT 4")
+@register("k_shortest_paths", f"WITH RECURSIVE {PREREQUISITES_SQL}, b(node, path, cost, d) AS (SELECT a, [a], 0.0::DOUBLE, 0 FROM focus UNION ALL SELECT target, list_append(path, target), cost + 1 / weight, d + 1 FROM b JOIN pre ON source = node WHERE d < 7 AND node <> (SELECT b FROM focus) AND NOT list_contains(path, target)) SELECT round(cost, 9) AS cost, array_to_string(path, '>') AS path, row_number() OVER (ORDER BY round(cost, 9), array_to_string(path, '>')) AS rank FROM b WHERE node = (SELECT b FROM focus) ORDER BY rank LIMIT 4")
 def k_shortest_paths(spark, sf):
     e = prerequisites(spark, sf).select("source", "target", (1 / F.col("weight")).alias("cost"))
-    return I.k_paths(e, "k1", "k31", 4, 5).withColumn("rank", F.col("rank").cast("long"))
+    return I.k_paths(e, *focus(spark, sf), 4, 7).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("louvain")
@@ -50,11 +50,11 @@ def transe_ranking(spark, sf):
     return pairs.select("subject", "predicate", "object", F.round(d, 9).alias("distance")).withColumn("rank", rank).where("rank <= 5")
 
 
-@register("multi_hop_propagation", f"WITH {PREREQUISITES_SQL}, s0 AS (SELECT 'k3' AS node, 0.9::DOUBLE AS score, 0 AS d), " + ", ".join(f"s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT target, max(score * weight * 0.5 * CASE kind WHEN 'prerequisite' THEN 0.5 ELSE 0.3 END), {i} FROM s{i - 1} JOIN pre ON source = node WHERE d = {i - 1} AND target NOT IN (SELECT node FROM s{i - 1}) GROUP BY 1)" for i in (1, 2, 3)) + " SELECT node, round(score, 9) AS score FROM s3")
+@register("multi_hop_propagation", f"WITH {PREREQUISITES_SQL}, s0 AS (SELECT node, 0.9::DOUBLE AS score, 0 AS d FROM firsts), " + ", ".join(f"s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT target, max(score * weight * 0.5 * CASE kind WHEN 'prerequisite' THEN 0.5 ELSE 0.3 END), {i} FROM s{i - 1} JOIN pre ON source = node WHERE d = {i - 1} AND target NOT IN (SELECT node FROM s{i - 1}) GROUP BY 1)" for i in (1, 2, 3)) + " SELECT node, round(score, 9) AS score FROM s3")
 def multi_hop_propagation(spark, sf):
     """Influence by edge type, halved each hop; the first round that reaches a node decides."""
     factor = F.col("weight") * 0.5 * F.when(F.col("kind") == "prerequisite", 0.5).otherwise(0.3)
-    return G.spread(prerequisites(spark, sf), spark.createDataFrame([("k3", 0.9)], "node string, score double"), 3, factor).withColumn("score", F.round("score", 9))
+    return G.spread(prerequisites(spark, sf), points(spark, sf).where("step = 1").select(F.col("kp").alias("node"), F.lit(0.9).alias("score")), 3, factor).withColumn("score", F.round("score", 9))
 
 
 @register("payload_join", "SELECT e.event_id, b.item_id FROM events e JOIN benchmark b ON contains(e.props, '\"k\": ' || b.item_id || '}') WHERE e.event_type = 'signup'")
