@@ -123,3 +123,50 @@ def test_translation_reaches_all_entities(spark, monkeypatch):
     ranked = query(spark, "").groupBy("subject", "predicate").count().collect()
     assert {(r.subject, r.predicate) for r in ranked} == {(s, k) for s, k, _ in rows}
     assert all(r["count"] == 5 for r in ranked)
+
+
+def test_predicates_take_odd_values(spark):
+    from tidemark.operators.predicates import condition
+
+    df = spark.createDataFrame([("a1",), ("(",), (None,), ("7",)], "x string")
+    count = lambda *a: df.where(condition(F.col("x"), *a)).count()
+    assert count("regex", "(") == 0 and count("regex", "(", True) == 4
+    assert count("gt", "many") == 0 and count("gt", None) == 0 and count("gt", "6") == 1
+    assert count("in", "7") == 1 and count("in", ["7", "a1"]) == 2
+
+
+def test_counter_refuses_to_fall(spark):
+    from tidemark.operators import stats
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.5), ("b", -1.0)], "k string, v double")
+    assert stats.counter(df.where("v > 0"), F.col("k"), "v").first().total == 3.5
+    with pytest.raises(Exception, match="can't fall"):
+        stats.counter(df, F.col("k"), "v").collect()
+
+
+def test_store_operators(spark):
+    """Ingestion, drift and ancestry on small fixtures, against plain versions."""
+    from tidemark.operators import store as S
+
+    new = spark.createDataFrame([(1, "x" * 12), (2, "x" * 12), (3, None), (4, "short"), (5, "known already"), (6, "y" * 12)], "id long, text string")
+    got = S.ingest(new, spark.createDataFrame([("known already",), (None,)], "text string"), "text", "id", F.length("text") >= 10)
+    assert {r.id: r.status for r in got.collect()} == {1: "success", 2: "skipped", 3: "failed", 4: "failed", 5: "skipped", 6: "success"}
+    assert S.ingest(new.limit(0), new.select("text"), "text", "id", F.lit(True)).count() == 0
+
+    wrong = [i % 10 == 0 for i in range(200)] + [i % 2 == 0 for i in range(100)]
+    want = [0, 0]
+    k, best = 0, None
+    for i, w in enumerate(wrong, 1):
+        k += w
+        p = k / i
+        s = (p * (1 - p) / i) ** 0.5
+        if i >= 30:
+            best = min(best or (9, 9, 9), (p + s, p, s))
+            want[0] += p + s > best[1] + 2 * best[2]
+            want[1] += p + s > best[1] + 3 * best[2]
+    rows = spark.createDataFrame([("l", i, w) for i, w in enumerate(wrong)], "k string, t int, w boolean")
+    got = S.ddm(rows, "k", ["t"], F.col("w")).first()
+    assert [got.warnings, got.drifts] == want and want[1] > 0
+
+    tree = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("c", "top")], "node string, parent string")
+    assert {r.node: r.path for r in S.ancestry(tree, 5).collect()} == {"a": ["b", "c", "top"], "x": ["c", "top"]}

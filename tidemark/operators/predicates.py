@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,14 +11,31 @@ from pyspark.sql import functions as F
 ORDERED = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}
 
 
+def _number(value) -> float | None:
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return None
+
+
+def _is_pattern(value) -> bool:
+    """Whether Python's engine takes a pattern, as a stand-in for Java's, which agrees on what both know."""
+    try:
+        re.compile(value)
+    except (TypeError, re.error):
+        return False
+    return True
+
+
 def condition(column: Column, operator: str, value, negate: bool = False) -> Column:
     """A predicate that is never null: a failed cast or a null is false before negation, and true after it.
 
-    Ordered operators compare as numbers, the textual ones as strings.
+    Ordered operators compare as numbers, the textual ones as strings. A value that can't be compared so, a pattern
+    that isn't one, and a single value instead of a list (taken as a list of one) are no errors.
     """
     text = column.cast("string")
     if operator in ORDERED:
-        out = ORDERED[operator](text.try_cast("double"), F.lit(float(value)))
+        out = ORDERED[operator](text.try_cast("double"), F.lit(_number(value)))
     elif operator == "eq":
         out = column == F.lit(value)
     elif operator == "ne":
@@ -29,9 +47,9 @@ def condition(column: Column, operator: str, value, negate: bool = False) -> Col
     elif operator == "ends_with":
         out = text.endswith(str(value))
     elif operator == "in":
-        out = column.isin(list(value))
+        out = column.isin(list(value) if isinstance(value, (list, tuple, set, frozenset)) else [value])
     elif operator == "regex":
-        out = text.rlike(value)
+        out = text.rlike(value) if _is_pattern(value) else F.lit(False)
     else:
         raise ValueError(f"no operator {operator}")
     out = F.coalesce(out, F.lit(False))

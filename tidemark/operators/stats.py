@@ -73,3 +73,9 @@ def welch(df: DataFrame, variant: str, value: str) -> DataFrame:
     df_ = F.pow(qa + qb, F.lit(2)) / (qa * qa / (F.col("a_n") - 1) + qb * qb / (F.col("b_n") - 1))
     d = (F.col("a_mean") - F.col("b_mean")) / F.sqrt((F.col("a_var") + F.col("b_var")) / 2)
     return p.select(f"a_{variant}", f"b_{variant}", t.alias("t"), df_.alias("df"), d.alias("cohen_d"))
+
+
+def counter(rows: DataFrame, labels: Column, increment: str) -> DataFrame:
+    """(labels, total) of a counter. A negative increment raises, as counters only grow."""
+    grown = F.when(F.col(increment) < 0, F.raise_error(F.lit("a counter can't fall")).cast("double")).otherwise(F.col(increment))
+    return rows.groupBy(labels.alias("labels")).agg(F.sum(grown).alias("total"))

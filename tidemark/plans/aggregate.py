@@ -61,9 +61,11 @@ def histogram(spark, sf):
     return stats.histogram(table(spark, sf, "events"), "event_type", "value", [5.0, 25.0, 100.0]).withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6)})
 
 
-@register("labelled_counter", "SELECT event_type || '|' || json_extract_string(props, '$.k') AS labels, count(*) AS n FROM events GROUP BY 1")
+@register("labelled_counter", "SELECT event_type || '|' || json_extract_string(props, '$.k') AS labels, round(sum(value), 4) AS total FROM events WHERE value >= 0 GROUP BY 1")
 def labelled_counter(spark, sf):
-    return table(spark, sf, "events").groupBy(F.concat_ws("|", "event_type", F.get_json_object("props", "$.k")).alias("labels")).agg(F.count("*").alias("n"))
+    """Increments summed by label set; negative ones are refused."""
+    e = table(spark, sf, "events").where("value is not null")
+    return stats.counter(e, F.concat_ws("|", "event_type", F.get_json_object("props", "$.k")), "value").withColumn("total", F.round("total", 4))
 
 
 @register("slo_daily", """WITH a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS good FROM events GROUP BY 1), b AS (SELECT *, good / n::DOUBLE AS share FROM a)
@@ -89,7 +91,7 @@ def baseline(spark, sf):
 
 @register("anomalies", """WITH w AS (SELECT user_id, ts >= TIMESTAMP '2024-01-25' AS recent, count(*) AS n, avg(value) AS lat, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS fail FROM events GROUP BY 1, 2),
     j AS (SELECT r.user_id, r.n, r.lat AS rl, b.lat AS bl, r.fail AS rf, b.fail AS bf FROM w r JOIN w b ON r.user_id = b.user_id AND r.recent AND NOT b.recent)
-    SELECT user_id, n, rl > 1.3 * bl AS slow, (CASE WHEN bf > 0 THEN rf > 2 * bf ELSE rf > 0.3 END) AS failing FROM j WHERE n >= 3 AND (rl > 1.3 * bl OR (CASE WHEN bf > 0 THEN rf > 2 * bf ELSE rf > 0.3 END))""")
+    SELECT user_id, n, rl > 3 * bl AS slow, (CASE WHEN bf > 0 THEN rf > 2 * bf ELSE rf > 0.3 END) AS failing FROM j WHERE n >= 3 AND (rl > 3 * bl OR (CASE WHEN bf > 0 THEN rf > 2 * bf ELSE rf > 0.3 END))""")
 def anomalies(spark, sf):
     """Recent behaviour against the baseline, in one pass over the rows."""
     recent = F.col("ts") >= F.lit("2024-01-25").cast("timestamp")
@@ -97,7 +99,7 @@ def anomalies(spark, sf):
     a = table(spark, sf, "events").groupBy("user_id").agg(
         F.count(F.when(recent, 1)).alias("n"), F.count(F.when(~recent, 1)).alias("nb"), F.avg(F.when(recent, F.col("value"))).alias("rl"), F.avg(F.when(~recent, F.col("value"))).alias("bl"), F.avg(F.when(recent, fail)).alias("rf"), F.avg(F.when(~recent, fail)).alias("bf")
     )
-    slow, failing = F.col("rl") > 1.3 * F.col("bl"), F.when(F.col("bf") > 0, F.col("rf") > 2 * F.col("bf")).otherwise(F.col("rf") > 0.3)
+    slow, failing = F.col("rl") > 3 * F.col("bl"), F.when(F.col("bf") > 0, F.col("rf") > 2 * F.col("bf")).otherwise(F.col("rf") > 0.3)
     return a.where("n >= 3 and nb > 0").select("user_id", "n", slow.alias("slow"), failing.alias("failing")).where("slow or failing")
 
 
@@ -185,17 +187,25 @@ def outliers_z(spark, sf):
     return e.join(s, "event_type").select("event_id", F.round((F.col("value") - F.col("m")) / F.col("s"), 6).alias("z")).where("abs(z) > 3")
 
 
-@register("confidence_interval", "SELECT event_type, round(avg(value) - 1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS low, round(avg(value) + 1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS high FROM events GROUP BY 1")
+# Two-sided 95 % points of Student's t by degrees of freedom; beyond, those of the normal distribution.
+STUDENT_95 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042]
+NORMAL_95 = 1.96
+
+
+@register("confidence_interval", f"WITH a AS (SELECT user_id, event_type, avg(value) AS m, stddev_samp(value) / sqrt(count(value)) AS se, count(value) - 1 AS df FROM events GROUP BY 1, 2 HAVING count(value) > 1) SELECT user_id, event_type, round(m - t * se, 6) AS low, round(m + t * se, 6) AS high FROM (SELECT *, coalesce({STUDENT_95}[df], {NORMAL_95})::DOUBLE AS t FROM a)")
 def confidence_interval(spark, sf):
-    half = 1.96 * F.stddev_samp("value") / F.sqrt(F.count("value"))
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value") - half, 6).alias("low"), F.round(F.avg("value") + half, 6).alias("high"))
+    """mean +- t * s / sqrt(n) of each learner and type; groups of one value have none."""
+    t = F.coalesce(F.get(F.array(*map(F.lit, STUDENT_95)), (F.col("n") - 2).cast("int")), F.lit(NORMAL_95))
+    a = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count("value").alias("n")).where("n > 1")
+    half = t * F.col("s") / F.sqrt("n")
+    return a.select("user_id", "event_type", F.round(F.col("m") - half, 6).alias("low"), F.round(F.col("m") + half, 6).alias("high"))
 
 
-@register("domain_mastery", f"WITH {ANSWERS_SQL}, m AS (SELECT learner, kp, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS p FROM answers GROUP BY 1, 2) SELECT kp, round(avg(p) FILTER (p > 0), 6) AS mastery, count(*) FILTER (p > 0.6) AS mastered, count(*) FILTER (p >= 0.5 AND p <= 0.6) AS learning, count(*) FILTER (p > 0 AND p < 0.5) AS weak FROM m GROUP BY 1")
+@register("domain_mastery", f"WITH {ANSWERS_SQL}, m AS (SELECT learner, kp, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS p FROM answers GROUP BY 1, 2) SELECT kp, round(avg(p) FILTER (p > 0), 6) AS mastery, count(*) FILTER (p > 0.8) AS mastered, count(*) FILTER (p >= 0.5 AND p <= 0.8) AS learning, count(*) FILTER (p > 0 AND p < 0.5) AS weak FROM m GROUP BY 1")
 def domain_mastery(spark, sf):
     m = answers(spark, sf).groupBy("learner", "kp").agg(F.avg(F.col("correct").cast("double")).alias("p"))
     n = lambda c: F.count(F.when(F.expr(c), 1))
-    return m.groupBy("kp").agg(F.round(F.avg(F.when(F.col("p") > 0, F.col("p"))), 6).alias("mastery"), n("p > 0.6").alias("mastered"), n("p >= 0.5 and p <= 0.6").alias("learning"), n("p > 0 and p < 0.5").alias("weak"))
+    return m.groupBy("kp").agg(F.round(F.avg(F.when(F.col("p") > 0, F.col("p"))), 6).alias("mastery"), n("p > 0.8").alias("mastered"), n("p >= 0.5 and p <= 0.8").alias("learning"), n("p > 0 and p < 0.5").alias("weak"))
 
 
 @register("weighted_mastery", f"WITH {ANSWERS_SQL}, m AS (SELECT learner, kp, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS p, count(*) AS a FROM answers GROUP BY 1, 2) SELECT learner, round(coalesce(sum(p * a) / nullif(sum(a), 0), avg(p)), 6) AS mastery FROM m GROUP BY 1")

@@ -32,7 +32,7 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     """Importing these modules registers their queries."""
-    from . import aggregate, governance, graph, learner, more, retrieval, select, stream  # noqa: F401
+    from . import aggregate, governance, graph, knowledge, learner, more, retrieval, select, stream  # noqa: F401
 
 
 _load()

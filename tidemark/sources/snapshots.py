@@ -70,9 +70,20 @@ def compact(spark: SparkSession, log: str, into: str, schema: str, key: str, ord
     return spark.read.parquet(into)
 
 
+def export_json(collections: dict[str, DataFrame], path: str) -> None:
+    """Collections as JSON documents {collection: [records]}, as many as their tasks; import_json reads them together."""
+    def documents(name: str, df: DataFrame) -> DataFrame:
+        return df.select(F.to_json(F.struct(F.array(F.struct(*df.columns)).alias(name)), {"ignoreNullFields": "false"}).alias("value"))
+
+    reduce(DataFrame.unionByName, [documents(n, df) for n, df in sorted(collections.items())]).write.mode("overwrite").text(path)
+
+
 def import_json(spark: SparkSession, path: str, collection: str) -> DataFrame:
-    """One collection of JSON documents that hold an array of records for each."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode(collection).alias("r")).select("r.*")
+    """One collection of JSON documents, a line or a file each, that hold an array of records for each."""
+    docs = spark.read.json(path)
+    if "_corrupt_record" in docs.columns:
+        docs = spark.read.option("multiLine", True).json(path)
+    return docs.select(F.explode(collection).alias("r")).select("r.*")
 
 
 def export_json_ld(df: DataFrame, id_col: str, type_col: str, path: str) -> None:
