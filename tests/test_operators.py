@@ -170,3 +170,13 @@ def test_store_operators(spark):
 
     tree = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("c", "top")], "node string, parent string")
     assert {r.node: r.path for r in S.ancestry(tree, 5).collect()} == {"a": ["b", "c", "top"], "x": ["c", "top"]}
+
+
+def test_nearest_with_many_equal_vectors(spark):
+    """Far more equal vectors than k, in many batches: the smallest keys win."""
+    from tidemark.operators import retrieval as R
+
+    rows = [(i, [1.0, 1e-9 * (i % 7)]) for i in range(3000, 0, -1)] + [(9000, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "key long, vector array<double>").repartition(16)
+    got = R.nearest(df, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>"), 5).orderBy("rank")
+    assert [r.key for r in got.collect()] == [1, 2, 3, 4, 5]

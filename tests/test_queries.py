@@ -62,5 +62,12 @@ def test_imports_without_the_corpus_folder(tmp_path):
     repo = Path(entry.__file__).parent
     shutil.copytree(repo / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
-    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
-    assert out.stdout.split() == [str(len(registry.queries())), "False"], out.stderr
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+n = [e.queries()[q](s, "%s").count() for q in ("store_stats", "ingest_counts")]
+print(len(e.queries()), "pipeline" in e.queries(), any(q.startswith("op1_") for q in e.queries()), min(n) > 0)
+""" % SF
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert out.stdout.split() == [str(len(registry.queries())), "False", "False", "True"], out.stderr

@@ -43,7 +43,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, key, score, rank): the k vectors (key, vector) of highest cosine for each query (query_id, vector).
 
     The stated query set, at most MAX_QUERY_VECTORS, goes to every task; each batch of rows is one matrix product that
-    returns k rows a query, and the best of those are ranked. Vectors without length or of another one score 0.
+    returns the k best rows of each query by rounded score and key, and those are ranked. Vectors without length or of another one score 0.
     """
     found = queries.select("query_id", "vector").limit(MAX_QUERY_VECTORS + 1).collect()
     if len(found) > MAX_QUERY_VECTORS:
@@ -62,9 +62,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for pdf in batches:
             if not len(ids):
                 continue
-            s = q @ unit(pdf.vector).T
+            pdf = pdf.sort_values("key")  # equal rounded scores go by key, as in the ranking
+            s = np.round(q @ unit(pdf.vector).T, 6)
             key = pdf.key.to_numpy()
-            top = np.argsort(-s, axis=1, kind="stable")[:, : k + 8]
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "key": key[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
 
     near = vectors.select("key", "vector").mapInPandas(work, "query_id long, key long, score double").withColumn("score", F.round("score", 6))

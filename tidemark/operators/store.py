@@ -14,10 +14,10 @@ def ingest(incoming: DataFrame, stored: DataFrame, key: str, order: str, valid:
     Keys are counted with map-side combining; of equal keys the smallest order succeeds. A null key fails.
     """
     ok = F.coalesce(valid, F.lit(False)) & F.col(key).isNotNull()
-    first = incoming.where(ok).groupBy(key).agg(F.min(order).alias("first"))
-    first = first.join(stored.select(F.col(key).alias("known")).distinct(), F.col(key) == F.col("known"), "left").select(F.col(key).alias("k"), "first", F.col("known").isNotNull().alias("held"))
-    joined = incoming.join(first, F.col(key) == F.col("k"), "left")
-    status = F.when(~ok, "failed").when(F.col("held") | (F.col(order) != F.col("first")), "skipped").otherwise("success")
+    first = incoming.where(ok).groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    first = first.join(stored.select(F.col(key).alias("_known")).distinct(), F.col("_key") == F.col("_known"), "left").select("_key", "_first", F.col("_known").isNotNull().alias("_held"))
+    joined = incoming.join(first, F.col(key) == F.col("_key"), "left")
+    status = F.when(~ok, "failed").when(F.col("_held") | (F.col(order) != F.col("_first")), "skipped").otherwise("success")
     return joined.select(*incoming.columns, status.alias("status"))
 
 
@@ -76,10 +76,11 @@ def ddm(rows: DataFrame, key: str, order: list[str], wrong: Column, least: int =
     p is the share of wrong rows so far and s its deviation; a row warns when p + s is `warn` deviations above the
     least p + s so far, and drifts at `drift` of them, from the `least`-th row on.
     """
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    p = rows.select(key, *order, F.count("*").over(w).alias("i"), F.sum(wrong.cast("double")).over(w).alias("k")).withColumn("p", F.col("k") / F.col("i"))
+    by = F.struct(*order).alias("place")  # names of the columns may clash with those made here
+    w = Window.partitionBy("own").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    p = rows.select(F.col(key).alias("own"), by, wrong.cast("double").alias("wrong")).select("own", "place", F.count("*").over(w).alias("i"), F.sum("wrong").over(w).alias("k")).withColumn("p", F.col("k") / F.col("i"))
     p = p.withColumn("s", F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("i")))
     best = F.min(F.when(F.col("i") >= least, F.struct((F.col("p") + F.col("s")).alias("level"), F.col("p").alias("p"), F.col("s").alias("s")))).over(w)
     p = p.withColumn("best", best)
     above = lambda n: F.count(F.when((F.col("i") >= least) & (F.col("p") + F.col("s") > F.col("best.p") + n * F.col("best.s")), 1))
-    return p.groupBy(key).agg(F.count("*").alias("n"), above(warn).alias("warnings"), above(drift).alias("drifts"))
+    return p.groupBy(F.col("own").alias(key)).agg(F.count("*").alias("n"), above(warn).alias("warnings"), above(drift).alias("drifts"))
