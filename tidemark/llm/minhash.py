@@ -67,6 +67,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
         return pd.DataFrame(rows, columns=["digest", "shingles"])
 
     packed = packed.asNondeterministic()  # else the join's test of the digest runs it on all rows as well
+    wanted = stored(wanted, "wanted")  # its size is known then: where it is small, no text is shuffled
     d = d.join(wanted.select("rep").distinct(), "rep", "left_semi").select("rep", packed("text").alias("p")).select("rep", "p.*")
     return stored(d.join(wanted, ["rep", "digest"]).select("node", "shingles").dropDuplicates(["node"]), "shingles")
 
@@ -224,13 +225,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id or a word stay. Other columns pass through, whatever their names.
     """
     found = stored(classes_of(docs, id_col, text_col, threshold), "classes")
-    row = [F.col("doc_id").alias("n_id"), F.col("sha").alias("n_sha")]
+    row = [F.col("doc_id").alias("n_id"), F.unhex("sha").alias("n_sha")]
     twice = found.where("kept and not alone").groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where("n > 1").select(*row)
-    gone = found.where("not kept").select(*row).distinct().unionAll(twice)
-    inner = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col).cast("string")).alias("sha"))
+    twice = stored(twice, "twice")
+    gone = stored(found.where("not kept").select(*row).distinct().unionAll(twice), "gone")  # of known size, as above
+    inner = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"), F.unhex(text_hash(F.col(text_col).cast("string"))).alias("sha"))
     same = (F.col("id") == F.col("n_id")) & (F.col("sha") == F.col("n_sha"))
-    again = inner.join(twice, same, "left_semi").dropDuplicates(["id", "sha"])
-    return inner.join(gone, same, "left_anti").unionByName(again).select("doc.*")
+    once = inner.join(gone, same, "left_anti")
+    if not twice.isEmpty():
+        once = once.unionByName(inner.join(twice, same, "left_semi").dropDuplicates(["id", "sha"]))
+    return once.select("doc.*")
 
 
 def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
