@@ -1,5 +1,6 @@
 """Small fixtures for what the generated tables don't hold: CJK, nulls, ties, cycles."""
 
+import hashlib
 import math
 import random
 
@@ -8,11 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import governance as V
 from tidemark.operators import graph as G
 from tidemark.operators import inference as I
 from tidemark.operators import learner as L
 from tidemark.operators import predicates as P
 from tidemark.operators import retrieval as R
+from tidemark.operators import stats as S
 from tidemark.streaming import jobs
 
 
@@ -174,9 +177,56 @@ def test_store_operators(spark):
 
 def test_nearest_with_many_equal_vectors(spark):
     """Far more equal vectors than k, in many batches: the smallest keys win."""
-    from tidemark.operators import retrieval as R
-
     rows = [(i, [1.0, 1e-9 * (i % 7)]) for i in range(3000, 0, -1)] + [(9000, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "key long, vector array<double>").repartition(16)
     got = R.nearest(df, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>"), 5).orderBy("rank")
     assert [r.key for r in got.collect()] == [1, 2, 3, 4, 5]
+
+
+def test_order_statistics(spark):
+    """Against sorted lists: hot values, small groups, nulls, a sketch too coarse to hold all values."""
+    r = random.Random(5)
+    groups = {"hot": [r.choice((1.0, 2.0, r.gauss(0, 50))) for _ in range(5000)], "flat": [r.random() for _ in range(3000)], "two": [3.0, 1.0], "one": [4.0], None: [5.0, None, 6.0], "none": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(7)
+    qs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
+    small = {f"r{i}": (q, lambda n, q=q: F.least(n - 1, F.floor(n * q))) for i, q in enumerate(qs.values())}
+    coarse = {x.k: x for x in S.order_statistics(df, "k", "v", small, accuracy=100).collect()}
+    got = {x.k: x for x in S.quantiles(df, "k", "v", qs).collect()}
+    assert len(got) == len(groups)
+    for k, values in groups.items():
+        v = sorted(x for x in values if x is not None)
+        assert got[k].n == len(v)
+        for i, (name, q) in enumerate(qs.items()):
+            if not v:
+                assert got[k][name] is None and coarse[k][f"r{i}"] is None
+                continue
+            at = (len(v) - 1) * q
+            lo = math.floor(at)
+            want = v[lo] + (v[min(lo + 1, len(v) - 1)] - v[lo]) * (at - lo)
+            assert got[k][name] == pytest.approx(want)
+            assert coarse[k][f"r{i}"] == v[min(len(v) - 1, math.floor(len(v) * q))]
+
+
+def test_folds_over_days_equal_plain_folds(spark):
+    """Histories of several days, shuffled, with ties in time; a long one would underflow without its scale."""
+    r = random.Random(3)
+    rows = [(k, "p", r.randrange(0, 12 * 86400) // 1000 * 1000, i, r.random() < 0.6, r.uniform(0, 9)) for k, n in ((1, 1), (2, 40), (3, 3000)) for i in range(n)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "learner long, kp string, ts long, event_id long, correct boolean, value double")
+    traced = {x.learner: x for x in L.traced(df, ["learner", "kp"]).collect()}
+    ema = {x.learner: x.ema for x in L.ema(df, "learner", ["ts", "event_id"], "value", 0.3).collect()}
+    chain = {x.learner: x for x in V.audit_chain(df, "learner", ["ts", "event_id"], F.col("event_id").cast("string")).collect()}
+    for k in (1, 2, 3):
+        own = sorted((x for x in rows if x[0] == k), key=lambda x: (x[2], x[3]))
+        p, log, e, head = 0.5, 0.0, own[0][5], hashlib.sha256(b"genesis").hexdigest()
+        for x in own:
+            right = p * 0.8 + (1 - p) * 0.1
+            log += math.log(right if x[4] else 1 - right)
+            p = jobs.bkt_update(p, x[4])
+            e += 0.3 * (x[5] - e)
+            head = hashlib.sha256(f"{head}|{x[3]}".encode()).hexdigest()
+        t = traced[k]
+        assert (t.attempts, t.correct_count) == (len(own), sum(x[4] for x in own))
+        assert (t.mastery, t.log_likelihood, ema[k]) == (pytest.approx(p), pytest.approx(log), pytest.approx(e))
+        assert (chain[k].n, chain[k].head) == (len(own), head)
+    assert V.audit_chain(df.where("learner = 9"), "learner", ["ts"], F.lit("x")).collect() == []

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import fold_stream
+
 
 def versions(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows numbered by key with valid_until of each (the next row's time); the current one has none."""
@@ -24,17 +29,25 @@ def resolve(df: DataFrame, key: str, value: str, by: list[Column]) -> DataFrame:
     return df.withColumn("rn", rn).where("rn = 1").select(key, value)
 
 
-def decide(requests: DataFrame, rules: DataFrame, match: Column) -> DataFrame:
-    """Deny overrides: per request (request_id, ...) the decision over matching rules (effect, priority); default deny."""
-    hit = requests.join(F.broadcast(rules), match, "left").groupBy("request_id").agg(F.max((F.col("effect") == "deny").cast("int")).alias("deny"), F.max((F.col("effect") == "allow").cast("int")).alias("allow"), F.count("effect").alias("rules"))
+def decide(requests: DataFrame, rules: DataFrame, action: str, match: Column) -> DataFrame:
+    """Deny overrides: per request (request_id, ...) the decision over matching rules (action, effect, ...); default deny.
+
+    A rule names an action or, as *, any. Requests meet the rules of their action by an equi join, then `match` decides.
+    """
+    asked = requests.withColumn("action", F.explode(F.array(F.col(action), F.lit("*"))))
+    hit = asked.join(rules, (asked["action"] == rules["action"]) & match, "left").groupBy("request_id").agg(F.max((F.col("effect") == "deny").cast("int")).alias("deny"), F.max((F.col("effect") == "allow").cast("int")).alias("allow"), F.count("effect").alias("rules"))
     return hit.select("request_id", F.when(F.coalesce("deny", F.lit(0)) == 1, "deny").when(F.coalesce("allow", F.lit(0)) == 1, "allow").otherwise("deny").alias("decision"), "rules")
 
 
 def audit_chain(df: DataFrame, key: str, order: list[str], payload: Column) -> DataFrame:
-    """(key, n, head): SHA-256 over each key's ordered rows, each hash taking in the one before."""
-    h = df.select(key, *order, payload.alias("payload")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "payload"))).alias("rows"))
-    head = F.aggregate("rows", F.sha2(F.lit("genesis"), 256), lambda a, x: F.sha2(F.concat(a, F.lit("|"), x["payload"]), 256))
-    return h.select(key, F.size("rows").cast("long").alias("n"), head.alias("head"))
+    """(key, n, head): SHA-256 over each key's ordered rows, each hash taking in the one before; null from a null payload on."""
+    genesis = hashlib.sha256(b"genesis").hexdigest()
+
+    def step(state, payload):
+        n, head = state
+        return n + 1, None if head is None or payload is None else hashlib.sha256(f"{head}|{payload}".encode()).hexdigest()
+
+    return fold_stream(df.withColumn("payload", payload), key, order, ["payload"], (0, genesis), step, {"n": ("long", pa.int64()), "head": ("string", pa.string())})
 
 
 def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:

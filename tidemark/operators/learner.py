@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import fold_segments, fold_stream
+
 # Parameters of knowledge tracing and weights of the review scheduler.
 BKT = {"p_l0": 0.5, "p_t": 0.1, "p_s": 0.2, "p_g": 0.1}
 FSRS = [0.40255, 1.18385, 3.173, 15.69105, 7.1949, 0.5345, 1.4604, 0.0046, 1.54575, 0.1192, 1.01925, 1.9395, 0.11, 0.29605, 2.2698, 0.2315, 2.9898, 0.51655, 0.6621, 0.8285, 0.12]
@@ -21,32 +23,44 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], values: list[str])
     return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *values))).alias("history"))
 
 
-def bkt_step(p: Column, correct: Column, t=BKT["p_t"], s=BKT["p_s"], g=BKT["p_g"]) -> Column:
-    """Posterior of mastery after one answer, then the chance to learn; a vanishing evidence keeps p."""
-    num = F.when(correct, p * (1 - s)).otherwise(p * s)
-    den = num + F.when(correct, (1 - p) * g).otherwise((1 - p) * (1 - g))
-    post = F.when(den <= 1e-12, p).otherwise(num / den)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), post + (1 - post) * t))
+def traced(answers: DataFrame, keys: list[str], t=BKT["p_t"]) -> DataFrame:
+    """(keys, attempts, correct_count, mastery, log_likelihood) of answers in order, merged from the days of each key.
+
+    Tracing is a hidden chain of two states, so an answer is the matrix ((a, b), (0, d)) on the chances of having mastered
+    the point or not, and days are products of them. Each is held with its largest entry at 1 and the logarithm of the
+    rest. Slip and guess lie strictly between 0 and 1. `t` may be a column of keys.
+    """
+    s, g, p0 = BKT["p_s"], BKT["p_g"], BKT["p_l0"]
+    t = t if isinstance(t, Column) else F.lit(t)
+
+    def scaled(a, b, d, log, n, right):
+        top = F.greatest(a, b, d)
+        return F.struct((a / top).alias("a"), (b / top).alias("b"), (d / top).alias("d"), (log + F.log(top)).alias("log"), n.alias("n"), right.alias("right"))
+
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(1.0).alias("d"), F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("right"))
+
+    def step(m, x):
+        knows, lacks = F.when(x["correct"], 1 - s).otherwise(s), F.when(x["correct"], g).otherwise(1 - g)
+        return scaled(knows * m["a"], knows * m["b"] + t * lacks * m["d"], (1 - t) * lacks * m["d"], m["log"], m["n"] + 1, m["right"] + F.when(x["correct"], 1).otherwise(0))
+
+    def merge(m, x):
+        p = x["part"]
+        return scaled(p["a"] * m["a"], p["a"] * m["b"] + p["b"] * m["d"], p["d"] * m["d"], m["log"] + p["log"], m["n"] + p["n"], m["right"] + p["right"])
+
+    days = fold_segments(answers, keys, ["ts", "event_id"], ["correct"], lambda rows: F.aggregate(rows, one, step))
+    m = days.select(*keys, F.aggregate("parts", one, merge).alias("m"))
+    known, unknown = F.col("m.a") * p0 + F.col("m.b") * (1 - p0), F.col("m.d") * (1 - p0)
+    return m.select(*keys, F.col("m.n").alias("attempts"), F.col("m.right").alias("correct_count"), (known / (known + unknown)).alias("mastery"), (F.col("m.log") + F.log(known + unknown)).alias("log_likelihood"))
 
 
 def knowledge_tracing(answers: DataFrame) -> DataFrame:
-    """(learner, kp, attempts, correct_count, mastery) by a native fold over each ordered history."""
-    h = ordered(answers, ["learner", "kp"], ["ts", "event_id"], ["correct"])
-    p = F.aggregate("history", F.lit(BKT["p_l0"]), lambda p, x: bkt_step(p, x["correct"]))
-    right = F.size(F.filter("history", lambda x: x["correct"]))
-    return h.select("learner", "kp", F.size("history").cast("long").alias("attempts"), right.cast("long").alias("correct_count"), p.alias("mastery"))
+    """(learner, kp, attempts, correct_count, mastery) after all answers."""
+    return traced(answers, ["learner", "kp"]).drop("log_likelihood")
 
 
 def bkt_likelihood(answers: DataFrame) -> DataFrame:
     """(learner, kp, log_likelihood): of the answers, given the chances before each."""
-    h = ordered(answers, ["learner", "kp"], ["ts", "event_id"], ["correct"])
-    start = F.struct(F.lit(BKT["p_l0"]).alias("p"), F.lit(0.0).alias("l"))
-
-    def step(a, x):
-        right = a["p"] * (1 - BKT["p_s"]) + (1 - a["p"]) * BKT["p_g"]
-        return F.struct(bkt_step(a["p"], x["correct"]).alias("p"), (a["l"] + F.log(F.when(x["correct"], right).otherwise(1 - right))).alias("l"))
-
-    return h.select("learner", "kp", F.aggregate("history", start, step, lambda a: a["l"]).alias("log_likelihood"))
+    return traced(answers, ["learner", "kp"]).select("learner", "kp", "log_likelihood")
 
 
 def first_difficulty(grade) -> Column:
@@ -85,9 +99,16 @@ def review_schedule(reviews: DataFrame) -> DataFrame:
 
 
 def ema(df: DataFrame, key: str, order: list[str], value: str, rate: float) -> DataFrame:
-    """(key, ema): previous + rate * (value - previous), from the first value on."""
-    h = ordered(df, [key], order, [value])
-    return h.select(key, F.aggregate(F.slice("history", 2, F.size("history")), F.col("history")[0][value], lambda a, x: a + rate * (x[value] - a)).alias("ema"))
+    """(key, ema): previous + rate * (value - previous), from the first value on. A day is the map x -> keep * x + add."""
+    none = F.struct(F.lit(1.0).alias("keep"), F.lit(0.0).alias("add"))
+
+    def day(rows):
+        m = F.aggregate(rows, none, lambda m, x: F.struct((m["keep"] * (1 - rate)).alias("keep"), (m["add"] * (1 - rate) + rate * x[value]).alias("add")))
+        return F.struct(rows[0][value].cast("double").alias("first"), m.alias("m"))
+
+    parts = fold_segments(df, [key], order, [value], day)
+    out = F.aggregate("parts", F.col("parts")[0]["part"]["first"], lambda e, x: x["part"]["m"]["keep"] * e + x["part"]["m"]["add"])
+    return parts.select(key, out.alias("ema"))
 
 
 def raw_level(theta: Column, mastery: Column) -> Column:
@@ -133,14 +154,12 @@ def eap_step(theta: float, se: float, a: float, b: float, c: float, correct: boo
 def ability(answers: DataFrame) -> DataFrame:
     """(learner, theta, se, n): online ability of each learner; answers have learner, ts, event_id, a, b, c, correct."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        theta, se = 0.0, 1.0
-        for a, b, c, correct in zip(pdf.a, pdf.b, pdf.c, pdf.correct, strict=True):
-            theta, se = eap_step(theta, se, a, b, c, bool(correct))
-        return pd.DataFrame({"learner": [pdf.learner.iloc[0]], "theta": [theta], "se": [se], "n": [len(pdf)]})
+    def step(state, a, b, c, correct):
+        theta, se, n = state
+        return (*eap_step(theta, se, a, b, c, bool(correct)), n + 1)
 
-    return answers.groupBy("learner").applyInPandas(fold, "learner long, theta double, se double, n long")
+    kinds = {"theta": ("double", pa.float64()), "se": ("double", pa.float64()), "n": ("long", pa.int64())}
+    return fold_stream(answers, "learner", ["ts", "event_id"], ["a", "b", "c", "correct"], (0.0, 1.0, 0), step, kinds)
 
 
 def p_correct(theta: Column, a: Column, b: Column, c, d=1.0) -> Column:

@@ -12,18 +12,53 @@ def nearest_rank(values: Column, n: Column, q: float, shift: int) -> Column:
     return F.when(n > 0, F.get(F.sort_array(values), at))
 
 
-def latency_p99(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key: count and mean of positive values, and both nearest-rank variants of the 99th percentile.
+def order_statistics(df: DataFrame, key: str, value: str, at: dict, accuracy: int = 10_000) -> DataFrame:
+    """(key, n, total, one column per name of at): exact values at given ranks of each key's sorted non-null values; null without any.
 
-    The order statistic is found by counting: values are reduced to (value, count) with map-side combining, so a key
-    that holds most rows never meets in one array.
+    `at` maps a name to (q, rank): rank is a function of n that gives a place from 0, at most one away from the q * n th
+    value. A bounded sketch brackets each q; values below the bracket are only counted, and those inside it, about
+    4 / accuracy of a key's values, are sorted by (value, count). A bracket that misses its rank raises.
     """
-    v = df.where(F.col(value) > 0).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(key).orderBy("v")
-    every = Window.partitionBy(key)
-    v = v.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(every)).withColumn("total", F.sum(F.col("v") * F.col("c")).over(every))
-    pick = lambda q, shift: F.min(F.when(F.col("upto") > F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(F.col("n") * q) + shift)), F.col("v")))
-    return v.groupBy(key).agg(F.max("n").alias("n"), (F.max("total") / F.max("n")).alias("mean"), pick(0.99, -1).alias("p99_low"), pick(0.99, 0).alias("p99_high"))
+    qs = sorted({q for q, _ in at.values()})
+    v = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    edge = lambda d: F.percentile_approx("v", [min(1.0, max(0.0, q + d)) for q in qs], accuracy)
+    bounds = v.groupBy(F.col("k").alias("key")).agg(F.count("v").alias("n"), F.sum("v").alias("total"), edge(-2 / accuracy).alias("low"), edge(2 / accuracy).alias("high"))
+    j = v.where("v is not null").join(bounds, F.col("k").eqNullSafe(F.col("key")))
+    low, high, x = (lambda i: F.col("low")[i]), (lambda i: F.col("high")[i]), F.col("v")
+    around = j.groupBy("key").agg(
+        F.max("n").alias("n"),
+        *(f for i in range(len(qs)) for f in (F.count(F.when(x < low(i), 1)).alias(f"below{i}"), F.max(F.when(x < low(i), x)).alias(f"before{i}"), F.count(F.when(x <= high(i), 1)).alias(f"upto{i}"), F.min(F.when(x > high(i), x)).alias(f"after{i}"))),
+    )
+    inside = j.select("key", "v", F.explode(F.array_compact(F.array(*(F.when((x >= low(i)) & (x <= high(i)), i) for i in range(len(qs)))))).alias("i"))
+    c = inside.groupBy("key", "i", "v").agg(F.count("*").alias("c"))
+    c = c.withColumn("end", F.sum("c").over(Window.partitionBy("key", "i").orderBy("v"))).withColumnRenamed("key", "own")
+    c = c.join(around, F.col("own").eqNullSafe(F.col("key")))
+
+    def pick(q, rank):
+        i = qs.index(q)
+        r, end = rank(F.col("n")), F.col(f"below{i}") + F.col("end")
+        found = F.min(F.when((F.col("i") == i) & (r < end) & (r >= end - F.col("c")), x))
+        edge_value = F.max(F.when(r == F.col(f"below{i}") - 1, F.col(f"before{i}")).when(r == F.col(f"upto{i}"), F.col(f"after{i}")))
+        return F.coalesce(found, edge_value, F.raise_error(F.lit("a bracket misses its rank")).cast("double"))
+
+    found = c.groupBy(F.col("key").alias("own")).agg(*(pick(*spec).alias(name) for name, spec in at.items()))
+    return bounds.join(found, F.col("own").eqNullSafe(F.col("key")), "left").select(F.col("key").alias(key), "n", "total", *at)
+
+
+def quantiles(df: DataFrame, key: str, value: str, qs: dict[str, float]) -> DataFrame:
+    """(key, n, one column per name): exact percentiles, interpolated between the two values around (n - 1) * q."""
+    place = lambda q, n: F.floor((n - 1) * q)
+    at = {f"{name}_{side}": (q, lambda n, q=q, add=add: F.least(n - 1, place(q, n) + add)) for name, q in qs.items() for side, add in (("lo", 0), ("hi", 1))}
+    o = order_statistics(df, key, value, at)
+    part = lambda q: (F.col("n") - 1) * q - place(q, F.col("n"))
+    return o.select(key, "n", *((F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * part(q)).alias(name) for name, q in qs.items()))
+
+
+def latency_p99(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key: count and mean of positive values, and both nearest-rank variants of the 99th percentile."""
+    held = lambda shift: lambda n: F.greatest(F.lit(0), F.least(n - 1, F.floor(n * 0.99) + shift))
+    o = order_statistics(df.where(F.col(value) > 0), key, value, {"p99_low": (0.99, held(-1)), "p99_high": (0.99, held(0))})
+    return o.select(key, "n", (F.col("total") / F.col("n")).alias("mean"), "p99_low", "p99_high")
 
 
 def histogram(df: DataFrame, key: str, value: str, bounds: list[float]) -> DataFrame:

@@ -52,8 +52,8 @@ def latency_p99(spark, sf):
 @register("percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def percentiles(spark, sf):
     """Interpolated percentiles."""
-    p = lambda q: F.round(F.percentile("value", q), 6)
-    return table(spark, sf, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    q = stats.quantiles(table(spark, sf, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return q.select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")))
 
 
 @register("histogram", "SELECT event_type, count(*) FILTER (value <= 5.0) AS le_5_0, count(*) FILTER (value <= 25.0) AS le_25_0, count(*) FILTER (value <= 100.0) AS le_100_0, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1")
@@ -112,17 +112,19 @@ def kpi_status(spark, sf):
 @register("kpi_threshold", "SELECT event_type, round(least(60.0, greatest(20.0, quantile_cont(value, 0.75))), 6) AS green, round(least(300.0, greatest(100.0, quantile_cont(value, 0.95))), 6) AS red FROM events GROUP BY 1 HAVING count(*) >= 10")
 def kpi_threshold(spark, sf):
     """Thresholds suggested from percentiles, changed by half at most."""
-    held = lambda q, old: F.round(F.least(F.lit(old * 1.5), F.greatest(F.lit(old * 0.5), F.percentile("value", q))), 6)
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), held(0.75, 40.0).alias("green"), held(0.95, 200.0).alias("red")).where("n >= 10").drop("n")
+    held = lambda c, old: F.round(F.least(F.lit(old * 1.5), F.greatest(F.lit(old * 0.5), F.col(c))), 6).alias(c)
+    q = stats.quantiles(table(spark, sf, "events"), "event_type", "value", {"green": 0.75, "red": 0.95})
+    return q.where("n >= 10").select("event_type", held("green", 40.0), held("red", 200.0))
 
 
 @register("kpi_trend", """WITH w AS (SELECT event_type, value, rn, least(n, 200) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE rn <= 200),
     h AS (SELECT event_type, avg(value) FILTER (rn > n - n // 2) AS a, avg(value) FILTER (rn <= n - n // 2) AS b, stddev_samp(value) / avg(value) AS cv, max(n) AS n FROM w GROUP BY 1)
     SELECT event_type, round(100 * (b - a) / a, 4) AS change, round(0.5 * least(1.0, log10(n) / 2) + 0.5 * greatest(0.0, 1 - cv), 6) AS confidence FROM h""")
 def kpi_trend(spark, sf):
-    """The last 200 samples: second half against the first, and how far to trust it."""
-    by = Window.partitionBy("event_type")
-    w = table(spark, sf, "events").withColumn("rn", F.row_number().over(by.orderBy(F.desc("ts"), F.desc("event_id")))).withColumn("n", F.least(F.count("*").over(by), F.lit(200))).where("rn <= 200")
+    """The last 200 samples: second half against the first, and how far to trust it. Each task keeps 200 at most."""
+    last = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
+    w = table(spark, sf, "events").select("event_type", "ts", "event_id", "value").withColumn("rn", last).where("rn <= 200")
+    w = w.withColumn("n", F.count("*").over(Window.partitionBy("event_type")))
     first = F.col("rn") > F.col("n") - F.floor(F.col("n") / 2)
     h = w.groupBy("event_type").agg(F.avg(F.when(first, F.col("value"))).alias("a"), F.avg(F.when(~first, F.col("value"))).alias("b"), (F.stddev_samp("value") / F.avg("value")).alias("cv"), F.max("n").alias("n"))
     return h.select("event_type", F.round(100 * (F.col("b") - F.col("a")) / F.col("a"), 4).alias("change"), F.round(0.5 * F.least(F.lit(1.0), F.log10("n") / 2) + 0.5 * F.greatest(F.lit(0.0), 1 - F.col("cv")), 6).alias("confidence"))
@@ -174,9 +176,9 @@ def welch_t(spark, sf):
 @register("outliers_iqr", "WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1 HAVING count(*) >= 4) SELECT event_id, value FROM events JOIN q USING (event_type) WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)")
 def outliers_iqr(spark, sf):
     e = table(spark, sf, "events")
-    q = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("n")).where("n >= 4")
-    spread = 1.5 * (F.col("q")[1] - F.col("q")[0])
-    return e.join(q, "event_type").where((F.col("value") < F.col("q")[0] - spread) | (F.col("value") > F.col("q")[1] + spread)).select("event_id", "value")
+    q = stats.quantiles(e, "event_type", "value", {"a": 0.25, "b": 0.75}).where("n >= 4")
+    spread = 1.5 * (F.col("b") - F.col("a"))
+    return e.join(q, "event_type").where((F.col("value") < F.col("a") - spread) | (F.col("value") > F.col("b") + spread)).select("event_id", "value")
 
 
 @register("outliers_z", "SELECT event_id, round(z, 6) AS z FROM (SELECT event_id, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS z FROM events WINDOW w AS (PARTITION BY event_type)) WHERE abs(z) > 3")
@@ -259,9 +261,11 @@ def research_export(spark, sf):
     SELECT source, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) FILTER (rn <= 10), 6) AS relevant_at_10, count(quality) AS judged FROM r GROUP BY 1""")
 def retrieval_quality(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    d = d.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
+    top = d.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("rn <= 10")
     good = F.when(F.col("quality") == 1, 1.0).otherwise(0.0)
-    return d.groupBy("source").agg(F.round(F.avg(F.when(F.col("rn") <= 10, good)), 6).alias("relevant_at_10"), F.count("quality").alias("judged"))
+    top = top.groupBy(F.col("source").alias("of")).agg(F.round(F.avg(good), 6).alias("relevant_at_10"))
+    judged = d.groupBy("source").agg(F.count("quality").alias("judged"))
+    return judged.join(top, F.col("source").eqNullSafe(F.col("of"))).select("source", "relevant_at_10", "judged")
 
 
 @register("distinct_actors", "SELECT event_type, count(DISTINCT user_id) AS actors FROM events GROUP BY 1")

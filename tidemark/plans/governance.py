@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..model import ENTITIES_SQL, TRIPLES_SQL, entities, table, triples
@@ -52,7 +53,7 @@ def policy_decision(spark, sf):
     """Any deny wins; without a rule the answer is deny."""
     rules = spark.createDataFrame(_RULES, "action string, least int, effect string")
     q = table(spark, sf, "events").select(F.col("event_id").alias("request_id"), "event_type", "value")
-    return V.decide(q, rules, ((F.col("action") == F.col("event_type")) | (F.col("action") == "*")) & (F.col("value") >= F.col("least")))
+    return V.decide(q, rules, "event_type", F.col("value") >= F.col("least"))
 
 
 @register("audit_chain", "WITH RECURSIVE s AS (SELECT user_id, event_id, event_type || ':' || event_id AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), f(user_id, i, n, h) AS (SELECT DISTINCT user_id, 0::BIGINT, n, sha256('genesis') FROM s UNION ALL SELECT f.user_id, s.i, f.n, sha256(h || '|' || s.payload) FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1) SELECT user_id, n, h AS head FROM f WHERE i = n")
@@ -107,11 +108,10 @@ def unit_conversion(spark, sf):
 
 @register("pseudonyms", "SELECT user_id, 'p' || dense_rank() OVER (ORDER BY first) AS pseudonym FROM (SELECT user_id, min(event_id) AS first FROM events GROUP BY 1)")
 def pseudonyms(spark, sf):
-    """Ids by order of first sight: ranks within ranges of first events plus the counts of the ranges before."""
+    """Ids by order of first sight: ranks within at most 100,000 ranges of first events plus the counts of those before."""
     first = table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("first"))
-    from pyspark.sql import Window
-
-    part = first.withColumn("range", F.floor(F.col("first") / 1000))
+    lo, hi = first.agg(F.min("first")).scalar(), first.agg(F.max("first")).scalar()
+    part = first.withColumn("range", F.floor((F.col("first") - lo) / ((hi - lo + 1) / 100_000)))
     before = part.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("range").orderBy("first"))
     return part.join(before, "range").select("user_id", F.concat(F.lit("p"), (rank + F.col("before")).cast("string")).alias("pseudonym"))
@@ -140,8 +140,6 @@ def uncertainty_gate(spark, sf):
 @register("change_diff", "SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_quantity <> q THEN 'quantity' END, CASE WHEN l_discount <> d THEN 'discount' END, CASE WHEN l_returnflag <> r THEN 'returnflag' END], lambda x: x IS NOT NULL), ',') AS modified FROM (SELECT *, lag(l_quantity) OVER w AS q, lag(l_discount) OVER w AS d, lag(l_returnflag) OVER w AS r FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity)) WHERE q IS NOT NULL")
 def change_diff(spark, sf):
     """Fields that changed since the version before."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
     was = lambda c: F.lag(c).over(w)
     l = table(spark, sf, "lineitem").withColumns({"q": was("l_quantity"), "d": was("l_discount"), "r": was("l_returnflag")}).where("q is not null")  # noqa: E741

@@ -113,12 +113,9 @@ def review_evaluation(spark, sf):
   SELECT learner, kp, round(p, 8) AS mastery FROM f WHERE i = n""")
 def individual_tracing(spark, sf):
     """Tracing whose chance to learn joins the point's and the learner's on the logit scale."""
-    h = L.ordered(answers(spark, sf), ["learner", "kp"], ["ts", "event_id"], ["correct"])
     own = 0.3 + F.col("learner") % 5 / 10.0
     t = 1 / (1 + F.exp(-(F.log(F.lit(0.1 / 0.9)) + F.log(own / (1 - own)))))
-    h = h.withColumn("t", t)
-    p = F.aggregate("history", F.lit(0.5), lambda p, x: L.bkt_step(p, x["correct"], F.col("t")))
-    return h.select("learner", "kp", F.round(p, 8).alias("mastery"))
+    return L.traced(answers(spark, sf), ["learner", "kp"], t).select("learner", "kp", F.round("mastery", 8).alias("mastery"))
 
 
 @register("source_fusion", f"WITH {_BM25}, {_KNN}, f AS (SELECT query_id, key, sum(w / (60 + rank)) AS s, count(DISTINCT l) AS n FROM (SELECT query_id, key, rank, 0.6::DOUBLE AS w, 'text' AS l FROM bm UNION ALL SELECT query_id, key, rank, 0.4::DOUBLE, 'vector' FROM kn) GROUP BY 1, 2), g AS (SELECT query_id, key, round(s + CASE WHEN n > 1 THEN 0.15 * n ELSE 0 END, 9) AS score, n AS sources FROM f) SELECT * FROM (SELECT query_id, key, score, sources, {_RANK} FROM g) WHERE rank <= 10")

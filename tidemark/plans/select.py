@@ -95,7 +95,7 @@ def audit_query(spark, sf):
 @register("audit_replay", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events WHERE user_id = 7 AND ts < TIMESTAMP '2024-01-15'")
 def audit_replay(spark, sf):
     e = table(spark, sf, "events").where("user_id = 7 and ts < timestamp'2024-01-15'")
-    return e.select("event_id", F.row_number().over(Window.partitionBy(F.lit(7)).orderBy("ts", "event_id")).cast("long").alias("pos"))
+    return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("pos"))
 
 
 @register("provenance_query", "SELECT event_id FROM events WHERE event_type = 'purchase' AND value IS NOT NULL AND value >= 100 ORDER BY event_id LIMIT 500")
