@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .iterate import cut
 
 K1, B = 1.5, 0.75
 #: Query vectors that are sent to every task at most.
@@ -23,17 +24,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): docs have (doc_id, text), queries (query_id, text).
 
     Empty documents count neither in their number nor in the mean length; repeated query terms count as often as they
-    stand. Texts are cut once: lengths and counts come from one aggregation by document, and only terms that some
-    query holds reach the postings.
+    stand. Texts are read and cut once: each document gives the terms that some query holds and, under no term, a row of
+    its length. That table, which is small beside the texts, is checkpointed; all counts come from it.
     """
-    d = docs.select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    stats = d.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean"))
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    words = q.select("term").distinct()
-    postings = d.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(words, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    words = q.select("term").distinct().withColumn("asked", F.lit(True))
+    d = docs.select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    terms = d.select("doc_id", F.size("t").alias("length"), F.explode(F.array_append("t", F.lit(None).cast("string"))).alias("term"))
+    terms = terms.join(words, "term", "left").where("term is null or asked").groupBy("term", "doc_id")
+    held = cut(terms.agg(F.count("*").alias("tf"), F.sum("length").alias("sum"), F.first("length").alias("length")))
+    stats = held.where("term is null").agg(F.sum("tf").alias("docs"), (F.sum("sum") / F.sum("tf")).alias("mean"))
+    postings = held.where("term is not null")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighed = q.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", (F.col("times") * idf).alias("weight"), "mean")
+    weighed = q.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", (F.col("times") * idf).alias("weight"), "mean")  # stats is one row
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scores = postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * gain), 6).alias("score"))
     return ranked(scores, "query_id", "score", "doc_id", k)
