@@ -230,3 +230,54 @@ def test_folds_over_days_equal_plain_folds(spark):
         assert (t.mastery, t.log_likelihood, ema[k]) == (pytest.approx(p), pytest.approx(log), pytest.approx(e))
         assert (chain[k].n, chain[k].head) == (len(own), head)
     assert V.audit_chain(df.where("learner = 9"), "learner", ["ts"], F.lit("x")).collect() == []
+
+
+def test_recall_of_approximate_neighbours(spark):
+    """Each query has near copies among many unrelated vectors; nulls and zeros are left out."""
+    import numpy as np
+
+    from tidemark.operators import retrieval as R
+
+    g = np.random.default_rng(2)
+    base = g.standard_normal((2000, 32))
+    near = np.repeat(base[:50], 5, axis=0) + 0.25 * g.standard_normal((250, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    df = spark.createDataFrame([*rows, (9000, None), (9001, [0.0] * 32)], "key long, vector array<double>")
+    q = df.where("key < 50").withColumnRenamed("key", "query_id")
+    exact = {(r.query_id, r.key) for r in R.nearest(df, q, 6).where("score >= 0.9").collect()}
+    got = {(r.query_id, r.key) for r in R.approximate_nearest(df, q, 6).collect()}
+    assert len(exact) > 250 and len(exact & got) / len(exact) >= 0.95
+    assert not {k for _, k in got} & {9000, 9001}
+
+
+def test_resolved_names(spark):
+    """Against all pairs and plain merging: chains of edits, equal names, types apart, empty and null names."""
+    from tidemark.operators import store
+
+    r = random.Random(4)
+    names = ["".join(r.choice("abc") for _ in range(r.randrange(1, 7))) for _ in range(150)]
+    rows = [(f"e{i:03}", r.choice("xy"), n.upper() if i % 3 else f" {n} ") for i, n in enumerate(names)] + [("z1", "x", None), ("z2", "x", ""), ("z3", "x", "")]
+    for edits in (1, 2):
+        got = {x.entity_id: (x.cluster, x.links) for x in store.resolve(spark.createDataFrame(rows, "entity_id string, entity_type string, name string"), edits).collect()}
+        plain = {i: (t, n.strip().lower()) for i, t, n in rows if n}
+
+        def close(a, b):
+            d = list(range(len(b) + 1))
+            for i, x in enumerate(a):
+                last, d[0] = d[0], i + 1
+                for j, y in enumerate(b):
+                    last, d[j + 1] = d[j + 1], min(d[j + 1] + 1, d[j] + 1, last + (x != y))
+            return d[-1] <= edits
+
+        root = {i: i for i in plain}
+        changed = True
+        pairs = [(i, j) for i in plain for j in plain if plain[i][0] == plain[j][0] and close(plain[i][1], plain[j][1])]
+        while changed:
+            changed = False
+            for i, j in pairs:
+                if root[i] < root[j]:
+                    root[j], changed = root[i], True
+        for i in plain:
+            links = {plain[j] for a, j in pairs if a == i} - {plain[i]}
+            assert got[i] == (root[i], len(links)), i
+        assert {k: got[k] for k in ("z1", "z2", "z3")} == {k: (k, None) for k in ("z1", "z2", "z3")}

@@ -1,10 +1,12 @@
-"""Ingestion into a store, duplicates by identifier, ancestry, goal-directed inference and drift by running errors."""
+"""Ingestion into a store, duplicates by identifier, ancestry, goal-directed inference, drift by running errors and entity resolution."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normal_name
+from .graph import components
 from .iterate import cut
 
 
@@ -84,3 +86,27 @@ def ddm(rows: DataFrame, key: str, order: list[str], wrong: Column, least: int =
     p = p.withColumn("best", best)
     above = lambda n: F.count(F.when((F.col("i") >= least) & (F.col("p") + F.col("s") > F.col("best.p") + n * F.col("best.s")), 1))
     return p.groupBy(F.col("own").alias(key)).agg(F.count("*").alias("n"), above(warn).alias("warnings"), above(drift).alias("drifts"))
+
+
+def resolve(entities: DataFrame, edits: int = 1) -> DataFrame:
+    """(entity_id, cluster, links): entities of a type whose normalised names are equal or within some edits of another.
+
+    The cluster is the smallest entity_id that a chain of such names reaches; links counts the other names within reach
+    of the own one. Names meet under what is left of them after up to `edits` deletions: two names within that many edits
+    always share such a key, and a key holds few different names. Entities without a name stay alone, with null links.
+    """
+    named = entities.select("entity_id", "entity_type", normal_name(F.col("name")).alias("name")).where("name <> ''")
+    names = cut(named.groupBy("entity_type", "name").agg(F.min("entity_id").alias("first")))
+    keys = F.array("name")
+    for _ in range(edits):
+        shorter = F.transform(keys, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))
+        keys = F.array_distinct(F.concat(keys, F.flatten(shorter)))
+    meet = names.select("entity_type", "name", "first", F.explode(keys).alias("part"))
+    other = meet.select("entity_type", "part", F.col("name").alias("other"), F.col("first").alias("target"))
+    pairs = meet.join(other, ["entity_type", "part"]).where("first < target").where(F.levenshtein("name", "other", edits) >= 0)
+    pairs = cut(pairs.select(F.col("first").alias("source"), "target").distinct())
+    links = pairs.select(F.explode(F.array("source", "target")).alias("first")).groupBy("first").agg(F.count("*").alias("links"))
+    cluster = components(pairs).withColumnRenamed("node", "first")
+    seen = names.join(cluster, "first", "left").join(links, "first", "left").select("entity_type", "name", F.coalesce("component", "first").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))
+    all_ = entities.select("entity_id", "entity_type", normal_name(F.col("name")).alias("name"))
+    return all_.join(seen, ["entity_type", "name"], "left").select("entity_id", F.coalesce("cluster", "entity_id").alias("cluster"), "links")

@@ -265,3 +265,14 @@ def sync_counts(spark, sf):
     ok, bad = mapping.sync(table(spark, sf, "customer"), {"key": {"source": "c_custkey", "required": True}, "balance": {"source": "c_acctbal"}}, F.col("balance") >= 0)
     n = lambda df, name: df.select(F.lit(name).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
     return n(ok, "valid").unionByName(n(bad, "quarantined"))
+
+
+@register("resolved_entities", f"""WITH RECURSIVE {ENTITIES_SQL}, e AS (SELECT entity_id, entity_type, regexp_replace(lower(trim(name)), '\\s+', '', 'g') AS name FROM entities),
+  u AS (SELECT entity_type, name, min(entity_id) AS first FROM e GROUP BY 1, 2),
+  p AS (SELECT a.first AS a, b.first AS b FROM u a JOIN u b ON a.entity_type = b.entity_type AND a.first <> b.first AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) <= 1),
+  c(node, root) AS (SELECT a, least(a, b) FROM p UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.node WHERE c.root < p.b),
+  m AS (SELECT node, min(root) AS root FROM c GROUP BY 1), l AS (SELECT a, count(*) AS links FROM p GROUP BY 1)
+  SELECT entity_id, coalesce(root, first) AS cluster, coalesce(links, 0) AS links FROM e JOIN u USING (entity_type, name) LEFT JOIN m ON m.node = first LEFT JOIN l ON l.a = first""")
+def resolved_entities(spark, sf):
+    """Clusters of entities of a type whose names are equal or one edit apart, over all entities."""
+    return S.resolve(entities(spark, sf))

@@ -130,15 +130,10 @@ def source_fusion(spark, sf):
 
 @register("ann_lsh")
 def ann_lsh(spark, sf):
-    """Approximate neighbours by random projections, each hit with its true distance."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = table(spark, sf, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.0, numHashTables=4, seed=5).fit(v)
-    queries = v.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    near = model.approxSimilarityJoin(queries, v, 1.1, "distance")
-    return near.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("key"), F.round("distance", 6).alias("distance")).where("query_id <> key")
+    """Approximate neighbours by bands of signs, for all items of benchmark as queries."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    q = v.withColumnRenamed("key", "query_id").join(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+    return R.approximate_nearest(v, q, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("query_rewrite", "SELECT item_id, array_to_string(list_filter(['tion', 'the', 'er', 'zzz'], lambda t: contains(lower(text), t)), ' ') AS terms, len(list_filter(string_split(text, '.'), lambda s: trim(s) <> '')) AS clauses FROM benchmark")
