@@ -7,6 +7,7 @@ from .lines import OP5_SQL, op5_line_window_dedup
 from .minhash import op8_dart_minhash
 from .mixing import op4_min_cost_mix
 from .packing import op2_bm25_packing
+from .phrases import OP11_SQL, op11_pcy_phrases
 from .quality import op1_crf_line_quality
 from .shards import op3_range_coded_ids
 from .urls import OP6_SQL, op6_url_asof_lists
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_dart_minhash": op8_dart_minhash,
     "op9_warc_index_first": op9_warc_index_first,
     "op10_license_scan": op10_license_scan,
+    "op11_pcy_phrases": op11_pcy_phrases,
 }
 ORACLES: dict[str, str] = {
     "op5_line_window_dedup": OP5_SQL,
     "op6_url_asof_lists": OP6_SQL,
+    "op11_pcy_phrases": OP11_SQL,
 }
