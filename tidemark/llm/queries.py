@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .language_model import op12_context_mixing_score
 from .licenses import op10_license_scan
 from .lines import OP5_SQL, op5_line_window_dedup
 from .minhash import op8_dart_minhash
 from .mixing import op4_min_cost_mix
+from .negatives import OP13_SQL, op13_block_negatives
 from .packing import op2_bm25_packing
 from .phrases import OP11_SQL, op11_pcy_phrases
 from .quality import op1_crf_line_quality
@@ -26,9 +28,12 @@ QUERIES = {
     "op9_warc_index_first": op9_warc_index_first,
     "op10_license_scan": op10_license_scan,
     "op11_pcy_phrases": op11_pcy_phrases,
+    "op12_context_mixing_score": op12_context_mixing_score,
+    "op13_block_negatives": op13_block_negatives,
 }
 ORACLES: dict[str, str] = {
     "op5_line_window_dedup": OP5_SQL,
     "op6_url_asof_lists": OP6_SQL,
     "op11_pcy_phrases": OP11_SQL,
+    "op13_block_negatives": OP13_SQL,
 }
