@@ -147,6 +147,8 @@ def _later_pass(length: int, frequent, buckets, least: int, longest: int, bits:
         for batch in batches:
             for lang, ids, own, words in zip(*(batch.column(c).to_pylist() for c in ("lang", "ids", "own", "words")), strict=True):
                 ids, words = np.frombuffer(ids, "<i4"), words.split(b" ")
+                if len(ids) < length:
+                    continue
                 word, reach = word_hashes(lang, words)[ids], windows(ids, length + 1)
                 shorter = word
                 for k in range(1, length - 1):
