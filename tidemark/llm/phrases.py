@@ -30,11 +30,13 @@ STRIP = 1 << 21
 BREAK = b"\xff"
 #: Lower case, tabs as spaces, every piece break as a line feed.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
+#: Ways, by hash, that exact counts are added up in; a task holds the counted phrases of one way and language at a time.
+WAYS = 1 << 12
 #: Ways that the ranks of a language are cut in before one task has the rest.
 SALTS = 64
 
 CHUNKS = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("own", pa.int64()), ("words", pa.binary()), ("slice", pa.int32()), ("offsets", pa.binary()), ("counts", pa.binary())])
-GRAMS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64()), ("slice", pa.int32()), ("offsets", pa.binary()), ("counts", pa.binary())])
+GRAMS = pa.schema([("lang", pa.string()), ("way", pa.int32()), ("phrases", pa.binary()), ("n", pa.binary()), ("slice", pa.int32()), ("offsets", pa.binary()), ("counts", pa.binary())])
 
 
 def _rows(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
@@ -164,16 +166,45 @@ def _later_pass(length: int, frequent, buckets, least: int, longest: int, bits:
                     two = may[at] & may[at + 1] & (reach[at] > length) & (at < own)
                     yield _bucket_rows(GRAMS, bucket_of(longer(h[two], word[at[two] + length]), bits), least)
                 at, h = at[at < own], h[at < own]
-                at = at[np.argsort(h)]
+                order = np.argsort(h)
+                at, h = at[order], h[order]
                 # runs of equal words: phrases whose hashes clash are told apart
                 new = np.ones(len(at), bool)
                 new[1:] = np.any([ids[at[1:] + j] != ids[at[:-1] + j] for j in range(length)], axis=0)
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(at)))
-                places = ids[at[first][:, None] + np.arange(length)].tolist()
-                for k in range(0, len(first), 1 << 16):
-                    some = places[k : k + (1 << 16)]
-                    yield _rows(GRAMS, len(some), lang=[lang] * len(some), phrase=[b" ".join([words[i] for i in p]) for p in some], n=n[k : k + (1 << 16)])
+                way = bucket_of(h[first], WAYS.bit_length() - 1)
+                order = np.argsort(way, kind="stable")
+                places, n, way = ids[at[first[order]][:, None] + np.arange(length)].tolist(), n[order], way[order]
+                cuts = [0, *(np.flatnonzero(np.diff(way)) + 1).tolist(), len(way)]
+                spans = list(zip(cuts[:-1], cuts[1:], strict=True)) if len(way) else []
+                some = [b"\n".join([b" ".join([words[i] for i in p]) for p in places[i:j]]) for i, j in spans]
+                yield _rows(GRAMS, len(spans), lang=[lang] * len(spans), way=[int(way[i]) for i, _ in spans], phrases=some, n=[n[i:j].tobytes() for i, j in spans])
+
+    return run
+
+
+def _added(least: int):
+    """Phrases that reach least, of parts in the order of (way, lang)."""
+
+    def run(batches):
+        total, of = defaultdict(int), None
+
+        def reached():
+            kept = [(p, n) for p, n in total.items() if n >= least]
+            return pa.RecordBatch.from_arrays([pa.array([of[1]] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["lang", "phrase", "n"])
+
+        for batch in batches:
+            for way, lang, phrases, n in zip(*(batch.column(c).to_pylist() for c in ("way", "lang", "phrases", "n")), strict=True):
+                if (way, lang) != of:
+                    if of:
+                        yield reached()
+                    total.clear()
+                    of = (way, lang)
+                for phrase, k in zip(phrases.split(b"\n"), np.frombuffer(n, np.int64).tolist(), strict=True):
+                    total[phrase] += k
+        if of:
+            yield reached()
 
     return run
 
@@ -209,14 +240,16 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     first = stored(d.mapInArrow(_first_pass(least, longest, bits, chunk), _spark_schema(CHUNKS)), "chunks")
     words = first.where("word is not null")
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    gram = lambda df, k: df.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(k).alias("words"), "n")
-    found = [stored(gram(words.withColumnRenamed("word", "phrase"), 1), "phrases-1")]
+    named = lambda df, k: df.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(k).alias("words"), "n")
+    frequent = words.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = [stored(named(frequent, 1), "phrases-1")]
     chunks, counted = first.where("ids is not null").select("lang", "ids", "own", "words"), first
     for k in range(2, longest + 1):
         of_buckets = sc.broadcast(bitmap(counted.where("slice is not null").select("slice", "offsets", "counts"), bits, least))
         of_frequent = sc.broadcast(bitmap(found[-1].select("lang", "phrase").mapInArrow(_hashed(k - 1, bits), "slice int, offsets binary, counts binary"), bits, 1))
         counted = stored(chunks.mapInArrow(_later_pass(k, of_frequent, of_buckets, least, longest, bits), _spark_schema(GRAMS)), f"grams-{k}")
-        found.append(stored(gram(counted.where("phrase is not null"), k), f"phrases-{k}"))
+        parts = counted.where("way is not null").select("way", "lang", "phrases", "n").repartition("way").sortWithinPartitions("way", "lang")
+        found.append(stored(named(parts.mapInArrow(_added(least), "lang string, phrase binary, n long"), k), f"phrases-{k}"))
         of_buckets.destroy()
         of_frequent.destroy()
     return functools.reduce(DataFrame.unionAll, found), totals
