@@ -21,7 +21,12 @@ CHUNK = 1 << 20
 SEEN = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("ids", pa.binary())])
 SEEN_SQL = "chunk long, word binary, place int, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, bytes array<long>, ids binary"
 LOOKED_UP = "chunk long, c binary, ranks binary, hashes binary, spelled binary"
-PARTS = "part int, slice int, offsets binary, counts binary, cell int, value double"
+#: Tokens that a learner has at least, where there are so many: its tables leave it full, however few they are.
+LEARNER = 1 << 22
+#: Ways that the learners' other values are added up in.
+WAYS = 64
+PARTS = "part int, slice int, offsets binary, counts binary"
+PART = pa.schema([("part", pa.int32()), ("slice", pa.int32()), ("offsets", pa.binary()), ("counts", pa.binary())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
@@ -95,6 +100,8 @@ def _tokens(row: dict, code: dict) -> cm.Tokens:
 
 
 def _learning(code: dict):
+    """What a task's learner has counted, in slices; its other values are part ORDERS."""
+
     def run(batches):
         learner = cm.Learner()
         for batch in batches:
@@ -102,25 +109,20 @@ def _learning(code: dict):
                 tokens = _tokens(row, code)
                 learner.learn(tokens, np.flatnonzero(np.repeat(~np.array(row["held"], bool), row["sizes"])))
         for order, n, offsets, counts in learner.slices():
-            yield pd.DataFrame([(order, n, offsets, counts, None, None)], columns=[f.split()[0] for f in PARTS.split(", ")])
-        cells = learner.cells()
-        if cells.any():
-            yield pd.DataFrame({"part": None, "slice": None, "offsets": None, "counts": None, "cell": np.arange(len(cells), dtype=np.int32), "value": cells})
-
-    def arrow(batches):
-        schema = pa.schema([("part", pa.int32()), ("slice", pa.int32()), ("offsets", pa.binary()), ("counts", pa.binary()), ("cell", pa.int32()), ("value", pa.float64())])
-        for pdf in run(batches):
-            yield pa.RecordBatch.from_pandas(pdf, schema, preserve_index=False)
+            yield pa.RecordBatch.from_pylist([{"part": order, "slice": n, "offsets": offsets, "counts": counts}], PART)
+        way = TaskContext.get().partitionId() % WAYS
+        yield pa.RecordBatch.from_pylist([{"part": cm.ORDERS, "slice": way, "offsets": b"", "counts": learner.cells().tobytes()}], PART)
 
-    return arrow
+    return run
 
 
 def _summed(batches):
-    """Slices in order of (part, slice), added up and packed."""
-    total, at = np.zeros((cm.SLICE, 2), np.int64), None
+    """Parts in order of (part, slice), added up; slices of tables are packed."""
+    total, cells, at = np.zeros((cm.SLICE, 2), np.int64), np.zeros(cm.CELLS), None
 
     def done():
-        return pa.RecordBatch.from_pylist([{"part": at[0], "slice": at[1], "table": cm.packed(total).tobytes()}], pa.schema([("part", pa.int32()), ("slice", pa.int32()), ("table", pa.binary())]))
+        table = cells if at[0] == cm.ORDERS else cm.packed(total)
+        return pa.RecordBatch.from_pylist([{"part": at[0], "slice": at[1], "table": table.tobytes()}], pa.schema([("part", pa.int32()), ("slice", pa.int32()), ("table", pa.binary())]))
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -129,6 +131,10 @@ def _summed(batches):
                     yield done()
                 at = (row["part"], row["slice"])
                 total[:] = 0
+                cells[:] = 0
+            if at[0] == cm.ORDERS:
+                cells += np.frombuffer(row["counts"], np.float64)
+                continue
             places = np.frombuffer(row["offsets"], "<u2")
             width = len(row["counts"]) // len(places) // 2
             total[places] += np.frombuffer(row["counts"], f"<u{width}").reshape(-1, 2)
@@ -189,14 +195,14 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     found = words.groupBy("chunk").applyInPandas(_looked_up, LOOKED_UP)
     coded = stored(first.where("ids is not null").select("chunk", "doc_ids", "held", "sizes", "bytes", "ids").join(found, "chunk"), "coded")
 
-    learned = stored(coded.select("held", "sizes", "ids", "ranks", "hashes", "spelled").mapInArrow(_learning(code), PARTS), "learned")
-    tables = np.tile(cm.packed(np.zeros((1, 2), np.int64)), (cm.ORDERS, 1 << cm.BITS))
-    slices = learned.where("part is not null").select("part", "slice", "offsets", "counts").repartition("part", "slice").sortWithinPartitions("part", "slice")
+    tables, values = np.tile(cm.packed(np.zeros((1, 2), np.int64)), (cm.ORDERS, 1 << cm.BITS)), np.zeros(cm.CELLS)
+    learned = coded.select("held", "sizes", "ids", "ranks", "hashes", "spelled").coalesce(max(1, -(-n // LEARNER))).mapInArrow(_learning(code), PARTS)
+    slices = learned.repartition("part", "slice").sortWithinPartitions("part", "slice")
     for r in slices.mapInArrow(_summed, "part int, slice int, table binary").collect():  # ORDERS * 2**BITS slots of two bytes
-        tables[r["part"], r["slice"] * cm.SLICE : (r["slice"] + 1) * cm.SLICE] = np.frombuffer(r["table"], "<u2")
-    values = np.zeros(cm.CELLS)
-    for r in learned.where("cell is not null").groupBy("cell").agg(F.sum("value").alias("value")).collect():  # CELLS rows
-        values[r["cell"]] = r["value"]
+        if r["part"] == cm.ORDERS:
+            values += np.frombuffer(r["table"], np.float64)
+        else:
+            tables[r["part"], r["slice"] * cm.SLICE : (r["slice"] + 1) * cm.SLICE] = np.frombuffer(r["table"], "<u2")
     model = sc.broadcast((tables, values))
     kinds = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
     return coded.mapInArrow(_scoring(model, code, n, v, once, twice), ", ".join(f"{f.name} {kinds[f.type]}" for f in SCORES)).withColumnRenamed("doc_id", id_col)
