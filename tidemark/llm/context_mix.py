@@ -74,7 +74,7 @@ class Tokens:
 
     def __init__(self, ids, ranks, hashes, spelled: bytes, end: int, code: dict):
         self.ranks, self.code = ranks, code
-        hashes = hashes.view(np.uint64)
+        hashes = hashes.astype(np.uint64)
         before = np.concatenate([hashes[end : end + 1], hashes[ids[:-1]]])
         before2 = np.concatenate([before[:1], before[:-1]])
         before2 = np.where(before == hashes[end], before, before2)

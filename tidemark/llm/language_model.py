@@ -8,6 +8,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,10 +18,10 @@ from .common import stored
 from .words import strips
 
 #: Tokens of a chunk, the unit that is looked up and scored at once; a longer document is a chunk of its own.
-CHUNK = 1 << 20
-SEEN = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("ids", pa.binary())])
-SEEN_SQL = "chunk long, word binary, place int, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, bytes array<long>, ids binary"
-LOOKED_UP = "chunk long, c binary, ranks binary, hashes binary, spelled binary"
+CHUNK = 1 << 22
+SEEN = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("ids", pa.binary()), ("words", pa.binary())])
+SEEN_SQL = "chunk long, word binary, place int, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, bytes array<long>, ids binary, words binary"
+LOOKED_UP = "chunk long, c binary, ranks binary"
 #: Tokens that a learner has at least, where there are so many: its tables leave it full, however few they are.
 LEARNER = 1 << 22
 #: Ways that the learners' other values are added up in.
@@ -50,8 +51,8 @@ def _chunked(size: int):
             learned = np.bincount(all_ids[np.repeat(~np.array(held, bool), sizes)], minlength=len(words))
             n = len(words)
             null = pa.nulls(n, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(words, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(learned), null, pa.nulls(n, pa.list_(pa.bool_())), null, null, pa.nulls(n, pa.binary())], schema=SEEN)
-            one = {"chunk": chunk, "doc_ids": known, "held": held, "sizes": sizes, "bytes": lengths, "ids": all_ids.astype("<i4").tobytes()}
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(words, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(learned), null, pa.nulls(n, pa.list_(pa.bool_())), null, null, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=SEEN)
+            one = {"chunk": chunk, "doc_ids": known, "held": held, "sizes": sizes, "bytes": lengths, "ids": all_ids.astype("<i4").tobytes(), "words": b" ".join(words)}
             yield pa.RecordBatch.from_pylist([one], SEEN)
 
         start()
@@ -72,12 +73,10 @@ def _chunked(size: int):
 
 
 def _looked_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts, ranks (-1: not in the dictionary), hashes and spellings of a chunk's words, by place."""
+    """Counts and ranks (-1: not in the dictionary) of a chunk's words, by place."""
     pdf = pdf.sort_values("place")
-    ranks = pdf["rank"].fillna(-1).to_numpy(np.int64)
-    spelled = b"".join(w + b" " for w in pdf["word"][ranks < 0])
-    c = pdf["c"].fillna(0).to_numpy(np.int64)
-    return pd.DataFrame([(int(pdf["chunk"].iloc[0]), c.tobytes(), ranks.tobytes(), pdf["hash"].to_numpy(np.int64).tobytes(), spelled)], columns=[f.split()[0] for f in LOOKED_UP.split(", ")])
+    whole = lambda name, none: pdf[name].fillna(none).to_numpy(np.int64).tobytes()
+    return pd.DataFrame([(int(pdf["chunk"].iloc[0]), whole("c", 0), whole("rank", -1))], columns=[f.split()[0] for f in LOOKED_UP.split(", ")])
 
 
 def _ranked(counts: DataFrame) -> DataFrame:
@@ -95,8 +94,10 @@ def _ranked(counts: DataFrame) -> DataFrame:
 
 
 def _tokens(row: dict, code: dict) -> cm.Tokens:
-    get = lambda name: np.frombuffer(row[name], np.int64)
-    return cm.Tokens(np.frombuffer(row["ids"], "<i4"), get("ranks"), get("hashes"), row["spelled"], 0, code)
+    words, ranks = row["words"].split(b" "), np.frombuffer(row["ranks"], np.int64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    spelled = b"".join([words[i] + b" " for i in np.flatnonzero(ranks < 0)])
+    return cm.Tokens(np.frombuffer(row["ids"], "<i4"), ranks, hashes, spelled, 0, code)
 
 
 def _learning(code: dict):
@@ -191,12 +192,12 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     mass = ranked.where("rank is not null").groupBy((F.length(F.bin(F.col("rank") + 1)) - 1).alias("k")).agg(F.sum("c").alias("c"))  # at most 63 rows
     code = cm.huffman({cm.ESCAPE: max(1, once)} | {r["k"]: r["c"] for r in mass.collect()})
 
-    words = seen.join(ranked, "word", "left").select("chunk", "place", "c", "rank", F.xxhash64("word").alias("hash"), F.when(F.col("rank").isNull(), F.col("word")).alias("word"))
+    words = seen.select("chunk", "place", "word").join(ranked, "word", "left").select("chunk", "place", "c", "rank")
     found = words.groupBy("chunk").applyInPandas(_looked_up, LOOKED_UP)
-    coded = stored(first.where("ids is not null").select("chunk", "doc_ids", "held", "sizes", "bytes", "ids").join(found, "chunk"), "coded")
+    coded = stored(first.where("ids is not null").select("chunk", "doc_ids", "held", "sizes", "bytes", "ids", "words").join(found, "chunk"), "coded")
 
     tables, values = np.tile(cm.packed(np.zeros((1, 2), np.int64)), (cm.ORDERS, 1 << cm.BITS)), np.zeros(cm.CELLS)
-    learned = coded.select("held", "sizes", "ids", "ranks", "hashes", "spelled").coalesce(max(1, -(-n // LEARNER))).mapInArrow(_learning(code), PARTS)
+    learned = coded.select("held", "sizes", "ids", "words", "ranks").coalesce(max(1, -(-n // LEARNER))).mapInArrow(_learning(code), PARTS)
     slices = learned.repartition("part", "slice").sortWithinPartitions("part", "slice")
     for r in slices.mapInArrow(_summed, "part int, slice int, table binary").collect():  # ORDERS * 2**BITS slots of two bytes
         if r["part"] == cm.ORDERS:
