@@ -66,7 +66,7 @@ def plain_bits(seen, weights, refined, symbols):
         logits = [math.log((b + cm.DELTA) / (a + cm.DELTA)) for a, b in n]
         level = [int(cm.LEVEL[min(a + b, 16)]) for a, b in n[1:]]
         dot = sum(w * x for w, x in zip(weights[kind * 16 + level[1] * 4 + level[0]], logits, strict=True))
-        step = int(np.clip(np.rint(dot * 2) + cm.STEPS // 2, 0, cm.STEPS - 1))
+        step = int(np.clip(dot * 2 + cm.STEPS // 2 + 0.5, 0, cm.STEPS - 1))
         p = (1 / (1 + math.exp(-dot)) + refined[(kind * 4 + level[1]) * cm.STEPS + step]) / 2
         out -= math.log2(p if bit else 1 - p)
     return out
@@ -92,7 +92,7 @@ def test_tables_against_dictionaries():
         r, ctx = int(ranks[t]) + 1, (None, ("w", one), ("w", one, two))
         k = r.bit_length() - 1 if r else cm.ESCAPE
         symbols += [(cm.LENGTH, n, b, ctx) for n, b in zip(*code[k], strict=True)]
-        symbols += [(cm.REST, (k, r >> j), r >> (j - 1) & 1, ctx) for j in range(k, 0, -1)] if r else []
+        symbols += [(cm.REST, (k, r >> j), r >> (j - 1) & 1, ctx) for j in range(k, 0, -1)] if r else []  # SHALLOW is more
         if not r:
             a = b = 32
             for c in words[t] + b" ":

@@ -7,7 +7,8 @@ is that code's escape, then its bytes and a space, eight bits each. So all words
 Each decision is predicted by three contexts: none, the word (byte) before, the two before. A context and a decision
 share a slot of a hashed table that counts zeros and ones. The predictions' logits are combined by weights that a gate
 picks by kind of decision and by how often both contexts were seen; what comes out is refined by a table of how often
-ones followed such a mix.
+ones followed such a mix. Bits of a rank behind its first SHALLOW ones tell words of like frequency apart; they have no
+context, which takes a third of the work off.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ import heapq
 import numpy as np
 
 #: Slots of a table: 2**BITS.
-BITS = 21
+BITS = 20
 ORDERS = 3
 #: Slots of the slices that tables are added up in.
 SLICE = 1 << 13
+SHALLOW = 6
 #: Decisions of a rank's length, of its other bits, of a spelling.
-LENGTH, REST, SPELLING = range(3)
+LENGTH, REST, SPELLING, DEEP = range(4)
 LEVELS = 4
-SETS = 3 * LEVELS * LEVELS
+GATES = LEVELS * LEVELS
+SETS = 3 * GATES
 STEPS = 33
 #: Tokens that are predicted before their counts are added.
 TOGETHER = 1 << 15
@@ -34,7 +37,9 @@ DELTA = 0.4
 ESCAPE = 63
 #: Logits are stored in steps of 1/160, within 2 ** 12 steps, beside two bits of level.
 GRAIN = 160
-A, M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+M = np.uint64(0xD6E8FEB86659FD93)
+#: Multipliers of 32 bits: numpy does four times as many of those at once.
+A, B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 LEVEL = np.array([0, 1, 1, *[2] * 13, 3], np.uint8)
 
 
@@ -57,16 +62,17 @@ def huffman(mass: dict[int, int]) -> dict[int, tuple[list[int], list[int]]]:
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     x = (x ^ np.uint64(seed)) * M
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))).astype(np.uint32)
 
 
 def slots(nodes: np.ndarray, context: np.ndarray | None) -> np.ndarray:
-    h = nodes if context is None else nodes + context[:, None]
-    return ((h * A) >> np.uint64(64 - BITS)).view(np.int64).ravel()
+    h = (nodes if context is None else nodes ^ context[:, None]) * A
+    return ((h ^ (h >> np.uint32(15))) * B >> np.uint32(32 - BITS)).ravel().astype(np.intp)
 
 
-def node(kind: int, where, prefix: np.ndarray) -> np.ndarray:
-    return (np.uint64((kind + 1) << 56) + np.uint64(where << 48) + prefix.astype(np.uint64)) * M
+def node(kind: int, where: int, prefix: np.ndarray) -> np.ndarray:
+    x = (prefix.astype(np.uint32) + np.uint32((kind * 64 + where) * 0x3C6EF372 & 0xFFFFFFFF)) * B
+    return x ^ (x >> np.uint32(13))
 
 
 class Tokens:
@@ -74,11 +80,7 @@ class Tokens:
 
     def __init__(self, ids, ranks, hashes, spelled: bytes, end: int, code: dict):
         self.ranks, self.code = ranks, code
-        hashes = hashes.astype(np.uint64)
-        before = np.concatenate([hashes[end : end + 1], hashes[ids[:-1]]])
-        before2 = np.concatenate([before[:1], before[:-1]])
-        before2 = np.where(before == hashes[end], before, before2)
-        self.ids, self.one, self.two = ids, mixed(before, 1), mixed(before + mixed(before2, 2), 3)
+        self.ids, self.hashes, self.end = ids, hashes.astype(np.uint64), end
         self.bits = np.where(ranks < 0, ESCAPE, np.frexp((ranks + 1).astype(np.float64))[1] - 1).astype(np.uint8)
         self.letters = np.frombuffer(spelled, np.uint8)
         stops = np.flatnonzero(self.letters == 32)
@@ -91,17 +93,24 @@ class Tokens:
         second = np.where(first == 32, 32, np.concatenate([first[:1], first[:-1]])).astype(np.uint64)
         self.letter_one, self.letter_two = mixed(first, 5), mixed(first * np.uint64(256) + second, 7)
 
+    def contexts(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the word before some tokens, and of both before; nothing is before the beginning of a text."""
+        before = np.where(some > 0, self.ids[some - 1], self.end)
+        second = np.where((some > 1) & (before != self.end), self.ids[some - 2], self.end)
+        return mixed(self.hashes[before], 1), mixed(self.hashes[before] * np.uint64(3) + self.hashes[second], 3)
+
     def decisions(self, some: np.ndarray):
-        """(kind, which of some, nodes, bits, one, two): nodes and bits have a row for each; a token may come twice."""
+        """(kind, which of some, nodes, bits, one, two): nodes and bits have a row for each; a token may come often."""
         kinds = self.bits[self.ids[some]]
+        all_one, all_two = self.contexts(some)
         order = np.argsort(kinds, kind="stable")
         cuts = np.flatnonzero(np.diff(kinds[order])) + 1
         for own in np.split(order, cuts) if len(some) else []:
             k = int(kinds[own[0]])
-            at = some[own]
+            at, one, two = some[own], all_one[own], all_two[own]
             nodes, bits = self.code[k]
             if nodes:
-                yield LENGTH, own, np.broadcast_to(node(LENGTH, 0, np.array(nodes)), (len(at), len(nodes))), np.broadcast_to(np.array(bits, bool), (len(at), len(bits))), self.one[at], self.two[at]
+                yield LENGTH, own, np.broadcast_to(node(LENGTH, 0, np.array(nodes)), (len(at), len(nodes))), np.broadcast_to(np.array(bits, bool), (len(at), len(bits))), one, two
             if k == ESCAPE:
                 words = self.ids[at]
                 n = self.lengths[words]
@@ -111,8 +120,9 @@ class Tokens:
                 yield SPELLING, np.repeat(own, n), node(SPELLING, 0, byte[:, None] >> down), (byte[:, None] >> (down - 1) & 1).astype(bool), self.letter_one[place], self.letter_two[place]
             elif k:
                 value = self.ranks[self.ids[at]] + 1
-                down = np.arange(k, 0, -1)
-                yield REST, own, node(REST, k, value[:, None] >> down), (value[:, None] >> (down - 1) & 1).astype(bool), self.one[at], self.two[at]
+                for kind, down in ((REST, np.arange(k, max(0, k - SHALLOW), -1)), (DEEP, np.arange(k - SHALLOW, 0, -1))):
+                    if len(down):
+                        yield kind, own, node(REST, k, value[:, None] >> down), (value[:, None] >> (down - 1) & 1).astype(bool), one, two
 
 
 class Learner:
@@ -128,7 +138,10 @@ class Learner:
         for k in range(0, len(at), TOGETHER):
             counted = []
             for kind, _, nodes, bits, one, two in tokens.decisions(at[k : k + TOGETHER]):
-                counted.append(self._mix(kind, nodes, bits.ravel(), one, two))
+                if kind == DEEP:
+                    counted.append([slots(nodes, None) * 2 + bits.ravel()])
+                else:
+                    counted.append(self._mix(kind, nodes, bits.ravel(), one, two))
             for places in counted:
                 for order, x in enumerate(places):
                     np.add.at(self.counts[order].reshape(-1), x, np.int32(1))
@@ -140,17 +153,20 @@ class Learner:
         n = [((x & 0xFFFFFFFF).astype(np.float32), (x >> 32).astype(np.float32)) for x in n]
         logits = [np.log((ones + np.float32(DELTA)) / (zeros + np.float32(DELTA))) for zeros, ones in n]
         level = [LEVEL[np.minimum(zeros + ones, 16).astype(np.int8)] for zeros, ones in n[1:]]
-        gate = (level[1] * np.uint8(LEVELS) + level[0]).astype(np.intp) + kind * LEVELS * LEVELS
-        weights = self.weights.astype(np.float32)
-        dot = sum(weights[gate, t] * x for t, x in enumerate(logits))
+        gate = level[1] * np.uint8(LEVELS) + level[0]
+        at, weights = gate.astype(np.intp), self.weights[kind * GATES : (kind + 1) * GATES].astype(np.float32)
+        dot = sum(np.take(weights[:, t], at) * x for t, x in enumerate(logits))
         wrong = bit - 1 / (1 + np.exp(-dot))
-        cell = cells(kind, level[1], dot)
-        self.refined[0] += np.bincount(cell, minlength=self.refined.shape[1])
-        self.refined[1] += np.bincount(cell[bit], minlength=self.refined.shape[1])
-        size = np.bincount(gate, minlength=SETS)
-        slope = np.stack([np.bincount(gate, wrong * x, SETS) for x in logits], 1)
-        self.weights += RATE * slope / np.maximum(size, 64)[:, None]
-        self.seen += size
+        both = np.bincount(cells(level[1], dot) * 2 + bit, minlength=2 * LEVELS * STEPS).reshape(-1, 2)
+        own = slice(kind * LEVELS * STEPS, (kind + 1) * LEVELS * STEPS)
+        self.refined[0, own] += both.sum(axis=1)
+        self.refined[1, own] += both[:, 1]
+        # sums by gate as a product with the gates' indicators
+        size = np.bincount(at, minlength=GATES)
+        slope = (gate == np.arange(GATES, dtype=np.uint8)[:, None]).astype(np.float32) @ np.stack([wrong * x for x in logits], 1)
+        own = slice(kind * GATES, (kind + 1) * GATES)
+        self.weights[own] += RATE * slope / np.maximum(size, 64)[:, None]
+        self.seen[own] += size
         return [x * 2 + bit for x in places]
 
     def slices(self):
@@ -164,17 +180,9 @@ class Learner:
                     kind = "u1" if n.max() < 256 else "<u2" if n.max() < 65536 else "<u4"
                     yield order, s, met.astype("<u2").tobytes(), n.astype(kind).tobytes()
 
-    def cells(self) -> np.ndarray:
-        """Values that are added over all learners: weights by how often they were used, that number, and refinement."""
-        return np.concatenate([(self.weights * self.seen[:, None]).ravel(), self.seen, self.refined.ravel()]).astype(np.float64)
-
-
-CELLS = SETS * ORDERS + SETS + 2 * 3 * LEVELS * STEPS
-
-
-def cells(kind: int, level: np.ndarray, dot: np.ndarray) -> np.ndarray:
-    step = np.clip(np.rint(dot * 2) + STEPS // 2, 0, STEPS - 1).astype(np.intp)
-    return (kind * LEVELS + level.astype(np.intp)) * STEPS + step
+    def cells(level: np.ndarray, dot: np.ndarray) -> np.ndarray:
+    step = np.minimum(np.maximum(dot * np.float32(2) + np.float32(STEPS // 2 + 0.5), np.float32(0)), np.float32(STEPS - 1)).astype(np.intp)
+    return level * np.intp(STEPS) + step
 
 
 def packed(zeros_ones: np.ndarray) -> np.ndarray:
@@ -211,11 +219,16 @@ class Scorer:
         return out, spelling
 
     def _bits(self, kind, nodes, bits, one, two) -> np.ndarray:
+        if kind == DEEP:
+            logit = (self.tables[0][slots(nodes, None)] >> 2).astype(np.float32) * np.float32(1 / GRAIN) - np.float32(2048 / GRAIN)
+            return np.logaddexp(np.float32(0), np.where(bits.ravel(), -logit, logit)).reshape(bits.shape).sum(axis=1, dtype=np.float64) / np.log(2)
         found = [self.tables[t][slots(nodes, c)] for t, c in enumerate((None, one, two))]
         logits = [(x >> 2).astype(np.float32) * np.float32(1 / GRAIN) - np.float32(2048 / GRAIN) for x in found]
         level = [x & 3 for x in found[1:]]
-        gate = (level[1] * np.uint16(LEVELS) + level[0]).astype(np.intp) + kind * LEVELS * LEVELS
-        dot = sum(self.weights[gate, t] * x for t, x in enumerate(logits))
-        p = (1 / (1 + np.exp(-dot)) + self.refined[cells(kind, level[1], dot)]) * np.float32(0.5)
-        p = np.clip(p, 1e-6, 1 - 1e-6)
-        return -np.log2(np.where(bits.ravel(), p, 1 - p)).reshape(bits.shape).sum(axis=1, dtype=np.float64)
+        gate = (level[1] * np.uint16(LEVELS) + level[0]).astype(np.intp)
+        weights, refined = self.weights[kind * GATES : (kind + 1) * GATES], self.refined[kind * LEVELS * STEPS : (kind + 1) * LEVELS * STEPS]
+        dot = sum(np.take(weights[:, t], gate) * x for t, x in enumerate(logits))
+        p = (1 / (1 + np.exp(-dot)) + np.take(refined, cells(level[1], dot))) * np.float32(0.5)
+        p = np.minimum(np.maximum(p, np.float32(1e-6)), np.float32(1 - 1e-6))
+        # p where the bit is one, 1 - p where it is zero
+        return -np.log2(np.abs((1 - bits.ravel()) - p)).reshape(bits.shape).sum(axis=1, dtype=np.float64)

@@ -18,12 +18,12 @@ from .common import stored
 from .words import strips
 
 #: Tokens of a chunk, the unit that is looked up and scored at once; a longer document is a chunk of its own.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 SEEN = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("ids", pa.binary()), ("words", pa.binary())])
 SEEN_SQL = "chunk long, word binary, place int, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, bytes array<long>, ids binary, words binary"
 LOOKED_UP = "chunk long, c binary, ranks binary"
 #: Tokens that a learner has at least, where there are so many: its tables leave it full, however few they are.
-LEARNER = 1 << 22
+LEARNER = 1 << 23
 #: Ways that the learners' other values are added up in.
 WAYS = 64
 PARTS = "part int, slice int, offsets binary, counts binary"
@@ -93,6 +93,12 @@ def _ranked(counts: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(before), "part").select("word", "c", F.when(F.col("c") > 1, F.col("before") + F.col("at")).alias("rank"))
 
 
+def _rows(batch: pa.RecordBatch):
+    """One row at a time: a batch holds some chunks."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _tokens(row: dict, code: dict) -> cm.Tokens:
     words, ranks = row["words"].split(b" "), np.frombuffer(row["ranks"], np.int64)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -106,7 +112,7 @@ def _learning(code: dict):
     def run(batches):
         learner = cm.Learner()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 tokens = _tokens(row, code)
                 learner.learn(tokens, np.flatnonzero(np.repeat(~np.array(row["held"], bool), row["sizes"])))
         for order, n, offsets, counts in learner.slices():
@@ -151,7 +157,7 @@ def _scoring(model, code: dict, n: int, v: int, once: int, twice: int):
     def run(batches):
         scorer = cm.Scorer(*model.value)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 tokens, sizes = _tokens(row, code), np.array(row["sizes"])
                 starts = np.cumsum(sizes) - sizes
                 c = np.frombuffer(row["c"], np.int64)
