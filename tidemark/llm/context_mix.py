@@ -96,7 +96,7 @@ class Tokens:
     def contexts(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the word before some tokens, and of both before; nothing is before the beginning of a text."""
         before = np.where(some > 0, self.ids[some - 1], self.end)
-        second = np.where((some > 1) & (before != self.end), self.ids[some - 2], self.end)
+        second = np.where((some > 1) & (before != self.end), self.ids[np.maximum(some - 2, 0)], self.end)
         return mixed(self.hashes[before], 1), mixed(self.hashes[before] * np.uint64(3) + self.hashes[second], 3)
 
     def decisions(self, some: np.ndarray):
