@@ -30,3 +30,9 @@ def read_range(folder: str, name: str, offset: int, length: int) -> bytes:
     system, base = opened(folder)
     with system.open_input_file(f"{base}/{name}") as source:
         return source.read_at(length, offset)
+
+
+def read_file(folder: str, name: str) -> bytes:
+    system, base = opened(folder)
+    with system.open_input_stream(f"{base}/{name}") as source:
+        return source.read()

@@ -9,18 +9,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import context_mix as cm
-from .common import stored
+from .common import new_folder, stored
+from .files import read_file, write_file
 from .words import strips
 
 #: Tokens of a chunk, the unit that is looked up and scored at once; a longer document is a chunk of its own.
-CHUNK = 1 << 21
-SEEN = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("ids", pa.binary()), ("words", pa.binary())])
-SEEN_SQL = "chunk long, word binary, place int, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, bytes array<long>, ids binary, words binary"
+CHUNK = 6 << 20
+SEEN = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("file", pa.string())])
+SEEN_SQL = "chunk long, word binary, place int, n long, doc_ids array<long>, held array<boolean>, sizes array<long>, bytes array<long>, file string"
 LOOKED_UP = "chunk long, c binary, ranks binary"
 #: Tokens that a learner has at least, where there are so many: its tables leave it full, however few they are.
 LEARNER = 1 << 23
@@ -31,8 +33,11 @@ PART = pa.schema([("part", pa.int32()), ("slice", pa.int32()), ("offsets", pa.bi
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
-def _chunked(size: int):
-    """Documents as places in the word list of their chunk; the end of a text is the empty word, at place 0."""
+def _chunked(size: int, folder: str):
+    """Documents as places in the word list of their chunk; the end of a text is the empty word, at place 0.
+
+    Places and words go to a file of their own; what is shuffled is its name.
+    """
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -51,8 +56,10 @@ def _chunked(size: int):
             learned = np.bincount(all_ids[np.repeat(~np.array(held, bool), sizes)], minlength=len(words))
             n = len(words)
             null = pa.nulls(n, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(words, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(learned), null, pa.nulls(n, pa.list_(pa.bool_())), null, null, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=SEEN)
-            one = {"chunk": chunk, "doc_ids": known, "held": held, "sizes": sizes, "bytes": lengths, "ids": all_ids.astype("<i4").tobytes(), "words": b" ".join(words)}
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(words, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(learned), null, pa.nulls(n, pa.list_(pa.bool_())), null, null, pa.nulls(n, pa.string())], schema=SEEN)
+            data = all_ids.astype("<i4").tobytes()
+            packed = zstandard.compress(len(data).to_bytes(8, "little") + data + b" ".join(words))
+            one = {"chunk": chunk, "doc_ids": known, "held": held, "sizes": sizes, "bytes": lengths, "file": write_file(folder, "tokens.zst", packed)}
             yield pa.RecordBatch.from_pylist([one], SEEN)
 
         start()
@@ -99,21 +106,23 @@ def _rows(batch: pa.RecordBatch):
         yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _tokens(row: dict, code: dict) -> cm.Tokens:
-    words, ranks = row["words"].split(b" "), np.frombuffer(row["ranks"], np.int64)
+def _tokens(row: dict, code: dict, folder: str) -> cm.Tokens:
+    data = zstandard.decompress(read_file(folder, row["file"]))
+    end = 8 + int.from_bytes(data[:8], "little")
+    words, ranks = data[end:].split(b" "), np.frombuffer(row["ranks"], np.int64)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     spelled = b"".join([words[i] + b" " for i in np.flatnonzero(ranks < 0)])
-    return cm.Tokens(np.frombuffer(row["ids"], "<i4"), ranks, hashes, spelled, 0, code)
+    return cm.Tokens(np.frombuffer(data[8:end], "<i4"), ranks, hashes, spelled, 0, code)
 
 
-def _learning(code: dict):
+def _learning(code: dict, folder: str):
     """What a task's learner has counted, in slices; its other values are part ORDERS."""
 
     def run(batches):
         learner = cm.Learner()
         for batch in batches:
             for row in _rows(batch):
-                tokens = _tokens(row, code)
+                tokens = _tokens(row, code, folder)
                 learner.learn(tokens, np.flatnonzero(np.repeat(~np.array(row["held"], bool), row["sizes"])))
         for order, n, offsets, counts in learner.slices():
             yield pa.RecordBatch.from_pylist([{"part": order, "slice": n, "offsets": offsets, "counts": counts}], PART)
@@ -149,7 +158,7 @@ def _summed(batches):
         yield done()
 
 
-def _scoring(model, code: dict, n: int, v: int, once: int, twice: int):
+def _scoring(model, code: dict, folder: str, n: int, v: int, once: int, twice: int):
     # left out of its own text, a word that occurs once is new and one that occurs twice occurs once
     new, single = (-np.log2(x / (once + 2 * twice)) if x else 0.0 for x in (once, 2 * twice))
     single += np.log2(max(1, once))
@@ -158,7 +167,7 @@ def _scoring(model, code: dict, n: int, v: int, once: int, twice: int):
         scorer = cm.Scorer(*model.value)
         for batch in batches:
             for row in _rows(batch):
-                tokens, sizes = _tokens(row, code), np.array(row["sizes"])
+                tokens, sizes = _tokens(row, code, folder), np.array(row["sizes"])
                 starts = np.cumsum(sizes) - sizes
                 c = np.frombuffer(row["c"], np.int64)
                 base = np.log10((c + 1) / (n + (v + 1)))[tokens.ids]
@@ -190,7 +199,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    first = stored(rows.mapInArrow(_chunked(chunk), SEEN_SQL), "chunks")
+    folder = new_folder(docs.sparkSession, "tokens")
+    first = stored(rows.mapInArrow(_chunked(chunk, folder), SEEN_SQL), "chunks")
     seen = first.where("word is not null").select("chunk", "word", "place", "n")
     counts = stored(seen.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     n, v, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
@@ -200,10 +210,10 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     words = seen.select("chunk", "place", "word").join(ranked, "word", "left").select("chunk", "place", "c", "rank")
     found = words.groupBy("chunk").applyInPandas(_looked_up, LOOKED_UP)
-    coded = stored(first.where("ids is not null").select("chunk", "doc_ids", "held", "sizes", "bytes", "ids", "words").join(found, "chunk"), "coded")
+    coded = stored(first.where("file is not null").select("chunk", "doc_ids", "held", "sizes", "bytes", "file").join(found, "chunk"), "coded")
 
     tables, values = np.tile(cm.packed(np.zeros((1, 2), np.int64)), (cm.ORDERS, 1 << cm.BITS)), np.zeros(cm.CELLS)
-    learned = coded.select("held", "sizes", "ids", "words", "ranks").coalesce(max(1, -(-n // LEARNER))).mapInArrow(_learning(code), PARTS)
+    learned = coded.select("held", "sizes", "file", "ranks").coalesce(max(1, -(-n // LEARNER))).mapInArrow(_learning(code, folder), PARTS)
     slices = learned.repartition("part", "slice").sortWithinPartitions("part", "slice")
     for r in slices.mapInArrow(_summed, "part int, slice int, table binary").collect():  # ORDERS * 2**BITS slots of two bytes
         if r["part"] == cm.ORDERS:
@@ -212,7 +222,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             tables[r["part"], r["slice"] * cm.SLICE : (r["slice"] + 1) * cm.SLICE] = np.frombuffer(r["table"], "<u2")
     model = sc.broadcast((tables, values))
     kinds = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
-    return coded.mapInArrow(_scoring(model, code, n, v, once, twice), ", ".join(f"{f.name} {kinds[f.type]}" for f in SCORES)).withColumnRenamed("doc_id", id_col)
+    return coded.mapInArrow(_scoring(model, code, folder, n, v, once, twice), ", ".join(f"{f.name} {kinds[f.type]}" for f in SCORES)).withColumnRenamed("doc_id", id_col)
 
 
 def op12_context_mixing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
