@@ -91,3 +91,26 @@ def test_jdbc_names(spark):
 def test_iso_time_epoch(spark):
     got = spark.createDataFrame([("0",)], "t string").select(mapping.iso_time(F.col("t"))).first()[0]
     assert got == datetime.datetime(1970, 1, 1).isoformat() + "Z"
+
+
+def test_iso_time_in_any_session_zone(spark):
+    rows = [("0", "1970-01-01T00:00:00Z"), ("-1", "1969-12-31T23:59:59Z"), ("1700000000.5", "2023-11-14T22:13:20Z"), ("2024-03-10T02:30:00+09:00", "2024-03-09T17:30:00Z"), ("2024-03-10 02:30:00", "2024-03-10T02:30:00Z"), ("2024-03-10T02:30:00", "2024-03-10T02:30:00Z"), ("2024-03-10", "2024-03-10T00:00:00Z"), ("10/03/2024", "2024-03-10T00:00:00Z"), ("2024-03", "2024-03-01T00:00:00Z"), ("soon", "soon"), (None, None)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            got = spark.createDataFrame(rows, "t string, want string").select(mapping.iso_time(F.col("t")).alias("got"), "want").collect()
+            assert [r.got for r in got] == [r.want for r in got], z
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_plan_modules_import_alone():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(mapping.__file__).parents[2]
+    for name in sorted(p.stem for p in (root / "tidemark" / "plans").glob("*.py") if p.stem != "__init__"):
+        done = subprocess.run([sys.executable, "-c", f"import tidemark.plans.{name}"], cwd=root, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr

@@ -56,15 +56,19 @@ def cheapest(edges: DataFrame, start: str, max_hops: int) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """Transitive closure (source, target), with (a, a) on cycles; semi-naive, to the fixpoint."""
+    """Transitive closure (source, target), with (a, a) on cycles.
+
+    Each round doubles the length of the paths that are known: a pair at a distance of up to twice that is a pair that
+    the last round found and a known one.
+    """
     known = cut(edges.select("source", "target").distinct())
     new = known
     while True:
-        step = new.select("source", F.col("target").alias("via")).join(edges.select(F.col("source").alias("via"), "target"), "via").select("source", "target").distinct()
+        step = new.select("source", F.col("target").alias("via")).join(known.select(F.col("source").alias("via"), "target"), "via").select("source", "target").distinct()
         new = cut(step.join(known, ["source", "target"], "left_anti"))
         if new.isEmpty():
             return known
-        known = known.unionByName(new)
+        known = cut(known.unionByName(new))
 
 
 def components(edges: DataFrame) -> DataFrame:

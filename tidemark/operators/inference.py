@@ -1,9 +1,8 @@
-"""Rule inference, path enumeration, communities and translation embeddings over triples."""
+"""Rule inference, path enumeration and translation embeddings over triples."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,56 +58,6 @@ def k_paths(edges: DataFrame, start: str, end: str, k: int, max_hops: int) -> Da
     return best.withColumn("rank", F.row_number().over(Window.orderBy("cost", "path")))
 
 
-def louvain(edges: DataFrame, component: DataFrame, gamma: float = 1.0, seed: int = 7) -> DataFrame:
-    """(node, community): greedy modularity moves and merges inside each component, which fits one task.
-
-    edges (source, target, weight) count both ways; component is (node, component). Nodes are visited in a seeded order;
-    a community is named by its smallest node.
-    """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf.source) | set(pdf.target))
-        index = {n: i for i, n in enumerate(nodes)}
-        n = len(nodes)
-        w = np.zeros((n, n)) if n <= 2000 else None
-        if w is None:
-            raise ValueError("a component of more than 2000 nodes: cut it by label propagation first")
-        for a, b, x in zip(pdf.source, pdf.target, pdf.weight, strict=True):
-            w[index[a], index[b]] += x
-            w[index[b], index[a]] += x
-        member = np.arange(n)
-        level, of = w, [[i] for i in range(n)]
-        rng = np.random.default_rng(seed)
-        while True:
-            m2, degree = level.sum(), level.sum(axis=1)
-            label, total = np.arange(len(level)), degree.copy()
-            moved, any_moved = True, False
-            while moved and m2 > 0:
-                moved = False
-                for i in rng.permutation(len(level)):
-                    total[label[i]] -= degree[i]
-                    gain = np.bincount(label, level[i] * (np.arange(len(level)) != i), len(level)) - gamma * degree[i] * total / m2
-                    best = int(np.argmax(gain))
-                    if gain[best] <= gain[label[i]] + 1e-12:
-                        best = label[i]
-                    moved |= best != label[i]
-                    label[i] = best
-                    total[best] += degree[i]
-                any_moved |= moved
-            names = np.unique(label)
-            if not any_moved or len(names) == len(level):
-                break
-            of = [[x for i in np.flatnonzero(label == c) for x in of[i]] for c in names]
-            one = (label[:, None] == names[None, :]).astype(float)
-            level = one.T @ level @ one
-        for group in of:
-            member[group] = min(group)
-        return pd.DataFrame({"node": nodes, "community": [nodes[i] for i in member]})
-
-    tagged = edges.join(component.withColumnRenamed("node", "source"), "source").select("component", "source", "target", "weight")
-    return tagged.groupBy("component").applyInPandas(solve, "node string, community string")
-
-
 def translate(triples: DataFrame, dim: int = 16, epochs: int = 30, sample: int = 20_000, rate: float = 0.05, margin: float = 1.0, seed: int = 3) -> tuple[DataFrame, DataFrame]:
     """Translation embeddings ((entity, vector), (predicate, vector)) of all entities and predicates of the triples.
 

@@ -88,25 +88,65 @@ def ddm(rows: DataFrame, key: str, order: list[str], wrong: Column, least: int =
     return p.groupBy(F.col("own").alias(key)).agg(F.count("*").alias("n"), above(warn).alias("warnings"), above(drift).alias("drifts"))
 
 
-def resolve(entities: DataFrame, edits: int = 1) -> DataFrame:
-    """(entity_id, cluster, links): entities of a type whose normalised names are equal or within some edits of another.
+#: Shortest names, without their digits, that may differ by one and by two edits.
+ONE_EDIT, TWO_EDITS = 5, 12
 
-    The cluster is the smallest entity_id that a chain of such names reaches; links counts the other names within reach
-    of the own one. Names meet under what is left of them after up to `edits` deletions: two names within that many edits
-    always share such a key, and a key holds few different names. Entities without a name stay alone, with null links.
+
+def _shorter(keys: Column) -> Column:
+    """keys and all that is left of them after one deletion."""
+    cut_one = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    return F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, cut_one))))
+
+
+def evidence(entities: DataFrame, identifiers: DataFrame | None = None, aliases: DataFrame | None = None, edits: int = 2) -> DataFrame:
+    """(source, target, kind): pairs of entity ids that stand for the same thing; kind is identifier, name, alias or edits.
+
+    entities has entity_id, entity_type and name. identifiers (entity_id, id_type, id_value): equal type and value,
+    case aside. aliases (alias, canonical): entities whose names have one canonical name, and those that bear it. Names
+    are compared without case and white space. Edits count between names of one type: digits must be the same, in
+    order; other characters may differ by one edit from ONE_EDIT of them on, by two from TWO_EDITS on (at most edits).
+    Members of a group of any size are tied to its smallest id, so a group of n gives n - 1 pairs.
+    """
+    named = cut(entities.select("entity_id", "entity_type", normal_name(F.col("name")).alias("name")).where("name <> ''"))
+
+    def tied(rows: DataFrame, key: list[str], kind: str) -> DataFrame:
+        first = rows.groupBy(*key).agg(F.min("entity_id").alias("source"))
+        return rows.join(first, key).where("entity_id <> source").select("source", F.col("entity_id").alias("target"), F.lit(kind).alias("kind"))
+
+    out = tied(named, ["name"], "name")
+    if identifiers is not None:
+        out = out.unionByName(tied(identifiers.select("entity_id", "id_type", F.lower("id_value").alias("id_value")).where("id_type is not null and id_value <> ''"), ["id_type", "id_value"], "identifier"))
+    if aliases is not None:
+        known = aliases.select(normal_name(F.col("alias")).alias("name"), normal_name(F.col("canonical")).alias("as")).where("name <> '' and `as` <> ''")
+        known = known.unionByName(known.select(F.col("as").alias("name"), "as")).distinct()
+        out = out.unionByName(tied(named.join(known, "name").select("entity_id", "as"), ["as"], "alias"))
+    if edits:
+        parts = named.groupBy("entity_type", "name").agg(F.min("entity_id").alias("first")).withColumn("letters", F.regexp_replace("name", "[0-9]", "")).withColumn("digits", F.regexp_replace("name", "[^0-9]", ""))
+        size = F.length("letters")
+        budget = F.when(size < ONE_EDIT, 0).when(size < TWO_EDITS, min(1, edits)).otherwise(min(2, edits))
+        one = _shorter(F.array("letters"))
+        keys = F.when(budget == 0, F.array().cast("array<string>")).when(budget == 1, one).otherwise(_shorter(one))
+        # a name that just reaches two edits meets one that has one edit less room
+        meet = parts.select("entity_type", "digits", "name", "letters", "first", F.explode(keys).alias("left_over"))
+        other = meet.select("entity_type", "digits", "left_over", F.col("name").alias("other"), F.col("letters").alias("others"), F.col("first").alias("target"))
+        pairs = meet.join(other, ["entity_type", "digits", "left_over"]).where("name < other").select("first", "target", "letters", "others").distinct()
+        room = F.when(F.least(F.length("letters"), F.length("others")) < TWO_EDITS, 1).otherwise(min(2, edits))
+        out = out.unionByName(pairs.where(F.levenshtein("letters", "others") <= room).select(F.col("first").alias("source"), "target", F.lit("edits").alias("kind")))
+    return out
+
+
+def resolve(entities: DataFrame, identifiers: DataFrame | None = None, aliases: DataFrame | None = None, edits: int = 2) -> DataFrame:
+    """(entity_id, cluster, canonical, members, kinds): entities that evidence() ties together, directly or in a chain.
+
+    cluster is the smallest entity_id; canonical is the name of the member of the highest confidence (the longer name,
+    then the smaller id, decide ties); kinds says what tied an entity itself to others. Entities without a name or
+    evidence stay alone.
     """
-    named = entities.select("entity_id", "entity_type", normal_name(F.col("name")).alias("name")).where("name <> ''")
-    names = cut(named.groupBy("entity_type", "name").agg(F.min("entity_id").alias("first")))
-    keys = F.array("name")
-    for _ in range(edits):
-        shorter = F.transform(keys, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))
-        keys = F.array_distinct(F.concat(keys, F.flatten(shorter)))
-    meet = names.select("entity_type", "name", "first", F.explode(keys).alias("part"))
-    other = meet.select("entity_type", "part", F.col("name").alias("other"), F.col("first").alias("target"))
-    pairs = meet.join(other, ["entity_type", "part"]).where("first < target").where(F.levenshtein("name", "other", edits) >= 0)
-    pairs = cut(pairs.select(F.col("first").alias("source"), "target").distinct())
-    links = pairs.select(F.explode(F.array("source", "target")).alias("first")).groupBy("first").agg(F.count("*").alias("links"))
-    cluster = components(pairs).withColumnRenamed("node", "first")
-    seen = names.join(cluster, "first", "left").join(links, "first", "left").select("entity_type", "name", F.coalesce("component", "first").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))
-    all_ = entities.select("entity_id", "entity_type", normal_name(F.col("name")).alias("name"))
-    return all_.join(seen, ["entity_type", "name"], "left").select("entity_id", F.coalesce("cluster", "entity_id").alias("cluster"), "links")
+    pairs = cut(evidence(entities, identifiers, aliases, edits).where("source <> target"))
+    cluster = components(pairs.select("source", "target")).withColumnRenamed("node", "entity_id").withColumnRenamed("component", "cluster")
+    kinds = pairs.select(F.explode(F.array("source", "target")).alias("entity_id"), "kind").groupBy("entity_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    confidence = F.col("confidence") if "confidence" in entities.columns else F.lit(0.0)
+    all_ = entities.select("entity_id", "name", confidence.alias("confidence")).join(cluster, "entity_id", "left").join(kinds, "entity_id", "left")
+    all_ = cut(all_.select("entity_id", "name", "confidence", F.coalesce("cluster", "entity_id").alias("cluster"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds")))
+    best = all_.groupBy("cluster").agg(F.min_by("name", F.struct(-F.coalesce("confidence", F.lit(-1.0)), -F.coalesce(F.length("name"), F.lit(-1)), "entity_id")).alias("canonical"), F.count("*").alias("members"))
+    return all_.join(best, "cluster").select("entity_id", "cluster", "canonical", "members", "kinds")

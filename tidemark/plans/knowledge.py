@@ -157,7 +157,7 @@ def cat_stop_rules(spark, sf):
 def review_urgency(spark, sf):
     """Points whose decayed mastery is below the threshold, the most urgent first."""
     a = answers(spark, sf).groupBy("learner", "kp").agg(F.avg(F.col("correct").cast("double")).alias("m"), F.unix_timestamp(F.max("ts")).alias("last"))
-    days = (F.unix_timestamp(F.lit("2024-02-01 00:00:00").cast("timestamp")) - F.col("last")) / 86400.0
+    days = (F.unix_timestamp(F.lit("2024-02-01T00:00:00Z").cast("timestamp")) - F.col("last")) / 86400.0
     b = a.select("learner", "kp", F.round(F.col("m") * F.exp(-days / 7), 6).alias("effective")).where("effective < 0.5")
     return b.select("learner", "kp", "effective", F.round(0.5 - F.col("effective"), 6).alias("urgency"), F.row_number().over(Window.partitionBy("learner").orderBy(F.desc(0.5 - F.col("effective")), "kp")).cast("long").alias("rank"))
 
@@ -256,7 +256,7 @@ def line_source(spark, sf):
 def iso_times(spark, sf):
     """Times in epoch seconds as UTC ISO strings."""
     seconds = F.unix_timestamp("o_orderdate").cast("string")
-    return table(spark, sf, "orders").select("o_orderkey", F.date_format(mapping.iso_time(seconds).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+    return table(spark, sf, "orders").select("o_orderkey", mapping.iso_time(seconds).alias("iso"))
 
 
 @register("sync_counts", "SELECT CASE WHEN c_acctbal >= 0 THEN 'valid' ELSE 'quarantined' END AS status, count(*) AS n FROM customer GROUP BY 1")
@@ -267,12 +267,16 @@ def sync_counts(spark, sf):
     return n(ok, "valid").unionByName(n(bad, "quarantined"))
 
 
-@register("resolved_entities", f"""WITH RECURSIVE {ENTITIES_SQL}, e AS (SELECT entity_id, entity_type, regexp_replace(lower(trim(name)), '\\s+', '', 'g') AS name FROM entities),
-  u AS (SELECT entity_type, name, min(entity_id) AS first FROM e GROUP BY 1, 2),
-  p AS (SELECT a.first AS a, b.first AS b FROM u a JOIN u b ON a.entity_type = b.entity_type AND a.first <> b.first AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) <= 1),
-  c(node, root) AS (SELECT a, least(a, b) FROM p UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.node WHERE c.root < p.b),
-  m AS (SELECT node, min(root) AS root FROM c GROUP BY 1), l AS (SELECT a, count(*) AS links FROM p GROUP BY 1)
-  SELECT entity_id, coalesce(root, first) AS cluster, coalesce(links, 0) AS links FROM e JOIN u USING (entity_type, name) LEFT JOIN m ON m.node = first LEFT JOIN l ON l.a = first""")
+@register("resolved_entities", f"""WITH RECURSIVE {ENTITIES_SQL}, e AS (SELECT entity_id, entity_type, name, confidence, regexp_replace(lower(trim(name)), '\\s+', '', 'g') AS n FROM entities),
+  f AS (SELECT *, regexp_replace(n, '[0-9]', '', 'g') AS letters, regexp_replace(n, '[^0-9]', '', 'g') AS digits, min(entity_id) OVER (PARTITION BY n) AS same FROM e),
+  x AS (SELECT DISTINCT entity_type, n, letters, digits, same FROM f),
+  p AS (SELECT a.same AS a, b.same AS b, 'edits' AS kind FROM x a JOIN x b ON a.entity_type = b.entity_type AND a.digits = b.digits AND a.n < b.n AND least(length(a.letters), length(b.letters)) >= 5 AND levenshtein(a.letters, b.letters) <= CASE WHEN least(length(a.letters), length(b.letters)) < 12 THEN 1 ELSE 2 END
+        UNION SELECT same, entity_id, 'name' FROM f WHERE same <> entity_id),
+  w AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+  c(node, root) AS (SELECT entity_id, entity_id FROM e UNION SELECT w.b, c.root FROM c JOIN w ON w.a = c.node WHERE c.root < w.b),
+  m AS (SELECT node AS entity_id, min(root) AS cluster FROM c GROUP BY 1),
+  k AS (SELECT cluster, first(name ORDER BY confidence DESC, length(name) DESC, entity_id) AS canonical, count(*) AS members FROM m JOIN e USING (entity_id) GROUP BY 1)
+  SELECT entity_id, cluster, canonical, members FROM m JOIN k USING (cluster)""")
 def resolved_entities(spark, sf):
-    """Clusters of entities of a type whose names are equal or one edit apart, over all entities."""
-    return S.resolve(entities(spark, sf))
+    """Clusters of all entities by equal names and by edits, and what each is called."""
+    return S.resolve(entities(spark, sf)).select("entity_id", "cluster", "canonical", "members")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..model import ANSWERS_SQL, PREREQUISITES_SQL, TRIPLES_SQL, answers, focus, points, prerequisites, table, triples
+from ..operators import communities as C
 from ..operators import graph as G
 from ..operators import inference as I
 from ..operators import learner as L
@@ -32,9 +33,14 @@ def k_shortest_paths(spark, sf):
 
 @register("louvain")
 def louvain(spark, sf):
-    """Communities of the knowledge-point graph."""
-    e = prerequisites(spark, sf).select("source", "target", "weight")
-    return I.louvain(e, G.components(e.select("source", "target")))
+    """Communities of the knowledge-point graph, of the coarsest level."""
+    return C.top_level(C.leiden(prerequisites(spark, sf)))
+
+
+@register("leiden_ancestry")
+def leiden_ancestry(spark, sf):
+    """Each point's communities from the finest to the coarsest."""
+    return C.ancestry(C.leiden(prerequisites(spark, sf))).select("node", F.array_join("path", ">").alias("path"))
 
 
 @register("transe_ranking")

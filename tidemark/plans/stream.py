@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..model import ANSWERS_SQL, CORRECT_FROM, table
 from ..operators.iterate import work_folder
-from ..streaming import jobs
+from ..streaming import jobs, memory
 from .learner import SEQ, STEP
 from .registry import register
 
@@ -92,3 +92,17 @@ def field_mapping(spark, sf):
     from ..sources import mapping
 
     return mapping.map_fields(table(spark, sf, "customer"), {"key": {"source": "c_custkey", "required": True}, "name": {"source": "c_name", "transform": "lower"}, "segment": {"source": "c_mktsegment", "default": "none"}, "origin": {"default": "crm"}})
+
+
+@register("stream_memory")
+def stream_memory(spark, sf):
+    """Answers as memory events; an answer disturbs what is remembered of the other kinds of events before it."""
+    path = _folder(spark)
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    similar = {k: [(other, 0.8 if abs(i - j) == 1 else 0.3) for j, other in enumerate(kinds) if other != k] for i, k in enumerate(kinds)}
+    e = _events(spark, sf).where("value is not null and user_id is not null")
+    a = e.select(F.col("user_id").alias("learner"), F.col("event_type").alias("kp"), "ts", "event_id", (F.col("value") >= 35).alias("correct"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("difficulty"))
+    with memory.keyed_state(spark):
+        jobs.run_all(memory.remember(a, similar), path)
+    got = spark.read.schema(memory.OUT).parquet(f"{path}/out").where("event_id is not null")
+    return got.select("learner", "kp", "event_id", "grade", F.round("stability", 6).alias("stability"), F.round("difficulty", 6).alias("difficulty"), F.round("retrievability", 6).alias("retrievability"), "reps", "lapses", "moved", "long_term")

@@ -23,11 +23,19 @@ TRANSFORMS: dict[str, Callable[[Column], Column]] = {
 
 
 def iso_time(value: Column) -> Column:
-    """UTC time in ISO form from epoch seconds or one of DATE_FORMATS; offsets are converted, other strings stay."""
+    """UTC time in ISO form from epoch seconds or one of DATE_FORMATS; offsets are converted, other strings stay.
+
+    Times without an offset are UTC. The session's time zone plays no part: text is parsed with an offset, and written
+    from seconds since the epoch.
+    """
     text = value.cast("string")
     epoch = F.timestamp_seconds(text.try_cast("double"))
-    parsed = F.coalesce(epoch, *(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS))
-    return F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss'Z'"), text)
+    parsed = [F.try_to_timestamp(text, F.lit(DATE_FORMATS[0].replace("[XXX]", "XXX")))]
+    parsed += [F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(f.replace("[XXX]", "") + "XXX")) for f in DATE_FORMATS]
+    seconds = F.floor(F.unix_micros(F.coalesce(epoch, *parsed)) / 1_000_000)
+    day, second = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")), F.pmod(seconds, F.lit(86400))
+    iso = F.format_string("%sT%02d:%02d:%02dZ", day.cast("string"), F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+    return F.coalesce(F.when(seconds.isNotNull(), iso), text)
 
 
 def map_fields(df: DataFrame, fields: dict[str, dict]) -> DataFrame:
