@@ -1,12 +1,16 @@
 """Communities against a plain single-machine version, and the properties that hold for any graph."""
 
 import random
+from collections import namedtuple
 
 import numpy as np
 
 from tidemark.operators import communities as C
 
 
+Row = namedtuple("Row", "node level community")
+
+
 def plain_modularity(edges, of, gamma=1.0):
     m = sum(w for *_, w in edges)
     inside = sum(w for a, b, w in edges if of[a] == of[b])
@@ -63,17 +67,17 @@ def check_levels(edges, rows):
         levels.setdefault(r.level, {})[r.node] = r.community
     nodes = {x for a, b, _ in edges for x in (a, b)}
     for n, of in levels.items():
-        assert set(of) == nodes
+        assert n or set(of) == nodes
         below = levels.get(n - 1)
         if below:  # communities lie inside those above
-            assert len({(below[x], of[x]) for x in nodes}) == len(set(below.values()))
+            assert len({(below[x], of[x]) for x in of}) == len({below[x] for x in of})
         near = {x: set() for x in nodes}
         for a, b, _ in edges:
-            if of[a] == of[b]:
+            if a in of and of[a] == of[b]:
                 near[a].add(b)
                 near[b].add(a)
         for name in set(of.values()):  # connected, and named by the smallest
-            own = {x for x in nodes if of[x] == name}
+            own = {x for x in of if of[x] == name}
             assert name == min(own)
             seen, todo = {name}, [name]
             while todo:
@@ -84,27 +88,39 @@ def check_levels(edges, rows):
     return levels
 
 
-def test_near_the_plain_optimum(spark):
-    for edges in (planted(random.Random(1), 8, 20, 0.5, 0.02),):
-        levels = check_levels(edges, solved(spark, edges))
-        got = plain_modularity(edges, levels[max(levels)])
-        assert got >= 0.98 * plain_modularity(edges, greedy(edges))
-        df = spark.createDataFrame([*levels[max(levels)].items()], "node string, community string")
-        rows = spark.createDataFrame([(n, k, c) for k, of in levels.items() for n, c in of.items()], "node string, level int, community string")
-        assert {r.node: r.path for r in C.ancestry(rows).collect()} == {n: [levels[k][n] for k in sorted(levels)] for n in levels[0]}
-        assert {r.node: r.community for r in C.top_level(rows).collect()} == levels[max(levels)]
-        assert abs(C.modularity(spark.createDataFrame(edges, "source string, target string, weight double"), df) - got) < 1e-9
+def test_one_task_near_the_plain_optimum():
+    for seed, args in ((1, (8, 20, 0.5, 0.02)), (2, (5, 24, 0.3, 0.05))):
+        edges = planted(random.Random(seed), *args)
+        both = edges + [(b, a, w) for a, b, w in edges]
+        found = C.small_levels(both, 2.0 * len(edges), 1.0, 10)
+        levels = check_levels(edges, [Row(n, k, c) for k, of in enumerate(found) for n, c in of.items()])
+        assert plain_modularity(edges, levels[max(levels)]) >= 0.98 * plain_modularity(edges, greedy(edges))
 
 
-def test_a_long_chain(spark):
+def test_a_long_chain_in_one_task():
     """3,000 nodes in one component."""
     edges = [(f"n{i:05d}", f"n{i + 1:05d}", 1.0) for i in range(3000)]
-    levels = check_levels(edges, solved(spark, edges, max_levels=2))
-    assert plain_modularity(edges, levels[max(levels)]) > 0.75
+    found = C.small_levels(edges + [(b, a, w) for a, b, w in edges], 6000.0, 1.0, 10)
+    levels = check_levels(edges, [Row(n, k, c) for k, of in enumerate(found) for n, c in of.items()])
+    assert plain_modularity(edges, levels[max(levels)]) > 0.93
+
+
+def test_rounds_near_the_plain_optimum(spark):
+    """The same by parallel rounds, beside a small component that a task solves."""
+    edges = planted(random.Random(1), 6, 12, 0.6, 0.02)
+    levels = check_levels(edges + [("x", "y", 1.0)], solved(spark, edges + [("x", "y", 1.0)], small=10, rounds=6))
+    top = {n: levels[max(k for k in levels if n in levels[k])][n] for n in levels[0]}
+    assert top.pop("y") == top.pop("x") == "x"
+    assert plain_modularity(edges, top) >= 0.98 * plain_modularity(edges, greedy(edges))
+    of = spark.createDataFrame([*top.items()], "node string, community string")
+    assert abs(C.modularity(spark.createDataFrame(edges, "source string, target string, weight double"), of) - plain_modularity(edges, top)) < 1e-9
+    rows = spark.createDataFrame([(n, k, c) for k, one in levels.items() for n, c in one.items()], "node string, level int, community string")
+    assert {r.node: r.path for r in C.ancestry(rows).collect()} == {n: [levels[k][n] for k in sorted(levels) if n in levels[k]] for n in levels[0]}
 
 
 def test_small_graphs(spark):
     assert solved(spark, []) == []
     assert solved(spark, [("a", "a", 1.0), ("a", "b", 0.0)]) == []
     rows = solved(spark, [("a", "b", 1.0), ("b", "a", 2.0), ("c", "d", 1.0), ("a", "b", 1.0)])
+    assert {(r.node, r.level) for r in rows} == {(x, 0) for x in "abcd"}
     assert {(r.node, r.community) for r in rows} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")}

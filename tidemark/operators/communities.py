@@ -1,13 +1,23 @@
-"""Communities by parallel local moves, refinement and contraction, in levels; every round is joins and aggregations."""
+"""Communities by local moves, refinement and contraction, in levels.
+
+A large component moves in rounds of joins and aggregations; components of a bounded size are solved in one task each.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .iterate import cut
 
+#: Edges, each way, of the largest component that one task solves.
+SMALL = 20_000
+LEVELS = "node string, level int, community string"
+
 
 def _undirected(edges: DataFrame) -> DataFrame:
     """Weights of the edges between two different nodes, summed, once each way."""
@@ -65,20 +75,99 @@ def modularity(edges: DataFrame, communities: DataFrame, gamma: float = 1.0) ->
     return (inside / m - gamma * square / (m * m)) if m else 0.0
 
 
-def leiden(edges: DataFrame, gamma: float = 1.0, max_levels: int = 10, rounds: int = 10) -> DataFrame:
+def _connected_parts(near: list[dict[int, float]], label: list[int]) -> list[int]:
+    part = [-1] * len(near)
+    for i in range(len(near)):
+        todo = [i] if part[i] < 0 else []
+        while todo:
+            x = todo.pop()
+            if part[x] < 0:
+                part[x] = i
+                todo += [y for y in near[x] if part[y] < 0 and label[y] == label[i]]
+    return part
+
+
+def small_levels(edges: list[tuple[str, str, float]], mass: float, gamma: float, max_levels: int) -> list[dict[str, str]]:
+    """Levels of one component (edges both ways): node -> community. Nodes move one after the other, in their order."""
+    names = sorted({a for a, *_ in edges})
+    place = {n: i for i, n in enumerate(names)}
+    near: list[dict[int, float]] = [defaultdict(float) for _ in names]
+    for a, b, x in edges:
+        near[place[a]][place[b]] += x
+    degree = [sum(x.values()) for x in near]
+    member, out = list(range(len(names))), []
+    for _ in range(max_levels):
+        label, total, moving = list(range(len(near))), list(degree), True
+        while moving:
+            moving = False
+            for i, links in enumerate(near):
+                to = defaultdict(float)
+                for j, x in links.items():
+                    if j != i:
+                        to[label[j]] += x
+                own = best = label[i]
+                total[own] -= degree[i]
+                gain = to[own] - gamma * degree[i] * total[own] / mass
+                for c in sorted(to):
+                    here = to[c] - gamma * degree[i] * total[c] / mass
+                    if here > gain + 1e-12:
+                        best, gain = c, here
+                total[best] += degree[i]
+                label[i], moving = best, moving or best != own
+        part = _connected_parts(near, label)
+        keep = sorted(set(part))
+        if len(keep) == len(near):
+            break
+        new = {c: k for k, c in enumerate(keep)}
+        joined: list[dict[int, float]] = [defaultdict(float) for _ in keep]
+        sums = [0.0] * len(keep)
+        for i, links in enumerate(near):
+            sums[new[part[i]]] += degree[i]
+            for j, x in links.items():
+                joined[new[part[i]]][new[part[j]]] += x
+        near, degree, member = joined, sums, [new[part[m]] for m in member]
+        first = {}
+        for i, m in enumerate(member):
+            first.setdefault(m, names[i])
+        out.append({names[i]: first[m] for i, m in enumerate(member)})
+    return out or [{n: n for n in names}]
+
+
+def leiden(edges: DataFrame, gamma: float = 1.0, max_levels: int = 10, rounds: int = 10, small: int = SMALL) -> DataFrame:
     """(node, level, community): level 0 is the finest; communities of a level are connected and lie inside those above.
 
     edges (source, target, weight) count both ways, repeats add up; loops and weights of zero or below are left out. A
-    level moves nodes, cuts communities into connected parts and makes each a node of the next level, as long as nodes
-    merge and modularity grows. Communities bear the name of their smallest node. No level, community or component
-    passes through one task.
+    level moves nodes to where modularity (of the whole graph) grows most, cuts communities into connected parts and
+    makes each a node of the next level, until nothing merges. Communities bear the name of their smallest node, and a
+    component's levels end with its last merge. Components of at most `small` edges (each way) are solved in a task
+    each; larger ones move in parallel rounds, and none passes through one task.
     """
     e = cut(_undirected(edges))
+    mass = e.agg(F.sum("weight")).first()[0]
+    if not mass:
+        return e.select(F.col("source").alias("node"), F.lit(0).alias("level"), F.col("target").alias("community")).where("false")
+    of = cut(components(e.select("source", "target")))
+    tagged = cut(e.join(of.select(F.col("node").alias("source"), "component"), "source"))
+    size = cut(tagged.groupBy("component").agg(F.count("*").alias("n")))
+    tagged = tagged.join(size, "component")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = small_levels(list(zip(pdf["source"], pdf["target"], pdf["weight"], strict=True)), mass, gamma, max_levels)
+        return pd.DataFrame([(n, k, c) for k, level in enumerate(found) for n, c in level.items()], columns=["node", "level", "community"])
+
+    out = tagged.where(F.col("n") <= small).select("component", "source", "target", "weight").groupBy("component").applyInPandas(solve, LEVELS)
+    if size.where(F.col("n") > small).limit(1).count():
+        out = out.unionByName(_rounds(cut(tagged.where(F.col("n") > small).select("source", "target", "weight")), mass, gamma, max_levels, rounds))
+    return cut(out)
+
+
+def _rounds(e: DataFrame, mass: float, gamma: float, max_levels: int, rounds: int) -> DataFrame:
+    """Levels of edges (source, target, weight; both ways) of a graph of that mass, in parallel."""
     nodes = cut(e.groupBy(F.col("source").alias("node")).agg(F.sum("weight").alias("degree")))
-    mass, size = nodes.agg(F.coalesce(F.sum("degree"), F.lit(0.0)), F.count("*")).first()
+    size = nodes.count()
     member = nodes.select("node", F.col("node").alias("community"))
-    out, best = member.withColumn("level", F.lit(0)).where("false"), None
-    for level in range(max_levels if size else 0):
+    out, best = None, None
+    for level in range(max_levels):
         label = cut(connected(moved(nodes, e, mass, gamma, rounds), e))
         merged = label.select("community").distinct().count()
         if merged == size:
@@ -86,17 +175,19 @@ def leiden(edges: DataFrame, gamma: float = 1.0, max_levels: int = 10, rounds: i
         a, b = (label.select(F.col("node").alias(side), F.col("community").alias(f"of_{side}")) for side in ("source", "target"))
         joined = e.join(a, "source").join(b, "target").groupBy(F.col("of_source").alias("source"), F.col("of_target").alias("target")).agg(F.sum("weight").alias("weight"))
         joined = cut(joined)
+        before = nodes
         nodes = cut(nodes.join(label, "node").groupBy(F.col("community").alias("node")).agg(F.sum("degree").alias("degree")))
+        # of the mass between nodes, what has come inside; loops of earlier levels stay inside
         inside = joined.agg(F.sum(F.when(F.col("source") == F.col("target"), F.col("weight")))).first()[0] or 0.0
-        quality = inside / mass - gamma * nodes.agg(F.sum(F.col("degree") * F.col("degree"))).first()[0] / (mass * mass)
-        if best is not None and quality <= best + 1e-9:
+        square = lambda df: df.agg(F.sum(F.col("degree") * F.col("degree"))).first()[0]
+        gain = inside / mass - gamma * (square(nodes) - square(before)) / (mass * mass)
+        if gain <= 1e-9:
             break
-        best, size, e = quality, merged, joined.where("source <> target")
+        best, size, e = gain, merged, joined.where("source <> target")
         member = cut(member.join(label.withColumnRenamed("node", "below").withColumnRenamed("community", "above"), F.col("community") == F.col("below")).select("node", F.col("above").alias("community")))
-        out = out.unionByName(member.withColumn("level", F.lit(level)))
-    if best is None:  # nothing merges: each node by itself
-        out = member.withColumn("level", F.lit(0))
-    return out.select("node", "level", "community")
+        now = member.select("node", F.lit(level).alias("level"), "community")
+        out = now if out is None else out.unionByName(now)
+    return out if best is not None else member.select("node", F.lit(0).alias("level"), "community")
 
 
 def ancestry(levels: DataFrame) -> DataFrame:
