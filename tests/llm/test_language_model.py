@@ -64,7 +64,7 @@ def plain_bits(seen, weights, refined, symbols):
     for kind, name, bit, contexts in symbols:
         n = [seen[t, c, name] for t, c in enumerate(contexts)]
         logits = [math.log((b + cm.DELTA) / (a + cm.DELTA)) for a, b in n]
-        level = [int(cm.LEVEL[min(a + b, 16)]) for a, b in n[1:]]
+        level = [(a + b > 0) + (a + b > 2) + (a + b > 15) for a, b in n[1:]]
         dot = sum(w * x for w, x in zip(weights[kind * 16 + level[1] * 4 + level[0]], logits, strict=True))
         step = int(np.clip(dot * 2 + cm.STEPS // 2 + 0.5, 0, cm.STEPS - 1))
         p = (1 / (1 + math.exp(-dot)) + refined[(kind * 4 + level[1]) * cm.STEPS + step]) / 2

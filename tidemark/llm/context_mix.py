@@ -30,7 +30,7 @@ GATES = LEVELS * LEVELS
 SETS = 3 * GATES
 STEPS = 33
 #: Tokens that are predicted before their counts are added.
-TOGETHER = 1 << 15
+TOGETHER = 1 << 16
 RATE = 0.1
 START = 0.4
 DELTA = 0.4
@@ -40,7 +40,11 @@ GRAIN = 160
 M = np.uint64(0xD6E8FEB86659FD93)
 #: Multipliers of 32 bits: numpy does four times as many of those at once.
 A, B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-LEVEL = np.array([0, 1, 1, *[2] * 13, 3], np.uint8)
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    """0: never seen, 1: once or twice, 2: up to fifteen times, 3: more often."""
+    return (n > 0).view(np.uint8) + (n > 2).view(np.uint8) + (n > 15).view(np.uint8)
 
 
 def huffman(mass: dict[int, int]) -> dict[int, tuple[list[int], list[int]]]:
@@ -152,7 +156,7 @@ class Learner:
         n = [np.take(self.counts[t].view(np.int64).ravel(), x) for t, x in enumerate(places)]
         n = [((x & 0xFFFFFFFF).astype(np.float32), (x >> 32).astype(np.float32)) for x in n]
         logits = [np.log((ones + np.float32(DELTA)) / (zeros + np.float32(DELTA))) for zeros, ones in n]
-        level = [LEVEL[np.minimum(zeros + ones, 16).astype(np.int8)] for zeros, ones in n[1:]]
+        level = [level_of(zeros + ones) for zeros, ones in n[1:]]
         gate = level[1] * np.uint8(LEVELS) + level[0]
         at, weights = gate.astype(np.intp), self.weights[kind * GATES : (kind + 1) * GATES].astype(np.float32)
         dot = sum(np.take(weights[:, t], at) * x for t, x in enumerate(logits))
@@ -161,9 +165,13 @@ class Learner:
         own = slice(kind * LEVELS * STEPS, (kind + 1) * LEVELS * STEPS)
         self.refined[0, own] += both.sum(axis=1)
         self.refined[1, own] += both[:, 1]
-        # sums by gate as a product with the gates' indicators
+        # sums by gate: its events are brought together by a radix sort of bytes
         size = np.bincount(at, minlength=GATES)
-        slope = (gate == np.arange(GATES, dtype=np.uint8)[:, None]).astype(np.float32) @ np.stack([wrong * x for x in logits], 1)
+        met, slope = np.flatnonzero(size), np.zeros((GATES, ORDERS))
+        starts, order = (np.cumsum(size) - size)[met], np.argsort(gate, kind="stable")
+        wrong = np.take(wrong, order)
+        for t, x in enumerate(logits):
+            slope[met, t] = np.add.reduceat(wrong * np.take(x, order), starts)
         own = slice(kind * GATES, (kind + 1) * GATES)
         self.weights[own] += RATE * slope / np.maximum(size, 64)[:, None]
         self.seen[own] += size
@@ -197,7 +205,7 @@ def packed(zeros_ones: np.ndarray) -> np.ndarray:
     """Logit and level of each slot in two bytes."""
     n = zeros_ones.astype(np.float64)
     logit = np.log((n[:, 1] + DELTA) / (n[:, 0] + DELTA))
-    level = LEVEL[np.minimum(zeros_ones.sum(axis=1), 16)]
+    level = level_of(zeros_ones.sum(axis=1))
     return (np.clip(np.rint(logit * GRAIN) + 2048, 0, 4095).astype("<u2") << 2) | level
 
 
@@ -239,4 +247,4 @@ class Scorer:
         p = (1 / (1 + np.exp(-dot)) + np.take(refined, cells(level[1], dot))) * np.float32(0.5)
         p = np.minimum(np.maximum(p, np.float32(1e-6)), np.float32(1 - 1e-6))
         # p where the bit is one, 1 - p where it is zero
-        return -np.log2(np.abs((1 - bits.ravel()) - p)).reshape(bits.shape).sum(axis=1, dtype=np.float64)
+        return -np.log2(np.abs((1 - bits.ravel()) - p)).reshape(bits.shape).sum(axis=1)
