@@ -50,14 +50,55 @@ def audit_chain(df: DataFrame, key: str, order: list[str], payload: Column) -> D
     return fold_stream(df.withColumn("payload", payload), key, order, ["payload"], (0, genesis), step, {"n": ("long", pa.int64()), "head": ("string", pa.string())})
 
 
-def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(class, property, change) between two tables (class, property, type): added, removed or retyped."""
-    j = old.withColumnRenamed("type", "old").join(new.withColumnRenamed("type", "new"), ["class", "property"], "full")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "retyped")
-    return j.select("class", "property", change.alias("change")).where("change is not null")
+def _link(prev: str, payload: str) -> str:
+    return hashlib.sha256(f"{prev}|{payload}".encode()).hexdigest()
 
 
-def compatibility(diff: DataFrame) -> DataFrame:
-    """One row: FULL without changes, PARTIAL without breaking ones, BREAKING with one, else INCOMPATIBLE."""
-    a = diff.agg(F.count("*").alias("n"), F.count(F.when(F.col("change") != "added", 1)).alias("breaking"))
-    return a.select("n", "breaking", F.when(F.col("n") == 0, "FULL").when(F.col("breaking") == 0, "PARTIAL").when(F.col("breaking") == 1, "BREAKING").otherwise("INCOMPATIBLE").alias("level"))
+def chained(df: DataFrame, key: str, order: list[str], payload: Column) -> DataFrame:
+    """(key, seq, payload, prev, hash): the log that audit_chain folds, with every link; null payloads count as empty."""
+
+    def run(batches):
+        current, seq, head, fresh = None, 0, "", True
+        for batch in batches:
+            out = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if fresh or k != current:
+                    current, seq, head, fresh = k, 0, hashlib.sha256(b"genesis").hexdigest(), False
+                prev, head, seq = head, _link(head, text), seq + 1
+                out.append((k, seq, text, prev, head))
+            if out:
+                kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[key, "seq", "payload", "prev", "hash"])
+
+    rows = df.select(key, *order, F.coalesce(payload, F.lit("")).alias("payload")).repartition(key).sortWithinPartitions(key, *order).select(key, "payload")
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, seq long, payload string, prev string, hash string")
+
+
+def verify_chains(log: DataFrame, key: str, heads: DataFrame | None = None) -> DataFrame:
+    """(key, seq, fault) of the first break of each key's chain; keys whose chains hold have no row.
+
+    log: key, seq, payload, prev, hash as stored; heads (key, n, head), if known, tell where a chain should end. Each row
+    is checked by itself (payload: its hash isn't that of prev and payload) and against its stored neighbour, found by
+    an equi join on seq (link: prev isn't the hash before; gap: the row before is missing; repeat: seq occurs twice;
+    end: the last rows are missing). No fold over a key is needed, so a key of any size is spread over tasks.
+    """
+    genesis = hashlib.sha256(b"genesis").hexdigest()
+    rows = log.groupBy(key, "seq").agg(F.count("*").alias("copies"), F.min(F.struct("hash", "prev", "payload")).alias("r")).select(key, "seq", "copies", "r.*")
+    before = rows.select(key, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("before"))
+    j = rows.join(before, [key, "seq"], "left").withColumn("before", F.when(F.col("seq") == 1, F.lit(genesis)).otherwise(F.col("before")))
+    sound = F.sha2(F.concat_ws("|", F.coalesce("prev", F.lit("")), F.coalesce("payload", F.lit(""))), 256) == F.col("hash")
+    fault = F.when(F.col("copies") > 1, "repeat").when(F.col("before").isNull(), "gap").when(~F.coalesce(F.col("prev") == F.col("before"), F.lit(False)), "link").when(~F.coalesce(sound, F.lit(False)), "payload")
+    found = j.select(key, "seq", fault.alias("fault")).where("fault is not null")
+    if heads is not None:
+        last = log.groupBy(key).agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
+        ends = heads.join(last, key, "left").where(~(F.coalesce(F.col("seq") == F.col("n"), F.lit(False)) & F.coalesce(F.col("hash") == F.col("head"), F.lit(False))))
+        found = found.unionByName(ends.select(key, (F.coalesce("seq", F.lit(0)) + 1).cast("long").alias("seq"), F.lit("end").alias("fault")))
+    return found.groupBy(key).agg(F.min(F.struct("seq", "fault")).alias("f")).select(key, "f.seq", "f.fault")
+
+
+def map_diff(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, field, change, before, after) between the map columns of two tables: added, removed or modified entries."""
+    entries = lambda df, name: df.select(key, F.explode(column).alias("field", name))
+    j = entries(old, "before").withColumn("was", F.lit(True)).join(entries(new, "after").withColumn("now", F.lit(True)), [key, "field"], "full")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(~F.col("before").eqNullSafe(F.col("after")), "modified")
+    return j.select(key, "field", change.alias("change"), "before", "after").where("change is not null")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..model import ENTITIES_SQL, TRIPLES_SQL, entities, table, triples
+from ..operators import evolution as E
 from ..operators import governance as V
+from ..operators import iterate
 from .registry import register
 
 
@@ -62,19 +66,63 @@ def audit_chain(spark, sf):
     return V.audit_chain(table(spark, sf, "events"), "user_id", ["event_id"], F.concat_ws(":", "event_type", F.col("event_id").cast("string")))
 
 
-_OLD = [("Material", "name", "string"), ("Material", "mass", "float"), ("Process", "step", "integer"), ("Process", "owner", "string")]
-_NEW = [("Material", "name", "string"), ("Material", "mass", "string"), ("Process", "step", "integer"), ("Device", "serial", "string")]
+@register("chain_verification", "WITH s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM events), k AS (SELECT * FROM s WHERE event_id % 101 <> 0), b AS (SELECT k.user_id, k.seq, CASE WHEN k.seq > 1 AND p.seq IS NULL THEN 'gap' WHEN k.event_id % 97 = 0 THEN 'payload' END AS fault FROM k LEFT JOIN k p ON p.user_id IS NOT DISTINCT FROM k.user_id AND p.seq + 1 = k.seq), e AS (SELECT user_id, max(n) AS n, max(CASE WHEN event_id % 101 <> 0 THEN seq END) AS last FROM s GROUP BY 1), u AS (SELECT user_id, seq, fault FROM b WHERE fault IS NOT NULL UNION ALL SELECT user_id, coalesce(last, 0) + 1, 'end' FROM e WHERE last IS DISTINCT FROM n) SELECT user_id, min(seq)::BIGINT AS seq, arg_min(fault, seq * 10 + CASE fault WHEN 'end' THEN 0 WHEN 'gap' THEN 1 ELSE 2 END) AS fault FROM u GROUP BY 1")
+def chain_verification(spark, sf):
+    """The first break of each actor's stored log, of which some payloads were changed and some rows were lost."""
+    events = table(spark, sf, "events").where("user_id is not null")
+    payload = F.concat_ws(":", "event_type", F.col("event_id").cast("string"))
+    log = iterate.cut(V.chained(events, "user_id", ["event_id"], payload))
+    heads = log.groupBy("user_id").agg(F.max("seq").alias("n"), F.max_by("hash", "seq").alias("head"))
+    number = F.element_at(F.split("payload", ":"), -1).cast("long")
+    stored = log.where(number % 101 != 0).withColumn("payload", F.when(number % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return V.verify_chains(stored, "user_id", heads)
+
+
+def _collections(spark, sf):
+    return {"customer": table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "nation": table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")}
+
+
+def _migrated(spark, sf):
+    """Collections, the steps to a schema in which nations are countries, balances are text and tiers stand for segments,
+    and the migrated collections, written and read back."""
+    old = _collections(spark, sf)
+    schema = E.schema_of(old)
+    new = {"customer": {**{k: v for k, v in schema["customer"].items() if k != "c_mktsegment"}, "c_acctbal": "string", "c_tier": "string"}, "country": schema["nation"]}
+    steps = E.plan(schema, new)
+    path, out = f"{iterate.work_folder(spark)}/migrated-{uuid.uuid4().hex}", {}
+    for name, df in E.migrate(old, steps).items():
+        df.write.parquet(f"{path}/{name}")
+        out[name] = spark.read.parquet(f"{path}/{name}")
+    return old, steps, out
 
 
-@register("ontology_diff", "WITH o(class, property, type) AS (VALUES ('Material', 'name', 'string'), ('Material', 'mass', 'float'), ('Process', 'step', 'integer'), ('Process', 'owner', 'string')), n(class, property, type) AS (VALUES ('Material', 'name', 'string'), ('Material', 'mass', 'string'), ('Process', 'step', 'integer'), ('Device', 'serial', 'string')) SELECT coalesce(o.class, n.class) AS class, coalesce(o.property, n.property) AS property, CASE WHEN o.type IS NULL THEN 'added' WHEN n.type IS NULL THEN 'removed' ELSE 'retyped' END AS change FROM o FULL JOIN n ON o.class = n.class AND o.property = n.property WHERE o.type IS DISTINCT FROM n.type")
+@register("ontology_diff", """WITH o(class, property, filled) AS (SELECT 'customer', unnest(['c_custkey', 'c_name', 'c_acctbal', 'c_mktsegment']), unnest([count(c_custkey), count(c_name), count(c_acctbal), count(c_mktsegment)]) FROM customer UNION ALL SELECT 'nation', unnest(['n_nationkey', 'n_name', 'n_regionkey']), unnest([count(n_nationkey), count(n_name), count(n_regionkey)]) FROM nation)
+  SELECT CASE class WHEN 'nation' THEN 'country' ELSE class END AS class, property, CASE WHEN property = 'c_mktsegment' THEN 'removed' WHEN property = 'c_acctbal' THEN 'retyped' ELSE 'renamed' END AS change, filled AS before, CASE WHEN property = 'c_mktsegment' THEN NULL ELSE filled END AS after FROM o WHERE class = 'nation' OR property IN ('c_mktsegment', 'c_acctbal') UNION ALL SELECT 'customer', 'c_tier', 'added', NULL, 0""")
 def ontology_diff(spark, sf):
-    s = "class string, property string, type string"
-    return V.schema_diff(spark.createDataFrame(_OLD, s), spark.createDataFrame(_NEW, s))
+    """What a migration changed, from the profiles of the collections before and after it."""
+    old, steps, new = _migrated(spark, sf)
+    names = {s.before: s.after for s in steps if s.action == "rename"}
+    to = F.coalesce(*(F.when(F.col("class") == a, b) for a, b in names.items()), F.col("class")) if names else F.col("class")
+    before = E.profile(old).select(to.alias("class"), F.col("class").alias("was"), "property", F.col("type").alias("old"), F.col("filled").alias("before"))
+    after = E.profile({k: df.drop(E.UNDO) for k, df in new.items()}).select("class", "property", F.col("type").alias("new"), F.col("filled").alias("after"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "retyped").when(F.col("was") != F.col("class"), "renamed")
+    return before.join(after, ["class", "property"], "full").select("class", "property", change.alias("change"), "before", "after").where("change is not null")
 
 
-@register("compatibility", "SELECT 3::BIGINT AS n, 2::BIGINT AS breaking, 'INCOMPATIBLE' AS level")
+@register("compatibility", "SELECT 'INCOMPATIBLE' AS level, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS rows, (SELECT count(c_mktsegment) FROM customer) AS lost")
 def compatibility(spark, sf):
-    return V.compatibility(ontology_diff(spark, sf))
+    """How compatible a migration is, the rows that it passed through and the values that only an undo brings back."""
+    _, steps, new = _migrated(spark, sf)
+    rows = new["customer"].select(F.col(f"{E.UNDO}.c_mktsegment").isNotNull().alias("lost")).unionByName(new["country"].select(F.lit(False).alias("lost")))
+    return rows.agg(F.lit(E.level(steps)).alias("level"), F.count("*").alias("rows"), F.count_if("lost").alias("lost"))
+
+
+@register("migration_round_trip", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
+def migration_round_trip(spark, sf):
+    """Customers migrated, written, read and rolled back."""
+    old, steps, new = _migrated(spark, sf)
+    back = E.rollback(new, steps, E.schema_of(old))["customer"]
+    return back.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
 
 
 @register("property_validation", "SELECT c_custkey, array_to_string(list_filter([CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]{9}$') THEN 'name' END, CASE WHEN c_acctbal < 0 OR c_acctbal > 9000 THEN 'balance' END, CASE WHEN c_mktsegment NOT IN ('HOUSEHOLD', 'MACHINERY', 'BUILDING') THEN 'segment' END], x -> x IS NOT NULL), ',') AS faults FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9000 OR c_mktsegment NOT IN ('HOUSEHOLD', 'MACHINERY', 'BUILDING') OR NOT regexp_matches(c_name, '^Customer#[0-9]{9}$')".replace("x -> x", "lambda x: x"))
