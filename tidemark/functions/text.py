@@ -16,9 +16,11 @@ STOP_WORDS = (
 def tokens(text: Column) -> Column:
     """Search tokens in lower case: words that begin with a letter, then single CJK characters; tags and stop words go."""
     low = F.lower(text)
-    low = F.regexp_replace(low, "<su[pb]>([^<]*)</su[pb]>", "$1")
-    low = F.regexp_replace(low, "</?[a-z][^>]*>", " ")
-    both = F.concat(F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9+\-/]*"), F.lit(0)), F.regexp_extract_all(low, F.lit(r"[\x{4e00}-\x{9fff}]"), F.lit(0)))
+    # texts without a tag, or of ASCII only, need fewer passes
+    plain = F.regexp_replace(F.regexp_replace(low, "<su[pb]>([^<]*)</su[pb]>", "$1"), "</?[a-z][^>]*>", " ")
+    low = F.when(low.contains("<"), plain).otherwise(low)
+    single = F.when(F.octet_length(low) > F.length(low), F.regexp_extract_all(low, F.lit(r"[\x{4e00}-\x{9fff}]"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    both = F.concat(F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9+\-/]*"), F.lit(0)), single)
     return F.coalesce(F.filter(both, lambda t: ~t.isin(STOP_WORDS)), F.array().cast("array<string>"))
 
 

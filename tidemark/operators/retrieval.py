@@ -13,6 +13,8 @@ from .iterate import cut
 K1, B = 1.5, 0.75
 #: Query vectors that are sent to every task at most.
 MAX_QUERY_VECTORS = 10_000
+#: Query terms that are sent to every task at most.
+MAX_TERMS = 20_000
 
 
 def ranked(df: DataFrame, query: str, score: str, tiebreak: str, k: int | None = None) -> DataFrame:
@@ -25,13 +27,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Empty documents count neither in their number nor in the mean length; repeated query terms count as often as they
     stand. Texts are read and cut once: each document gives the terms that some query holds and, under no term, a row of
-    its length. That table, which is small beside the texts, is checkpointed; all counts come from it.
+    its length. Up to MAX_TERMS terms are looked for in the array of a document's tokens before it is exploded; more are
+    joined. That table, which is small beside the texts, is checkpointed; all counts come from it.
     """
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    words = q.select("term").distinct().withColumn("asked", F.lit(True))
-    d = docs.select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    terms = d.select("doc_id", F.size("t").alias("length"), F.explode(F.array_append("t", F.lit(None).cast("string"))).alias("term"))
-    terms = terms.join(words, "term", "left").where("term is null or asked").groupBy("term", "doc_id")
+    words = q.select("term").distinct()
+    asked = [r.term for r in words.limit(MAX_TERMS + 1).collect()]
+    d = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    few = len(asked) <= MAX_TERMS
+    # tokens hold letters, digits, + - / or one CJK character, so they need no quoting
+    kept = F.expr(f"filter(t, x -> x in ({', '.join(f"'{x}'" for x in asked)}))") if few and asked else F.col("t")
+    # explode_outer: an inner one would have the texts cut again for a filter on the arrays' sizes
+    terms = d.select("doc_id", F.size("t").alias("length"), F.explode_outer(F.array_append(kept, F.lit(None).cast("string"))).alias("term"))
+    if not few:
+        terms = terms.join(words.withColumn("asked", F.lit(True)), "term", "left").where("term is null or asked")
+    terms = terms.where("term is not null or length > 0").groupBy("term", "doc_id")
     held = cut(terms.agg(F.count("*").alias("tf"), F.sum("length").alias("sum"), F.first("length").alias("length")))
     stats = held.where("term is null").agg(F.sum("tf").alias("docs"), (F.sum("sum") / F.sum("tf")).alias("mean"))
     postings = held.where("term is not null")

@@ -38,4 +38,4 @@ def _load() -> None:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["hybrid_rrf"][0](spark, sf_dir)
+    return queries()["hybrid_rrf"](spark, sf_dir)
