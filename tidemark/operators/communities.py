@@ -11,14 +11,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import iterate
 from .graph import components
-from .iterate import cut
 
 #: Edges, each way, of the largest component that one task solves.
 SMALL = 20_000
 LEVELS = "node string, level int, community string"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in as many partitions as a shuffle has: without that, unions would add some in every round."""
+    return iterate.cut(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _undirected(edges: DataFrame) -> DataFrame:
     """Weights of the edges between two different nodes, summed, once each way."""
     e = edges.select("source", "target", F.col("weight").cast("double").alias("weight")).where("source <> target and weight > 0")
@@ -42,14 +47,16 @@ def moved(nodes: DataFrame, edges: DataFrame, mass: float, gamma: float, rounds:
         totals = label.groupBy("community").agg(F.sum("degree").alias("total"))
         to = label.select(F.col("node").alias("target"), "community")
         near = edges.join(to, "target").groupBy(F.col("source").alias("node"), "community").agg(F.sum("weight").alias("link"))
-        near = near.unionByName(label.select("node", "community", F.lit(0.0).alias("link"))).groupBy("node", "community").agg(F.sum("link").alias("link"))
-        own = label.select("node", "degree", F.col("community").alias("own"))
+        own = label.join(totals, "community").select("node", "degree", F.col("community").alias("own"), F.col("total").alias("own_total"))
+        choice = near.join(own, "node", "right").join(totals, "community", "left")
         gain = F.col("link") - gamma * F.col("degree") * (F.col("total") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)) / mass
-        choice = near.join(own, "node").join(totals, "community").select("node", "degree", "own", "community", gain.alias("gain"))
-        choice = choice.groupBy("node", "degree", "own").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "community")).alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"))
+        choice = choice.select("node", "degree", "own", "own_total", "community", gain.alias("gain")).groupBy("node", "degree", "own", "own_total")
+        choice = choice.agg(F.min(F.when(F.col("gain").isNotNull(), F.struct((-F.col("gain")).alias("loss"), "community"))).alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("linked"))
+        # without a link to its own community a node only pays for being in it
+        stay = F.coalesce("linked", -gamma * F.col("degree") * (F.col("own_total") - F.col("degree")) / mass)
         turn = F.pmod(F.xxhash64("node", F.lit(r // 2)) + r, F.lit(2)) == 0
-        goes = turn & (-F.col("best.loss") > F.col("stay") + 1e-12)
-        label = cut(choice.select("node", "degree", F.when(goes, F.col("best.community")).otherwise(F.col("own")).alias("community"), (goes & (F.col("best.community") != F.col("own"))).alias("moved")))
+        goes = F.coalesce(turn & (-F.col("best.loss") > stay + 1e-12) & (F.col("best.community") != F.col("own")), F.lit(False))
+        label = cut(choice.select("node", "degree", F.when(goes, F.col("best.community")).otherwise(F.col("own")).alias("community"), goes.alias("moved")))
         now = label.where("moved").count()
         label = label.drop("moved")
         if last is not None and now + last <= few:
