@@ -142,17 +142,6 @@ def drift_ddm(spark, sf):
     return S.ddm(answers(spark, sf), "learner", ["ts", "event_id"], ~F.col("correct"))
 
 
-@register("cat_stop_rules", f"WITH {ANSWERS_SQL}, a AS (SELECT learner, count(*) AS n, sum(p * (1 - p) * 1.44) AS info FROM (SELECT learner, 1 / (1 + exp(-1.2 * (0.3 - (value - 50) / 50))) AS p FROM answers) GROUP BY 1), b AS (SELECT learner, n, 1 / sqrt(info) AS se, 1 / sqrt(info + 0.36) AS next FROM a) SELECT learner, n, round(se, 6) AS se, n >= 30 OR n >= 5 AND se <= 0.3 AS by_error, n >= 5 AND se - next < 0.01 AS by_reduction, n >= 5 AND 2 * 1.96 * se <= 1.0 AS by_width, n >= 5 AND abs(0.3) > 1.96 * se AS by_class FROM b")
-def cat_stop_rules(spark, sf):
-    """Whether a test may end: by its error or length, by what one more item would gain, by the width of the interval,
-    and by the interval lying on one side of the cut score."""
-    p = 1 / (1 + F.exp(-1.2 * (0.3 - (F.col("value") - 50) / 50)))
-    a = answers(spark, sf).groupBy("learner").agg(F.count("*").alias("n"), F.sum(p * (1 - p) * 1.44).alias("info"))
-    a = a.select("learner", "n", (1 / F.sqrt("info")).alias("se"), (1 / F.sqrt(F.col("info") + 0.36)).alias("next"))
-    rules = {"by_error": "n >= 30 or n >= 5 and se <= 0.3", "by_reduction": "n >= 5 and se - next < 0.01", "by_width": "n >= 5 and 2 * 1.96 * se <= 1.0", "by_class": "n >= 5 and 0.3 > 1.96 * se"}
-    return a.select("learner", "n", F.round("se", 6).alias("se"), *(F.expr(x).alias(k) for k, x in rules.items()))
-
-
 @register("review_urgency", f"WITH {ANSWERS_SQL}, a AS (SELECT learner, kp, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS m, epoch(max(ts)) AS last FROM answers GROUP BY 1, 2), b AS (SELECT learner, kp, round(m * exp(-((epoch(TIMESTAMP '2024-02-01') - floor(last)) / 86400.0) / 7), 6) AS effective FROM a) SELECT learner, kp, effective, round(0.5 - effective, 6) AS urgency, row_number() OVER (PARTITION BY learner ORDER BY 0.5 - effective DESC, kp) AS rank FROM b WHERE effective < 0.5")
 def review_urgency(spark, sf):
     """Points whose decayed mastery is below the threshold, the most urgent first."""

@@ -34,7 +34,7 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     """Importing these modules registers their queries; done when they are asked for, as the modules import this one."""
-    from . import aggregate, governance, graph, knowledge, learner, more, retrieval, select, stream  # noqa: F401
+    from . import aggregate, governance, graph, knowledge, learner, models, more, retrieval, select, stream  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
