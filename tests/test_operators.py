@@ -312,3 +312,11 @@ def test_numbered_names_stay_apart(spark):
     rows = [(f"c{i}", "customer", f"Customer#{i:09}") for i in range(500)] + [("d1", "customer", "Custmer#000000007")]
     got = {x.entity_id: x.cluster for x in store.resolve(spark.createDataFrame(rows, "entity_id string, entity_type string, name string")).collect()}
     assert len(set(got.values())) == 500 and got["d1"] == got["c7"]
+
+
+def test_student_points_have_no_jump(spark):
+    from tidemark.plans.aggregate import STUDENT_95, student_95
+
+    want = {30: STUDENT_95[-1], 31: 2.0395, 40: 2.0211, 60: 2.0003, 120: 1.9799, 100_000: 1.96}
+    got = spark.createDataFrame([(v,) for v in want], "v long").select("v", student_95(F.col("v")).alias("t")).collect()
+    assert all(abs(r.t - want[r.v]) < 5e-4 for r in got)
