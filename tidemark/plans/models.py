@@ -91,7 +91,7 @@ def item_selection(spark, sf):
     r = responses(spark, sf)
     people, items, taken = cut(abilities(spark, sf).select("learner", "theta")), cut(bank(spark, sf)), cut(r.select("learner", "item").distinct())
     mastery = cut(r.groupBy("learner", "area").agg(F.avg(F.col("correct").cast("double")).alias("p")))
-    out = [S.select_next(people, items, taken, k, mastery).select("learner", F.lit(k).alias("strategy"), "item") for k in S.STRATEGIES]
+    out = [cut(S.select_next(people, items, taken, k, mastery)).select("learner", F.lit(k).alias("strategy"), "item") for k in S.STRATEGIES]
     all_ = out[0]
     for o in out[1:]:
         all_ = all_.unionByName(o)
