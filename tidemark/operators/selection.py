@@ -4,11 +4,13 @@ Learners are never joined with the whole bank. Abilities are dealt to cells of w
 and the greatest score that it can have in a cell, and stays a candidate there only if its greatest score reaches the
 least one of the k-th item. k is what a learner of that cell may need: the items wanted and those taken already, rounded
 up to a power of two. So candidates are exact for every learner of the cell, and a bank of n items costs n times the
-cells that occur, of which there are at most (HIGH - LOW) / WIDTH + 1 for each turn up to LENGTH.
+cells that occur, of which there are at most (HIGH - LOW) / WIDTH + 1, for each third or turn where a strategy goes by it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +101,7 @@ def _bounds(strategy: str) -> tuple[Column, Column, Column, Column]:
         far = F.greatest(F.abs(b - t0), F.abs(b - t1))
         return p_correct(t1, a, b, c) > HARD, p_correct(t0, a, b, c) > HARD, -far, F.when((b >= t0) & (b <= t1), 0.0).otherwise(-F.least(F.abs(b - t0), F.abs(b - t1)))
     if strategy == "a_stratified":
-        return F.col("layer") == layer(F.col("turn")), F.col("layer") == layer(F.col("turn")), least, most
+        return F.col("layer") == F.col("turn"), F.col("layer") == F.col("turn"), least, most
     return yes, yes, least, most
 
 
@@ -117,7 +119,7 @@ def _score(strategy: str) -> tuple[Column, Column]:
         return yes, (1 - w) * draw(F.col("item"), F.col("turn")) + w * info
     if strategy == "zpd_aware":
         return (p > HARD) & (p < EASY), info
-    return (F.col("layer") == layer(F.col("turn")) if strategy == "a_stratified" else yes), info
+    return (F.col("layer") == F.col("turn") if strategy == "a_stratified" else yes), info
 
 
 def best_items(learners: DataFrame, items: DataFrame, taken: DataFrame, strategy: str, n: int = 1, by_area: bool = False) -> DataFrame:
@@ -127,8 +129,9 @@ def best_items(learners: DataFrame, items: DataFrame, taken: DataFrame, strategy
     item. Learners to whom a strategy offers nothing have no row. With by_area the n best of each area are ranked.
     """
     taken = taken.join(items.select("item"), "item", "left_semi").dropDuplicates(["learner", "item"])
-    turned = strategy in ("progressive", "a_stratified")
-    turn = F.least(F.coalesce("n", F.lit(0)), F.lit(LENGTH)) if turned else F.lit(0)
+    # what a strategy makes of the turn: its third of the bank, or the turn up to that from which information alone counts
+    n_taken = F.least(F.coalesce("n", F.lit(0)), F.lit(LENGTH))
+    turn = {"a_stratified": layer(n_taken), "progressive": F.least(n_taken, F.lit(math.ceil(1 / (ERROR * ERROR) - 1e-9)))}.get(strategy, F.lit(0))
     people = learners.select("learner", "theta").where("theta is not null and not isnan(theta)").join(taken.groupBy("learner").agg(F.count("*").alias("n")), "learner", "left")
     people = people.select("learner", F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.col("theta"))).alias("theta"), turn.cast("long").alias("turn"), F.ceil(F.log2(F.coalesce("n", F.lit(0)) + F.lit(float(n)))).cast("int").alias("level"))
     people = cut(people.withColumn("cell", _cell(F.col("theta"))))
