@@ -320,3 +320,18 @@ def test_student_points_have_no_jump(spark):
     want = {30: STUDENT_95[-1], 31: 2.0395, 40: 2.0211, 60: 2.0003, 120: 1.9799, 100_000: 1.96}
     got = spark.createDataFrame([(v,) for v in want], "v long").select("v", student_95(F.col("v")).alias("t")).collect()
     assert all(abs(r.t - want[r.v]) < 5e-4 for r in got)
+
+
+@pytest.mark.parametrize("name", ["spreading_activation", "multi_hop_propagation"])
+def test_scores_multiply_in_the_order_of_the_sql(spark, tmp_path, name):
+    import duckdb
+
+    days = [19, 290, 943, 1383, 1468, 1748, 1909, 1942, 2057, 2178]  # a score of this chain is 0.01 or next to it by the order
+    r = random.Random(5)
+    rows = [(k + 1, 1, d) for k, d in enumerate(days)] + [(100 + k, 2 + k // 10, r.randrange(2400)) for k in range(2000)]
+    o = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, d int")
+    o.select("o_orderkey", "o_custkey", F.expr("date_add(date'1995-01-01', d)").cast("timestamp").alias("o_orderdate")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted(db.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+    assert sorted(tuple(x) for x in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()) == want

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,15 +146,17 @@ def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         depth += 1
 
 
-def spread(edges: DataFrame, seeds: DataFrame, depth: int, factor: Column, least: float = 0.0, combine=F.max) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, depth: int, factor: Column | list[Column], least: float = 0.0, combine=F.max) -> DataFrame:
     """(node, score): scores of seeds (node, score) passed on along edges with factor(s); the best (or sum) per node.
 
-    A node's score comes from the first round that reaches it; below least nothing is passed on.
+    A node's score comes from the first round that reaches it; below least nothing is passed on. Several factors are
+    multiplied one after another, from the left, so that the last bit of a score is that of the same chain elsewhere.
     """
+    factors = factor if isinstance(factor, list) else [factor]
     seen = cut(seeds.select("node", "score"))
     frontier = seen
     for _ in range(depth):
-        step = frontier.where(F.col("score") > least).join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (F.col("score") * factor).alias("score"))
+        step = frontier.where(F.col("score") > least).join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), reduce(mul, factors, F.col("score")).alias("score"))
         frontier = cut(step.join(seen, "node", "left_anti").groupBy("node").agg(combine("score").alias("score")))
         if frontier.isEmpty():
             break

@@ -59,7 +59,7 @@ def transe_ranking(spark, sf):
 @register("multi_hop_propagation", f"WITH {PREREQUISITES_SQL}, s0 AS (SELECT node, 0.9::DOUBLE AS score, 0 AS d FROM firsts), " + ", ".join(f"s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT target, max(score * weight * 0.5 * CASE kind WHEN 'prerequisite' THEN 0.5 ELSE 0.3 END), {i} FROM s{i - 1} JOIN pre ON source = node WHERE d = {i - 1} AND target NOT IN (SELECT node FROM s{i - 1}) GROUP BY 1)" for i in (1, 2, 3)) + " SELECT node, round(score, 9) AS score FROM s3")
 def multi_hop_propagation(spark, sf):
     """Influence by edge type, halved each hop; the first round that reaches a node decides."""
-    factor = F.col("weight") * 0.5 * F.when(F.col("kind") == "prerequisite", 0.5).otherwise(0.3)
+    factor = [F.col("weight"), F.lit(0.5), F.when(F.col("kind") == "prerequisite", 0.5).otherwise(0.3)]
     return G.spread(prerequisites(spark, sf), points(spark, sf).where("step = 1").select(F.col("kp").alias("node"), F.lit(0.9).alias("score")), 3, factor).withColumn("score", F.round("score", 9))
 
 
