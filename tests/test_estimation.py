@@ -100,3 +100,32 @@ def test_items_by_marginal_likelihood(spark):
 def test_nothing(spark):
     empty = frame(spark, [])
     assert E.ability_likelihood(empty).count() == E.ability_quadrature(empty).count() == E.calibrate_items(empty).count() == 0
+
+
+def test_abilities_in_tasks_are_those_of_rounds(spark):
+    _, _, rows = drawn(7, 9, 40, 0.2)
+    rows = [r for r in rows if r[0] != "u03" or r[1] < "i12"] + [("none", f"i{k:02}", 1.0, 0.1 * k, 0.0, False) for k in range(30)]
+    df = frame(spark, rows)
+    by = {held: {r.learner: tuple(r)[1:] for r in E.ability_likelihood(df, 1.0, held=held).collect()} for held in (100, 20, 0)}
+    assert set(by[100]) == {r[0] for r in rows}
+    for u, want in by[0].items():  # all by rounds
+        assert by[100][u] == pytest.approx(want, abs=1e-9)
+        assert by[20][u] == pytest.approx(want, abs=1e-9)  # only u03 in a task
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a learner's answers in several batches
+    try:
+        for held in (100, 20):
+            again = {r.learner: tuple(r)[1:] for r in E.ability_likelihood(df, 1.0, held=held).collect()}
+            assert all(again[u] == pytest.approx(want, abs=1e-9) for u, want in by[0].items()) and len(again) == len(by[0])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_abilities_need_few_jobs(spark):
+    _, _, rows = drawn(8, 6, 12, 0.1)
+    df = frame(spark, rows)
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    try:
+        E.ability_likelihood(df, 1.0).count()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 12
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()

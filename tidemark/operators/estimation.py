@@ -1,13 +1,16 @@
 """Estimators of item response models: ability by likelihood, with a prior or by quadrature; items by marginal likelihood.
 
-Every step is one aggregation of the answers by learner or by item. No learner's history and no item's answers meet in
-one task: what is gathered are sums at quadrature points, or one row of sums for each key.
+Every step is one aggregation of the answers by learner or by item: what is gathered are sums at quadrature points, or
+one row of sums for each key. Only the search of a likelihood's top goes through a learner's answers where they are, up to
+HELD different ones; a learner with more is searched by aggregations, a round for each step.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from .iterate import cut
 # The range of abilities and that of a search, and what is added to keep logarithms finite.
 LOW, HIGH, BOUND, TINY = -3.0, 3.0, 4.0, 1e-9
 POINTS = 21
+#: Different answers of a learner that a task holds at most.
+HELD = 100_000
 
 
 def hermite(points: int = POINTS, mean: float = 0.0, sd: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -39,15 +44,104 @@ def pooled(answers: DataFrame) -> DataFrame:
     return answers.groupBy("learner", "a", "b", "c", "correct").agg(F.count("*").alias("n"))
 
 
-def ability_likelihood(answers: DataFrame, prior_sd: float | None = None, prior_mean: float = 0.0, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def ability_likelihood(answers: DataFrame, prior_sd: float | None = None, prior_mean: float = 0.0, rounds: int = 40, tolerance: float = 1e-6, held: int = HELD) -> DataFrame:
     """(learner, theta, se, n) of the most likely ability (with prior_sd: the posterior's mode under a normal prior).
 
-    answers: learner, a, b, c, correct. All learners take Fisher-scoring steps at once: each round adds up likelihood,
-    slope and information of every learner at the place that it proposed; a step that lowers its likelihood is halved.
-    Abilities lie in [LOW, HIGH]: where all answers are right or wrong they are at an end.
+    answers: learner, a, b, c, correct. Every learner takes Fisher-scoring steps until one is below tolerance; a step that
+    lowers the likelihood is halved. Abilities lie in [LOW, HIGH]: where all answers are right or wrong they are at an end.
+    Learners with at most `held` different answers are searched in the task that has them, the others all at once by rounds.
     """
-    rows = cut(pooled(answers))
     inverse = 0.0 if prior_sd is None else 1.0 / max(prior_sd * prior_sd, TINY)
+    rows = pooled(answers).where("learner is not null")
+    kind = answers.schema["learner"].dataType.simpleString()
+    dealt = rows.repartition("learner").sortWithinPartitions("learner", "a", "b", "c", "correct")
+    fit = lambda batches: _fit_sorted(batches, inverse, prior_mean, rounds, tolerance, held)
+    found = cut(dealt.select("learner", "a", "b", "c", "correct", "n").mapInArrow(fit, f"learner {kind}, theta double, se double, n long"))
+    many = found.where("theta is null").select("learner")
+    if many.isEmpty():
+        return found
+    by_rounds = _ability_by_rounds(cut(rows.join(many, "learner", "left_semi")), inverse, prior_mean, rounds, tolerance)
+    return found.where("theta is not null").unionByName(by_rounds)
+
+
+def _fit_sorted(batches, inverse: float, mean: float, rounds: int, tolerance: float, held: int):
+    """Abilities of learners whose answers follow one another; those with more than `held` come out without an ability."""
+    rest, long = None, None  # answers of the learner whose end isn't seen; the key, if there were too many
+
+    def fitted(t: pa.Table):
+        key = t["learner"].combine_chunks()
+        starts = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False))]) if len(key) > 1 else np.array([0])
+        lengths = np.diff(np.append(starts, len(key)))
+        short = lengths <= held
+        rows = np.repeat(short, lengths)
+        column = lambda c: t[c].cast(pa.float64()).to_numpy()[rows]
+        theta, se, n = np.full(len(starts), np.nan), np.full(len(starts), np.nan), np.zeros(len(starts), "int64")
+        if short.any():
+            at = np.concatenate([[0], np.cumsum(lengths[short])[:-1]])
+            theta[short], se[short], n[short] = fit_abilities(*(column(c) for c in ("a", "b", "c", "correct", "n")), at, inverse, mean, rounds, tolerance)
+        none = ~short
+        return pa.RecordBatch.from_arrays([key.take(pa.array(starts)), pa.array(theta, mask=none), pa.array(se, mask=none), pa.array(n)], names=["learner", "theta", "se", "n"])
+
+    def alone(key):
+        return pa.RecordBatch.from_arrays([key, *(pa.nulls(1, x) for x in (pa.float64(), pa.float64(), pa.int64()))], names=["learner", "theta", "se", "n"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if long is not None:
+            same = pc.equal(t["learner"], long[0]).to_numpy()
+            t = t.slice(int(same.sum()))
+            if t.num_rows:
+                yield alone(long)
+                long = None
+        if not t.num_rows:
+            continue
+        t = t if rest is None else pa.concat_tables([rest, t])
+        last = pc.equal(t["learner"], t["learner"][t.num_rows - 1]).to_numpy()
+        end = t.num_rows - int(last.sum())
+        if end:
+            yield fitted(t.slice(0, end))
+        rest = t.slice(end)
+        if rest.num_rows > held:
+            rest, long = None, pa.array([rest["learner"][0].as_py()], rest["learner"].type)
+    if long is not None:
+        yield alone(long)
+    if rest is not None:
+        yield fitted(rest)
+
+
+def fit_abilities(a: np.ndarray, b: np.ndarray, c: np.ndarray, u: np.ndarray, n: np.ndarray, starts: np.ndarray, inverse: float, mean: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(theta, se, n) of the learners whose answers begin at starts; u: 1 where right, 0 where wrong, NaN unknown."""
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(a))))
+    add = lambda x: np.add.reduceat(np.where(np.isnan(x), 0.0, x), starts)
+
+    def sums(theta):
+        with np.errstate(over="ignore"):
+            p = np.clip(c + (1 - c) / (1 + np.exp(a * (b - theta[owner]))), TINY, 1 - TINY)
+        away = theta - mean
+        l = add(n * np.log(np.where(u == 1, p, 1 - p))) - 0.5 * inverse * away * away  # noqa: E741
+        slope = add(n * a * (u - p) * (p - c) / (p * (1 - c))) - inverse * away
+        return l, slope, add(n * a * a * ((p - c) / (1 - c)) ** 2 * (1 - p) / p) + inverse
+
+    theta = np.full(len(starts), max(-BOUND, min(BOUND, mean if inverse else 0.0)))
+    log, step, open_ = np.full(len(starts), -np.inf), np.zeros(len(starts)), np.ones(len(starts), bool)
+    for _ in range(rounds):
+        new = theta + step
+        l, slope, info = sums(new)  # noqa: E741
+        better = l >= log - 1e-12
+        ahead = np.clip(new + slope / np.maximum(info, TINY), -BOUND, BOUND) - new
+        up, down = open_ & better, open_ & ~better
+        theta, log = np.where(up, new, theta), np.where(up, l, log)
+        step = np.where(up, ahead, np.where(down, step / 2, step))
+        open_ &= np.abs(step) >= tolerance
+        if not open_.any():
+            break
+    theta = np.clip(theta, LOW, HIGH)
+    return theta, 1 / np.sqrt(np.maximum(sums(theta)[2], TINY)), np.rint(add(n)).astype("int64")
+
+
+def _ability_by_rounds(rows: DataFrame, inverse: float, prior_mean: float, rounds: int, tolerance: float) -> DataFrame:
+    """The same for learners with any number of answers: a round adds up likelihood, slope and information of each at the
+    place that it proposed."""
     at = cut(rows.groupBy("learner").agg(F.sum("n").alias("n")).select("learner", "n", F.lit(max(-BOUND, min(BOUND, prior_mean if inverse else 0.0))).alias("theta"), F.lit(float("-inf")).alias("log"), F.lit(0.0).alias("step")))
 
     def sums(at: DataFrame, theta: Column) -> DataFrame:
@@ -61,10 +155,11 @@ def ability_likelihood(answers: DataFrame, prior_sd: float | None = None, prior_
 
     for _ in range(rounds):
         new = at.join(sums(at, F.col("theta") + F.col("step")), "learner")
-        better = F.col("l") >= F.col("log") - 1e-12
+        open_ = (F.col("log") == float("-inf")) | (F.abs("step") >= tolerance)
+        better = open_ & (F.col("l") >= F.col("log") - 1e-12)
         # the next step ends at the bound at the latest
         ahead = F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), F.col("try") + F.col("slope") / F.greatest(F.col("info"), F.lit(TINY)))) - F.col("try")
-        at = cut(new.select("learner", "n", F.when(better, F.col("try")).otherwise(F.col("theta")).alias("theta"), F.when(better, F.col("l")).otherwise(F.col("log")).alias("log"), F.when(better, ahead).otherwise(F.col("step") / 2).alias("step")))
+        at = cut(new.select("learner", "n", F.when(better, F.col("try")).otherwise(F.col("theta")).alias("theta"), F.when(better, F.col("l")).otherwise(F.col("log")).alias("log"), F.when(better, ahead).when(open_, F.col("step") / 2).otherwise(F.col("step")).alias("step")))
         if at.where(F.abs("step") >= tolerance).limit(1).count() == 0:
             break
     ends = at.select("learner", "n", F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.col("theta"))).alias("theta"))
