@@ -335,3 +335,23 @@ def test_scores_multiply_in_the_order_of_the_sql(spark, tmp_path, name):
     db.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
     want = sorted(db.execute(__spark_entry__.oracle_sql()[name]).fetchall())
     assert sorted(tuple(x) for x in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()) == want
+
+
+def test_pairs_of_large_keys_are_dealt(spark):
+    a = spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").alias("x"))
+    b = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("y"))
+    got = G.dealt_pairs(a, b, ["k"], "x", rows=100)
+    want = a.join(b, "k")
+    assert got.count() == want.count() == 300_000
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    sizes = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 150_000  # a key's pairs lie in several tasks
+
+
+def test_policy_conflicts_in_many_tasks(spark, tmp_path):
+    rows = [(i, "brand", "ECONOMY" if i % 3 else ("PROMO" if i % 2 else None), i % 2) for i in range(6000)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = __spark_entry__.queries()["policy_conflicts"](spark, str(tmp_path))
+    allow, deny = [sum(1 for r in rows if r[3] == k and r[2] == "ECONOMY") for k in (0, 1)], [sum(1 for r in rows if r[3] == k and r[2] == "PROMO") for k in (0, 1)]
+    assert got.count() == sum(x * y for x, y in zip(allow, deny, strict=True))
+    assert got.where("a_id >= b_id").isEmpty() and got.groupBy(F.spark_partition_id()).count().count() > 1
