@@ -339,7 +339,7 @@ def test_scores_multiply_in_the_order_of_the_sql(spark, tmp_path, name):
 
 def test_pairs_of_large_keys_are_dealt(spark):
     a = spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").alias("x"))
-    b = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("y"))
+    b = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("part"))
     got = G.dealt_pairs(a, b, ["k"], "x", rows=100)
     want = a.join(b, "k")
     assert got.count() == want.count() == 300_000
