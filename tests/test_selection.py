@@ -123,3 +123,16 @@ def test_stop_rules(spark, world):
         assert (r.by_length, r.by_error, r.by_width) == (end, end or enough and r.se < 0.3, end or enough and 2 * 1.959963984540054 * r.se < 0.5)
         assert r.by_class == (abs(theta[r.learner]) > 1.6448536269514722 * r.se)
         assert r.by_gain == (end or enough and (gain is None or (gain <= 0.05 if r.se < 0.3 else gain < 0.01)))
+
+
+@pytest.mark.parametrize("strategy", ["fisher_info", "b_match", "a_stratified"])
+def test_those_who_have_taken_the_first_candidates_ask_again(spark, strategy):
+    bank = {i: (1.0 + i % 2, (i // 14 - 5) / 5, 0.1, f"area{i % 3}") for i in range(140)}
+    theta = {u: -1 + 0.21 * u for u in range(12)}
+    order = lambda u: sorted(bank, key=lambda i: (-round(info(theta[u], *bank[i][:3]), 9), i))
+    gone = {u: set(order(u)[: (0, 3, 6, 7, 20, 45)[u % 6]]) for u in theta}  # the best, all of some that are alike
+    learners = spark.createDataFrame(list(theta.items()), "learner long, theta double")
+    items = spark.createDataFrame([(i, *x) for i, x in bank.items()], "item long, a double, b double, c double, area string")
+    taken = spark.createDataFrame([(u, i) for u in gone for i in gone[u]], "learner long, item long")
+    got = {r.learner: r.item for r in S.select_next(learners, items, taken, strategy).collect()}
+    assert got == {u: plain(strategy, th, bank, gone[u], {}, u) for u, th in theta.items()}

@@ -3,7 +3,7 @@
 Learners are never joined with the whole bank. Abilities are dealt to cells of width WIDTH; every item gets the least
 and the greatest score that it can have in a cell, and stays a candidate there only if its greatest score reaches the
 least one of the k-th item. k is what a learner of that cell may need: the items wanted and those taken already, rounded
-up to a power of two. So candidates are exact for every learner of the cell, and a bank of n items costs n times the
+up to a power of two; a small k is tried first, and whose best of its candidates isn't surely the best asks again. So candidates are exact for every learner of the cell, and a bank of n items costs n times the
 cells that occur, of which there are at most (HIGH - LOW) / WIDTH + 1, for each third or turn where a strategy goes by it.
 """
 
@@ -25,6 +25,8 @@ LENGTH, ERROR, DRAWN, DELTA, HARD, EASY, MASTERY_LOW, MASTERY_HIGH, FUSION = 20,
 STRATEGIES = ("fisher_info", "b_match", "kl_info", "randomesque", "zpd_aware", "progressive", "a_stratified", "bkt_irt_fusion")
 #: Scores are compared at this many digits; equal ones are taken by item.
 DIGITS = 9
+#: Items with the same of these (and layer, where it counts) have the same score for every learner.
+_ALIKE = ("a", "b", "c", "zone")
 
 
 def draw(*parts: Column) -> Column:
@@ -133,31 +135,67 @@ def best_items(learners: DataFrame, items: DataFrame, taken: DataFrame, strategy
     n_taken = F.least(F.coalesce("n", F.lit(0)), F.lit(LENGTH))
     turn = {"a_stratified": layer(n_taken), "progressive": F.least(n_taken, F.lit(math.ceil(1 / (ERROR * ERROR) - 1e-9)))}.get(strategy, F.lit(0))
     people = learners.select("learner", "theta").where("theta is not null and not isnan(theta)").join(taken.groupBy("learner").agg(F.count("*").alias("n")), "learner", "left")
-    people = people.select("learner", F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.col("theta"))).alias("theta"), turn.cast("long").alias("turn"), F.ceil(F.log2(F.coalesce("n", F.lit(0)) + F.lit(float(n)))).cast("int").alias("level"))
+    people = people.select("learner", F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.col("theta"))).alias("theta"), turn.cast("long").alias("turn"), F.coalesce("n", F.lit(0)).alias("n"))
+    # a zone is ranked for itself; only what a learner has taken of it can stand before the items wanted
+    items = items.withColumn("zone", F.coalesce(F.concat(F.lit("="), F.col("area").cast("string")), F.lit("")) if by_area else F.lit(""))
+    if by_area:
+        inside = taken.join(items.select("item", "zone"), "item").groupBy("learner", "zone").agg(F.count("*").alias("n"))
+        people = people.drop("n").crossJoin(F.broadcast(items.select("zone").distinct())).join(inside, ["learner", "zone"], "left")
+    else:
+        people = people.withColumn("zone", F.lit(""))
+    people = people.select("learner", "theta", "turn", "zone", F.ceil(F.log2(F.coalesce("n", F.lit(0)) + F.lit(float(n)))).cast("int").alias("level"))
     people = cut(people.withColumn("cell", _cell(F.col("theta"))))
-    where = ["cell", "turn"]
-    need = people.groupBy(*where, "level").agg(F.lit(1).alias("one")).select(*where, "level", F.pow(F.lit(2), F.col("level")).cast("long").alias("k"))
+    # few have taken what is best for them: all ask for a few candidates first, and those whose best isn't sure ask for all
+    few = math.ceil(math.log2(4 * n))
+    asked = people.withColumn("level", F.least("level", F.lit(few)))
+    found, bar = _search(asked, items, taken, strategy, n)
+    found = cut(found)
+    sure = found.where("bar is null or score >= bar - 1e-9").groupBy("learner", "zone").agg(F.count("*").alias("sure")).where(F.col("sure") >= n)
+    none = bar.where(F.col("level") == few).select("cell", "turn", "zone", "bar")
+    rest = people.where(F.col("level") > few).join(sure, ["learner", "zone"], "left").join(F.broadcast(none), ["cell", "turn", "zone"], "left")
+    unsure = F.col("sure").isNull() & F.col("bar").isNotNull()
+    if strategy != "progressive":  # who has taken many of the first that are alike may need one that wasn't asked for
+        alike = [*_ALIKE, *(["layer"] if strategy == "a_stratified" else [])]
+        first = items.withColumn("twin", F.row_number().over(Window.partitionBy(*alike).orderBy("item"))).where(F.col("twin") <= 2**few)
+        crowded = taken.join(first, "item").groupBy("learner", *alike).agg(F.count("*").alias("gone")).where(F.col("gone") > 2**few - n)
+        rest = rest.join(crowded.select("learner", "zone", F.lit(True).alias("crowded")).distinct(), ["learner", "zone"], "left")
+        unsure = unsure | F.col("crowded").isNotNull()
+    rest = cut(rest.where(unsure).select(*people.columns))
+    columns = ["learner", "item", "a", "b", "c", "area", "score", "rank"]
+    if rest.isEmpty():
+        return found.select(*columns)
+    more, _ = _search(rest, items, taken, strategy, n)
+    return found.join(rest.select("learner", "zone"), ["learner", "zone"], "left_anti").select(*columns).unionByName(more.select(*columns))
+
+
+def _search(people: DataFrame, items: DataFrame, taken: DataFrame, strategy: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(learner, zone, item, a, b, c, area, score, rank, bar) of the n best of each learner's candidates, and the bars.
+
+    people: learner, theta, turn, zone, level, cell. The 2**level first items of a cell that can't score below its bar
+    make it; items that can't reach it aren't candidates. Where there are fewer items all are candidates and bar is null.
+    """
+    where, group = ["cell", "turn"], ["cell", "turn", "zone"]
+    need = cut(people.groupBy(*group, "level").agg(F.lit(1).alias("one")).select(*group, "level", F.pow(F.lit(2), F.col("level")).cast("long").alias("k")))
     top = need.agg(F.max("k")).first()[0] or 0
     cells = need.groupBy().agg(F.array_sort(F.collect_set(F.struct(*where))).alias("cells"))  # a bounded number of cells in one row
     edge = F.lit(LOW) + F.col("cell") * WIDTH
     may, surely, least, most = _bounds(strategy)
     layers = ["layer"] if strategy == "a_stratified" else []
-    group = [*where, "area"] if by_area else where
-    if strategy != "progressive":  # of items that are alike only the first k can be among a learner's best
-        alike = Window.partitionBy("a", "b", "c", *(["area"] if by_area else []), *layers).orderBy("item")
+    if strategy != "progressive":  # of items that are alike only the first k can make a bar; more may stay below if taken
+        alike = Window.partitionBy(*_ALIKE, *layers).orderBy("item")
         items = items.withColumn("twin", F.row_number().over(alike)).where(F.col("twin") <= top)
-    spread = items.join(F.broadcast(cells)).withColumn("at", F.explode("cells")).select("item", "a", "b", "c", "area", *layers, "at.*")
+    spread = items.join(F.broadcast(cells)).withColumn("at", F.explode("cells")).select("item", "a", "b", "c", "area", "zone", *layers, "at.*")
     spread = spread.withColumn("t0", edge - 1e-9).withColumn("t1", edge + WIDTH + 1e-9)
-    scored = cut(spread.where(may).select("item", "a", "b", "c", "area", *layers, *where, F.when(surely, least).alias("least"), most.alias("most")))
+    scored = cut(spread.where(may).select("item", "a", "b", "c", "area", *layers, *group, F.when(surely, least).alias("least"), most.alias("most")))
     place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("least"), "item"))
     ranked = scored.where("least is not null").select(*group, "least", place.cast("long").alias("k"), "item").where(F.col("k") <= top)
-    bar = ranked.join(F.broadcast(need), [*where, "k"]).groupBy(*group, "level").agg(F.max("least").alias("bar"))
-    kept = scored.join(F.broadcast(need.select(*where, "level")), where).join(bar, [*group, "level"], "left").where("bar is null or most >= bar - 1e-8")
+    bar = ranked.join(F.broadcast(need), [*group, "k"]).groupBy(*group, "level").agg(F.max("least").alias("bar"))
+    kept = scored.join(F.broadcast(need.select(*group, "level")), group).join(bar, [*group, "level"], "left").where("bar is null or most >= bar - 1e-8")
     part, score = _score(strategy)
-    found = people.join(kept.drop("least", "most", "bar"), [*where, "level"]).where(part).join(taken.select("learner", "item"), ["learner", "item"], "left_anti")
-    found = found.select("learner", "item", "a", "b", "c", "area", F.round(score, DIGITS).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("learner", *(["area"] if by_area else [])).orderBy(F.desc("score"), "item"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= n)
+    found = people.join(kept.drop("least", "most"), [*group, "level"]).where(part).join(taken.select("learner", "item"), ["learner", "item"], "left_anti")
+    found = found.select("learner", "zone", "item", "a", "b", "c", "area", F.round(score, DIGITS).alias("score"), "bar")
+    rank = F.row_number().over(Window.partitionBy("learner", "zone").orderBy(F.desc("score"), "item"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= n), bar
 
 
 def allowed(items: DataFrame, taken: DataFrame, targets: dict[str, float] | None = None, exposure: float | None = None) -> DataFrame:
