@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,23 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.filter(both, lambda t: ~t.isin(STOP_WORDS)), F.array().cast("array<string>"))
 
 
+_SCRIPT, _TAG = re.compile("<su[pb]>([^<]*)</su[pb]>"), re.compile("</?[a-z][^>]*>")
+_WORD, _SINGLE, _STOP = re.compile(r"[a-z][a-z0-9+\-/]*"), re.compile("[\u4e00-\u9fff]"), frozenset(STOP_WORDS)
+
+
+def token_list(text: str | None) -> list[str]:
+    """The same tokens of one text, for tasks that count them where they are cut."""
+    if text is None:
+        return []
+    low = text.lower()
+    if "<" in low:
+        low = _TAG.sub(" ", _SCRIPT.sub(r"\1", low))
+    found = _WORD.findall(low)
+    if not low.isascii():
+        found += _SINGLE.findall(low)
+    return [t for t in found if t not in _STOP]
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 when both are empty."""
     union = F.size(F.array_union(a, b))
