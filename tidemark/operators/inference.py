@@ -2,20 +2,64 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import parts as P
 from .iterate import cut
 
 KEY = ["subject", "predicate", "object"]
+#: Triples of the largest component that one task chains; what they add grows with the square.
+CHAINED = 1_000
 
 
-def forward_chain(triples: DataFrame, transitive: list[str] = (), inverse: dict[str, str] | None = None, rename: dict[str, str] | None = None, rounds: int = 10) -> DataFrame:
+def forward_chain(triples: DataFrame, transitive: list[str] = (), inverse: dict[str, str] | None = None, rename: dict[str, str] | None = None, rounds: int = 10, small: int = CHAINED) -> DataFrame:
     """(subject, predicate, object, iteration) that the rules add to the triples, to the fixpoint or the last round.
 
-    Rules of a round see what earlier rounds added; a transitive rule adds no (a, a).
+    Rules of a round see what earlier rounds added; a transitive rule adds no (a, a). No rule leaves a component of the
+    graph of subjects and objects, so components of at most `small` triples are chained in a task each, the others by joins.
     """
+    transitive, inverse, rename = list(transitive), inverse or {}, rename or {}
+    known = cut(triples.select(F.col("subject").alias("source"), "predicate", F.col("object").alias("target")).distinct())
+    near, far = P.dealt(known, small)
+    solve = lambda *columns: chained(list(zip(*columns, strict=True)), transitive, inverse, rename, rounds)
+    out = P.solved(near, ["source", "predicate", "target"], solve, "subject string, predicate string, object string, iteration int")
+    if far is not None:
+        rest = far.select(F.col("source").alias("subject"), "predicate", F.col("target").alias("object"))
+        out = out.unionByName(_chain_by_rounds(rest, transitive, inverse, rename, rounds))
+    return out
+
+
+def chained(facts: list[tuple[str, str, str]], transitive: list[str], inverse: dict[str, str], rename: dict[str, str], rounds: int):
+    """Columns of what the rules add to the facts of one component, a round at a time."""
+    known, new = set(facts), set(facts)
+    ahead, back = ({p: defaultdict(set) for p in transitive} for _ in range(2))
+    for i in range(1, rounds + 1):
+        for s, p, o in new:
+            if p in ahead:
+                ahead[p][s].add(o)
+                back[p][o].add(s)
+        found = set()
+        for s, p, o in new:
+            if p in ahead:
+                found.update((s, p, x) for x in ahead[p].get(o, ()) if x != s)
+                found.update((x, p, o) for x in back[p].get(s, ()) if x != o)
+            if p in inverse:
+                found.add((o, inverse[p], s))
+            if p in rename:
+                found.add((s, rename[p], o))
+        new = found - known
+        if not new:
+            break
+        known |= new
+        yield *zip(*new, strict=True), [i] * len(new)
+
+
+def _chain_by_rounds(triples: DataFrame, transitive: list[str], inverse: dict[str, str], rename: dict[str, str], rounds: int) -> DataFrame:
+    """The same for components of any size, a round of joins at a time."""
     known = cut(triples.select(*KEY).distinct())
     new, out = known, None
     for i in range(1, rounds + 1):
