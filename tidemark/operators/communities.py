@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import iterate
 from .graph import components
+from .parts import dealt, solved
 
 #: Edges, each way, of the largest component that one task solves.
 SMALL = 20_000
@@ -94,6 +94,26 @@ def _connected_parts(near: list[dict[int, float]], label: list[int]) -> list[int
     return part
 
 
+def _separate(edges: list[tuple[str, str, float]]) -> list[list[tuple[str, str, float]]]:
+    """The edges (both ways) of each component; nearly always of the one that there is."""
+    near = defaultdict(list)
+    for edge in edges:
+        near[edge[0]].append(edge)
+    out, seen = [], set()
+    for start in near:
+        if start not in seen:
+            seen.add(start)
+            todo, part = [start], []
+            while todo:
+                for edge in near[todo.pop()]:
+                    part.append(edge)
+                    if edge[1] not in seen:
+                        seen.add(edge[1])
+                        todo.append(edge[1])
+            out.append(part)
+    return out
+
+
 def small_levels(edges: list[tuple[str, str, float]], mass: float, gamma: float, max_levels: int) -> list[dict[str, str]]:
     """Levels of one component (edges both ways): node -> community. Nodes move one after the other, in their order."""
     names = sorted({a for a, *_ in edges})
@@ -153,18 +173,16 @@ def leiden(edges: DataFrame, gamma: float = 1.0, max_levels: int = 10, rounds: i
     mass = e.agg(F.sum("weight")).first()[0]
     if not mass:
         return e.select(F.col("source").alias("node"), F.lit(0).alias("level"), F.col("target").alias("community")).where("false")
-    of = cut(components(e.select("source", "target")))
-    tagged = cut(e.join(of.select(F.col("node").alias("source"), "component"), "source"))
-    size = cut(tagged.groupBy("component").agg(F.count("*").alias("n")))
-    tagged = tagged.join(size, "component")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = small_levels(list(zip(pdf["source"], pdf["target"], pdf["weight"], strict=True)), mass, gamma, max_levels)
-        return pd.DataFrame([(n, k, c) for k, level in enumerate(found) for n, c in level.items()], columns=["node", "level", "community"])
-
-    out = tagged.where(F.col("n") <= small).select("component", "source", "target", "weight").groupBy("component").applyInPandas(solve, LEVELS)
-    if size.where(F.col("n") > small).limit(1).count():
-        out = out.unionByName(_rounds(cut(tagged.where(F.col("n") > small).select("source", "target", "weight")), mass, gamma, max_levels, rounds))
+    near, far = dealt(e, small)
+
+    def solve(source, target, weight):
+        for part in _separate(list(zip(source, target, weight, strict=True))):
+            for k, level in enumerate(small_levels(sorted(part), mass, gamma, max_levels)):
+                yield list(level), [k] * len(level), list(level.values())
+
+    out = solved(near, ["source", "target", "weight"], solve, LEVELS)
+    if far is not None:
+        out = out.unionByName(_rounds(far, mass, gamma, max_levels, rounds))
     return cut(out)
 
 
