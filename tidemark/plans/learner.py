@@ -96,8 +96,9 @@ def irt_items(spark, sf):
 @register("next_item", "SELECT u AS learner, p_partkey FROM (SELECT u, p_partkey, row_number() OVER (PARTITION BY u ORDER BY round(abs((u - 5) / 4.0 - (p_size - 25) / 10.0), 9), p_partkey) AS rn FROM part, (SELECT range AS u FROM range(10))) WHERE rn = 1")
 def next_item(spark, sf):
     """The item nearest to each of ten abilities; first of equals."""
+    p = table(spark, sf, "part").groupBy("p_size").agg(F.min("p_partkey").alias("p_partkey"))  # equal sizes are equally near
+    p = p.select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("u"))
     b = F.round(F.abs((F.col("u") - 5) / 4.0 - (F.col("p_size") - 25) / 10.0), 9)
-    p = table(spark, sf, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("u"))
     return p.groupBy(F.col("u").cast("long").alias("learner")).agg(F.min(F.struct(b.alias("b"), "p_partkey")).alias("m")).select("learner", F.col("m.p_partkey").alias("p_partkey"))
 
 
