@@ -129,3 +129,33 @@ def test_abilities_need_few_jobs(spark):
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 12
     finally:
         spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_items_of_learners_with_many_answers(spark):
+    _, _, rows = drawn(9, 40, 12)
+    rows = [r for r in rows if r[0] < "u30" or r[1] < "i06"] + [(None, "i00", 1.0, 0.0, 0.0, True), ("u00", None, 1.0, 0.0, 0.0, True), ("u01", "i01", 1.0, 0.0, 0.0, None)]
+    df = frame(spark, rows)
+    by = {held: {r.item: tuple(r)[1:] for r in E.calibrate_items(df, rounds=4, held=held).collect()} for held in (100, 8, 0)}
+    assert set(by[100]) == {f"i{k:02}" for k in range(12)} and by[100]["i00"][2] == 41
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)  # a learner's and an item's answers in several batches
+    try:
+        by[1] = {r.item: tuple(r)[1:] for r in E.calibrate_items(df, rounds=4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for other in (8, 0, 1):
+        assert set(by[other]) == set(by[100])
+        assert all(by[other][i] == pytest.approx(want, abs=1e-5) for i, want in by[100].items())
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    _, _, rows = drawn(10, 30, 8)
+    df = frame(spark, rows)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk, before = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(key, None)
+    left = []
+    for rounds in (1, 4):
+        n = disk.getAllFiles().size()
+        E.calibrate_items(df, rounds=rounds, tolerance=0.0)
+        left.append(disk.getAllFiles().size() - n)
+    assert left[1] <= max(left[0], 0)
+    assert spark.conf.get(key, None) == before

@@ -1,20 +1,21 @@
 """Estimators of item response models: ability by likelihood, with a prior or by quadrature; items by marginal likelihood.
 
 Every step is one aggregation of the answers by learner or by item: what is gathered are sums at quadrature points, or
-one row of sums for each key. Only the search of a likelihood's top goes through a learner's answers where they are, up to
-HELD different ones; a learner with more is searched by aggregations, a round for each step.
+one row of sums for each key. Only the search of a likelihood's top and the posteriors that items are calibrated with go
+through a learner's answers where they are, up to HELD different ones; a learner with more is served by aggregations.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import cut
+from .iterate import cut, shuffles_freed, work_folder
 
 # The range of abilities and that of a search, and what is added to keep logarithms finite.
 LOW, HIGH, BOUND, TINY = -3.0, 3.0, 4.0, 1e-9
@@ -64,13 +65,38 @@ def ability_likelihood(answers: DataFrame, prior_sd: float | None = None, prior_
     return found.where("theta is not null").unionByName(by_rounds)
 
 
+def _starts(key) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    if len(key) < 2:
+        return np.zeros(len(key), "int64")
+    return np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False))])
+
+
+def _whole(batches, key: str):
+    """Tables of sorted batches, each with all rows of its keys."""
+    rest = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        end = int(_starts(t[key].combine_chunks())[-1])
+        if rest and (end or rest[-1][key][-1] != t[key][0]):
+            yield pa.concat_tables([*rest, t.slice(0, end)])
+            rest = []
+        elif end:
+            yield t.slice(0, end)
+        rest.append(t.slice(end))
+    if rest:
+        yield pa.concat_tables(rest)
+
+
 def _fit_sorted(batches, inverse: float, mean: float, rounds: int, tolerance: float, held: int):
     """Abilities of learners whose answers follow one another; those with more than `held` come out without an ability."""
     rest, long = None, None  # answers of the learner whose end isn't seen; the key, if there were too many
 
     def fitted(t: pa.Table):
         key = t["learner"].combine_chunks()
-        starts = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False))]) if len(key) > 1 else np.array([0])
+        starts = _starts(key)
         lengths = np.diff(np.append(starts, len(key)))
         short = lengths <= held
         rows = np.repeat(short, lengths)
@@ -191,36 +217,111 @@ def ability_quadrature(answers: DataFrame, points: int = POINTS, mean: float = 0
     return d.select("learner", "theta", F.sqrt(moment(lambda p, v: p * (v - F.col("theta")) * (v - F.col("theta")))).alias("se"), F.col("answers").cast("long").alias("n"))
 
 
-def calibrate_items(answers: DataFrame, points: int = POINTS, rounds: int = 30, tolerance: float = 1e-4, newton: int = 25) -> DataFrame:
+def calibrate_items(answers: DataFrame, points: int = POINTS, rounds: int = 30, tolerance: float = 1e-4, newton: int = 25, held: int = HELD) -> DataFrame:
     """(item, a, b, n): discrimination and difficulty of two-parameter items by marginal maximum likelihood.
 
-    answers: learner, item, correct. A round takes the posterior of each learner at the quadrature points (sums by
-    learner), then the answers and right answers that each item is expected to have there (sums by item), and from
-    those new parameters by Newton steps, item by item. It ends when no parameter moves by more than tolerance. a lies
-    in [0.2, 3], b in [-4, 4].
+    answers: learner, item, correct. A round takes the posterior of each learner at the quadrature points, then the
+    answers and right answers that each item is expected to have there, and from those new parameters by Newton steps,
+    item by item. It ends when no parameter moves by more than tolerance. a lies in [0.2, 3], b in [-4, 4].
+
+    An answer travels twice in a round: with its item's parameters to its learner, and with the learner's posterior, as
+    floats, to its item. Answers and parameters stay in written tables, and the shuffle files of a round go with its end.
     """
+    spark = answers.sparkSession
     places, weights = hermite(points)
-    rows = cut(answers.groupBy("learner", "item", "correct").agg(F.count("*").alias("n")))
-    right = F.sum(F.when(F.col("correct"), F.col("n")).otherwise(0)) / F.sum("n")
-    items = cut(rows.groupBy("item").agg(F.sum("n").alias("answers"), right.alias("share")).select("item", "answers", F.lit(1.0).alias("a"), F.greatest(F.lit(-4.0), F.least(F.lit(4.0), -F.log(F.greatest(F.col("share"), F.lit(0.01)) / F.greatest(1 - F.col("share"), F.lit(0.01))))).alias("b")))
+    folder = f"{work_folder(spark)}/items-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    with shuffles_freed(spark):
+        rows = written(answers.groupBy("learner", "item", "correct").agg(F.count("*").alias("n")), "answers")
+        right = F.sum(F.when(F.col("correct"), F.col("n")).otherwise(0)) / F.sum("n")
+        first = -F.log(F.greatest(F.col("share"), F.lit(0.01)) / F.greatest(1 - F.col("share"), F.lit(0.01)))
+        items = rows.groupBy("item").agg(F.sum("n").alias("n"), right.alias("share"))
+        counts = items = written(items.select("item", F.col("n").cast("long").alias("n"), F.lit(1.0).alias("a"), F.greatest(F.lit(-4.0), F.least(F.lit(4.0), first)).alias("b")), "items-0")
+        many = written(rows.groupBy("learner").agg(F.count("*").alias("k")).where(F.col("k") > held).select("learner"), "many")
+        any_many = not many.isEmpty()
+        kind = rows.schema["item"].dataType.simpleString()
+        answer = f"item {kind}, correct boolean, n long, a double, b double"
+        expect = lambda batches: _posteriors(batches, places, weights)
+        maximise = lambda batches: _new_items(batches, places, newton)
+        for k in range(1, rounds + 1):
+            known = rows.join(items.select("item", "a", "b"), "item")
+            few = known.join(F.broadcast(many), "learner", "left_anti") if any_many else known
+            dealt = few.where("learner is not null").select("learner", "item", "correct", "n", "a", "b").repartition("learner").sortWithinPartitions("learner")
+            both = dealt.mapInArrow(expect, f"{answer}, post binary")
+            if any_many:
+                of_many = known.join(F.broadcast(many), "learner", "left_semi")
+                post = _posterior(_at_points(of_many.withColumn("c", F.lit(0.0)), places), weights).select("learner", "post").mapInArrow(_packed, f"learner {rows.schema['learner'].dataType.simpleString()}, post binary")
+                both = both.unionByName(of_many.join(F.broadcast(post), "learner").drop("learner"))  # a row for each of the many
+            items = written(both.repartition("item").sortWithinPartitions("item").mapInArrow(maximise, f"item {kind}, a double, b double, moved double"), f"items-{k}")
+            if (items.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+                break
+        return items.select("item", "a", "b").join(counts.select("item", "n"), "item")
+
+
+def _posteriors(batches, places: np.ndarray, weights: np.ndarray):
+    """The answers with the posterior of their learner; a learner's answers follow one another."""
+    for t in _whole(batches, "learner"):
+        starts = _starts(t["learner"].combine_chunks())
+        a, b, n = (t[c].to_numpy()[:, None] for c in ("a", "b", "n"))
+        right = t["correct"].fill_null(False).to_numpy()[:, None]
+        with np.errstate(over="ignore"):
+            p = np.clip(1 / (1 + np.exp(a * (b - places))), TINY, 1 - TINY)
+        logs = np.add.reduceat(n * np.log(np.where(right, p, 1 - p)), starts) + np.log(weights)
+        post = np.exp(logs - logs.max(1, keepdims=True))
+        post = (post / post.sum(1, keepdims=True)).astype("float32")
+        each = np.repeat(post, np.diff(np.append(starts, t.num_rows)), axis=0)
+        yield from t.drop_columns("learner").append_column("post", _binary(each)).combine_chunks().to_batches(max_chunksize=10_000)
 
-    def maximise(batches):
-        for pdf in batches:
-            r, m = np.stack(pdf["r"]), np.stack(pdf["m"])
-            a, b = fit_item(r, m, places, pdf["a"].to_numpy(), pdf["b"].to_numpy(), newton)
-            yield pd.DataFrame({"item": pdf["item"], "answers": pdf["answers"], "a": a, "b": b, "moved": np.maximum(np.abs(a - pdf["a"]), np.abs(b - pdf["b"]))})
 
-    kind = items.schema["item"].dataType.simpleString()
-    for _ in range(rounds):
-        known = rows.join(items.select("item", "a", "b"), "item").withColumn("c", F.lit(0.0))
-        post = _posterior(_at_points(known, places), weights).select("learner", "post")
-        both = rows.join(cut(post), "learner")
-        expected = [F.sum(F.col("n") * F.col("post")[k] * w).alias(f"{name}{k}") for name, w in (("r", F.col("correct").cast("double")), ("m", F.lit(1.0))) for k in range(points)]
-        sums = both.groupBy("item").agg(*expected).select("item", *(F.array(*(f"{name}{k}" for k in range(points))).alias(name) for name in "rm"))
-        items = cut(items.select("item", "answers", "a", "b").join(sums, "item").mapInPandas(maximise, f"item {kind}, answers long, a double, b double, moved double"))
-        if (items.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
-            break
-    return items.select("item", "a", "b", F.col("answers").alias("n"))
+def _binary(x: np.ndarray) -> pa.Array:
+    """A row's floats as the bytes of a value, which Spark copies at once."""
+    ends = np.arange(len(x) + 1, dtype="int32") * (4 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x, "<f4"))])
+
+
+def _floats(column: pa.Array, width: int) -> np.ndarray:
+    fixed = column.cast(pa.binary(4 * width))
+    return np.frombuffer(fixed.buffers()[1], "<f4", len(fixed) * width, fixed.offset * 4 * width).reshape(-1, width)
+
+
+def _packed(batches):
+    for batch in batches:
+        post = np.array(batch["post"].to_pylist(), "<f4")
+        if len(post):
+            yield pa.RecordBatch.from_arrays([batch["learner"], _binary(post)], names=["learner", "post"])
+
+
+def _new_items(batches, places: np.ndarray, newton: int):
+    """(item, a, b, moved) of items whose answers follow one another; only sums are held of an item."""
+    rest = None  # item, a, b and sums of the item whose end isn't seen
+
+    def fitted(item, a, b, sums):
+        new_a, new_b = fit_item(sums[:, : len(places)], sums[:, len(places) :], places, a, b, newton)
+        moved = np.maximum(np.abs(new_a - a), np.abs(new_b - b))
+        return pa.RecordBatch.from_arrays([item, *(pa.array(x) for x in (new_a, new_b, moved))], names=["item", "a", "b", "moved"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = _starts(batch["item"])
+        m = batch["n"].to_numpy()[:, None] * _floats(batch["post"], len(places)).astype("float64")
+        right = batch["correct"].fill_null(False).to_numpy(zero_copy_only=False)[:, None]
+        sums = np.add.reduceat(np.concatenate([np.where(right, m, 0.0), m], axis=1), starts)
+        item, a, b = batch["item"].take(pa.array(starts)), batch["a"].to_numpy()[starts], batch["b"].to_numpy()[starts]
+        if rest is not None:
+            if rest[0][0] == item[0]:
+                sums[0] += rest[3][0]
+            else:
+                item, a, b, sums = pa.concat_arrays([rest[0], item]), *(np.concatenate([x, y]) for x, y in zip(rest[1:], (a, b, sums), strict=True))
+        if len(item) > 1:
+            yield fitted(item[:-1], a[:-1], b[:-1], sums[:-1])
+        rest = item[-1:], a[-1:], b[-1:], sums[-1:]
+    if rest is not None:
+        yield fitted(*rest)
 
 
 def fit_item(r: np.ndarray, m: np.ndarray, places: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
