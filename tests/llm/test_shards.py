@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -85,3 +86,14 @@ def test_empty(spark):
 def test_large_ids_are_refused():
     with pytest.raises(ValueError):
         range_coder.encode_blocks(np.array([1, 65536], "<u4"))
+
+
+def test_lanes_take_little_memory():
+    ids = np.random.default_rng(2).zipf(1.3, 256 * 256) % 50257
+    tracemalloc.start()
+    try:
+        blocks = range_coder.encode_blocks(ids, 256)
+        assert (range_coder.decode_blocks(blocks) == ids).all()
+        assert tracemalloc.get_traced_memory()[1] < 20e6  # 256 lanes; 148 KB of order 0 in each would be 38 MB
+    finally:
+        tracemalloc.stop()

@@ -1,14 +1,15 @@
-"""An adaptive context-mixing range coder for ids below 65536, in blocks that are reset and checked one by one.
+"""A context-mixing range coder for ids below 65536, in blocks that are reset and checked one by one.
 
 Order-2 and order-1 contexts predict the next id; their confidences are mixed in the logistic domain to one binary
-decision, then order 1 has its own, and an id that neither foresaw is coded in four steps of 16 symbols by adaptive
-order-0 distributions. All numbers are integers, so any machine decodes what another one wrote. Blocks don't depend on
-each other: numpy codes many at once, one lane a block.
+decision, then order 1 has its own, and an id that neither foresaw is coded in one step by order 0: how often it stands
+in its block, which the block's head tells. All numbers are integers, so any machine decodes what another one wrote.
+Blocks don't depend on each other: numpy codes many at once, one lane a block, in some 49 KB for a lane of 1,024 ids.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -17,20 +18,19 @@ import numpy as np
 BLOCK = 4096
 LANES = 2048
 _SLOTS = 12  # bits of a context table
-_TOTAL = 14  # bits of an order-0 distribution
-_RATES = (4, 4, 3, 2)
 _U = np.uint64
 
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], dtype=np.int32)
 _SQUASH = np.array([max(1, min(4095, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int32)
-#: Where a distribution moves when symbol s comes: at least 32 of each symbol's share stays, so none vanishes.
-_AIM = np.array([[32 * i if i <= s else (1 << _TOTAL) - 32 * (16 - i) for i in range(17)] for s in range(16)], dtype=np.int16)
+_HEAD = struct.Struct("<II")  # different ids of a block, bytes of their compressed list
 
 
 class _Out:
     """Writes digits of 16 bits; a digit may hold a carry for its predecessor until the end."""
 
-    def __init__(self, lanes: int, length: int):
+    def __init__(self, lanes: int, length: int, sizes: np.ndarray, first: np.ndarray, count: np.ndarray):
+        """first, count: share of the id at (step, lane) in its lane's sizes ids, beginning with first."""
+        self.sizes, self.first, self.count = sizes.astype(_U), first, count
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
         self.digits, self.at = np.zeros((lanes, length + 16), np.uint32), np.zeros(lanes, np.int64)
 
@@ -40,13 +40,10 @@ class _Out:
         self.range[on] = np.where(bit, split, self.range[on] - split)
         return bit
 
-    def symbol(self, on, rows, s):
-        unit = self.range[on] >> _U(_TOTAL)
-        ar = np.arange(len(rows))
-        start = rows[ar, s].astype(_U)
-        self.low[on] += unit * start
-        self.range[on] = unit * (rows[ar, s + 1].astype(_U) - start)
-        return s
+    def symbol(self, step, on):
+        unit = self.range[on] // self.sizes[on]
+        self.low[on] += unit * self.first[step, on].astype(_U)
+        self.range[on] = unit * self.count[step, on].astype(_U)
 
     def settle(self, n):
         while len(small := np.flatnonzero(self.range[:n] < _U(1 << 32))):
@@ -71,7 +68,14 @@ class _Out:
 
 
 class _In:
-    def __init__(self, payloads: list[bytes]):
+    def __init__(self, payloads: list[bytes], sizes: list[int]):
+        heads = [_shares(p, n) for p, n in zip(payloads, sizes, strict=True)]
+        self.sizes = np.array(sizes, _U)
+        self.ids, self.first, self.count = np.zeros((3, len(sizes), max(sizes)), np.uint16)
+        for i, (ids, count, end) in enumerate(heads):
+            for table, x in ((self.ids, ids), (self.first, np.cumsum(count) - count), (self.count, count)):
+                table[i, : sizes[i]] = np.repeat(x, count)
+        payloads = [memoryview(p)[end:] for p, (_, _, end) in zip(payloads, heads, strict=True)]
         width = max(len(p) for p in payloads) // 2 + 8
         self.digits = np.zeros((len(payloads), width), np.uint64)
         for i, p in enumerate(payloads):
@@ -88,15 +92,12 @@ class _In:
         self.range[on] = np.where(bit, split, self.range[on] - split)
         return bit
 
-    def symbol(self, on, rows, _):
-        unit = self.range[on] >> _U(_TOTAL)
-        value = np.minimum(self.code[on] // unit, _U((1 << _TOTAL) - 1)).astype(np.int16)
-        s = (rows[:, 1:] <= value[:, None]).sum(axis=1)
-        ar = np.arange(len(rows))
-        start = rows[ar, s].astype(_U)
-        self.code[on] -= unit * start
-        self.range[on] = unit * (rows[ar, s + 1].astype(_U) - start)
-        return s
+    def symbol(self, _, on):
+        unit = self.range[on] // self.sizes[on]
+        value = np.minimum(self.code[on] // unit, self.sizes[on] - _U(1)).astype(np.int64)
+        self.code[on] -= unit * self.first[on, value].astype(_U)
+        self.range[on] = unit * self.count[on, value].astype(_U)
+        return self.ids[on, value]
 
     def settle(self, n):
         while len(small := np.flatnonzero(self.range[:n] < _U(1 << 32))):
@@ -105,6 +106,26 @@ class _In:
             self.range[small] <<= _U(16)
 
 
+def _head(ids: np.ndarray, count: np.ndarray) -> bytes:
+    """The different ids of a block, ascending, and how often each stands in it."""
+    both = np.array([np.diff(ids, prepend=0), count], "<u2")
+    packed = zlib.compress(np.ascontiguousarray(both.view("u1").reshape(-1, 2).T).tobytes(), 6)
+    return _HEAD.pack(len(ids), len(packed)) + packed
+
+
+def _shares(payload: bytes, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The ids and counts that a payload of size ids begins with, and where they end."""
+    n, width = _HEAD.unpack_from(payload)
+    end = _HEAD.size + width
+    raw = np.frombuffer(zlib.decompress(payload[_HEAD.size : end]), "u1")
+    if len(raw) != 4 * n:
+        raise ValueError("a block's head is damaged")
+    steps, count = np.ascontiguousarray(raw.reshape(2, -1).T).view("<u2").reshape(2, n).astype(np.int64)
+    if count.sum() != size:
+        raise ValueError("a block's head is damaged")
+    return np.cumsum(steps), count, end
+
+
 def _nearer(p: np.ndarray, hit: np.ndarray) -> np.ndarray:
     """Chances of 4096 after one more outcome; they stay between 31 and 4064."""
     return np.where(hit, p + ((4095 - p) >> 5), p - (p >> 5))
@@ -113,16 +134,13 @@ def _nearer(p: np.ndarray, hit: np.ndarray) -> np.ndarray:
 def _run(coder, lengths: list[int], ids: np.ndarray | None) -> np.ndarray:
     """Codes or, with ids None, decodes lanes of descending lengths; ids and result are (step, lane)."""
     lanes, steps = len(lengths), lengths[0]
-    out = ids if ids is not None else np.zeros((steps, lanes), np.int64)
+    out = ids if ids is not None else np.zeros((steps, lanes), np.uint16)
     base = np.arange(lanes) << _SLOTS
     seen2, seen1 = np.zeros(lanes << _SLOTS, np.int32), np.zeros(lanes << _SLOTS, np.int32)  # confidence << 16 | id
     base16 = np.arange(lanes) * 16
     guess = np.array([(200 + 240 * c) for c in range(16)], np.int32)
     right2, right1 = np.tile(guess, lanes), np.tile(guess, lanes)
     weight2, weight1 = np.full(lanes, 50000, np.int32), np.full(lanes, 20000, np.int32)
-    sizes = (1, 16, 256, 4096)
-    plain = np.array([i << (_TOTAL - 4) for i in range(17)], np.int16)
-    order0 = [np.tile(plain, (lanes * n, 1)) for n in sizes]
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     mask = (1 << _SLOTS) - 1
     n = lanes
@@ -140,7 +158,7 @@ def _run(coder, lengths: list[int], ids: np.ndarray | None) -> np.ndarray:
         x2, x1 = _STRETCH[p2], _STRETCH[p1]
         x1 = np.where(same, x1, -x1)
         p = _SQUASH[np.clip((weight2[on] * x2 + weight1[on] * x1) >> 16, -2047, 2047) + 2047]
-        s = None if ids is None else ids[t, :n]
+        s = None if ids is None else ids[t, :n].astype(np.int64)
         hit2 = coder.bit(on, p, None if s is None else s == id2)
         err = ((hit2.astype(np.int32) << 12) - p) * 6
         weight2[on] += (x2 * err) >> 12
@@ -160,17 +178,10 @@ def _run(coder, lengths: list[int], ids: np.ndarray | None) -> np.ndarray:
             coder.settle(n)
         rest = np.flatnonzero(missed)
         if len(rest):
-            value = np.zeros(len(rest), np.int64)
-            for k in range(4):
-                row = rest * sizes[k] + value
-                table = order0[k]
-                rows = table[row]
-                symbol = coder.symbol(rest, rows, None if s is None else (s[rest] >> (12 - 4 * k)) & 15)
-                table[row] = rows + ((_AIM[symbol] - rows) >> _RATES[k])
-                value = value << 4 | symbol
-                coder.settle(n)
+            plain = coder.symbol(t, rest)
             if s is None:
-                got[rest] = value
+                got[rest] = plain
+            coder.settle(n)
         if s is None:
             out[t, :n] = got
         hit1 = got == id1
@@ -189,16 +200,25 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, b
     """
     if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError("ids above 65535 can't be coded")
+    if block > 0xFFFF:
+        raise ValueError("blocks of more than 65535 ids can't be coded")
     out = []
-    for first in range(0, len(ids), block * LANES):
-        part = ids[first : first + block * LANES]
+    for begin in range(0, len(ids), block * LANES):
+        part = ids[begin : begin + block * LANES]
         lengths = [min(block, len(part) - k) for k in range(0, len(part), block)]
-        grid = np.zeros((len(lengths), block), np.int64)
+        grid, first, count = np.zeros((3, len(lengths), block), np.uint16)
         grid.reshape(-1)[: len(part)] = part
-        coder = _Out(len(lengths), lengths[0])
-        _run(coder, lengths, np.ascontiguousarray(grid.T[: lengths[0]]))
-        for n, row, payload in zip(lengths, grid, coder.finish(), strict=True):
-            out.append((n, zlib.crc32(row[:n].astype("<u4").tobytes()), payload))
+        heads = []
+        for i, n in enumerate(lengths):
+            own, place, many = np.unique(grid[i, :n], return_inverse=True, return_counts=True)
+            first[i, :n], count[i, :n] = (np.cumsum(many) - many)[place], many[place]
+            heads.append(_head(own, many))
+        by_step = lambda x: np.ascontiguousarray(x.T[: lengths[0]])
+        coder = _Out(len(lengths), lengths[0], np.array(lengths), by_step(first), by_step(count))
+        del first, count
+        _run(coder, lengths, by_step(grid))
+        for n, row, head, payload in zip(lengths, grid, heads, coder.finish(), strict=True):
+            out.append((n, zlib.crc32(row[:n].astype("<u4").tobytes()), head + payload))
     return out
 
 
@@ -210,7 +230,7 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
         some = [i for i in order[first : first + LANES] if blocks[i][0]]
         if not some:
             continue
-        grid = _run(_In([blocks[i][2] for i in some]), [blocks[i][0] for i in some], None)
+        grid = _run(_In([blocks[i][2] for i in some], [blocks[i][0] for i in some]), [blocks[i][0] for i in some], None)
         for lane, i in enumerate(some):
             row = grid[: blocks[i][0], lane].astype("<u4")
             if zlib.crc32(row.tobytes()) != blocks[i][1]:
