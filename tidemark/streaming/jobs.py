@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.learner import BKT
 
 TRACED = "learner long, kp string, attempts long, correct_count long, mastery double, rejected long"
-_STATE = "attempts long, correct_count long, mastery double, last_ts timestamp, rejected long"
+_STATE = "learner array<long>, kp array<string>, attempts array<long>, correct_count array<long>, mastery array<double>, last_ts array<long>, rejected array<long>"
+#: Groups that keys are dealt to by a hash; a group's keys are traced, and their states kept, together.
+GROUPS = 512
+#: From so few keys on with further answers each goes through the rest of its own.
+_FEW = 16
+_NONE = np.iinfo("int64").min  # no time
 
 
 def bkt_update(p: float, correct: bool) -> float:
@@ -24,26 +30,75 @@ def bkt_update(p: float, correct: bool) -> float:
     return min(1.0, max(0.0, post + (1 - post) * t))
 
 
+def _fold(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, correct: np.ndarray) -> np.ndarray:
+    """p after the answers from starts to ends of each key, an answer of all keys at a time."""
+    s, g, t = BKT["p_s"], BKT["p_g"], BKT["p_t"]
+    p, at, on = p.copy(), starts.copy(), np.flatnonzero(starts < ends)
+    while len(on) > _FEW:
+        q, c = p[on], correct[at[on]]
+        num = np.where(c, q * (1 - s), q * s)
+        den = num + (1 - q) * np.where(c, g, 1 - g)
+        post = np.where(den <= 1e-12, q, num / np.maximum(den, 1e-12))
+        p[on] = np.clip(post + (1 - post) * t, 0.0, 1.0)
+        at[on] += 1
+        on = on[at[on] < ends[on]]
+    for k in on.tolist():
+        x = float(p[k])
+        for c in correct[at[k] : ends[k]].tolist():
+            x = bkt_update(x, c)
+        p[k] = x
+    return p
+
+
 def trace(answers: DataFrame) -> DataFrame:
     """Mastery of each (learner, kp) after every micro-batch, in update mode.
 
     Within a batch answers are taken in the order of (ts, event_id). An answer older than the last one of its key is
-    rejected and counted; one of equal time is accepted. Answers need learner, kp, ts, event_id and correct.
+    rejected and counted; one of equal time is accepted. Answers need learner, kp, ts, event_id and correct. The states
+    of a group's keys (one of GROUPS) are arrays, so a batch costs a call a group and not a call a key.
     """
+    names = ["learner", "kp", "attempts", "correct_count", "mastery", "last_ts", "rejected"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, right, p, last, rejected = state.get if state.exists else (0, 0, BKT["p_l0"], None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for ts, correct in zip(rows.ts, rows.correct, strict=True):
-            if last is not None and ts < pd.Timestamp(last):
-                rejected += 1
-                continue
-            p, attempts, right, last = bkt_update(p, bool(correct)), attempts + 1, right + int(correct), ts
-        state.update((attempts, right, p, last, rejected))
-        yield pd.DataFrame({"learner": [key[0]], "kp": [key[1]], "attempts": [attempts], "correct_count": [right], "mastery": [p], "rejected": [rejected]})
-
-    typed = answers.withColumn("ts", F.col("ts").cast("timestamp"))
-    return typed.groupBy("learner", "kp").applyInPandasWithState(step, TRACED, _STATE, "update", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(batches))
+        us = rows.ts.astype("datetime64[us]")
+        rows["at"] = np.where(us.isna(), _NONE, us.astype("int64"))
+        rows["right"] = [c is not None and bool(c) for c in rows.correct.tolist()]
+        rows["no_time"] = us.isna()
+        old = pd.DataFrame(dict(zip(names, state.get, strict=True))) if state.exists else pd.DataFrame({n: pd.Series(dtype="object" if n in ("learner", "kp") else "int64") for n in names})
+        both = pd.concat([old[["learner", "kp"]], rows[["learner", "kp"]]])
+        code, kept = pd.MultiIndex.from_frame(both.astype("object")).factorize()
+        keys, before = len(kept), len(old)
+
+        def full(name, start, kind):
+            out = np.full(keys, start, kind)
+            out[:before] = old[name].to_numpy(kind)
+            return out
+
+        attempts, right, rejected = (full(c, 0, "int64") for c in ("attempts", "correct_count", "rejected"))
+        p, last = full("mastery", BKT["p_l0"], "float64"), full("last_ts", _NONE, "int64")
+        rows["code"] = code[before:]
+        rows = rows.sort_values(["code", "no_time", "at", "event_id"])
+        of, at, correct = rows.code.to_numpy(), rows["at"].to_numpy(), rows.right.to_numpy(bool)
+        touched = np.unique(of)
+        late = (at < last[of]) & ~rows.no_time.to_numpy()
+        rejected += np.bincount(of[late], minlength=keys)
+        of, at, correct = of[~late], at[~late], correct[~late]
+        ends = np.cumsum(np.bincount(of, minlength=keys))
+        starts = np.concatenate([[0], ends[:-1]])
+        p = _fold(p, starts, ends, correct)
+        attempts, right = attempts + ends - starts, right + np.bincount(of[correct], minlength=keys)
+        new = ends > starts
+        last[new] = at[ends[new] - 1]
+        learner, kp = (kept.get_level_values(k).tolist() for k in (0, 1))
+        learner = [None if x is None or x != x else int(x) for x in learner]
+        kp = [None if x is None or x != x else x for x in kp]
+        state.update((learner, kp, attempts.tolist(), right.tolist(), p.tolist(), last.tolist(), rejected.tolist()))
+        out = pd.DataFrame({"learner": pd.array(learner, "Int64"), "kp": kp, "attempts": attempts, "correct_count": right, "mastery": p, "rejected": rejected})
+        yield out.iloc[touched]
+
+    typed = answers.select("learner", "kp", F.col("ts").cast("timestamp").alias("ts"), "event_id", "correct", F.pmod(F.hash("learner", "kp"), F.lit(GROUPS)).alias("group"))
+    return typed.groupBy("group").applyInPandasWithState(step, TRACED, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def windows(events: DataFrame, good: Column, size: str = "1 day", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
