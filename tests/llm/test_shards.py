@@ -44,6 +44,16 @@ def test_coder_compresses():
     assert sum(len(p) for *_, p in range_coder.encode_blocks(ids, 4000)) < 0.25 * 2 * len(ids)
 
 
+def test_unconfirmed_contexts_take_no_decision(monkeypatch):
+    asked, plain = [], range_coder._Out.bit
+    monkeypatch.setattr(range_coder._Out, "bit", lambda self, on, *x: asked.append(len(on)) or plain(self, on, *x))
+    ids = np.arange(4000) % 1000 + np.arange(4000) // 1000 * 1000  # no id, so no context, comes twice
+    blocks = range_coder.encode_blocks(ids, 4000)
+    assert (range_coder.decode_blocks(blocks) == ids).all() and sum(asked) < 10
+    ids = np.tile(np.arange(100), 40)
+    assert (range_coder.decode_blocks(range_coder.encode_blocks(ids, 4000)) == ids).all() and sum(asked) > 3000
+
+
 def test_damage_is_seen():
     ids = np.arange(4000) % 777
     data = bytearray(pack([1, None], [1000, 3000], ids))

@@ -17,7 +17,7 @@ from .range_coder import BLOCK, LANES, decode_blocks, encode_blocks
 from .tokens import memo
 
 END_ID = 2
-MAGIC = b"TMRC0002"
+MAGIC = b"TMRC0003"
 #: Ids after which a task begins the next shard; a longer document is a shard of its own.
 SHARD_IDS = BLOCK * LANES
 #: Lanes that a short shard is cut into at least (down to blocks of MIN_BLOCK ids), as lanes are coded together.
