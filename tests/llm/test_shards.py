@@ -27,6 +27,20 @@ def test_memo_equals_whole_texts(path, keeps):
     assert m.encode_all(texts) == want and WordMemo(path, keeps).encode_all(texts) == want
 
 
+@pytest.mark.parametrize("path, keeps", [(BYTE, True), (WORD, False)])
+def test_letters_marks_and_lines_are_put_together(path, keeps):
+    r, m = random.Random(2), WordMemo(path, keeps)
+    words = ["".join(r.choice("abcÀéßüñµªºöÿĀ") for _ in range(r.randint(1, 9))).title() for _ in range(300)] + ["it's", "x_", "R2"]
+    marks = ["", "", ".", "$$$", ".%%%", "--", "_", "()", "'", "',", '"', "\u00a0", "\x85", "…", "!" * 12]
+    between = [" ", " ", " ", "\n", "\n\n", " \n", "\n ", "  ", "\t"]
+    texts = ["".join(r.choice(words) + r.choice(marks) + r.choice(between) for _ in range(40)) for _ in range(400)]
+    assert m.encode_all(texts) == m.direct(texts) and [m.encode(t) for t in texts] == m.direct(texts)
+    seen = []
+    m.direct = lambda some: seen.extend(some) or [b""] * len(some)
+    m._learn(["Novelword$$$", "anotherword.\nThirdword,"])
+    assert "anotherword" not in " ".join(seen) or not keeps  # only its marks take the long way
+
+
 def test_coder_round_trip():
     r = np.random.default_rng(1)
     for ids in (r.integers(0, 65536, 3000), np.zeros(5000, int), r.zipf(1.3, 9000) % 50257, np.tile(r.integers(0, 50257, 97), 60), np.array([7]), np.full(300, 65535)):

@@ -16,6 +16,10 @@ import numpy as np
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task: Spark has the cores
 
+#: How ByteLevel writes the bytes of letters from À on that don't stand for themselves.
+_BYTES: dict[int, int] = {b: 290 + b - 128 for b in range(128, 161)} | {173: 323}
+#: Marks of which a run after letters is a piece of its own (an apostrophe may bind to letters).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces that one Python worker remembers at most; then it starts anew.
 MEMO = 1_500_000
 
@@ -32,12 +36,12 @@ class WordMemo:
         self.kind = np.dtype(f"<u{self.bytes_each}")
         self.memo: dict[str, bytes] = {}
         self.lead = " " if keeps_space else ""
-        # tokens that begin a word after a space (byte_bpe), or end one (word_bpe)
-        self.bounds = np.zeros(1 << (8 * self.bytes_each if self.bytes_each == 2 else 20), dtype=bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.bounds[i] = token.startswith("Ġ") if keeps_space else token.endswith("</w>")
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words are remembered here
 
-        self.marks = {m: self.direct([m])[0] for m in ["", *".,;:!?"]}
+        self.marks: dict[str, bytes] = {}
+        self.line = self.direct(["\n"])[0]
 
     def direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -47,42 +51,56 @@ class WordMemo:
     def _plain(c: str) -> bool:
         return "!" <= c <= "~" or ("À" <= c <= "ɏ")
 
+    def _cut(self, w: str) -> tuple[str, str] | None:
+        """Letters of w and the run of marks after them, if w is that and both are short."""
+        letters = w.rstrip(_MARKS)
+        if letters.isalpha() and len(letters) < 64 and len(w) - len(letters) < 9 and (letters.isascii() or max(letters) <= "ÿ" and self._plain(letters[-1])):
+            return letters, w[len(letters) :]
+        return None
+
+    def _mark(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            if len(self.marks) > 50_000:
+                self.marks.clear()
+            found = self.marks[marks] = self.direct([marks])[0]
+        return found
+
     def _learn(self, new: list[str]) -> None:
-        """Remembers new words. One mark after letters is a token of its own kind, and word_bpe lowers its case, so
-        most words are put together from their letters; those are encoded in one text, a word after the other."""
+        """Remembers new words. Marks after letters are a piece of their own, a newline between words is one in byte_bpe,
+        and word_bpe lowers the case, so most words are put together from their letters (after a newline: under a space,
+        which no word holds, and the letters)."""
         made, letters, others, memo, lower = [], {}, [], self.memo, not self.keeps_space
         for w in new:
-            base = w.lower() if lower else w
-            mark = ""
-            if not base.isalpha():
-                base, mark = base[:-1], base[-1:]
-                if mark not in ".,;:!?" or not base.isalpha():
-                    others.append(w)
-                    continue
-            if len(base) > 63 or not (base.isascii() or max(base) <= "ÿ"):
+            left, line, right = w.partition("\n") if self.keeps_space else (w, "", "")
+            first, second = self._cut(left.lower() if lower else left), self._cut(right) if line else ("", "")
+            if first is None or second is None:
                 others.append(w)
                 continue
-            if base not in memo:
-                letters[base] = None
-            if base is not w and (mark or base != w):
-                made.append((w, base, mark))
-        run = list(letters)
-        for k in range(0, len(run), 2000):
-            self._learn_letters(run[k : k + 2000])
+            key = " " + second[0] if line else ""
+            if first[0] not in memo:
+                letters[first[0]] = None
+            if line and key not in memo:
+                letters[key] = None
+            if first[0] != w:
+                made.append((w, first, key, second[1]))
+        self._learn_letters(list(letters))
         self.memo.update(zip(others, self.direct([self.lead + w for w in others]), strict=True))
-        for w, base, mark in made:
-            memo[w] = memo[base] + self.marks[mark]
+        for w, (base, marks), key, more in made:
+            ids = memo[base] + self._mark(marks) if marks else memo[base]
+            if key:
+                ids += memo[key] + self._mark(more) if more else memo[key]
+            memo[w] = ids
 
     def _learn_letters(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast([self.lead + " ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(found.ids, dtype=self.kind)
-        at = np.flatnonzero(self.bounds[ids])
-        if len(at) != len(words):  # not one piece a word: as the library has each
-            self.memo.update(zip(words, self.direct([self.lead + w for w in words]), strict=True))
-            return
-        cuts = [0, *((at + 1).tolist())] if not self.keeps_space else [*at.tolist(), len(ids)]
-        data, n = ids.tobytes(), self.bytes_each
-        self.memo.update((w, data[a * n : b * n]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+        """A word of letters is one piece to both splits, so the library's model has it as it is, in ByteLevel's letters."""
+        lead, split, flat, ends = "Ġ" if self.keeps_space else "", self.model.tokenize, [], [0]
+        for w in words:
+            plain = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+            flat += [t.id for t in split(plain[1:] if plain[0] == " " else lead + plain)]
+            ends.append(len(flat))
+        data, n = np.array(flat, dtype=self.kind).tobytes(), self.bytes_each
+        self.memo.update((w, (self.line if w[0] == " " else b"") + data[a * n : b * n]) for w, a, b in zip(words, ends[:-1], ends[1:], strict=True))
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -135,14 +153,16 @@ class WordMemo:
             firsts = [c.pop(0) if c and self.keeps_space else "" for c in cut]
             flat = list(itertools.chain.from_iterable(cut))
             found = list(map(self.memo.get, flat))
-            if None in found:
-                new = list(dict.fromkeys([w for w, x in zip(flat, found, strict=True) if x is None]))
+            missing = [i for i, x in enumerate(found) if x is None]
+            if missing:
+                new = list(dict.fromkeys([flat[i] for i in missing]))
                 if len(self.memo) + len(new) > MEMO:
                     self.memo.clear()
                 if self.keeps_space:
                     new = [w for w in new if w and len(w) < 64 and self._plain(w[-1])]
                 self._learn(new)
-                found = [self.memo.get(w) if x is None else x for w, x in zip(flat, found, strict=True)]
+                for i in missing:
+                    found[i] = self.memo.get(flat[i])
             heads = self.direct(firsts) if self.keeps_space else [b""] * len(some)
             end = 0
             for text, words, first, head in zip(some, cut, firsts, heads, strict=True):
