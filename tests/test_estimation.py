@@ -159,3 +159,24 @@ def test_rounds_leave_no_shuffle_files(spark):
         left.append(disk.getAllFiles().size() - n)
     assert left[1] <= max(left[0], 0)
     assert spark.conf.get(key, None) == before
+
+
+def test_items_by_blocks_are_those_of_one_block(spark):
+    """A round sends each block of items what it needs of a block of learners once, and the messages of the last round go."""
+    from pathlib import Path
+
+    from tidemark.operators.iterate import work_folder
+
+    _, _, rows = drawn(11, 60, 40)
+    rows += rows[:30]  # answers given twice
+    rows += [(None, "i00", 1.0, 0.0, 0.0, True), ("u00", None, 1.0, 0.0, 0.0, True), ("u01", "i01", 1.0, 0.0, 0.0, None)]
+    df = frame(spark, rows)
+    one = {r.item: tuple(r)[1:] for r in E.calibrate_items(df, rounds=3, tolerance=0.0, each=10**6).collect()}
+    before = set(Path(work_folder(spark)).glob("items-*"))
+    many = {r.item: tuple(r)[1:] for r in E.calibrate_items(df, rounds=3, tolerance=0.0, each=300, held=7).collect()}
+    assert set(many) == set(one) and None not in one
+    assert all(many[i] == pytest.approx(want, abs=1e-6) for i, want in one.items())
+    (folder,) = set(Path(work_folder(spark)).glob("items-*")) - before
+    assert sorted(p.name for p in folder.glob("items-*")) == ["items-3"]
+    senders = {(r.to, r.sender) for r in spark.read.parquet(f"{folder}/items-3").where("kind = 0").collect()}
+    assert len(senders) == spark.read.parquet(f"{folder}/items-3").where("kind = 0").count() <= 16 * 16

@@ -1,12 +1,15 @@
 """Estimators of item response models: ability by likelihood, with a prior or by quadrature; items by marginal likelihood.
 
 Every step is one aggregation of the answers by learner or by item: what is gathered are sums at quadrature points, or
-one row of sums for each key. Only the search of a likelihood's top and the posteriors that items are calibrated with go
-through a learner's answers where they are, up to HELD different ones; a learner with more is served by aggregations.
+one row of sums for each key. The search of a likelihood's top goes through a learner's answers where they
+are, up to HELD different ones; a learner with more is served by aggregations. Items are calibrated by blocks that send
+each other parameters and posteriors.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import uuid
 
 import numpy as np
@@ -15,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import cut, shuffles_freed, work_folder
+from .iterate import cut, few_rows_a_batch, removed, shuffles_freed, work_folder
 
 # The range of abilities and that of a search, and what is added to keep logarithms finite.
 LOW, HIGH, BOUND, TINY = -3.0, 3.0, 4.0, 1e-9
@@ -217,120 +220,252 @@ def ability_quadrature(answers: DataFrame, points: int = POINTS, mean: float = 0
     return d.select("learner", "theta", F.sqrt(moment(lambda p, v: p * (v - F.col("theta")) * (v - F.col("theta")))).alias("se"), F.col("answers").cast("long").alias("n"))
 
 
-def calibrate_items(answers: DataFrame, points: int = POINTS, rounds: int = 30, tolerance: float = 1e-4, newton: int = 25, held: int = HELD) -> DataFrame:
+#: Answers of a block at which learners and items are dealt to more blocks.
+EACH = 2_000_000
+
+
+def calibrate_items(answers: DataFrame, points: int = POINTS, rounds: int = 30, tolerance: float = 1e-4, newton: int = 25, held: int = HELD, each: int = EACH) -> DataFrame:
     """(item, a, b, n): discrimination and difficulty of two-parameter items by marginal maximum likelihood.
 
     answers: learner, item, correct. A round takes the posterior of each learner at the quadrature points, then the
     answers and right answers that each item is expected to have there, and from those new parameters by Newton steps,
     item by item. It ends when no parameter moves by more than tolerance. a lies in [0.2, 3], b in [-4, 4].
 
-    An answer travels twice in a round: with its item's parameters to its learner, and with the learner's posterior, as
-    floats, to its item. Answers and parameters stay in written tables, and the shuffle files of a round go with its end.
+    Learners and items are numbered once and dealt to blocks of about `each` answers; the answers of a block of learners
+    to a block of items are a cell, kept twice as pairs of numbers. In a round a block of items sends the parameters of
+    the items in a cell, once each, and a block of learners the posteriors of the learners in it, once each, as floats.
+    A task takes up `held` answers of a cell at once. The messages of a round and its shuffle files go with the next.
     """
     spark = answers.sparkSession
     places, weights = hermite(points)
     folder = f"{work_folder(spark)}/items-{uuid.uuid4().hex}"
+    held = max(held, 1)
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+    def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+        df.write.partitionBy(*by).parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    with shuffles_freed(spark):
-        rows = written(answers.groupBy("learner", "item", "correct").agg(F.count("*").alias("n")), "answers")
-        right = F.sum(F.when(F.col("correct"), F.col("n")).otherwise(0)) / F.sum("n")
-        first = -F.log(F.greatest(F.col("share"), F.lit(0.01)) / F.greatest(1 - F.col("share"), F.lit(0.01)))
-        items = rows.groupBy("item").agg(F.sum("n").alias("n"), right.alias("share"))
-        counts = items = written(items.select("item", F.col("n").cast("long").alias("n"), F.lit(1.0).alias("a"), F.greatest(F.lit(-4.0), F.least(F.lit(4.0), first)).alias("b")), "items-0")
-        many = written(rows.groupBy("learner").agg(F.count("*").alias("k")).where(F.col("k") > held).select("learner"), "many")
-        any_many = not many.isEmpty()
-        kind = rows.schema["item"].dataType.simpleString()
-        answer = f"item {kind}, correct boolean, n long, a double, b double"
-        expect = lambda batches: _posteriors(batches, places, weights)
-        maximise = lambda batches: _new_items(batches, places, newton)
+    with shuffles_freed(spark), few_rows_a_batch(spark) as few:
+        rows = written(answers.select("learner", "item", F.coalesce("correct", F.lit(False)).alias("correct")), "answers")
+        share = F.avg(F.col("correct").cast("double"))
+        first = -F.log(F.greatest(share, F.lit(0.01)) / F.greatest(1 - share, F.lit(0.01)))
+        counts = written(rows.where("item is not null").groupBy("item").agg(F.count("*").alias("n"), F.greatest(F.lit(-4.0), F.least(F.lit(4.0), first)).alias("b")), "counts")
+        numbers, blocks = _numbers(rows.where("learner is not null and item is not null"), each, lambda df: written(df, "numbers"))
+        named = numbers.where("item is not null").select("j", "y", "item")
+        dealt = lambda df, block: df.repartitionById(blocks, block)
+        cell = numbers.select("i", "j", "x", "y", "correct", (F.col("i").cast("long") * blocks + F.col("j")).alias("cell"))
+        of_learners = written(dealt(cell, "i").sortWithinPartitions("cell").mapInArrow(lambda batches: _cells(batches, "i", "j"), _SENT), "of-learners")
+        of_items = written(dealt(cell.withColumn("cell", F.col("j").cast("long") * blocks + F.col("i")), "j").sortWithinPartitions("cell").mapInArrow(lambda batches: _cells(batches, "j", "i"), _SENT), "of-items")
+        start = dealt(counts.select("item", "b").join(named, "item"), "j").sortWithinPartitions("j", "y").select("j", "b").mapInArrow(_starting, _SENT)
+        few()  # from here on a row holds a cell or a message
+        met = lambda *frames: dealt(functools.reduce(DataFrame.unionAll, frames), "to").sortWithinPartitions("to", "sender", "kind")
+        expect = lambda batches: _posteriors(batches, places, weights, held)
+        new_items = lambda steps: lambda batches: _new_items(batches, len(places), places, steps, held)
+        sent = [F.col(c) for c in _COLUMNS]
+        out = written(met(start, of_items).mapInArrow(new_items(0), f"{_SENT}, moved double"), "items-0", "kind")
         for k in range(1, rounds + 1):
-            known = rows.join(items.select("item", "a", "b"), "item")
-            few = known.join(F.broadcast(many), "learner", "left_anti") if any_many else known
-            dealt = few.where("learner is not null").select("learner", "item", "correct", "n", "a", "b").repartition("learner").sortWithinPartitions("learner")
-            both = dealt.mapInArrow(expect, f"{answer}, post binary")
-            if any_many:
-                of_many = known.join(F.broadcast(many), "learner", "left_semi")
-                post = _posterior(_at_points(of_many.withColumn("c", F.lit(0.0)), places), weights).select("learner", "post").mapInArrow(_packed, f"learner {rows.schema['learner'].dataType.simpleString()}, post binary")
-                both = both.unionByName(of_many.join(F.broadcast(post), "learner").drop("learner"))  # a row for each of the many
-            items = written(both.repartition("item").sortWithinPartitions("item").mapInArrow(maximise, f"item {kind}, a double, b double, moved double"), f"items-{k}")
-            if (items.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            state = out.where(F.col("kind") == STATE).select(*sent)
+            posts = met(of_learners, out.where(F.col("kind") == MESSAGE).select(*sent)).mapInArrow(expect, _SENT)
+            out = written(met(state, of_items, posts).mapInArrow(new_items(newton), f"{_SENT}, moved double"), f"items-{k}", "kind")
+            removed(spark, f"{folder}/items-{k - 1}")
+            if (out.where(F.col("kind") == STATE).agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
                 break
-        return items.select("item", "a", "b").join(counts.select("item", "n"), "item")
-
-
-def _posteriors(batches, places: np.ndarray, weights: np.ndarray):
-    """The answers with the posterior of their learner; a learner's answers follow one another."""
-    for t in _whole(batches, "learner"):
-        starts = _starts(t["learner"].combine_chunks())
-        a, b, n = (t[c].to_numpy()[:, None] for c in ("a", "b", "n"))
-        right = t["correct"].fill_null(False).to_numpy()[:, None]
-        with np.errstate(over="ignore"):
-            p = np.clip(1 / (1 + np.exp(a * (b - places))), TINY, 1 - TINY)
-        logs = np.add.reduceat(n * np.log(np.where(right, p, 1 - p)), starts) + np.log(weights)
-        post = np.exp(logs - logs.max(1, keepdims=True))
-        post = (post / post.sum(1, keepdims=True)).astype("float32")
-        each = np.repeat(post, np.diff(np.append(starts, t.num_rows)), axis=0)
-        yield from t.drop_columns("learner").append_column("post", _binary(each)).combine_chunks().to_batches(max_chunksize=10_000)
-
-
-def _binary(x: np.ndarray) -> pa.Array:
-    """A row's floats as the bytes of a value, which Spark copies at once."""
-    ends = np.arange(len(x) + 1, dtype="int32") * (4 * x.shape[1])
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x, "<f4"))])
-
-
-def _floats(column: pa.Array, width: int) -> np.ndarray:
-    fixed = column.cast(pa.binary(4 * width))
-    return np.frombuffer(fixed.buffers()[1], "<f4", len(fixed) * width, fixed.offset * 4 * width).reshape(-1, width)
-
-
-def _packed(batches):
-    for batch in batches:
-        post = np.array(batch["post"].to_pylist(), "<f4")
-        if len(post):
-            yield pa.RecordBatch.from_arrays([batch["learner"], _binary(post)], names=["learner", "post"])
-
-
-def _new_items(batches, places: np.ndarray, newton: int):
-    """(item, a, b, moved) of items whose answers follow one another; only sums are held of an item."""
-    rest = None  # item, a, b and sums of the item whose end isn't seen
-
-    def fitted(item, a, b, sums):
-        new_a, new_b = fit_item(sums[:, : len(places)], sums[:, len(places) :], places, a, b, newton)
-        moved = np.maximum(np.abs(new_a - a), np.abs(new_b - b))
-        return pa.RecordBatch.from_arrays([item, *(pa.array(x) for x in (new_a, new_b, moved))], names=["item", "a", "b", "moved"])
-
+        ends = out.where(F.col("kind") == STATE).select(*sent).mapInArrow(_unpacked, "j int, y int, a double, b double")
+        found = written(ends.join(named, ["j", "y"]).select("item", "a", "b").join(counts.select("item", F.col("n").cast("long").alias("n")), "item"), "found")
+    return found
+
+
+# What a block gets: its parameters, then by sender the message and the cell that it is for.
+STATE, MESSAGE, CELL = -1, 0, 1
+_COLUMNS = ("to", "sender", "kind", "u", "v", "w")
+_SENT = "`to` int, sender int, kind int, u binary, v binary, w binary"
+
+
+def _numbers(rows: DataFrame, each: int, written) -> tuple[DataFrame, int]:
+    """(i, x, j, y, correct, item), and how many blocks there are: i and j are the blocks of learner and item, x and y their
+    numbers in them, and item is given with the first of its rows, else null."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = rows.count()
+    blocks = max(min(cores, -(-n // 20_000)), -(-n // each), 1)
+    if blocks > cores:
+        blocks = -(-blocks // cores) * cores
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    kind = rows.schema["item"].dataType.simpleString()
+    people = rows.select("learner", "item", "correct", block("learner").alias("i")).repartitionById(blocks, "i").sortWithinPartitions("learner")
+    people = people.mapInArrow(lambda batches: _numbered(batches, "learner", "i", "x"), f"item {kind}, correct boolean, i int, x int")
+    items = people.withColumn("j", block("item")).repartitionById(blocks, "j").sortWithinPartitions("item")
+    return written(items.mapInArrow(lambda batches: _numbered(batches, "item", "j", "y", True), f"correct boolean, i int, x int, j int, y int, item {kind}")), blocks
+
+
+def _numbered(batches, key: str, block: str, name: str, keep: bool = False):
+    """The rows with the number of their key in its block, for the key; with keep the first row of a key has it too. Rows
+    are sorted by key, and a key has one block."""
+    counts, last = {}, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        starts = _starts(batch["item"])
-        m = batch["n"].to_numpy()[:, None] * _floats(batch["post"], len(places)).astype("float64")
-        right = batch["correct"].fill_null(False).to_numpy(zero_copy_only=False)[:, None]
-        sums = np.add.reduceat(np.concatenate([np.where(right, m, 0.0), m], axis=1), starts)
-        item, a, b = batch["item"].take(pa.array(starts)), batch["a"].to_numpy()[starts], batch["b"].to_numpy()[starts]
-        if rest is not None:
-            if rest[0][0] == item[0]:
-                sums[0] += rest[3][0]
+        keys, at = batch[key], batch[block].to_numpy()
+        new = np.zeros(len(keys), bool)
+        new[_starts(keys)] = True
+        new[0] = last is None or not keys[0].equals(last)
+        last = keys[len(keys) - 1]
+        number = np.empty(len(keys), "int32")
+        for x in np.unique(at):
+            own = at == x
+            number[own] = counts.get(x, -1) + np.cumsum(new[own])
+            counts[x] = int(number[own][-1])
+        rest = batch.drop_columns([key]).append_column(name, pa.array(number))
+        yield rest.append_column(key, pc.if_else(pa.array(new), keys, pa.scalar(None, keys.type))) if keep else rest
+
+
+def _sent(*rows) -> pa.RecordBatch:
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 3 + [pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=[*_COLUMNS, "moved"][: len(rows[0])])
+
+
+def _cells(batches, to: str, sender: str):
+    """The cells of blocks that get messages: in u the numbers of the sums that answers count for, ascending, in v the places
+    in the message of what they add, and in w how often, if that isn't once each.
+
+    A learner's sum takes chances of the message's items, wrong ones before right ones; an item has two sums.
+    """
+    learners = to == "i"
+    for t in _whole(batches, "cell"):
+        ends = np.append(_starts(t["cell"].combine_chunks()), t.num_rows)
+        i, j, x, y, right = (t[c].to_numpy() for c in (to, sender, "x", "y", "correct"))
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            own, other = (x, y) if learners else (y, x)
+            distinct, place = np.unique(other[lo:hi], return_inverse=True)
+            size, r = len(distinct), right[lo:hi].astype("int64")
+            row, col, width = (own[lo:hi].astype("int64"), place + size * r, 2 * size) if learners else (2 * own[lo:hi].astype("int64") + r, place, size)
+            code, n = np.unique(row * width + col, return_counts=True)
+            bytes_ = lambda v: v.astype("<u4").tobytes()
+            yield _sent((int(i[lo]), int(j[lo]), CELL, bytes_(code // width), bytes_(code % width), None if n.max() == 1 else bytes_(n)))
+
+
+def _starting(batches):
+    """The first parameters of blocks of items, from rows (j, b) in the order of the items' numbers."""
+    for t in _whole(batches, "j"):
+        ends = np.append(_starts(t["j"].combine_chunks()), t.num_rows)
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            b = t["b"].slice(lo, hi - lo).to_numpy()
+            yield _sent((t["j"][lo].as_py(), -1, STATE, np.ones(len(b)).tobytes(), b.astype("<f8").tobytes(), None))
+
+
+def _by_block(batches):
+    """(block, its rows one after another), for rows that are sorted by block."""
+    rows = (tuple(c[k].as_py() for c in batch.columns) for batch in batches for k in range(batch.num_rows))
+    return itertools.groupby(rows, lambda r: r[0])
+
+
+class _Sums:
+    """Sums at each quadrature point, by number, that grow with the numbers met."""
+
+    def __init__(self, points: int, held: int):
+        self.all, self.size, self.held = np.zeros((points, 0)), 0, held
+
+    def add(self, cell: tuple, terms) -> np.ndarray:
+        """Adds what terms(point) has for the answers of a cell; returns the different numbers that they count for."""
+        row, col = (np.frombuffer(v, "<u4").astype("int64") for v in cell[3:5])
+        n = None if cell[5] is None else np.frombuffer(cell[5], "<u4").astype("float64")
+        self.size = max(self.size, int(row[-1]) + 1)
+        if self.size > self.all.shape[1]:
+            self.all = np.pad(self.all, ((0, 0), (0, max(self.size, 2 * self.all.shape[1]) - self.all.shape[1])))
+        parts = []
+        for lo in range(0, len(row), self.held):
+            new = np.append(True, np.diff(row[lo : lo + self.held]) > 0)
+            parts.append((slice(lo, lo + self.held), row[lo : lo + self.held][new], np.cumsum(new) - 1))
+        for q in range(len(self.all)):
+            values = terms(q)
+            for at, numbers, run in parts:
+                each = values[col[at]]
+                self.all[q, numbers] += np.bincount(run, each if n is None else each * n[at])
+        distinct = [numbers for _, numbers, _ in parts]
+        return distinct[0] if len(distinct) == 1 else np.unique(np.concatenate(distinct))
+
+    def found(self) -> np.ndarray:
+        return self.all[:, : self.size]
+
+
+def _posteriors(batches, places: np.ndarray, weights: np.ndarray, held: int):
+    """The posteriors of blocks of learners, a message for each block of items with those of the learners in the cell."""
+    low, high = np.log(TINY), np.log1p(-TINY)
+    for to, rows in _by_block(batches):
+        sums, met, message = _Sums(len(places), held), {}, None
+        for r in rows:
+            if r[2] == MESSAGE:
+                message = r
+                continue
+            if message is None or message[1] != r[1]:
+                raise ValueError(f"block {to} has no parameters of block {r[1]}")
+            a, b = (np.frombuffer(v, "<f8") for v in message[3:5])
+
+            def logs(q, a=a, b=b):
+                z = a * (places[q] - b)
+                with np.errstate(over="ignore"):
+                    right = -np.log1p(np.exp(-z))
+                return np.clip(np.concatenate([right - z, right]), low, high)
+
+            met[r[1]] = sums.add(r, logs).astype("uint32")
+        logs = sums.found() + np.log(weights)[:, None]
+        post = np.exp(logs - logs.max(0))
+        post = (post / post.sum(0)).astype("<f4")
+        for j, numbers in met.items():
+            yield _sent((j, to, MESSAGE, post[:, numbers].tobytes(), None, None))
+
+
+def _new_items(batches, points: int, places: np.ndarray, newton: int, held: int):
+    """The new parameters of blocks of items, and a message for each block of learners with those of the items in the cell.
+
+    Without Newton steps there are no posteriors yet and the parameters go out as they come.
+    """
+    for to, rows in _by_block(batches):
+        sums, met, message, state = _Sums(points, held), {}, None, None
+        for r in rows:
+            if r[2] == STATE:
+                state = r
+            elif r[2] == MESSAGE:
+                message = r
+            elif newton:
+                if message is None or message[1] != r[1]:
+                    raise ValueError(f"block {to} has no posteriors of block {r[1]}")
+                post = np.frombuffer(message[3], "<f4").reshape(points, -1)
+                met[r[1]] = np.unique(sums.add(r, lambda q, post=post: post[q].astype("float64")) // 2).astype("uint32")
             else:
-                item, a, b, sums = pa.concat_arrays([rest[0], item]), *(np.concatenate([x, y]) for x, y in zip(rest[1:], (a, b, sums), strict=True))
-        if len(item) > 1:
-            yield fitted(item[:-1], a[:-1], b[:-1], sums[:-1])
-        rest = item[-1:], a[-1:], b[-1:], sums[-1:]
-    if rest is not None:
-        yield fitted(*rest)
+                met[r[1]] = np.unique(np.frombuffer(r[3], "<u4") // 2)
+        a, b = (np.frombuffer(v, "<f8") for v in state[3:5])
+        moved = 0.0
+        if newton:
+            both = np.zeros((points, 2 * len(a)))
+            both[:, : sums.size] = sums.found()
+            new_a, new_b = np.empty(len(a)), np.empty(len(b))
+            for lo in range(0, len(a), 1000):  # as many as the caches hold
+                own = slice(lo, lo + 1000)
+                right, wrong = both[:, 1::2][:, own].T, both[:, 0::2][:, own].T
+                new_a[own], new_b[own] = fit_item(right, right + wrong, places, a[own], b[own], newton)
+            moved = float(max(np.abs(new_a - a).max(), np.abs(new_b - b).max()))
+            a, b = new_a, new_b
+        yield _sent((to, -1, STATE, a.tobytes(), b.tobytes(), None, moved))
+        for i, numbers in met.items():
+            yield _sent((i, to, MESSAGE, a[numbers].tobytes(), b[numbers].tobytes(), None, None))
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for r in batch.to_pylist():
+            a, b = (np.frombuffer(r[c], "<f8") for c in ("u", "v"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), r["to"], "int32")), pa.array(np.arange(len(a), dtype="int32")), pa.array(a), pa.array(b)], names=["j", "y", "a", "b"])
 
 
 def fit_item(r: np.ndarray, m: np.ndarray, places: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """a and b that make r right of m expected answers at the places most likely; one row for each item.
 
-    Newton steps on slope and intercept of the logit, which is concave in both; slopes stay in [0.2, 3].
+    Newton steps on slope and intercept of the logit, which is concave in both; slopes stay in [0.2, 3]. It ends before
+    the last step where none moves any more.
     """
     slope, cut_ = a.copy(), -a * b
     for _ in range(steps):
+        before = slope, cut_
         p = 1 / (1 + np.exp(-(slope[:, None] * places + cut_[:, None])))
         e, w = r - m * p, m * p * (1 - p) + 1e-12
         g0, g1 = e.sum(1), (e * places).sum(1)
@@ -339,4 +474,6 @@ def fit_item(r: np.ndarray, m: np.ndarray, places: np.ndarray, a: np.ndarray, b:
         d0, d1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
         size = np.maximum(1.0, np.maximum(np.abs(d0), np.abs(d1)))
         cut_, slope = cut_ + d0 / size, np.clip(slope + d1 / size, 0.2, 3.0)
+        if max(np.abs(slope - before[0]).max(), np.abs(cut_ - before[1]).max()) < 1e-12:
+            break
     return slope, np.clip(-cut_ / slope, -4.0, 4.0)

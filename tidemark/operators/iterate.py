@@ -37,6 +37,24 @@ def shuffles_freed(spark) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+@contextmanager
+def few_rows_a_batch(spark, rows: int = 16) -> Iterator[Callable[[], None]]:
+    """Gives a function; from its call on Python gets at most so many rows at once, for rows that hold many values each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        yield lambda: spark.conf.set(key, str(rows))
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def removed(spark, path: str) -> None:
+    """Removes a folder in the work folder that nothing reads any more."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 _LOCAL: dict[str, str] = {}
 
 
