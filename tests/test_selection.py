@@ -136,3 +136,12 @@ def test_those_who_have_taken_the_first_candidates_ask_again(spark, strategy):
     taken = spark.createDataFrame([(u, i) for u in gone for i in gone[u]], "learner long, item long")
     got = {r.learner: r.item for r in S.select_next(learners, items, taken, strategy).collect()}
     assert got == {u: plain(strategy, th, bank, gone[u], {}, u) for u, th in theta.items()}
+
+
+def test_all_strategies_at_once(world, monkeypatch):
+    """Learners of a cell that are dealt to parts all meet its candidates; whoever isn't sure asks again with the others."""
+    bank, theta, gone, mastery, (learners, items, taken, known) = world
+    monkeypatch.setattr(S, "_SHARE", 2)
+    got = {(r.learner, r.strategy): r.item for r in S.select_each(learners, items, taken, S.STRATEGIES, known).collect()}
+    want = {(u, k): plain(k, theta[u], bank, gone[u], mastery, u) for u in theta for k in S.STRATEGIES}
+    assert got == {k: v for k, v in want.items() if v is not None}

@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .choice import chosen
 from .iterate import cut
 from .learner import information, p_correct
 
@@ -215,39 +216,124 @@ def allowed(items: DataFrame, taken: DataFrame, targets: dict[str, float] | None
     return held.select(*items.columns)
 
 
+#: What a strategy searches for; a later search is for those whom the ones before it offer nothing.
+_SEARCHES = {"zpd_aware": ("zpd_aware", "solvable", "b_match"), "randomesque": ("fisher_info",), "progressive": ("progressive", "fisher_info"), "a_stratified": ("a_stratified", "fisher_info"), "bkt_irt_fusion": ("by_area",)}
+#: The turn from which information alone counts in the progressive strategy.
+_INFORMED = math.ceil(1 / (ERROR * ERROR) - 1e-9)
+#: Learners that share a copy of their cell's candidates.
+_SHARE = 20_000
+
+
 def select_next(learners: DataFrame, items: DataFrame, taken: DataFrame, strategy: str, mastery: DataFrame | None = None) -> DataFrame:
     """(learner, item, score) of each learner's next item by one of STRATEGIES; learners that have taken all have none.
 
     zpd_aware falls back to the item nearest in difficulty, first among those that aren't too hard. a_stratified falls
     back to the whole bank. bkt_irt_fusion takes mastery (learner, area, p): areas in the middle range, or unknown, first.
     """
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy {strategy}; known are {', '.join(STRATEGIES)}")
-    items = items.dropDuplicates(["item"]).where("a > 0 and b is not null and c >= 0 and c < 1")
-    learners = learners.select("learner", "theta").dropDuplicates(["learner"])
-    if strategy == "a_stratified":
-        items = cut(with_layer(items))
-    one = lambda people, name: best_items(people, items, taken, name).select("learner", "item", "score")
-    if strategy == "randomesque":
-        top = best_items(learners, items, taken, "fisher_info", DRAWN)
-        turns = taken.join(items.select("item"), "item", "left_semi").dropDuplicates(["learner", "item"]).groupBy("learner").agg(F.count("*").alias("turn"))
-        drawn = top.groupBy("learner").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "score"))).alias("best")).join(turns, "learner", "left")
-        pick = F.floor(draw(F.col("learner"), F.coalesce("turn", F.lit(0))) * F.size("best")).cast("int")
-        return drawn.withColumn("x", F.get("best", pick)).select("learner", "x.item", "x.score")
-    if strategy == "bkt_irt_fusion":
-        best = cut(best_items(learners, items, taken, "fisher_info", 1, by_area=True).drop("rank"))
-        known = best if mastery is None else best.join(mastery.select("learner", "area", "p"), ["learner", "area"], "left")
-        p = F.coalesce("p", F.lit(0.5)) if mastery is not None else F.lit(0.5)
-        middle = p.between(MASTERY_LOW, MASTERY_HIGH)
-        fused = (1 - FUSION) * F.col("score") + FUSION * middle.cast("double")
-        first = F.struct(middle.cast("int").alias("m"), F.round(fused, DIGITS).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("learner").orderBy(F.desc("first"), "item"))
-        return known.withColumn("first", first).withColumn("rank", rank).where("rank = 1").select("learner", "item", "first.score")
-    out = one(learners, strategy)
-    for other in {"zpd_aware": ("solvable", "b_match"), "a_stratified": ("fisher_info",)}.get(strategy, ()):
-        out = cut(out)
-        out = out.unionByName(one(learners.join(out, "learner", "left_anti"), other))
-    return out
+    return select_each(learners, items, taken, (strategy,), mastery).drop("strategy")
+
+
+def select_each(learners: DataFrame, items: DataFrame, taken: DataFrame, strategies: tuple[str, ...] = STRATEGIES, mastery: DataFrame | None = None) -> DataFrame:
+    """(learner, strategy, item, score): select_next by several strategies at once.
+
+    What learners have taken is gathered once, a row for each. The candidates of a cell come to its learners in tasks, which
+    score them in blocks; so what grows with learners times candidates is never a row. Whoever isn't sure of the best
+    asks again for as many candidates as that takes.
+    """
+    for strategy in strategies:
+        if strategy not in STRATEGIES:
+            raise ValueError(f"unknown strategy {strategy}; known are {', '.join(STRATEGIES)}")
+    items = items.dropDuplicates(["item"]).where("item is not null and a > 0 and b is not null and c >= 0 and c < 1")
+    items = items.select("item", *(F.col(x).cast("double").alias(x) for x in ("a", "b", "c")), F.coalesce(F.concat(F.lit("="), F.col("area").cast("string")), F.lit("")).alias("area"))
+    items = cut(with_layer(items))
+    searches = tuple(dict.fromkeys(s for k in strategies for s in _SEARCHES.get(k, (k,))))
+    drawn = DRAWN if "randomesque" in strategies else 1
+    gone = taken.join(items.select("item"), "item", "left_semi").groupBy("learner").agg(F.collect_set("item").alias("taken"))
+    people = learners.select("learner", "theta").dropDuplicates(["learner"]).where("theta is not null and not isnan(theta)").join(gone, "learner", "left")
+    if mastery is None or "bkt_irt_fusion" not in strategies:
+        people = people.withColumn("outside", F.array().cast("array<string>"))
+    else:
+        known = mastery.where("area is not null and p is not null").where(~F.col("p").between(MASTERY_LOW, MASTERY_HIGH))
+        known = known.groupBy("learner").agg(F.collect_set(F.concat(F.lit("="), F.col("area").cast("string"))).alias("outside"))
+        people = people.join(known, "learner", "left")
+    n = F.when(F.col("taken").isNull(), 0).otherwise(F.size("taken"))
+    theta = F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.col("theta")))
+    people = cut(people.select("learner", theta.cast("double").alias("theta"), n.alias("n"), draw(F.col("learner"), n).alias("draw"), "taken", "outside", _cell(theta).alias("cell")))
+    first = cut(_chosen(people.withColumn("level", F.lit(0)), items, strategies, searches, drawn, last=False))
+    unsure = first.where("strategy is null").select(F.col("learner").alias("who"))
+    found = first.where("strategy is not null")
+    if unsure.isEmpty():
+        return found
+    again = people.join(unsure, F.col("learner").eqNullSafe(F.col("who")), "left_semi")
+    level = F.ceil(F.log2(F.col("n") + F.lit(float(drawn)))).cast("int")
+    return found.unionByName(_chosen(again.withColumn("level", level), items, strategies, searches, drawn, last=True))
+
+
+def _chosen(people: DataFrame, items: DataFrame, strategies: tuple[str, ...], searches: tuple[str, ...], drawn: int, last: bool) -> DataFrame:
+    """What people choose, each from 2**level candidates and those that may be as good, or from a few if it isn't the last time."""
+    spark = people.sparkSession
+    informed, third = F.least("n", F.lit(_INFORMED)), layer(F.least(F.col("n"), F.lit(LENGTH)))
+    asked = cut(people.groupBy("cell", "level", informed.alias("informed"), third.alias("third")).agg(F.count("*").alias("people")))  # at most some thousand rows
+    wanted = None
+    for number, search in enumerate(searches):
+        n = drawn if search == "fisher_info" else 1
+        turn = {"progressive": F.col("informed"), "a_stratified": F.col("third")}.get(search, F.lit(0))
+        k = F.pow(F.lit(2), F.col("level")) if last else F.lit(2 ** math.ceil(math.log2(4 * n)))
+        need = asked.select("cell", "level", turn.cast("int").alias("turn"), k.cast("long").alias("k"))
+        if search == "progressive":
+            need = need.where(F.col("turn") < _INFORMED)
+        need = need.distinct().collect()
+        if need:
+            c = _candidates(spark.createDataFrame(need, "cell int, level int, turn int, k long"), max(r.k for r in need), items, search)
+            c = c.withColumn("search", F.lit(number))
+            wanted = c if wanted is None else wanted.unionByName(c)
+    kind = items.schema["item"].dataType
+    names = ["cell", "level", "part", "kind", "search", "turn", "zone", "item", "a", "b", "c", "r", "w", "k", "bar", "learner", "theta", "n", "draw", "taken", "outside"]
+    parts = F.broadcast(asked.groupBy("cell", "level").agg(F.ceil(F.sum("people") / F.lit(_SHARE)).cast("int").alias("parts")))
+    own = people.join(parts, ["cell", "level"]).withColumn("part", F.pmod(F.xxhash64("learner"), F.col("parts")).cast("int"))
+    whole = lambda df, number: df.withColumn("kind", F.lit(number))
+    own = whole(own.drop("parts"), 1)
+    rows = own
+    if wanted is not None:
+        wanted = whole(wanted.join(parts, ["cell", "level"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), 0)
+        rows = wanted.unionByName(own, allowMissingColumns=True).select(*names)
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        rows = rows.repartition(tasks, "cell", "level", "part").sortWithinPartitions("cell", "level", "part", "kind", "search", "turn", "zone", "item")
+    values = {"HARD": HARD, "EASY": EASY, "DELTA": DELTA, "FUSION": FUSION, "UNIT": 10.0**DIGITS, "INFORMED": _INFORMED, "LENGTH": LENGTH, "LAST": last}
+    schema = f"learner {people.schema['learner'].dataType.simpleString()}, strategy string, item {kind.simpleString()}, score double"
+    return rows.mapInArrow(lambda batches: chosen(batches, strategies, searches, drawn, values), schema)
+
+
+def _candidates(need: DataFrame, top: int, items: DataFrame, search: str) -> DataFrame:
+    """(cell, level, turn, zone, item, a, b, c, r, w, k, bar): items that may be among the k best of the learners of a cell.
+
+    need: cell, level, turn, k, a small local frame. The k first items of a cell that can't score below its bar make it;
+    items that can't reach it aren't candidates. Where there are fewer items all are candidates and bar is null.
+    """
+    strategy = "fisher_info" if search == "by_area" else search
+    group, need = ["cell", "turn", "zone"], F.broadcast(need)
+    where = F.broadcast(need.select("cell", "turn").distinct())
+    may, surely, least, most = _bounds(strategy)
+    items = items.withColumn("zone", F.col("area") if search == "by_area" else F.lit(""))
+    alike = ["b"] if search == "b_match" else [*_ALIKE, *(["layer"] if search == "a_stratified" else [])]
+    if search == "progressive":  # of items that are alike those of the greatest draws of a turn, as near as scores are compared
+        items = items.join(F.broadcast(need.select("turn").distinct())).withColumn("r", draw(F.col("item"), F.col("turn")))
+        same = Window.partitionBy("turn", *alike)
+        items = items.withColumn("twin", F.row_number().over(same.orderBy(F.desc("r")))).withColumn("least_r", F.max(F.when(F.col("twin") == top, F.col("r"))).over(same))
+        items = items.where("least_r is null or r >= least_r - 2e-7").drop("twin", "least_r")
+        spread = items.join(where, "turn")
+    else:  # of items that are alike only the first k can make a bar; more may stay below if taken
+        items = items.withColumn("twin", F.row_number().over(Window.partitionBy(*alike).orderBy("item"))).where(F.col("twin") <= top).drop("twin")
+        spread = items.withColumn("r", F.lit(0.0)).join(where, items["layer"] == where["turn"]) if search == "a_stratified" else items.withColumn("r", F.lit(0.0)).crossJoin(where)
+    edge = F.lit(LOW) + F.col("cell") * WIDTH
+    spread = spread.withColumn("t0", edge - 1e-9).withColumn("t1", edge + WIDTH + 1e-9)
+    scored = cut(spread.where(may).select("item", "a", "b", "c", "r", *group, F.when(surely, least).alias("least"), most.alias("most")))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("least")))
+    ranked = scored.where("least is not null").select(*group, "least").withColumn("k", place.cast("long")).where(F.col("k") <= top)
+    bar = ranked.join(need, ["cell", "turn", "k"]).select(*group, "level", F.col("least").alias("bar"))
+    kept = scored.join(need, ["cell", "turn"]).join(bar, [*group, "level"], "left").where("bar is null or most >= bar - 1e-8")
+    w = share(F.col("turn")) if search == "progressive" else F.lit(1.0)
+    return kept.select("cell", "level", "turn", "zone", "item", "a", "b", "c", "r", w.cast("double").alias("w"), "k", "bar")
 
 
 def stop_rules(learners: DataFrame, items: DataFrame, taken: DataFrame, least: int = 5, most: int = LENGTH, error: float = ERROR, width: float = 0.5, z: float = 1.959963984540054, bar: float = 0.0, sure_z: float = 1.6448536269514722, low_gain: float = 0.01, high_gain: float = 0.05) -> DataFrame:

@@ -89,13 +89,8 @@ scored AS (SELECT *, a * a * power((p - c) / (1 - c), 2) * (1 - p) / p AS info,
 def item_selection(spark, sf):
     """Every customer's next part by each of the eight strategies."""
     r = responses(spark, sf)
-    people, items, taken = cut(abilities(spark, sf).select("learner", "theta")), cut(bank(spark, sf)), cut(r.select("learner", "item").distinct())
-    mastery = cut(r.groupBy("learner", "area").agg(F.avg(F.col("correct").cast("double")).alias("p")))
-    out = [cut(S.select_next(people, items, taken, k, mastery)).select("learner", F.lit(k).alias("strategy"), "item") for k in S.STRATEGIES]
-    all_ = out[0]
-    for o in out[1:]:
-        all_ = all_.unionByName(o)
-    return all_
+    mastery = r.groupBy("learner", "area").agg(F.avg(F.col("correct").cast("double")).alias("p"))
+    return S.select_each(abilities(spark, sf).select("learner", "theta"), bank(spark, sf), r.select("learner", "item"), S.STRATEGIES, mastery).select("learner", "strategy", "item")
 
 
 @register("cat_stop_rules", f"""WITH {_LEFT}, g AS (SELECT learner, max(info) AS info FROM scored GROUP BY 1), x AS (SELECT abil.learner, theta, se, n, se - 1 / sqrt(1 / (se * se) + round(info, {S.DIGITS})) AS gain FROM abil LEFT JOIN g USING (learner))
