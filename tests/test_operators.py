@@ -355,3 +355,38 @@ def test_policy_conflicts_in_many_tasks(spark, tmp_path):
     allow, deny = [sum(1 for r in rows if r[3] == k and r[2] == "ECONOMY") for k in (0, 1)], [sum(1 for r in rows if r[3] == k and r[2] == "PROMO") for k in (0, 1)]
     assert got.count() == sum(x * y for x, y in zip(allow, deny, strict=True))
     assert got.where("a_id >= b_id").isEmpty() and got.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_dealt_pairs_copy_rows_some_times_only(spark, monkeypatch):
+    """Dealt rows grow in proportion to the sides, not with the square; what they make is counted nowhere else."""
+    a = spark.range(200_000).select(F.lit(1).alias("k"), F.col("id").alias("x"))
+    b = spark.range(2_000).select(F.lit(1).alias("k"), F.col("id").alias("part"))
+    dealt, real = [], type(a).repartition
+    monkeypatch.setattr(type(a), "repartition", lambda self, *args: (dealt.append(self), real(self, *args))[1])
+    G.dealt_pairs(a, b, ["k"], "x", rows=100)
+    assert len(dealt) == 2 and sum(x.count() for x in dealt) < 1_000_000
+    small, few = a.where("x < 500"), b.where("part < 90")
+    assert G.dealt_pairs(small, few, ["k"], "x", rows=10, held=20).exceptAll(small.join(few, "k")).isEmpty()
+    assert G.dealt_pairs(small, few, ["k"], "x", rows=10, held=20).count() == 500 * 90
+
+
+@pytest.mark.parametrize("odd", [None, float("nan")])
+def test_pattern_match_of_odd_lines(spark, tmp_path, odd):
+    import shutil
+
+    import duckdb
+
+    import __spark_entry__
+
+    rows = [(p, s, q, d) for p, s, q, d in [(1, 1, 50.0, 0.0), (2, 1, 50.0, 0.05), (2, 1, 2.0, 0.0), (3, 1, 44.0, 0.0), (4, 2, 50.0, odd), (4, 2, 1.0, 0.07), (5, 2, 50.0, odd), (6, 3, odd, 0.0), (None, 3, 46.0, 0.0), (7, None, 46.0, 0.0), (8, 3, None, 0.0), (8, 3, 45.0, 0.1)]]
+    for t in ("supplier", "customer", "nation"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    lines = spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double, l_discount double")
+    lines.withColumn("l_shipdate", F.expr("timestamp'1995-01-01 00:00:00'")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    for t in ("supplier", "customer", "nation"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    db.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    order = lambda found: sorted(tuple(str(v) for v in r) for r in found)
+    want = order(db.execute(__spark_entry__.oracle_sql()["pattern_match"]).fetchall())
+    assert want and order(__spark_entry__.queries()["pattern_match"](spark, str(tmp_path)).collect()) == want
